@@ -101,14 +101,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("struct<none:int>")
     text = F.col(f"`{text_col}`")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), rest.alias("rest"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(normalised(text)).alias("fp"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), rest.alias("rest"), F.xxhash64(normalised(text)).alias("fp"))
     repeats = repeated_fingerprints(docs.select(F.xxhash64(normalised(text)).alias("fp")), quotient_bits)
     found = rows.join(repeats, "fp", "left").withColumn("norm", normalised(F.col("text")))
     alone = found.filter(F.col("copies").isNull()).withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     again = found.filter(F.col("copies").isNotNull())
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("rid").alias("rid")))
-    groups = again.groupBy("norm").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    again = again.join(groups, "norm").withColumns({"keep_id": F.col("first.id"), "kept": F.col("rid") == F.col("first.rid")})
+    # Rows that are equal in all columns become one row with a number, so that exactly one row of a group can stay.
+    again = again.withColumn("tie", F.xxhash64("text", F.to_json("rest"))).groupBy("norm", "id", "tie").agg(F.first("text").alias("text"), F.first("rest").alias("rest"), F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
+    groups = again.groupBy("norm").agg(F.min(order).alias("first"), F.sum("n").alias("group_size"))
+    again = again.join(groups, "norm").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    again = again.withColumns({"keep_id": F.col("first.id"), "kept": (F.col("copy") == 1) & order.eqNullSafe(F.col("first"))})
     columns = ["id", "text", "norm", "rest", "keep_id", "group_size", "kept"]
     return alone.select(columns).unionByName(again.select(columns))
 

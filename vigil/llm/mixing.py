@@ -37,8 +37,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     total = F.sum("source_size").over(W.partitionBy()) * F.lit(float(share))
     left = F.greatest(total - F.coalesce(F.sum("limit").over(before), F.lit(0.0)), F.lit(0.0))
     # From the first source that isn't held on, all levels are this one; held sources stop at their limit anyway.
-    limits = limits.withColumn("level", left / F.sum("weight").over(after))
-    open_level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(W.partitionBy())["level"]
+    limits = limits.withColumn("level", left / F.sum("weight").over(after)).withColumn("place", F.row_number().over(by_ratio))
+    open_level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(W.partitionBy())["level"]
     limits = limits.withColumn("open_level", open_level)
     return limits.select("source", "source_size", F.coalesce(F.least("limit", F.col("open_level") * F.col("weight")), F.col("limit")).alias("target"))
 
