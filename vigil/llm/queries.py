@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, secrets, simhash, substring
+from . import bpe, class_lm, exact_dedup, html, mixing, quality, secrets, simhash, substring, toxicity
 from .common import documents
 
 
@@ -19,6 +19,15 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.lm_scores(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.secret_spans(documents(spark, sf_dir))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -50,6 +59,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.main_text(documents(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 OP8_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
@@ -59,10 +73,13 @@ FROM n WINDOW w AS (PARTITION BY norm)
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_class_lm": op4_class_lm,
     "op5_secret_scan": op5_secret_scan,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
+    "op10_html_extract": op10_html_extract,
 }
 ORACLE_SQL = {"op8_exact_dedup": OP8_SQL}
