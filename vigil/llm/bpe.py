@@ -16,6 +16,7 @@ from itertools import chain
 
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,53 +32,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Ids of pre-tokens by merging the adjacent pair of least rank, again and again."""
+    """Ids of pre-tokens by their ranks. A pre-token that stands alone splits into itself, so the library's own merges
+    apply to it as a whole."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.find, self.known = read_ranks(path), regex.compile(pattern), {}
         self.bytes = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
-
-    def merged(self, piece: bytes) -> list[int]:
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        if len(piece) > 256:
-            return self._merged_long(piece)
-        parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
-        while len(parts) > 1:
-            rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
-
-    def _merged_long(self, piece: bytes) -> list[int]:
-        """The same with a heap and linked parts, for pieces in which a scan per merge would be slow."""
-        import heapq
-
-        n, ranks = len(piece), self.ranks
-        end, left, right = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, stop = heapq.heappop(heap)
-            j = right[i] if end[i] else -1
-            if j < 0 or end[j] != stop or not end[i]:
-                continue
-            end[i], right[i], end[j] = end[j], right[j], 0
-            if right[i] >= 0:
-                left[right[i]] = i
-                if (r := ranks.get(piece[i : end[right[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, end[right[i]]))
-            if left[i] >= 0 and (r := ranks.get(piece[left[i] : end[i]])) is not None:
-                heapq.heappush(heap, (r, left[i], end[i]))
-        return [ranks[piece[i : end[i]]] for i in range(n) if end[i]]
+        self.merged = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
 
     def encode(self, pieces: list[str]) -> list[int]:
         known = self.known
         if len(known) > REMEMBER:
             known.clear()
         for p in set(pieces).difference(known):
-            known[p] = self.merged(p.encode())
+            known[p] = self.merged(p)
         return list(chain.from_iterable(map(known.__getitem__, pieces)))
 
     def decode(self, ids: list[int]) -> bytes:
