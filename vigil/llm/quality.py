@@ -42,23 +42,30 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words covered by windows that occur twice or more in the row: sort (hash, start), keep equal neighbours, sort the
-    starts and add up what each window covers before the next one begins."""
+    """Words covered by windows that occur twice or more in the row. Where all window hashes are distinct there are none;
+    else sort (hash, start), keep equal neighbours, sort the starts and add up what each window covers before the next
+    one begins."""
 
-    def windows(hashes: Column) -> Column:
-        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.struct(F.xxhash64(F.slice(hashes, i + 1, WINDOW)).alias("h"), i.alias("i"))))
+    def doubled(step: int) -> Callable[[Column], Column]:
+        """Hashes of windows of `step` words to those of twice as many."""
+        return lambda h: F.zip_with(F.slice(h, 1, F.size(h) - step), F.slice(h, step + 1, F.size(h) - step), lambda x, y: F.xxhash64(x, y))
 
     def twice(found: Column) -> Column:
         at = lambda i: F.get(found, i)["h"]
-        return F.filter(found, lambda w, i: ((i > 0) & (at(i - 1) == w["h"])) | (at(i + 1) == w["h"]))
+        return F.transform(F.filter(found, lambda w, i: ((i > 0) & (at(i - 1) == w["h"])) | (at(i + 1) == w["h"])), lambda w: w["i"])
 
     def covered(starts: Column) -> Column:
         steps = F.transform(starts, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, i + 1) - p, F.lit(WINDOW))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-    found = _let(F.transform(words, lambda w: F.xxhash64(w)), windows)
-    starts = F.sort_array(F.transform(_let(found, twice), lambda w: w["i"]))
-    return F.when(F.size(words) >= WINDOW, _let(starts, covered)).otherwise(0)
+    def counted(found: Column) -> Column:
+        placed = F.sort_array(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(found)) == F.size(found), 0).otherwise(_let(F.sort_array(_let(placed, twice)), covered))
+
+    found = F.transform(words, lambda w: F.xxhash64(w))
+    for step in (1, 2, 4):
+        found = _let(found, doubled(step))
+    return F.when(F.size(words) >= WINDOW, _let(found, counted)).otherwise(0)
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -69,7 +76,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     n, n_lines = F.size("_w"), F.size("_l")
     chars, symbols = F.length(F.regexp_replace(text, WS, "")), F.regexp_count(text, F.lit(r"[#*$%&|<>]"))
-    stops = F.size(F.filter("_w", lambda w: F.lower(w).isin(STOP_WORDS)))
+    stops = F.size(F.filter("_w", lambda w: w.isin(sorted({v for x in STOP_WORDS for v in (x, x.capitalize(), x.upper())}))))
     dup = n_lines - F.size(F.array_distinct("_l"))
     counts = {
         "n_words": n,
