@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS
+from .common import WS, stored
 
 SLICE_SCHEMA = "quotient long, remainders binary, counts binary"
 
@@ -102,7 +102,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("struct<none:int>")
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), rest.alias("rest"), F.xxhash64(normalised(text)).alias("fp"))
-    repeats = repeated_fingerprints(docs.select(F.xxhash64(normalised(text)).alias("fp")), quotient_bits)
+    # Stored, so that its size is known: below its own threshold Spark broadcasts it and no text is shuffled here.
+    repeats = stored(repeated_fingerprints(docs.select(F.xxhash64(normalised(text)).alias("fp")), quotient_bits), "repeats")
     found = rows.join(repeats, "fp", "left").withColumn("norm", normalised(F.col("text")))
     alone = found.filter(F.col("copies").isNull()).withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     again = found.filter(F.col("copies").isNotNull())
