@@ -110,7 +110,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Rows that are equal in all columns become one row with a number, so that exactly one row of a group can stay.
     again = again.withColumn("tie", F.xxhash64("text", F.to_json("rest"))).groupBy("norm", "id", "tie").agg(F.first("text").alias("text"), F.first("rest").alias("rest"), F.count(F.lit(1)).alias("n"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
-    groups = again.groupBy("norm").agg(F.min(order).alias("first"), F.sum("n").alias("group_size"))
+    # Stored too: a join of two plain shuffles is one that Spark can split where a group of copies is very large.
+    groups = stored(again.groupBy("norm").agg(F.min(order).alias("first"), F.sum("n").alias("group_size")), "groups")
     again = again.join(groups, "norm").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     again = again.withColumns({"keep_id": F.col("first.id"), "kept": (F.col("copy") == 1) & order.eqNullSafe(F.col("first"))})
     columns = ["id", "text", "norm", "rest", "keep_id", "group_size", "kept"]
