@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from vigil.functions import text as T
 from vigil.functions.fingerprint import Fingerprinter
-from vigil.operators import audit, commits, extract, known, transcripts
+from vigil.operators import audit, commands, commits, extract, known, transcripts
 from vigil.plans import queries
+from vigil.sources import readers
 from vigil.streaming import state
 
 SF = "/root/testdata/sf0.001"
@@ -121,3 +122,31 @@ def test_word_like(spark):
     words = ["sunshine", "12345678901", "qzxkvbnmtrw", "Mixed", "operation"]
     got = spark.createDataFrame([(w,) for w in words], "s string").select(T.word_like(F.col("s"))).collect()
     assert [r[0] for r in got] == [True, True, False, False, True]
+
+
+DENIED = ["rm ~/.git?onfig", "cp x /root/.config/git/con[f]ig", "cp x sub/.git/c*", "tee /etc/vigil/allow", "dd if=a of=.git/config", "perl -pi -e 1 .git/config", "install new/gitconfig /etc/", "cp config .git", "git config --unset core.hooksPath", "git config --get --unset core.hooksPath", "GIT_CONFIG_KEY_0=core.hooksPath git push", "gh api -X PATCH repos/a/b -f private=false", "gh api user/repos -f name=x", "gh api -X PATCH repos/a/b --input f", "git push --no-ver$X"]
+ALLOWED = ["rm 'a*b'", "sed -n s/.git*/x/p f", "ls /etc/git*", "cp .git/config backup", "rm /etc/git*/x", "rm ~/*", "git config --file x --get core.hooksPath", "gh api user/repos -f private=true", "gh api -X GET repos/a/b/contents/x -f ref=1", "rm [z-a", "echo > [", "git log --since=$D"]
+
+
+def test_verdicts_of_writes(spark):
+    rows = [*((c, "deny") for c in DENIED), *((c, "allow") for c in ALLOWED), (None, "allow"), ("", "allow")]
+    table = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(rows)], "cmd_id int, command string")
+    got = {r.cmd_id: r.verdict for r in commands.command_verdict(table, spark.createDataFrame([("a/b",)], "repo string")).collect()}
+    assert [(c, got[i]) for i, (c, _) in enumerate(rows)] == rows
+
+
+def test_guarded_edits(spark):
+    lines = spark.createDataFrame([('{"tool_input": {"file_path": "/etc/vigil/allow"}}',), ('{"tool_input": {"file_path": "/etc/vigilant"}}',), ("no json",), ('{"tool_input": {"command": "ls"}}',)], "value string")
+    assert [r.file_path for r in commands.guarded_edits(readers.read_tool_calls(lines)).collect()] == ["/etc/vigil/allow"]
+
+
+def test_corpus_with_gz(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    whole = b"one\r\ntwo\xff\n"
+    for name in ("a.txt", "z", "gz", "agz", "a.z"):
+        (tmp_path / "in" / name).write_bytes(whole)
+    (tmp_path / "in" / "deep" / "b.txt.gz").write_bytes(gzip.compress(whole) + gzip.compress(b"more"))
+    got = {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in readers.read_corpus(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a.txt": whole, "z": whole, "gz": whole, "agz": whole, "a.z": whole, "b.txt.gz": whole + b"more"}

@@ -444,6 +444,25 @@ def command_segments(spark, sf_dir):
     return commands.command_segments(view(spark, sf_dir, "commands"))
 
 
+SHELL = f"cmd AS ({view_sql('shell_commands')})"
+
+
+@query(f"""WITH {SHELL}, w (command, target) AS (VALUES ('cp a b /etc/git*', '/etc/git*'), ('rm -rf build dist', 'build'), ('rm -rf build dist', 'dist'), ('sed -i s/a/b/ .git/conf*', 's/a/b/'), ('sed -i s/a/b/ .git/conf*', '.git/conf*'),
+('sed s/a/b/ in.txt > out.txt', 'out.txt'), ('dd if=/dev/zero of=disk.img', 'disk.img'), ('ls | tee -a log.txt copy.txt', 'log.txt'), ('ls | tee -a log.txt copy.txt', 'copy.txt'), ('echo x >> /etc/vigil/allow', '/etc/vigil/allow'),
+('sed -i "s/.git*//" notes', 's/.git*//'), ('sed -i "s/.git*//" notes', 'notes'), ('make 2>err.log', 'err.log'), ('mv new ~/.gitconfig', '~/.gitconfig'))
+SELECT cmd_id, CAST(CASE WHEN command LIKE 'ls |%' THEN 1 ELSE 0 END AS INT) AS seg, target FROM cmd JOIN w USING (command)""")
+def write_targets(spark, sf_dir):
+    return commands.write_targets(commands.command_segments(view(spark, sf_dir, "shell_commands")))
+
+
+@query(f"""WITH {SHELL}, r (command, reason) AS (VALUES ('cp a b /etc/git*', 'wildcard write'), ('sed -i s/a/b/ .git/conf*', 'wildcard write'), ('echo x >> /etc/vigil/allow', 'guarded write'),
+('gh api -X PUT repos/a/b/contents/x -f m=1', 'contents written'), ('mv new ~/.gitconfig', 'config file copy'), ('git log --since=x --$OPT', 'option built at run time'))
+SELECT cmd_id, CASE WHEN reason IS NULL THEN 'allow' ELSE 'deny' END AS verdict, coalesce(reason, '') AS reason FROM cmd LEFT JOIN r USING (command)""")
+def write_verdict(spark, sf_dir):
+    allow = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lit("acme/site").alias("repo"))
+    return commands.command_verdict(view(spark, sf_dir, "shell_commands"), allow)
+
+
 LOG = rf"""raw AS ({view_sql('access_log')}), log AS (SELECT CAST(CAST(replace(regexp_extract(value, '{transcripts.LOG_LINE}', 1), 'Z', '') AS TIMESTAMP) AS STRING) AS ts, regexp_extract(value, '{transcripts.LOG_LINE}', 2) AS verb,
 nullif(regexp_extract(value, '{transcripts.LOG_LINE}', 3), '-') AS name, CAST(regexp_extract(value, '{transcripts.LOG_LINE}', 4) AS BIGINT) AS pid, CAST(regexp_extract(value, '{transcripts.LOG_LINE}', 5) AS BIGINT) AS uid FROM raw WHERE regexp_matches(value, '{transcripts.LOG_LINE}'))"""
 

@@ -35,6 +35,11 @@ VIEWS = {
         WHEN 3 THEN 'git config --get core.hooksPath' WHEN 4 THEN 'echo hi > ~/.gitconfig' WHEN 5 THEN 'GIT_CONFIG_NOSYSTEM=1 git push' WHEN 6 THEN 'gh repo create x --public'
         WHEN 7 THEN 'gh release create v1 -R Acme/site' WHEN 8 THEN 'gh release create v1' WHEN 9 THEN 'gh release upload v1 f --repo acme/other' WHEN 10 THEN 'cargo publish --dry-run; npm publish'
         WHEN 11 THEN 'git -c core.hooksPath=/dev/null push' WHEN 12 THEN '"git"  push | tee log' WHEN 13 THEN 'rm -f /etc/gitconfig' WHEN 14 THEN 'python3 -m twine upload dist/x' ELSE concat('ls ', event_type) END AS command FROM {0}"""),
+    # Commands that write somewhere, with the words they write to listed in `shell_writes`.
+    "shell_commands": ("events", """SELECT event_id AS cmd_id, CASE user_id % 14 WHEN 0 THEN 'cp a b /etc/git*' WHEN 1 THEN 'rm -rf build dist' WHEN 2 THEN 'sed -i s/a/b/ .git/conf*'
+        WHEN 3 THEN 'sed s/a/b/ in.txt > out.txt' WHEN 4 THEN 'dd if=/dev/zero of=disk.img' WHEN 5 THEN 'ls | tee -a log.txt copy.txt' WHEN 6 THEN 'echo x >> /etc/vigil/allow'
+        WHEN 7 THEN 'sed -i "s/.git*//" notes' WHEN 8 THEN 'make 2>err.log' WHEN 9 THEN 'gh api -X PUT repos/a/b/contents/x -f m=1' WHEN 10 THEN 'gh api repos/a/b/contents/x'
+        WHEN 11 THEN 'mv new ~/.gitconfig' WHEN 12 THEN 'git log --since=x --$OPT' ELSE concat('grep -r x* ', event_type) END AS command FROM {0}"""),
 }
 
 

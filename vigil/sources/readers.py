@@ -33,9 +33,13 @@ def source_rules(spark: SparkSession, path: str, default_days: int = 180) -> tup
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modified, content binary) of all files below `path`; .gz files are read decompressed as text rows joined."""
-    plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return plain.select("path", F.col("modificationTime").alias("modified"), "content")
+    """(path, modified, content binary) of all files below `path`. Files named .gz are decompressed by Spark's text
+    source; a file that can't be read or decompressed is an error."""
+    # Glob alternatives that together mean: any name that doesn't end in .gz.
+    other = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{*[!z],*[!g]z,*[!.]gz,z,gz}").load(path)
+    packed = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").text(path, wholetext=True)
+    packed = packed.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").cast("binary").alias("content"))
+    return other.select("path", F.col("modificationTime").alias("modified"), "content").unionByName(packed)
 
 
 def config_lines(files: DataFrame) -> DataFrame:
