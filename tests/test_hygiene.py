@@ -46,12 +46,12 @@ def test_fingerprints_are_keyed(spark):
         Fingerprinter(spark, b"short")
 
 
-ENV = ["# TOKEN=abcdefghij", "APP_USER=somebodyelse", 'DB_PASSWORD="quoted value"', "export API_TOKEN=exported-1", "PORT_KEY=123", "S_KEY=${OTHER}", "EMAIL: a@b.c", "PASSWORD: colon-value", "TIGHT_TOKEN:abcdefghijk", "text PASSWORD=abcdefghi", "= abcdefghij", "URL=https://u:p@ss/word@h/x", "API_TOKEN=last-value", "export =abcdefghi", "MY_URL=https://user:secret9@host/"]
+ENV = ["# TOKEN=abcdefghij", "APP_USER=somebodyelse", 'DB_PASSWORD="quoted value"', "export API_TOKEN=exported-1", "PORT_KEY=123", "S_KEY=${OTHER}", "EMAIL: a@b.c", "PASSWORD: colon-value", "TIGHT_TOKEN:abcdefghijk", "text PASSWORD=abcdefghi", "= abcdefghij", "URL=https://u:p@ss/word@h/x", "API_TOKEN=last-value", "export =abcdefghi", "AT_URL=https://u:longpass@x@h/y", "MY_URL=https://user:secret9!@host/"]
 
 
 def test_env_lines(spark):
     got = {r.location: r.secret for r in extract.extract_env(spark.createDataFrame([("f", i, t) for i, t in enumerate(ENV)], "path string, line int, text string")).collect()}
-    assert got == {"env:f#URL": "p", "env:f#DB_PASSWORD": "quoted value", "env:f#API_TOKEN": "last-value", "env:f#PASSWORD": "colon-value", "env:f#MY_URL": "secret9"}
+    assert got == {"env:f#DB_PASSWORD": "quoted value", "env:f#API_TOKEN": "last-value", "env:f#PASSWORD": "colon-value", "env:f#AT_URL": "longpass@x", "env:f#MY_URL": "secret9!"}
 
 
 def test_wg_sections(spark):
@@ -150,3 +150,39 @@ def test_corpus_with_gz(spark, tmp_path):
     (tmp_path / "in" / "deep" / "b.txt.gz").write_bytes(gzip.compress(whole) + gzip.compress(b"more"))
     got = {r.path.rsplit("/", 1)[1]: bytes(r.content) for r in readers.read_corpus(spark, str(tmp_path / "in")).collect()}
     assert got == {"a.txt": whole, "z": whole, "gz": whole, "agz": whole, "a.z": whole, "b.txt.gz": whole + b"more"}
+
+
+def test_rows_redacted_in_one_pass(spark):
+    needles = known.dictionary(spark.createDataFrame([("abcd1234efgh", "cred-1"), ("efgh5678ijkl", "cred-2")], "secret string, label string"))
+    rows = spark.createDataFrame([(0, "x abcd1234efgh5678ijkl y"), (1, "abcd1234efghabcd1234efgh"), (2, None), (3, ""), (4, "plain")], "path int, content string")
+    got = {r.path: (r.content if r.content is None else bytes(r.content).decode(), r.n_redacted) for r in known.redact_rows(rows, needles).collect()}
+    assert got == {0: ("x [REDACTED:cred-1] y", 1), 1: ("[REDACTED:cred-1][REDACTED:cred-1]", 2), 2: (None, 0), 3: ("", 0), 4: ("plain", 0)}
+    assert known.leaks(rows, needles).count() == 3 and known.leaks(known.redact_rows(rows, needles), needles).count() == 0
+
+
+def test_search_waits_for_its_sources(spark):
+    rules = spark.createDataFrame([(1, "env", "/a/*.env"), (2, "env", "/b/x.env")], "ord int, kind string, pattern string")
+    files = spark.createDataFrame([("/a/one.env",)], "path string")
+    with pytest.raises(ValueError, match="1 of 2"):
+        audit.require_covered(rules, audit.match_sources(rules, files))
+    audit.require_covered(rules.filter("ord = 1"), audit.match_sources(rules, files))
+
+
+def test_age_leaves_a_finding_the_same(spark):
+    rows = [("a", 200, True), ("a", 201, True), ("a", 201, False)]
+    stale = audit.findings(stale=spark.createDataFrame(rows, "subject string, days int, exact boolean"))
+    got = {(r.days, r.exact): r.identity for r in audit.finding_identity(stale).collect()}
+    assert got[200, True] == got[201, True] != got[201, False]
+    assert {r.line for r in audit.report_lines(stale, 180).collect()} == {"a is 200 days old (limit 180)", "a is 201 days old (limit 180)"}
+
+
+def test_tags_and_head_licence(spark):
+    tags = spark.createDataFrame([(1, "a1", None, "tag", "h\n\nm\n\nn"), (1, "a2", "a2", "tag", "h\n\nm"), (1, "0000", "a3", "tag", "h\n\nm"), (1, "a4", "b", "commit", "h\n\nm"), (1, "a5", "b", "tag", "no blank")], "push_id int, sha string, remote_sha string, kind string, body string")
+    assert {(r.sha, r.message) for r in commits.outgoing_tags(tags).collect()} == {("a1", "m\n\nn"), ("a5", "")}
+    files = spark.createDataFrame([("r", "LICENSE", "permissive"), ("r", "b/COPYING", "x\n  11. Patents."), ("r", "c/LICENCE", "Grant of Patent License"), ("s", "README", "Grant of Patent License"), ("t", "LICENSE", None)], "repo string, path string, text string")
+    assert [tuple(r) for r in commits.head_licence_grant(files).collect()] == [("r", "b/COPYING", "GPL/AGPL-3.0 section 11")]
+
+
+def test_dates(spark):
+    got = spark.createDataFrame([(0,), (951782400,), (1790208000,), (-1,)], "t long").select(T.utc_date(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["1970-01-01", "2000-02-29", "2026-09-24", "1969-12-31"]

@@ -90,6 +90,27 @@ def patent_grant(text: Column) -> Column:
     return out
 
 
+def patent_grant_rank(line: Column) -> Column:
+    """The precedence of the grant that one line carries; null if none. The patterns hold within a line, so the least
+    rank over the lines of a file is that of the file."""
+    out = F
+    for rank, (pattern, _) in enumerate(PATENT_GRANTS):
+        out = out.when(F.regexp_like(line, F.lit(f"(?im){pattern}")), rank)
+    return out
+
+
+def patent_grant_name(rank: Column) -> Column:
+    out = F
+    for i, (_, name) in enumerate(PATENT_GRANTS):
+        out = out.when(rank == i, name)
+    return out
+
+
+def utc_date(seconds: Column) -> Column:
+    """YYYY-MM-DD of unix seconds, whatever the time zone of the session."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int")).cast("string")
+
+
 def location_kind(location: Column) -> Column:
     return F.substring_index(location, ":", 1)
 

@@ -99,3 +99,63 @@ def stale_accounts(shadow: DataFrame, today: int, limit: int) -> DataFrame:
     rows = shadow.select(part[0].alias("user"), part[1].alias("hash"), F.expr("try_cast(split(value, ':', 4)[2] as bigint)").alias("changed"))
     days = F.lit(today) - F.col("changed")
     return rows.filter(F.col("hash").startswith("$") & (F.col("changed") > 0) & (days >= limit)).select("user", days.cast("long").alias("days"))
+
+
+def shared_labels(found: DataFrame) -> DataFrame:
+    """found (fp, label) -> labels that stand for several fingerprints. Labels have 24 bits: join on fp, show labels."""
+    return found.select("fp", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n_fps")).filter("n_fps > 1")
+
+
+def search_gate(rules: DataFrame, matched: DataFrame) -> DataFrame:
+    """One row (n_rules, n_uncovered, allowed): a search must not run while a rule matches no file, because its
+    credentials would be missing from the dictionary."""
+    seen = rules.select("ord").join(matched.select("ord").distinct().withColumn("seen", F.lit(1)), "ord", "left")
+    return seen.agg(F.count(F.lit(1)).alias("n_rules"), F.count_if(F.col("seen").isNull()).alias("n_uncovered")).withColumn("allowed", F.col("n_uncovered") == 0)
+
+
+def require_covered(rules: DataFrame, matched: DataFrame) -> None:
+    gate = search_gate(rules, matched).first()
+    if not gate.allowed:
+        raise ValueError(f"{gate.n_uncovered} of {gate.n_rules} sources match no file")
+
+
+#: The kinds of findings in the order of the report.
+FINDINGS = ("uncovered", "ambiguous", "missing", "drift", "reused", "stale", "account")
+
+
+def findings(**parts: DataFrame) -> DataFrame:
+    """Findings by kind, each (subject) and, where it has them, n, days and exact -> one table (rank, type, subject, n, days,
+    exact). Subjects are places or labels, never fingerprints."""
+    out = None
+    for rank, kind in enumerate(FINDINGS):
+        if kind not in parts:
+            continue
+        has = parts[kind].columns
+        pick = lambda name, t: (F.col(name) if name in has else F.lit(None)).cast(t).alias(name)  # noqa: B023, E731
+        rows = parts[kind].select(F.lit(rank).alias("rank"), F.lit(kind).alias("type"), F.col("subject").cast("string").alias("subject"), pick("n", "long"), pick("days", "long"), pick("exact", "boolean"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def finding_identity(rows: DataFrame) -> DataFrame:
+    """Adds `identity`: all of a finding but its age, so that a finding which only grows older is the same one."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    return rows.withColumn("identity", F.sha2(F.concat_ws("\t", "type", "subject", part("n"), part("exact")), 256))
+
+
+def report_lines(rows: DataFrame, limit: int) -> DataFrame:
+    """Adds `line`, one line of text per finding."""
+    s, n, days = F.col("subject"), F.col("n"), F.col("days")
+    text = {
+        "uncovered": F.format_string("no file matches %s", s),
+        "ambiguous": F.format_string("several secrets under the name %s", s),
+        "missing": F.format_string("no credential at the declared place %s", s),
+        "drift": F.format_string("copies of group %s differ: %d secrets", s, n),
+        "reused": F.format_string("%s is in %d places", s, n),
+        "stale": F.format_string("%s is %d days old (limit %d)", s, days, F.lit(limit)),
+        "account": F.format_string("account %s: password of %d days (limit %d)", s, days, F.lit(limit)),
+    }
+    line = F
+    for kind in FINDINGS:
+        line = line.when(F.col("type") == kind, text[kind])
+    return rows.withColumn("line", line)

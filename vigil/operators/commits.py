@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..sources.readers import scratch
+from . import known
 
 
 def classify_destination(pushes: DataFrame, visibility: DataFrame) -> DataFrame:
@@ -31,12 +30,9 @@ def outgoing_commits(edges: DataFrame, tips: DataFrame, keep_every: int = 5) ->
     """edges (sha, parent), tips (push_id, sha, remote_sha) -> (push_id, sha) reachable from the tip but not from the
     remote tip. The frontier grows by one parent edge per step and lineage is cut in the shared folder."""
     spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
     def cut(df: DataFrame) -> DataFrame:
-        if not folder:
-            return df.checkpoint()
-        path = os.path.join(folder, f"reach-{uuid.uuid4().hex}")
+        path = scratch(spark, "reach")
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
@@ -80,10 +76,31 @@ def credential_files_added(changes: DataFrame) -> DataFrame:
 
 
 def licence_changes(changes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Added, changed or renamed licence files whose added text carries a patent grant: (path, grant)."""
+    """Added, changed or renamed licence files whose added lines carry a patent grant: (path, grant). A grant is a matter
+    of single lines, so no file's text is put together again."""
     files = changes.filter(F.col("status").isin("A", "M", "R") & F.col("path").rlike(T.LICENCE_FILE)).select("commit", F.col("path").alias("file")).distinct()
-    text = lines.join(files, ["commit", "file"]).groupBy("file").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("commit", "line", "text"))), lambda x: x["text"])).alias("text"))
-    return text.select(F.col("file").alias("path"), T.patent_grant(F.col("text")).alias("grant")).filter("grant is not null")
+    ranked = lines.select("commit", "file", T.patent_grant_rank(F.col("text")).alias("rank")).filter("rank is not null")
+    best = ranked.join(files, ["commit", "file"], "left_semi").groupBy("file").agg(F.min("rank").alias("rank"))
+    return best.select(F.col("file").alias("path"), T.patent_grant_name(F.col("rank")).alias("grant"))
+
+
+def head_licence_grant(files: DataFrame) -> DataFrame:
+    """files (repo, path, text) at the head -> per repository the first licence file, by path, that carries a grant."""
+    rows = files.filter(F.col("path").rlike(T.LICENCE_FILE)).select("repo", F.struct("path", T.patent_grant_rank(F.col("text")).alias("rank")).alias("at")).filter("at.rank is not null")
+    return rows.groupBy("repo").agg(F.min("at").alias("at")).select("repo", "at.path", T.patent_grant_name(F.col("at.rank")).alias("grant"))
+
+
+def outgoing_tags(tags: DataFrame) -> DataFrame:
+    """tags (push_id, sha, remote_sha, kind, body) -> annotated tags that the push changes: (push_id, sha, message). The
+    message is what follows the first blank line; deletions have a sha of zeros."""
+    changed = (F.col("kind") == "tag") & ~F.col("sha").eqNullSafe(F.col("remote_sha")) & ~F.col("sha").rlike("^0+$")
+    return tags.filter(changed).select("push_id", "sha", F.regexp_extract("body", r"(?s)^.*?\n\n(.*)$", 1).alias("message"))
+
+
+def known_in_commits(patches: DataFrame, needles: DataFrame) -> DataFrame:
+    """patches (commit, patch), messages included -> (commit, label) of the known credentials in them."""
+    hits = known.find_known(patches.select(F.col("commit").alias("path"), F.col("patch").alias("content")), needles)
+    return hits.select(F.col("path").alias("commit"), "label").distinct()
 
 
 def rule_hits(lines: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

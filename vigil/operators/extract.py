@@ -10,11 +10,12 @@ from ..functions import text as T
 
 
 def extract_env(lines: DataFrame) -> DataFrame:
-    """KEY=value files. A password in a URL wins over the rule for names; of a key given twice, the last value counts."""
+    """KEY=value files. A password in a URL wins over the rule for names, and either must be a real value; of a key given
+    twice, the last such value counts."""
     rows = lines.filter(~F.regexp_like("text", F.lit(r"^\s*#"))).select("path", "line", T.env_key(F.col("text")).alias("key"), T.env_value(F.col("text")).alias("value"))
     in_url = T.url_password(F.col("value"))
-    secret = F.when(in_url != "", in_url).when(T.is_secret_key(F.col("key")) & T.is_real_value(F.col("value")), F.col("value"))
-    found = rows.filter("key <> ''").withColumn("secret", secret).filter("secret is not null")
+    secret = F.when(in_url != "", in_url).when(T.is_secret_key(F.col("key")), F.col("value"))
+    found = rows.filter("key <> ''").withColumn("secret", secret).filter(T.is_real_value(F.col("secret")))
     last = found.groupBy("path", "key").agg(F.max_by("secret", "line").alias("secret"))
     return last.select(F.concat(F.lit("env:"), "path", F.lit("#"), "key").alias("location"), "secret")
 

@@ -55,6 +55,38 @@ class Matcher:
                     break
 
 
+def leaks(outputs: DataFrame, needles: DataFrame) -> DataFrame:
+    """outputs (path, content) -> (path, label) of each known credential that an output gives away; none should."""
+    return find_known(outputs, needles).select("path", "label").distinct()
+
+
+def redact_rows(rows: DataFrame, needles: DataFrame) -> DataFrame:
+    """rows (path, content) -> (path, content binary, n_redacted) of every row, with known credentials replaced. One pass
+    without a shuffle and without state, so `rows` may be a stream. The dictionary has to fit one broadcast."""
+    spark, kind = rows.sparkSession, rows.schema["path"].dataType.simpleString()
+    shared = [(bytes(r.needle), r.label) for r in needles.limit(PART + 1).collect()]
+    if len(shared) > PART:
+        raise ValueError(f"more than {PART} needles: use find_known, merge_hits and redact")
+    shared = spark.sparkContext.broadcast(shared)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value)
+        for batch in batches:
+            out, counts = [], []
+            for data in batch.column(1).to_pylist():
+                parts, stop, n = [], 0, 0
+                for start, length, label in matcher.find(data) if data else ():
+                    if start >= stop:  # hits that overlap are one span
+                        parts += [data[stop:start], f"[REDACTED:{label}]".encode()]
+                        n += 1
+                    stop = max(stop, start + length)
+                out.append(None if data is None else b"".join([*parts, data[stop:]]))
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(counts, pa.int64())], ["path", "content", "n_redacted"])
+
+    return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(cut, f"path {kind}, content binary, n_redacted long")
+
+
 def find_known(files: DataFrame, needles: DataFrame, part: int = PART) -> DataFrame:
     """files (path, content) -> hits (path, start, len, label); offsets are bytes. A null content has none."""
     kind = files.schema["path"].dataType.simpleString()

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.fingerprint import Fingerprinter
 from ..operators import audit, commands, commits, extract, known, transcripts
-from .views import TEST_PEPPER, view, view_sql
+from ..sources import readers
+from ..streaming import state as streams
+from .views import TEST_PEPPER, VIEWS, view, view_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -175,8 +177,8 @@ ENV = rf"""lines AS ({view_sql('env_lines')}), body AS (SELECT path, line, regex
 kv AS (SELECT path, line, regexp_extract(b, '{T.ENV_PAIR}', 1) AS key, regexp_replace(regexp_extract(b, '{T.ENV_PAIR}', 2), '^\s+|\s+$', '', 'g') AS v FROM body),
 kv2 AS (SELECT path, line, key, CASE WHEN length(v) >= 2 AND substr(v, 1, 1) IN ('"', '''') AND right(v, 1) = substr(v, 1, 1) THEN substr(v, 2, length(v) - 2) ELSE v END AS v FROM kv WHERE key <> ''),
 s AS (SELECT path, line, key, CASE WHEN regexp_matches(v, '^[A-Za-z0-9+.-]+://[^/:]*:[^/]+@') THEN regexp_extract(v, '^[A-Za-z0-9+.-]+://[^/:]*:([^/]+)@', 1)
-WHEN NOT regexp_matches(upper(key), '({'|'.join(T.NOT_SECRET_ENDINGS)})$') AND regexp_matches(upper(key), '{'|'.join(T.SECRET_PARTS)}') AND strlen(trim(v)) >= 8 AND NOT starts_with(trim(v), '$') AND trim(v) <> 'changeme' THEN v END AS secret FROM kv2),
-env AS (SELECT 'env:' || path || '#' || key AS location, arg_max(secret, line) AS secret FROM s WHERE secret IS NOT NULL GROUP BY path, key)"""
+WHEN NOT regexp_matches(upper(key), '({'|'.join(T.NOT_SECRET_ENDINGS)})$') AND regexp_matches(upper(key), '{'|'.join(T.SECRET_PARTS)}') THEN v END AS secret FROM kv2),
+env AS (SELECT 'env:' || path || '#' || key AS location, arg_max(secret, line) AS secret FROM s WHERE strlen(trim(secret)) >= 8 AND NOT starts_with(trim(secret), '$') AND trim(secret) <> 'changeme' GROUP BY path, key)"""
 
 
 @query(f"WITH {ENV} SELECT location, {fp_sql('secret')} AS fp FROM env")
@@ -336,11 +338,11 @@ GRANT = "CASE WHEN regexp_matches(t, '(?im)Grant of Patent License') THEN 'Apach
 
 @query(f"WITH {CHANGES}, f AS (SELECT c.path || '/' || (hash_ % 97) AS path, c.\"commit\", c.line, c.text FROM (SELECT *, CAST(line AS BIGINT) * 31 + strlen(text) AS hash_ FROM changes) c WHERE status IN ('A', 'M') AND regexp_matches(path, '{T.LICENCE_FILE}')), g AS (SELECT path, string_agg(text, chr(10)) AS t FROM f GROUP BY path) SELECT path, {GRANT} AS \"grant\" FROM g WHERE {GRANT} IS NOT NULL")
 def licence_changes(spark, sf_dir):
-    rows = view(spark, sf_dir, "changes").filter(F.col("path").rlike(T.LICENCE_FILE))
-    rows = rows.withColumn("path", F.concat("path", F.lit("/"), ((F.col("line") * 31 + F.length("text")) % 97).cast("string")))
-    files = rows.filter(F.col("status").isin("A", "M"))
-    text = files.groupBy("path").agg(F.concat_ws("\n", F.collect_list("text")).alias("t"))
-    return text.select("path", T.patent_grant(F.col("t")).alias("grant")).filter("grant is not null")
+    rows = view(spark, sf_dir, "changes").filter(F.col("path").rlike(T.LICENCE_FILE) & F.col("status").isin("A", "M"))
+    # The operator sees the bucket as a folder; the query shows it last.
+    rows = rows.withColumn("path", F.concat(((F.col("line") * 31 + F.length("text")) % 97).cast("string"), F.lit("/"), F.col("path")))
+    found = commits.licence_changes(rows, rows.select("commit", F.col("path").alias("file"), "line", "text"))
+    return found.withColumn("path", F.regexp_replace("path", "^([0-9]+)/(.*)$", "$2/$1"))
 
 
 SHAPES = (("phone", r"\+1 \([0-9]{3}\) 555-[0-9]{4}"), ("email", r"[a-z0-9.]+@mail[0-9]*\.example"), ("ip", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"), ("token", TOKEN), ("number", r"\b[0-9]{16}\b"))
@@ -530,3 +532,142 @@ def pasted_secrets(spark, sf_dir):
 @query(f"WITH {PASTED}, u AS (SELECT conv_id, label, min(turn) AS pasted_turn FROM q WHERE role = 'user' GROUP BY 1, 2) SELECT a.conv_id, a.label, pasted_turn, a.turn AS echoed_turn FROM q a JOIN u USING (conv_id, label) WHERE a.role = 'assistant' AND a.turn > pasted_turn")
 def echoed_secrets(spark, sf_dir):
     return transcripts.echoed_secrets(_pasted(spark, sf_dir))
+
+
+WG = rf"""wl AS ({view_sql('wg_lines')}), wt AS (SELECT path, line, trim(text) AS t FROM wl WHERE NOT regexp_matches(text, '^\s*[;#]')),
+ws AS (SELECT *, sum(CASE WHEN starts_with(t, '[') THEN 1 ELSE 0 END) OVER w AS sec, sum(CASE WHEN t = '[Peer]' THEN 1 ELSE 0 END) OVER w AS no, regexp_extract(t, '^([A-Za-z]+) *=', 1) AS k, regexp_extract(t, '^[A-Za-z]+ *= *(.*)$', 1) AS v FROM wt WINDOW w AS (PARTITION BY path ORDER BY line ROWS UNBOUNDED PRECEDING)),
+wp AS (SELECT path, sec, bool_or(t = '[Peer]') AS is_peer, max(no) AS no, arg_max(split_part(v, ',', 1), line) FILTER (k = 'AllowedIPs') AS allowed FROM ws GROUP BY path, sec)"""
+
+
+@query(f"WITH {WG} SELECT 'wg:' || path || '#' || CASE WHEN is_peer THEN 'Peer(' || coalesce(allowed, '#' || CAST(wp.no AS BIGINT)) || ').' ELSE '' END || k AS location, {fp_sql('v')} AS fp FROM ws JOIN wp USING (path, sec) WHERE k IN ('PrivateKey', 'PresharedKey')")
+def extract_wg(spark, sf_dir):
+    return extract.extract_wg(view(spark, sf_dir, "wg_lines")).select("location", _fp(spark).fp(F.col("secret")).alias("fp"))
+
+
+@query(rf"WITH l AS ({view_sql('token_files')}), t AS (SELECT path, regexp_replace(content, '^\s+|\s+$', '', 'g') AS s FROM l) SELECT 'file:' || path AS location, {fp_sql('s')} AS fp FROM t WHERE s <> ''")
+def extract_file(spark, sf_dir):
+    return extract.extract_file(view(spark, sf_dir, "token_files")).select("location", _fp(spark).fp(F.col("secret")).alias("fp"))
+
+
+@query(f"WITH {OBS}, u AS (SELECT DISTINCT fp, {label_sql('fp')} AS label FROM obs) SELECT label, count(*) AS n_fps FROM u GROUP BY label HAVING count(*) > 1")
+def shared_labels(spark, sf_dir):
+    return audit.shared_labels(_observed(spark, sf_dir).select("fp").distinct().withColumn("label", _fp(spark).label(F.col("fp"))))
+
+
+@query(f"WITH {MATCHED} SELECT count(*) AS n_rules, count_if(ord NOT IN (SELECT ord FROM matched))::BIGINT AS n_uncovered, count_if(ord NOT IN (SELECT ord FROM matched)) = 0 AS allowed FROM rules")
+def search_gate(spark, sf_dir):
+    rules, files = _rules(spark, sf_dir)
+    return audit.search_gate(rules, audit.match_sources(rules, files))
+
+
+LIMIT = 360
+REPORT = f"""{AGED}, {SAME.removeprefix(OBS + ', ')}, {REUSED}, {MATCHED}, sh AS ({view_sql('shadow')}), acc AS (SELECT p[1] AS u, 20000 - try_cast(p[3] AS BIGINT) AS days FROM (SELECT string_split(value, ':') AS p FROM sh) WHERE starts_with(p[2], '$') AND try_cast(p[3] AS BIGINT) > 0),
+f AS (SELECT 0 AS rank, 'uncovered' AS type, kind || ' ' || pattern AS subject, NULL::BIGINT AS n, NULL::BIGINT AS days, NULL::BOOLEAN AS exact FROM rules WHERE ord NOT IN (SELECT ord FROM matched)
+UNION ALL SELECT 1, 'ambiguous', location, NULL, NULL, NULL FROM obs GROUP BY location HAVING count(DISTINCT fp) > 1
+UNION ALL SELECT 2, 'missing', location, NULL, NULL, NULL FROM same WHERE location NOT IN (SELECT location FROM now)
+UNION ALL SELECT 3, 'drift', CAST(group_id AS VARCHAR), count(DISTINCT fp), NULL, NULL FROM latest JOIN same USING (location) GROUP BY group_id HAVING count(DISTINCT fp) > 1
+UNION ALL SELECT 4, 'reused', {label_sql('fp')}, n_locations, NULL, NULL FROM reused
+UNION ALL SELECT 5, 'stale', location, NULL, days, exact FROM aged WHERE days >= {LIMIT}
+UNION ALL SELECT 6, 'account', u, NULL, days, NULL FROM acc WHERE days >= {LIMIT})"""
+LINE = f"""CASE type WHEN 'uncovered' THEN 'no file matches ' || subject WHEN 'ambiguous' THEN 'several secrets under the name ' || subject WHEN 'missing' THEN 'no credential at the declared place ' || subject
+WHEN 'drift' THEN 'copies of group ' || subject || ' differ: ' || n || ' secrets' WHEN 'reused' THEN subject || ' is in ' || n || ' places' WHEN 'stale' THEN subject || ' is ' || days || ' days old (limit {LIMIT})'
+ELSE 'account ' || subject || ': password of ' || days || ' days (limit {LIMIT})' END"""
+
+
+def _report(spark, sf_dir):
+    obs, (now, same), (rules, files) = _observed(spark, sf_dir), _same(spark, sf_dir), _rules(spark, sf_dir)
+    prior, seen = _split(spark, sf_dir)
+    aged = audit.credential_age(audit.observe(prior, seen, F.lit(CUT).cast("long")).withColumn("mtime", F.col("since") - 8640000), F.lit(1735689600))
+    return audit.findings(
+        uncovered=audit.uncovered(rules, audit.match_sources(rules, files)).select(F.concat_ws(" ", "kind", "pattern").alias("subject")),
+        ambiguous=audit.one_name_one_secret(obs).filter("ambiguous").select(F.col("location").alias("subject")),
+        missing=audit.missing(seen, same).select(F.col("location").alias("subject")),
+        drift=audit.drifted(now, same).select(F.col("group_id").alias("subject"), F.col("n_fps").alias("n")),
+        reused=audit.reused(now).select(_fp(spark).label(F.col("fp")).alias("subject"), F.col("n_locations").alias("n")),
+        stale=aged.filter(F.col("days") >= LIMIT).select(F.col("location").alias("subject"), "days", "exact"),
+        account=audit.stale_accounts(view(spark, sf_dir, "shadow"), 20000, LIMIT).select(F.col("user").alias("subject"), "days"),
+    )
+
+
+@query(f"WITH {REPORT} SELECT rank, type, subject, n, days, exact, sha256(concat_ws(chr(9), type, subject, coalesce(CAST(n AS VARCHAR), '-'), coalesce(CAST(exact AS VARCHAR), '-'))) AS identity, {LINE} AS line FROM f")
+def audit_report(spark, sf_dir):
+    """All kinds of findings in one table, with their identities and lines of text."""
+    return audit.report_lines(audit.finding_identity(_report(spark, sf_dir)), LIMIT)
+
+
+@query(f"WITH h AS ({_count_sql('documents', 'doc_id', 'text')}) SELECT DISTINCT 'raw:' || path AS path, label FROM h")
+def leaks(spark, sf_dir):
+    """Raw texts and their redacted copies searched alike: only raw ones may show up."""
+    needles = known.dictionary(_tokens(spark, sf_dir))
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
+    name = lambda df, kind: df.select(F.concat(F.lit(f"{kind}:"), F.col("path").cast("string")).alias("path"), "content")
+    return known.leaks(name(files, "raw").unionByName(name(known.redact_rows(files, needles), "redacted")), needles)
+
+
+@query(rf"WITH t AS ({view_sql('tags')}) SELECT push_id, sha, substr(body, instr(body, chr(10) || chr(10)) + 2) AS message FROM t WHERE kind = 'tag' AND (remote_sha IS NULL OR remote_sha <> sha)")
+def outgoing_tags(spark, sf_dir):
+    return commits.outgoing_tags(view(spark, sf_dir, "tags"))
+
+
+@query(rf"""WITH p AS (SELECT doc_id, i, string_split(text, chr(10))[i + 1] AS text FROM documents, LATERAL (SELECT unnest(range(len(string_split(text, chr(10))))) AS i))
+SELECT doc_id AS "commit", '(commit message)' AS file, CAST(0 AS INT) AS line, 'subject of ' || doc_id AS text FROM documents
+UNION ALL SELECT doc_id, 'f' || doc_id % 7, CAST(i + 5 AS INT), regexp_replace(text, '\r$', '') FROM p WHERE i = 0 OR doc_id % 2 = 0""")
+def added_lines(spark, sf_dir):
+    return commits.added_lines(view(spark, sf_dir, "patches"))
+
+
+@query(f"WITH h AS ({_count_sql('documents', 'doc_id', 'text')}) SELECT path AS \"commit\", label FROM h")
+def known_in_commits(spark, sf_dir):
+    return commits.known_in_commits(view(spark, sf_dir, "patches"), known.dictionary(_tokens(spark, sf_dir)))
+
+
+@query(f"WITH {CHANGES}, t AS (SELECT substr(\"commit\", 1, 3) AS repo, path, text AS t FROM changes WHERE regexp_matches(path, '{T.LICENCE_FILE}')), g AS (SELECT repo, path, {GRANT} AS \"grant\" FROM t) SELECT repo, min(path) AS path, arg_min(\"grant\", row(path, list_position([{', '.join(repr(n) for _, n in T.PATENT_GRANTS)}], \"grant\"))) AS \"grant\" FROM g WHERE \"grant\" IS NOT NULL GROUP BY repo")
+def head_licence_grant(spark, sf_dir):
+    files = view(spark, sf_dir, "changes").select(F.substring("commit", 1, 3).alias("repo"), "path", "text")
+    return commits.head_licence_grant(files)
+
+
+@query(f"WITH l AS ({view_sql('message_log')}), s AS (SELECT *, last_value(CASE WHEN regexp_matches(text, '^(commit|tag) ') THEN split_part(text, ' ', 2) END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line ROWS UNBOUNDED PRECEDING) AS sha FROM l) SELECT doc, line, sha FROM s WHERE hit")
+def attribute_message_hit(spark, sf_dir):
+    return commits.attribute_hits(view(spark, sf_dir, "message_log"))
+
+
+@query("SELECT CASE user_id % 4 WHEN 1 THEN '/etc/vigil/' || event_type ELSE '/etc/vigil' END AS file_path, count(*) AS n FROM events WHERE user_id % 4 IN (1, 3) GROUP BY 1")
+def config_write_guard(spark, sf_dir):
+    calls = readers.read_tool_calls(view(spark, sf_dir, "tool_calls"))
+    return commands.guarded_edits(calls).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {HANDLES} SELECT conv_id, turn, name FROM h")
+def secret_handles(spark, sf_dir):
+    return transcripts.secret_handles(view(spark, sf_dir, "handle_turns"))
+
+
+@query("WITH d AS (SELECT DISTINCT CAST(floor(epoch(ts)) AS BIGINT) AS seconds FROM events) SELECT seconds, strftime(make_timestamp(seconds * 1000000), '%Y-%m-%d') AS day FROM d")
+def utc_date(spark, sf_dir):
+    at = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_timestamp("ts").alias("seconds")).distinct()
+    return at.withColumn("day", T.utc_date(F.col("seconds")))
+
+
+def _stream(spark, sf_dir, table):
+    """The given table as a stream of its files."""
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+
+
+@query(f"""WITH {OBS}, l AS (SELECT location, fp, ats, lag(fp) OVER (PARTITION BY location ORDER BY ats, fp) AS before FROM obs),
+m AS (SELECT location, max(ats) AS since, count(before) > 0 AS exact FROM l WHERE before IS NULL OR before <> fp GROUP BY location) SELECT location, arg_max(obs.fp, row(ats, obs.fp)) AS fp, any_value(since) AS since, any_value(exact) AS exact FROM obs JOIN m USING (location) GROUP BY location""")
+def observe_stream(spark, sf_dir):
+    """Rotation state kept by a stream of scans: the state after all that is there."""
+    events = _stream(spark, sf_dir, "events")
+    events.createOrReplaceTempView("vigil_events_stream")
+    scans = spark.sql(VIEWS["obs"][1].format("vigil_events_stream")).select("location", _fp(spark).fp(F.col("secret")).alias("fp"), F.unix_timestamp("ts").alias("at"))
+    return streams.latest_per_location(streams.run_available(streams.observe_stream(scans), readers.scratch(spark, "observe"), "update"))
+
+
+@query(f"WITH h AS ({_count_sql('documents', 'doc_id', 'text')}), n AS (SELECT path, sum(n) AS n FROM h GROUP BY path) SELECT doc_id AS path, CAST(coalesce(n, 0) AS BIGINT) AS n_redacted, CAST(strlen(text) - 18 * coalesce(n, 0) AS BIGINT) AS n_bytes FROM documents LEFT JOIN n ON path = doc_id")
+def redact_appended(spark, sf_dir):
+    """Documents as they arrive, redacted on the way."""
+    rows = _stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    out = streams.run_available(streams.redact_appended(rows, known.dictionary(_tokens(spark, sf_dir))), readers.scratch(spark, "redact"))
+    return out.select("path", "n_redacted", F.length("content").cast("long").alias("n_bytes"))

@@ -40,6 +40,19 @@ VIEWS = {
         WHEN 3 THEN 'sed s/a/b/ in.txt > out.txt' WHEN 4 THEN 'dd if=/dev/zero of=disk.img' WHEN 5 THEN 'ls | tee -a log.txt copy.txt' WHEN 6 THEN 'echo x >> /etc/vigil/allow'
         WHEN 7 THEN 'sed -i "s/.git*//" notes' WHEN 8 THEN 'make 2>err.log' WHEN 9 THEN 'gh api -X PUT repos/a/b/contents/x -f m=1' WHEN 10 THEN 'gh api repos/a/b/contents/x'
         WHEN 11 THEN 'mv new ~/.gitconfig' WHEN 12 THEN 'git log --since=x --$OPT' ELSE concat('grep -r x* ', event_type) END AS command FROM {0}"""),
+    "wg_lines": ("customer", """SELECT concat('/etc/wg/n', c_nationkey, '.conf') AS path, c_custkey AS line, CASE c_custkey % 7
+        WHEN 0 THEN '[Peer]' WHEN 1 THEN concat('PresharedKey = ', c_name, '=') WHEN 2 THEN concat('AllowedIPs = 10.0.', c_custkey % 250, '.2/32, ::1') WHEN 3 THEN concat('AllowedIPs=10.1.', c_custkey % 250, '.0/24')
+        WHEN 4 THEN '[Interface]' WHEN 5 THEN concat('PrivateKey=', c_mktsegment, c_custkey, '==') ELSE concat('# PresharedKey = ', c_name) END AS text FROM {0}"""),
+    "token_files": ("customer", """SELECT concat('/run/n', c_custkey, '.token') AS path, CASE c_custkey % 3 WHEN 0 THEN concat('  tok-', c_name, chr(10), chr(10)) WHEN 1 THEN concat(chr(9), ' ', chr(10))
+        ELSE concat('first ', c_name, chr(10), 'second') END AS content FROM {0}"""),
+    "tags": ("orders", """SELECT o_custkey AS push_id, concat('a', o_orderkey) AS sha, CASE o_orderkey % 3 WHEN 0 THEN concat('a', o_orderkey) WHEN 1 THEN NULL ELSE 'older' END AS remote_sha,
+        CASE o_orderkey % 5 WHEN 0 THEN 'commit' ELSE 'tag' END AS kind, concat('object x', chr(10), 'tagger t', chr(10), chr(10), 'release ', o_orderpriority, chr(10), chr(10), 'notes') AS body FROM {0}"""),
+    "patches": ("documents", """SELECT doc_id AS commit, concat('subject of ', doc_id, chr(10), 'diff --git a/x b/x', chr(10), '--- a/x', chr(10), '+++ b/f', doc_id % 7, chr(10), '@@ -0,0 +1 @@', chr(10),
+        '+', replace(text, chr(10), CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), '+') ELSE concat(chr(10), ' ') END)) AS patch FROM {0}"""),
+    "message_log": ("lineitem", """SELECT l_suppkey AS doc, l_orderkey * 10 + l_linenumber AS line, CASE l_linenumber WHEN 1 THEN concat('commit ', l_orderkey) WHEN 4 THEN concat('tag ', l_orderkey) ELSE concat('line ', l_partkey) END AS text,
+        l_linenumber NOT IN (1, 4) AND l_partkey % 5 = 0 AS hit FROM {0}"""),
+    "tool_calls": ("events", """SELECT concat('{{"tool_input": {{', CASE user_id % 4 WHEN 0 THEN '"command": "ls"' WHEN 1 THEN concat('"file_path": "/etc/vigil/', event_type, '"') WHEN 2 THEN '"file_path": "/etc/vigilant"'
+        ELSE '"file_path": "/etc/vigil"' END, '}}}}') AS value FROM {0}"""),
 }
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +15,12 @@ KINDS = ("env", "file", "ini", "wg")
 STATE = "location string, fp string, since long, exact boolean"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below `spark.checkpoint.dir`, which all executors share; a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+
+
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """(line, value): the file as one row, so that line numbers are those of the file."""
     whole = spark.read.text(path, wholetext=True)

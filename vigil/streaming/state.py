@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import known
+
 OUT = "location string, fp string, since long, exact boolean"
 KEPT = "fp string, since long, exact boolean, seen long"
 
@@ -36,3 +38,29 @@ def observe_stream(scans: DataFrame) -> DataFrame:
 def access_counts(log: DataFrame) -> DataFrame:
     """A stream of parsed log rows -> counts and last access by name and verb."""
     return log.groupBy("name", "verb").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last"))
+
+
+def redact_appended(rows: DataFrame, needles: DataFrame) -> DataFrame:
+    """A stream of appended rows (path, content) -> the same rows without known credentials. It keeps no state, so rows
+    that arrive while older ones are rewritten are redacted and carried over like any other."""
+    return known.redact_rows(rows, needles)
+
+
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Process what a stream has now, exactly once per `folder`, and return all its output with the batch it came from.
+    The output is written by batch number, so a batch that is run again replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    schema = stream.schema.add("batch", "long")
+    return spark.read.schema(schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+
+
+def latest_per_location(updates: DataFrame) -> DataFrame:
+    """Updates (location, ..., batch) -> the state that the last batch left."""
+    kept = [c for c in updates.columns if c not in ("location", "batch")]
+    last = updates.groupBy("location").agg(F.max_by(F.struct(*kept), "batch").alias("last"))
+    return last.select("location", "last.*")
