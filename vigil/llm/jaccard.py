@@ -1,0 +1,177 @@
+"""Near-dedup by exact Jaccard similarity of word shingles.
+
+A SimHash of 64 bits that is to find texts of similarity 0.8 has to allow for 17 bits or so, at which no prefix of it
+prunes; the candidates come from a prefix filter instead, which misses none. The shingles of a text are put into one order
+for all texts; of two sets with similarity s or more, the first |x| - ceil(s |x|) + 1 of each share one. The order has
+common shingles last, as a sample counts them, so that a common passage is rarely a key; the order decides the cost only.
+
+Texts with a key in common are first compared with one text of the key, the results joined to components, and again with
+another; only then all pairs of a key that are in different components still are compared. So a large group of near copies
+is not compared pair by pair, while each pair of similarity s or more is in one component. Nothing is dropped or capped.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+from .components import connected_components
+from .simhash import shingle_hashes
+
+#: One text in SAMPLE is counted for the order of shingles, in which the COMMON most frequent come last; rounds of stars.
+SAMPLE, COMMON, ROUNDS = 16, 100_000, 2
+#: Bits of the filter for texts that share a key.
+FILTER = 1 << 24
+EPS = 1e-9
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingle hashes of the whole text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+
+
+def _print(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def _prints(size: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [_print(shingle_set(t, size)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["id", "fp"])
+
+    return rows
+
+
+def _sampled(size: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [s for t in batch.column(1).slice(at, 500).to_pylist() if (s := shingle_set(t, size)).size and _print(s) % SAMPLE == 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))], ["key"])
+
+    return rows
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - EPS)) + 1 if n else 0
+
+
+def _entries(size: int, similarity: float, shared):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                keys, prints, sizes, places = [], [], [], []
+                for text in batch.column(1).slice(at, 500).to_pylist():
+                    own = shingle_set(text, size)
+                    n, p = len(own), prefix_length(len(own), similarity)
+                    if len(common):
+                        k = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                        own_counts = np.where(common[k] == own, counts[k], 0)
+                        first = own[np.lexsort((own, own_counts))[:p]]
+                    else:
+                        first = own[:p]
+                    keys.append(first)
+                    prints.append(np.full(p, _print(own)))
+                    sizes.append(np.full(p, n))
+                    places.append(np.arange(p))
+                flat = lambda x, kind: pa.array(np.concatenate(x).astype(kind)) if x else pa.array([], pa.from_numpy_dtype(kind))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), flat(prints, np.int64), flat(sizes, np.int32), flat(places, np.int32)], ["key", "fp", "n", "place"])
+
+    return rows
+
+
+def _sets(size: int, shared):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                sets = [shingle_set(t, size) for t in batch.column(1).slice(at, 500).to_pylist()]
+                each = [(p, s.tobytes()) for s in sets if bits[(k := (p := _print(s)) % FILTER) >> 5] >> (k & 31) & 1]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in each], pa.int64()), pa.array([s for _, s in each], pa.binary())], ["fp", "hashes"])
+
+    return rows
+
+
+def _alike(similarity: float):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                keep.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - EPS)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    return rows
+
+
+def _possible(n: Column, place: Column, other_n: Column, other_place: Column, similarity: float) -> Column:
+    """Whether a pair whose first shared shingle has these places can be similar enough."""
+    return F.least(n - place, other_n - other_place) >= (n + other_n) * (similarity / (1 + similarity)) - EPS
+
+
+def similar_links(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """texts (id, text) -> (a, root) of the set fingerprints that pairs of the similarity connect with others."""
+    spark = texts.sparkSession
+    counted = texts.mapInArrow(_sampled(size), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    common = counted.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    order = np.argsort(common["key"].to_numpy().view(np.uint64))
+    shared = spark.sparkContext.broadcast((common["key"].to_numpy().view(np.uint64)[order], common["n"].to_numpy()[order]))
+    entries = stored(texts.mapInArrow(_entries(size, similarity, shared), "key long, fp long, n int, place int"), "entries")
+    keys = entries.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("key")
+    members = stored(entries.join(keys, "key").groupBy("key", "fp").agg(F.min("n").alias("n"), F.min("place").alias("place")), "members")
+    at = F.pmod("fp", F.lit(FILTER))
+    words = members.groupBy(F.floor(at / 32).cast("int").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(fp, 32) as int))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER // 32, np.int64)
+    bits[words["k"].to_numpy()] = words["bits"].to_numpy()
+    sets = stored(texts.mapInArrow(_sets(size, spark.sparkContext.broadcast(bits)), "fp long, hashes binary").dropDuplicates(["fp"]), "sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        one, two = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
+        return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), "alike")
+
+    roots = spark.createDataFrame([], "a long, root long")
+    for k in range(ROUNDS + 1):
+        rooted = members.join(roots, F.col("fp") == F.col("a"), "left").select("key", "fp", "n", "place", F.coalesce("root", "fp").alias("root"))
+        rooted = stored(rooted, "rooted")
+        row = F.struct("fp", "n", "place", "root")
+        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("fp", F.lit(k)), row.alias("row")))["row"].alias("o")).filter("lo <> hi")
+        if k < ROUNDS:
+            pairs = rooted.join(apart.select("key", "o"), "key").filter("root <> o.root")
+        else:
+            left = rooted.join(apart.select("key"), "key")
+            pairs = left.join(left.select("key", row.alias("o")), "key").filter("root < o.root")
+        pairs = pairs.filter(_possible(F.col("n"), F.col("place"), F.col("o.n"), F.col("o.place"), similarity))
+        found = alike(pairs.select(F.col("fp").alias("a"), F.col("o.fp").alias("b")))
+        if not found.isEmpty():
+            roots = connected_components(found.unionByName(roots.withColumnRenamed("root", "b")))
+    return roots
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, fp, component_id) for each row of `docs`; pairs of texts whose sets of `size`-word shingles have the Jaccard
+    similarity or more are in one component, and component_id is its smallest id.
+
+    Texts with equal sets are one, also those without a word. Null ids are treated as by `simhash.near_duplicates`.
+    """
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    prints = stored(texts.mapInArrow(_prints(size), f"id {texts.schema['id'].dataType.simpleString()}, fp long"), "prints")
+    roots = similar_links(texts, size, similarity)
+    placed = prints.groupBy("fp").agg(F.min("id").alias("least")).join(roots.withColumnRenamed("a", "fp"), "fp", "left")
+    placed = stored(placed.withColumn("root", F.coalesce("root", "fp")), "placed")
+    firsts = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(placed.join(firsts, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` whose id is the smallest of its component, with all their columns."""
+    kept = near_duplicates(docs, id_col, text_col, size, similarity).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept_id")).distinct()
+    return docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["_kept_id"]), "left_semi")
