@@ -1,9 +1,11 @@
 """HTML extraction by consensus host paths.
 
-First pass: each page credits its text, outside links and boilerplate, to the containers that hold it; a container is
-named by its path of tags and classes, digits generalised. Spark adds up the votes by host and path and keeps one
-winning path per host. Second pass: each page is extracted from the containers at its host's winning path, or from its
-own best container where the page doesn't have it. Votes are pre-aggregated, so a host with a third of the pages is a few
+First pass: each page credits its text, outside links and boilerplate, to the container that holds it and, halved at each
+level, to those around it; a container is named by its path of tags and classes, digits generalised. So a container wins
+over those around it while it holds over half of their text. Spark adds up the votes by host and path and keeps one
+winning path per host; it is widened to the outermost container around it that has text of its own on half of the pages or
+more, as a heading above nested sections. Second pass: each page is extracted from the containers at its host's winning
+path and below it, or from its own best container where the page doesn't have it. Votes are pre-aggregated, so a host with a third of the pages is a few
 rows per task; the table of winners has one row per host and Spark broadcasts it only below its own size threshold.
 """
 
@@ -67,7 +69,7 @@ def _is_boilerplate(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
     """A tag and its classes, sorted, with digits generalised."""
-    names = sorted({re.sub(r"\d+", "0", c.lower()) for c in attrs.get("class", "").split()})
+    names = sorted({re.sub(r"\d+", "0", c.lower()).replace("/", "_") for c in attrs.get("class", "").split()})
     return ".".join([tag, *names])
 
 
@@ -137,22 +139,48 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
     yield from flush()
 
 
+def _is_main(path: str) -> bool:
+    return path.rpartition("/")[2].split(".")[0] in _MAIN
+
+
 def scores(page: str) -> dict[str, int]:
-    """Characters of text outside links that each container path holds; text within main elements counts double."""
+    """Characters of text outside links that each container path holds itself; text within main elements counts double."""
     out: dict[str, int] = defaultdict(int)
     for path, _, free in blocks(page):
         if free:
-            out[path] += free * (2 if path.rpartition("/")[2].split(".")[0] in _MAIN else 1)
+            out[path] += free * (2 if _is_main(path) else 1)
     return dict(out)
 
 
+def credits(own: dict[str, int]) -> dict[str, float]:
+    """The scores, with those of nested containers halved at each level up."""
+    out: dict[str, float] = defaultdict(float)
+    for path, n in own.items():
+        share = float(n)
+        out[path] += share
+        while path:
+            path, share = path.rpartition("/")[0], share / 2
+            out[path] += share
+    return dict(out)
+
+
+def _best(own: dict[str, int]) -> str:
+    """The winning path of one page, widened."""
+    credit = credits(own)
+    won = max(credit, key=lambda p: (credit[p], p))
+    while won.rpartition("/")[2].split(".")[0] == "blockquote":
+        won = won.rpartition("/")[0]
+    return won if _is_main(won) else min((p for p in own if won.startswith(f"{p}/")), key=len, default=won)
+
+
 def extract(page: str, winner: str | None) -> str:
-    """The text at the winning path, or at the page's own best path if the page has none there."""
+    """The text at the winning path and below it, or at the page's own best path if the page has none there."""
     found = list(blocks(page))
-    if not any(p == winner for p, _, _ in found):
+    within = lambda p: p == winner or p.startswith(f"{winner}/")
+    if winner is None or not any(within(p) for p, _, _ in found):
         own = scores(page)
-        winner = max(own, key=lambda p: (own[p], p)) if own else (found[0][0] if found else "")
-    return "\n".join(t for p, t, _ in found if p == winner)
+        winner = _best(own) if own else (found[0][0] if found else "")
+    return "\n".join(t for p, t, _ in found if within(p))
 
 
 def host_of(url: Column) -> Column:
@@ -162,13 +190,13 @@ def host_of(url: Column) -> Column:
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        host, path, share = [], [], []
+        host, path, share, direct = [], [], [], []
         for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = scores(page)
             total = sum(own.values())
-            for p, n in own.items():
-                host.append(h), path.append(p), share.append(n * 1_000_000 // total)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(share, pa.int64())], ["host", "path", "share"])
+            for p, n in credits(own).items():
+                host.append(h), path.append(p), share.append(int(n * 1_000_000 / total)), direct.append(int(p in own))
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(share, pa.int64()), pa.array(direct, pa.int64())], ["host", "path", "share", "direct"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +208,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, winner): the container path with the most votes of each host."""
     rows = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
-    votes = rows.mapInArrow(_votes, "host string, path string, share long").groupBy("host", "path").agg(F.sum("share").alias("share"))
-    return votes.groupBy("host").agg(F.max(F.struct("share", "path"))["path"].alias("winner"))
+    votes = rows.mapInArrow(_votes, "host string, path string, share long, direct long")
+    votes = stored(votes.groupBy("host", "path").agg(F.sum("share").alias("share"), F.sum("direct").alias("direct"), F.count(F.lit(1)).alias("pages")), "votes")
+    best = votes.groupBy("host").agg(F.max(F.struct("share", "path", "pages")).alias("best")).select("host", F.regexp_replace("best.path", r"(?:/blockquote(?:\.[^/]*)?)+$", "").alias("won"), "best.pages")
+    wider = F.startswith("won", F.concat("path", F.lit("/"))) & (2 * F.col("direct") >= F.col("p")) & ~F.col("won").rlike(r"/(?:article|main)(?:\.[^/]*)?$")
+    around = votes.join(best.withColumnRenamed("pages", "p"), "host").filter(wider).groupBy("host").agg(F.min_by("path", F.length("path")).alias("wide"))
+    return best.join(around, "host", "left").select("host", F.coalesce("wide", "won").alias("winner"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
