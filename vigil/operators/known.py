@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..sources.readers import scratch
 
 MIN_LINE = 20
 #: Needles that one broadcast may hold; a larger dictionary is searched in several passes.
@@ -60,13 +61,17 @@ def leaks(outputs: DataFrame, needles: DataFrame) -> DataFrame:
     return find_known(outputs, needles).select("path", "label").distinct()
 
 
-def redact_rows(rows: DataFrame, needles: DataFrame) -> DataFrame:
+def redact_rows(rows: DataFrame, needles: DataFrame, part: int | None = None) -> DataFrame:
     """rows (path, content) -> (path, content binary, n_redacted) of every row, with known credentials replaced. One pass
-    without a shuffle and without state, so `rows` may be a stream. The dictionary has to fit one broadcast."""
+    without a shuffle and without state while the dictionary fits one broadcast of `part` needles, PART by default; `rows`
+    may then be a stream. A larger one is searched in parts, for which a stream has to come batch by batch."""
+    part = part or PART
     spark, kind = rows.sparkSession, rows.schema["path"].dataType.simpleString()
-    shared = [(bytes(r.needle), r.label) for r in needles.limit(PART + 1).collect()]
-    if len(shared) > PART:
-        raise ValueError(f"more than {PART} needles: use find_known, merge_hits and redact")
+    shared = [(bytes(r.needle), r.label) for r in needles.limit(part + 1).collect()]
+    if len(shared) > part:
+        if rows.isStreaming:
+            raise ValueError(f"more than {part} needles: redact the batches of the stream")
+        return _redact_in_parts(rows, needles, part)
     shared = spark.sparkContext.broadcast(shared)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +92,18 @@ def redact_rows(rows: DataFrame, needles: DataFrame) -> DataFrame:
     return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(cut, f"path {kind}, content binary, n_redacted long")
 
 
+def _redact_in_parts(rows: DataFrame, needles: DataFrame, part: int) -> DataFrame:
+    """As redact_rows, for a dictionary of any size. Rows are numbered, as paths may repeat, and written once."""
+    folder = scratch(rows.sparkSession, "numbered")
+    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "path", F.col("content").cast("binary").alias("content"))
+    numbered.write.mode("overwrite").parquet(folder)
+    numbered = rows.sparkSession.read.schema(numbered.schema).parquet(folder)
+    files = numbered.select(F.col("rid").alias("path"), "content")
+    cut = redact(files, merge_hits(find_known(files, needles, part)))
+    cut = cut.select(F.col("path").alias("rid"), F.col("content").alias("redacted"), "n_redacted")
+    return numbered.join(cut, "rid", "left").select("path", F.coalesce("redacted", "content").alias("content"), F.coalesce("n_redacted", F.lit(0)).cast("long").alias("n_redacted"))
+
+
 def find_known(files: DataFrame, needles: DataFrame, part: int = PART) -> DataFrame:
     """files (path, content) -> hits (path, start, len, label); offsets are bytes. A null content has none."""
     kind = files.schema["path"].dataType.simpleString()

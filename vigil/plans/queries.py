@@ -669,5 +669,5 @@ def observe_stream(spark, sf_dir):
 def redact_appended(spark, sf_dir):
     """Documents as they arrive, redacted on the way."""
     rows = _stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    out = streams.run_available(streams.redact_appended(rows, known.dictionary(_tokens(spark, sf_dir))), readers.scratch(spark, "redact"))
+    out = streams.run_redacted(rows, known.dictionary(_tokens(spark, sf_dir)), readers.scratch(spark, "redact"))
     return out.select("path", "n_redacted", F.length("content").cast("long").alias("n_bytes"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..operators import known
 
@@ -42,20 +43,31 @@ def access_counts(log: DataFrame) -> DataFrame:
 
 def redact_appended(rows: DataFrame, needles: DataFrame) -> DataFrame:
     """A stream of appended rows (path, content) -> the same rows without known credentials. It keeps no state, so rows
-    that arrive while older ones are rewritten are redacted and carried over like any other."""
+    that arrive while older ones are rewritten are redacted and carried over like any other. The dictionary has to fit one
+    broadcast; `run_redacted` takes any."""
     return known.redact_rows(rows, needles)
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def run_redacted(rows: DataFrame, needles: DataFrame, folder: str) -> DataFrame:
+    """The rows (path, content) that a stream has now, redacted batch by batch with a dictionary of any size, as
+    `run_available` returns them."""
+    needles.write.mode("ignore").parquet(f"{folder}/needles")
+    needles = needles.sparkSession.read.schema(needles.schema).parquet(f"{folder}/needles")
+    kind = rows.schema["path"].dataType.simpleString()
+    return run_available(rows, folder, each=lambda batch: known.redact_rows(batch, needles), schema=f"path {kind}, content binary, n_redacted long")
+
+
+def run_available(stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None, schema: str | None = None) -> DataFrame:
     """Process what a stream has now, exactly once per `folder`, and return all its output with the batch it came from.
-    The output is written by batch number, so a batch that is run again replaces itself."""
+    The output is written by batch number, so a batch that is run again replaces itself. `each` makes a batch rows of
+    `schema` before they are written."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        (each(batch) if each else batch).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     spark = stream.sparkSession
-    schema = stream.schema.add("batch", "long")
+    schema = (StructType.fromDDL(schema) if schema else stream.schema).add("batch", "long")
     return spark.read.schema(schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
 
 
