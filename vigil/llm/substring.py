@@ -1,12 +1,13 @@
-"""Substring dedup by level-wise doubling of repeated word windows.
+"""Substring dedup by winnowed runs of word windows.
 
-Level one looks at windows of half the length. Of these only the winnowed ones are taken: a full window holds
+Windows of half the length serve as anchors. Of these only the winnowed ones are taken: a full window holds
 `half + 1` half windows and its anchor is the one with the least hash (the last of equals), which depends on the words of
 the window alone, so equal windows always have equal anchors and none is missed. Neighbouring windows with one anchor
-form a run, one row of the shuffle instead of one row per word. Half windows that start in two documents survive; only
-their runs are extended to twice the length. At that level a run that is equal as a whole to a run of a smaller document
-is settled at once, and only the first document of each kind of run still has its single windows compared. The length
-doubled then is the window itself, so no candidate survives.
+form a run, one row of the shuffle instead of one row per word. The windows of full length are hashed for all documents
+up front, as a run's key holds them: anchors alone would have to be grouped before, and the texts read a second time. So
+there is one level, and the test whether a half window starts in two documents prunes the grouped runs only. Of these
+a run that is equal as a whole to a run of a smaller document is settled at once, and only the first document of each kind
+of run still has its single windows compared.
 
 Runs and windows are grouped by hash with minimum and maximum of the ids, pre-aggregated before the shuffle, and joined
 back with plain equi-joins, which Spark splits where a passage stands in very many documents. Keys are pairs of 64-bit
