@@ -1,11 +1,14 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the embeddings of its character n-grams, so misspellings that were never seen share vectors with
-those that were. A bag is a stretch of 24 distinct words of a text, short ones padded with zeros; its vector is the mean of its words', its
-classes come from a linear softmax. A text is as toxic as its worst bag; a text labelled toxic need hold only one such bag, so after a first round
-over all bags a second one learns from the worst bags of each text. The last layer maps the worst bag's margin to a
-probability. Training takes a bounded sample of labelled rows (at most `per_class` rows of each class, those with
-the least hash); scoring is one pass over all texts without a shuffle, with a model of fixed size.
+those that were. A bag is a draw of words of one text; the mean of their vectors goes into a linear softmax, and both are
+trained together. A word's margin is the log-odds that the two give it alone. A toxic text holds a few such words among
+many harmless ones, so its evidence is the mean over all its words of what each margin has beyond `cut`, a high quantile of
+the margins of clean words. The last layer maps the evidence to a probability; its threshold comes from labelled rows that
+the embeddings were not trained on.
+
+Training takes a bounded sample of labelled rows: at most PER_CLASS rows of each class, by the hash of the id, and whole
+texts of at most MAX_BYTES in all. Scoring is one pass over all texts without a shuffle, with a model of fixed size.
 """
 
 from __future__ import annotations
@@ -21,134 +24,167 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import crc_of_id, stored
 
 _WORD = re.compile(r"\w+")
 BUCKETS, DIM, BAG, LIMIT = 1 << 15, 8, 24, 0.7
-#: Labelled rows of class 0 and of class 1 that training may take, at most.
-PER_CLASS = (3000, 1500)
-#: Distinct words whose margins a task remembers; beyond it, it starts anew.
-REMEMBER = 300_000
+GRAMS = (3, 4, 5, 6)
+#: Labelled rows of class 0 and of class 1 that training may take, at most, and bytes of their texts.
+PER_CLASS, MAX_BYTES = (3000, 1500), 64 << 20
+#: One labelled row in CALIBRATE sets the threshold and trains nothing else; what a false alarm costs against a miss there.
+CALIBRATE, ALARM = 3, 2
+QUANTILE = 0.998
+#: Distinct words whose margins a task remembers; beyond it, it starts anew. Characters of a word that are hashed at once.
+REMEMBER, PIECE = 300_000, 4096
 
 
-def distinct_words(text: str) -> list[str]:
-    """The words of the whole text, each once, in the order in which they first occur; repeats add no evidence."""
-    return list(dict.fromkeys(_WORD.findall(text.lower())))
+def words_in(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the character 3- to 5-grams of <word>, and of the word itself."""
-    w = f"<{word[:64]}>"
-    return [zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in (3, 4, 5) for i in range(len(w) - n + 1)] + [zlib.crc32(w.encode()) % BUCKETS]
+def subwords(word: str) -> Iterator[list[int]]:
+    """Buckets of all character 3- to 6-grams of <word> and of the word itself, a long word piece by piece."""
+    w = f"<{word}>"
+    yield [zlib.crc32(w.encode()) % BUCKETS]
+    for at in range(0, len(w), PIECE):
+        yield [zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(at, min(at + PIECE, len(w) - n + 1))]
 
 
 @dataclass
 class Model:
-    """The margin (log-odds) of each bucket, and what maps a text's worst bag to a log-odds."""
+    """The margin (log-odds) of each bucket, where a word's margin begins to count, and the threshold of the evidence."""
 
     margins: np.ndarray
-    slope: float
-    shift: float
-
-    def worst(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
-        """The margin of the worst bag of each text; 0 bags count as a margin of 0."""
-        words = [distinct_words(t) for t in texts]
+    cut: float
+    threshold: float
+    constant: float | None = None
+
+    def of_word(self, word: str) -> float:
+        total, n = 0.0, 0
+        for ids in subwords(word):
+            total, n = total + float(self.margins[ids].sum()), n + len(ids)
+        return total / n
+
+    def evidence(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
+        """The mean over the words of each text of max(margin - cut, 0); 0 without words."""
         if len(known) > REMEMBER:
             known.clear()
-        new = list({w for ws in words for w in ws}.difference(known))
-        if new:
-            ids = [subwords(w) for w in new]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.int64, int(sizes.sum()))
-            known.update(zip(new, (np.add.reduceat(self.margins[flat], np.cumsum(sizes) - sizes) / sizes).tolist(), strict=True))
         out = np.zeros(len(texts))
-        for i, ws in enumerate(words):
-            if ws:
-                m = np.fromiter(map(known.__getitem__, ws), np.float64, len(ws))
-                at = np.arange(0, len(ws), BAG)
-                out[i] = np.add.reduceat(m, at).max() / BAG
+        for i, text in enumerate(texts):
+            words = words_in(text)
+            for w in set(words).difference(known):
+                known[w] = max(self.of_word(w) - self.cut, 0.0)
+            if words:
+                out[i] = sum(map(known.__getitem__, words)) / len(words)
         return out
 
     def score(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
-        z = self.slope * self.worst(texts, known) + self.shift
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
+        z = 4 * np.log((self.evidence(texts, known) + self.threshold / 10) / (1.1 * self.threshold)) + np.log(LIMIT / (1 - LIMIT))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 16, steps: int = 40, batch: int = 128, rate: float = 200.0, seed: int = 7) -> Model:
-    """Fit on whole texts. With one class only, every text gets a score that says so.
-
-    The first round draws bags at random; each later one draws the bags that are worst under the model so far, of toxic
-    and of clean texts alike, beside some random clean ones.
-    """
-    y = np.asarray(labels, bool)
-    if y.all() or not y.any():
-        return Model(np.zeros(BUCKETS), 0.0, 4.0 if len(y) and y.all() else -4.0)
+def embed(texts: list[str], y: np.ndarray, steps: int = 600, batch: int = 128, rate: float = 200.0, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The margins of all buckets, trained on bags drawn from both classes alike, and those of the distinct words of the
+    clean texts."""
     rnd = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in distinct_words(t)], np.int32) for t in texts]
-    packed, n_grams = array("i"), np.zeros(len(vocabulary), np.int32)
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in dict.fromkeys(words_in(t))], np.int32) for t in texts]
+    packed, n_grams = array("i"), np.zeros(len(vocabulary), np.int64)
     for i, w in enumerate(vocabulary):
-        own = subwords(w)
-        packed.extend(own)
-        n_grams[i] = len(own)
+        for ids in subwords(w):
+            packed.extend(ids)
+            n_grams[i] += len(ids)
     del vocabulary
-    all_grams = np.frombuffer(packed, np.int32)
-    first_gram = np.cumsum(n_grams) - n_grams
-    words = np.concatenate(docs)
-    cuts = [np.arange(0, len(d), BAG) for d in docs]
-    begin = np.concatenate([c + o for c, o in zip(cuts, np.cumsum([len(d) for d in docs]) - [len(d) for d in docs], strict=True)]).astype(np.int64)
-    size = np.diff(np.r_[begin, len(words)])
-    owner = np.repeat(np.arange(len(docs)), [len(c) for c in cuts])
-    E = rnd.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
-    W, b = rnd.uniform(-1, 1, (DIM, 2)), np.zeros(2)
-    sides = np.flatnonzero(y[owner]), np.flatnonzero(~y[owner])
-    draw_from, half = sides, batch // 2
-    for at in range(rounds):
-        for _ in range(steps * (4 if at == 0 else 1)):
-            pick = np.r_[rnd.choice(draw_from[0], half), rnd.choice(draw_from[1], half - half // 4), rnd.choice(sides[1], half // 4)]
-            target = np.r_[np.ones(half, int), np.zeros(half, int)]
-            sizes = size[pick]
-            used, back = np.unique(np.concatenate([words[o : o + n] for o, n in zip(begin[pick], sizes, strict=True)]), return_inverse=True)
-            n = n_grams[used]
-            flat = all_grams[np.repeat(first_gram[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            vectors = np.add.reduceat(E[flat], np.cumsum(n) - n) / n[:, None]
-            bag = np.add.reduceat(vectors[back], np.cumsum(sizes) - sizes) / BAG
-            z = bag @ W + b
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(pick)), target] -= 1
-            down = rate * (1 - at / rounds)
-            dword = np.repeat(p @ W.T / BAG, sizes, axis=0)
-            for k in range(DIM):
-                own = np.bincount(back, dword[:, k], len(used)) / n
-                E[:, k] -= down / batch * np.bincount(flat, np.repeat(own, n), BUCKETS)
-            W, b = W - 0.05 * bag.T @ p, b - 0.01 * p.sum(0)
-        margins = E @ (W[:, 1] - W[:, 0])
-        word_margin = np.add.reduceat(margins[all_grams], first_gram) / n_grams
-        bag_margin = np.add.reduceat(word_margin[words], begin) / BAG
-        order = np.lexsort((-bag_margin, owner))
-        worst = order[np.r_[True, owner[order][1:] != owner[order][:-1]]]
-        # The second round's clean bags: those of the texts that stand out most.
-        bad = worst[~y[owner[worst]]]
-        draw_from = worst[y[owner[worst]]], bad[np.argsort(-bag_margin[bad])[: max(100, len(bad) // 3)]]
-    x = np.where(np.isin(np.arange(len(docs)), owner), -np.inf, 0.0)
-    np.maximum.at(x, owner, bag_margin)
-    # The last layer: a line between the classes, its threshold midway between their near quantiles.
-    low, high = np.quantile(x[~y], 0.995), np.quantile(x[y], 0.01)
-    slope = 6.0 / max(abs(high - low), 1e-6)
-    return Model(margins, float(slope), float(np.log(LIMIT / (1 - LIMIT)) - slope * (low + high) / 2))
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, wanted: Column, per_class: tuple[int, int] = PER_CLASS) -> tuple[list[str], list[int]]:
-    """Whole texts and labels of at most per_class[k] rows of class k, among the labelled ids that `wanted` admits."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & wanted).select("doc_id", "toxic")
-    least = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[k]) for k in (0, 1)]
-    ids = dict(r for part in least for r in part.collect())
-    spark = docs.sparkSession
-    table = spark.createDataFrame(sorted(ids.items()), "of long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(table), F.col("doc_id") == F.col("of")).select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return [r.text or "" for r in rows], [r.toxic for r in rows]
+    grams, first = np.frombuffer(packed, np.int32), np.cumsum(n_grams) - n_grams
+    sides = [[i for i, d in enumerate(docs) if len(d) and y[i] == k] for k in (True, False)]
+    E, W, b = rnd.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), rnd.uniform(-1, 1, (DIM, 2)), np.zeros(2)
+    target = np.repeat([1, 0], batch // 2)
+    for at in range(steps) if all(sides) else ():
+        pick = np.concatenate([rnd.choice(side, batch // 2) for side in sides])
+        bags = [docs[i] if len(docs[i]) <= BAG else docs[i][rnd.integers(0, len(docs[i]), BAG)] for i in pick]
+        sizes = np.array([len(x) for x in bags])
+        used, back = np.unique(np.concatenate(bags), return_inverse=True)
+        n = n_grams[used]
+        flat = grams[np.repeat(first[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        vectors = np.add.reduceat(E[flat], np.cumsum(n) - n) / n[:, None]
+        bag = np.add.reduceat(vectors[back], np.cumsum(sizes) - sizes) / sizes[:, None]
+        z = bag @ W + b
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(pick)), target] -= 1
+        dword, down = np.repeat(p @ W.T / sizes[:, None], sizes, axis=0), rate * (1 - at / steps) / batch
+        for k in range(DIM):
+            own = np.bincount(back, dword[:, k], len(used)) / n
+            E[:, k] -= down * np.bincount(flat, np.repeat(own, n), BUCKETS)
+        W, b = W - 0.05 * bag.T @ p, b - 0.01 * p.sum(0)
+    margins = E @ (W[:, 1] - W[:, 0])
+    clean = np.unique(np.concatenate([docs[i] for i in sides[1]])) if sides[1] else np.zeros(0, np.int64)
+    n = n_grams[clean]
+    flat = grams[np.repeat(first[clean] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    return margins, (np.add.reduceat(margins[flat], np.cumsum(n) - n) / n if len(clean) else np.zeros(1))
+
+
+def threshold(x: np.ndarray, y: np.ndarray) -> float:
+    """The evidence at which misses and false alarms cost least; the middle of equals."""
+    values = np.unique(x)
+    middles = (values[1:] + values[:-1]) / 2 if len(values) > 1 else values + 1e-6
+    missed = np.searchsorted(np.sort(x[y]), middles)
+    alarms = (~y).sum() - np.searchsorted(np.sort(x[~y]), middles)
+    cost = missed + ALARM * alarms
+    best = np.flatnonzero(cost == cost.min())
+    return max(float(middles[best[len(best) // 2]]), 1e-6)
+
+
+def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
+    """Fit on whole texts. With one class only, every text gets a score that says so. Where a class has under six rows, no
+    row is kept apart for the threshold."""
+    y = np.asarray(labels, bool)
+    if y.all() or not y.any():
+        return Model(np.zeros(BUCKETS), 0.0, 1.0, 0.98 if len(y) and y.all() else 0.02)
+    nth = np.where(y, np.cumsum(y), np.cumsum(~y)) - 1
+    apart = nth % CALIBRATE == 0 if min(y.sum(), (~y).sum()) >= 6 else np.zeros(len(y), bool)
+    own = np.flatnonzero(~apart)
+    margins, clean = embed([texts[i] for i in own], y[own], seed=seed)
+    model = Model(margins, float(np.quantile(clean, QUANTILE)), 1.0)
+    judged = np.flatnonzero(apart) if apart.any() else own
+    model.threshold = threshold(model.evidence([texts[i] for i in judged], {}), y[judged])
+    return model
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, wanted: Column, per_class: tuple[int, int] = PER_CLASS, max_bytes: int = MAX_BYTES) -> tuple[list[str], list[int]]:
+    """Whole texts and labels of at most per_class[k] rows of class k, and max_bytes of text, among the labelled ids that
+    `wanted` admits, those with the least hash. An id with both labels is left out; of rows with equal ids the least text
+    counts."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & wanted).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other"))
+    known = known.filter("toxic = other").select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("at"))
+    total = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # A little more than is wanted, so that what comes to the driver doesn't grow with the table or its partitions.
+    most = F.lit(0)
+    for k, n in total.items():
+        most = F.when(F.col("toxic") == k, int((1 << 30) * min(1.0, (1.2 * per_class[k] + 50) / n))).otherwise(most)
+    some = sorted(known.filter(F.col("at") < most).collect(), key=lambda r: (r["at"], r.doc_id))
+    ids = [(r.doc_id, r.toxic) for k in (0, 1) for r in [r for r in some if r.toxic == k][: per_class[k]]]
+    table = docs.sparkSession.createDataFrame(ids, "of long, toxic int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(table), F.col("doc_id") == F.col("of"))
+    rows = stored(rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")), "labelled")
+    # Rows of both classes in turn, up to the bound of bytes.
+    sizes = {r.doc_id: r.n for r in rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()}
+    nth, order = {0: 0, 1: 0}, []
+    for doc_id, toxic in ids:
+        if doc_id in sizes:
+            order.append((nth[toxic] / per_class[toxic], toxic, doc_id))
+            nth[toxic] += 1
+    taken, used = [], 0
+    for _, _, doc_id in sorted(order):
+        used += sizes[doc_id]
+        if used <= max_bytes:
+            taken.append(doc_id)
+    if len(taken) < len(order):
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in taken], "of long")), F.col("doc_id") == F.col("of"), "left_semi")
+    found = sorted(rows.collect(), key=lambda r: r.doc_id)
+    return [r.text or "" for r in found], [r.toxic for r in found]
 
 
 def scorer(spark, model: Model):
@@ -170,8 +206,12 @@ def not_held_out(doc_id: Column) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score, predicted) for each row of `docs`. Null and empty texts get the score of a text without
-    bags. Labels of null ids, or other than 0 and 1, are not used. An empty table gives an empty result."""
+    """(id, held_out, score, predicted) for each row of `docs`.
+
+    Null and empty texts have no evidence and get the least score. Very long texts and words are scored whole. Rows with
+    equal ids are rows of their own; equal texts have equal scores. Labels of null ids, or other than 0 and 1, are not used,
+    nor are ids with both labels. Without labels of both classes all texts get one score. An empty table gives an empty
+    result; other columns may have any name."""
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     model = train(*training_rows(own, labels, not_held_out(F.col("doc_id"))))
     score = scorer(docs.sparkSession, model)
@@ -180,6 +220,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that are not predicted toxic, with all their columns."""
-    model = train(*training_rows(docs, labels, not_held_out(F.col("doc_id"))))
+    """The rows of `docs` that are not predicted toxic, with all their columns. Null and empty texts stay, rows with equal
+    ids or texts are judged one by one and alike, and other columns may have any name; an empty table stays empty."""
+    model = train(*training_rows(docs.select("doc_id", "text"), labels, not_held_out(F.col("doc_id"))))
     return docs.filter(scorer(docs.sparkSession, model)(F.col("text")) < LIMIT)
