@@ -1,125 +1,60 @@
 """Exact dedup with counting quotient filters.
 
-Each partition turns the fingerprints of its texts into a counting quotient filter: the high bits (quotient) name a
-slice, the low bits (remainders) are kept sorted with a count each. Slices of equal quotient merge without loss by
-merging their sorted remainders and adding counts, so one shuffle of compact slices gives the count of each fingerprint
-in the whole corpus. Only fingerprints with a count above one go on to byte verification: there the normalised texts
-themselves are grouped, so two texts that merely share a fingerprint are never taken for equal.
+Each partition turns the fingerprints of its texts into a counting quotient filter (`quotient_filter`); slices of one name
+merge without loss by their sorted remainders, so one shuffle of compact slices gives the count of each fingerprint in the
+whole corpus. Only fingerprints with a count above one go on to byte verification: there the normalised texts themselves
+are grouped, so two texts that merely share a fingerprint are never taken for equal.
 
-A hot group of copies is one (remainder, count) pair per partition in the filters, and one row per map task in the
+A hot group of copies is one remainder with a counter per partition in the filters, and one row per map task in the
 grouping of texts; the join that gives each copy its group is a plain equi-join, which Spark splits where it is skewed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quotient_filter as qf
 from .common import WS, stored
 
-SLICE_SCHEMA = "quotient long, remainders binary, counts binary"
-
 
 def normalised(text: Column) -> Column:
     """Every run of white space as one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), WS, " ")
 
 
-def _add(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct fingerprints with the sum of their counts."""
-    order = np.argsort(prints, kind="stable")
-    prints, counts = prints[order], counts[order]
-    first = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]]) if len(prints) else np.zeros(0, int)
-    return prints[first], (np.add.reduceat(counts, first) if len(first) else counts)
-
-
-def filter_slices(quotient_bits: int):
-    """A mapInArrow function: fingerprints of one partition to the slices of its counting quotient filter."""
-    shift = np.uint64(64 - quotient_bits)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            new = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            prints, counts = _add(np.r_[prints, new], np.r_[counts, np.ones(len(new), np.int64)])
-        quotients = (prints >> shift).astype(np.int64)
-        low = prints & ((np.uint64(1) << shift) - np.uint64(1))
-        cuts = np.flatnonzero(np.r_[True, quotients[1:] != quotients[:-1]]) if len(prints) else np.zeros(0, int)
-        ends = np.r_[cuts[1:], len(prints)].astype(int)
-        for at in range(0, len(cuts), 4096):
-            some = list(zip(cuts[at : at + 4096], ends[at : at + 4096], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([quotients[a] for a, _ in some], pa.int64()),
-                    pa.array([low[a:b].tobytes() for a, b in some], pa.binary()),
-                    pa.array([counts[a:b].tobytes() for a, b in some], pa.binary()),
-                ],
-                ["quotient", "remainders", "counts"],
-            )
-
-    return build
-
-
-def _merged_repeats(quotient_bits: int):
-    """An applyInArrow function: the slices of one quotient to its fingerprints with a count above one."""
-    shift = np.uint64(64 - quotient_bits)
-
-    def merge(table: pa.Table) -> pa.Table:
-        low = np.frombuffer(b"".join(table["remainders"].to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.int64)
-        low, counts = _add(low, counts)
-        quotient = np.uint64(table["quotient"][0].as_py() if len(table) else 0)
-        prints = (low | (quotient << shift))[counts > 1]
-        return pa.table({"fp": pa.array(prints.view(np.int64)), "copies": pa.array(counts[counts > 1])})
-
-    return merge
-
-
-def quotient_bits_for(n_rows: int, per_slice: int = 4000) -> int:
-    """Bits of quotient that give each merged slice about per_slice fingerprints; grows with the table."""
-    return min(40, max(8, (n_rows // per_slice).bit_length()))
-
-
-def repeated_fingerprints(prints: DataFrame, quotient_bits: int) -> DataFrame:
-    """(fp, copies) of the fingerprints that occur more than once in the one long column of `prints`."""
-    slices = prints.mapInArrow(filter_slices(quotient_bits), SLICE_SCHEMA)
-    return slices.groupBy("quotient").applyInArrow(_merged_repeats(quotient_bits), "fp long, copies long")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", quotient_bits: int | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_bits: int | None = None) -> DataFrame:
     """One row per row of `docs`, dropped ones too.
 
     Returns id, text (as given), norm (normalised), rest (struct of the other columns), keep_id, group_size, kept. A
     null text is empty; all empty texts are one group. A null id sorts after all others. Where rows of one group share
-    the smallest id, exactly one of them is kept. An empty table gives an empty result; other columns may have any name.
+    the smallest id, exactly one of them is kept. Texts of any length are compared whole. An empty table gives an empty
+    result; other columns may have any name.
     """
-    quotient_bits = quotient_bits or quotient_bits_for(docs.count())
+    bits = slice_bits or qf.slice_bits_for(docs.count())
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("struct<none:int>")
     text = F.col(f"`{text_col}`")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), rest.alias("rest"), F.xxhash64(normalised(text)).alias("fp"))
+    short = qf.short_print(F.xxhash64(normalised(text)), bits)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), rest.alias("rest"), short.alias("fp"))
     # Stored, so that its size is known: below its own threshold Spark broadcasts it and no text is shuffled here.
-    repeats = stored(repeated_fingerprints(docs.select(F.xxhash64(normalised(text)).alias("fp")), quotient_bits), "repeats")
-    found = rows.join(repeats, "fp", "left").withColumn("norm", normalised(F.col("text")))
-    alone = found.filter(F.col("copies").isNull()).withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    again = found.filter(F.col("copies").isNotNull())
-    # Rows that are equal in all columns become one row with a number, so that exactly one row of a group can stay.
-    again = again.withColumn("tie", F.xxhash64("text", F.to_json("rest"))).groupBy("norm", "id", "tie").agg(F.first("text").alias("text"), F.first("rest").alias("rest"), F.count(F.lit(1)).alias("n"))
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
+    repeats = stored(qf.repeated(docs.select(short.alias("fp")), bits).select("fp"), "repeats")
+    alone = rows.join(repeats, "fp", "left_anti").withColumns({"norm": normalised(F.col("text")), "keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    # The rows of repeated fingerprints are stored once, with numbers that tell rows that are equal in all columns apart.
+    again = rows.join(repeats, "fp").withColumns({"norm": normalised(F.col("text")), "tie": F.xxhash64("text", F.to_json("rest")), "rid": F.monotonically_increasing_id()})
+    again = stored(again.drop("fp"), "again")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "tie", "rid")
     # Stored too: a join of two plain shuffles is one that Spark can split where a group of copies is very large.
-    groups = stored(again.groupBy("norm").agg(F.min(order).alias("first"), F.sum("n").alias("group_size")), "groups")
-    again = again.join(groups, "norm").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    again = again.withColumns({"keep_id": F.col("first.id"), "kept": (F.col("copy") == 1) & order.eqNullSafe(F.col("first"))})
+    groups = stored(again.groupBy("norm").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
+    again = again.join(groups, "norm").withColumns({"keep_id": F.col("first.id"), "kept": F.col("rid") == F.col("first.rid")})
     columns = ["id", "text", "norm", "rest", "keep_id", "group_size", "kept"]
     return alone.select(columns).unionByName(again.select(columns))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
+    """The rows of `docs` that stay, with all their columns: of equal normalised texts the one with the smallest id, null ids
+    last; of rows that share it exactly one. Null and empty texts are one group. Very long texts are compared whole, an
+    empty table stays empty, and other columns may have any name."""
     kept = exact_dedup(docs, id_col, text_col).filter("kept")
     value = {id_col: F.col("id"), text_col: F.col("text")}
     return kept.select(*[value.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns])
