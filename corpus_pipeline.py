@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import bpe, exact_dedup, jaccard, mixing, toxicity
+from vigil.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from vigil.llm.common import documents, stored
 
 
@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.deduplicated(docs, size=5, similarity=0.8)
+    return simhash.deduplicated(docs, size=5, budget=24, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from vigil.llm import components, exact_dedup, simhash, substring
+from vigil.llm import quotient_filter as qf
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, id string, kept int"
 
@@ -89,7 +90,18 @@ def test_simhash_equals_brute_force(spark):
     assert sorted(want, key=str) == sorted(got, key=str)
     kept = simhash.deduplicated(spark.createDataFrame(data, SCHEMA))
     assert kept.columns == [x.split()[0] for x in SCHEMA.split(", ")]
-    assert sorted({r.doc_id for r in kept.collect()}, key=str) == sorted(set(least.values()), key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(least.values(), key=str)
+
+
+@pytest.mark.parametrize("options", [{}, {"size": 5, "budget": 24, "similarity": 0.8}])
+def test_one_row_of_each_component_stays(spark, options):
+    """Unequal texts under one id, null ids, rows that are equal in all columns."""
+    one, other, third = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    data = [(2, one, "x"), (5, other, "x"), (5, one, "x"), (None, third, "x"), (None, third, "y"), (None, one, "x"), (7, third + "\n", "x"), (9, None, "x"), (9, None, "x"), (9, "", "y")]
+    data += [(None, "alone " * 30, "x"), (None, "alone " * 30, "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, h string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in simhash.deduplicated(df, **options).collect()), key=str)
+    assert len(got) == 5 and [d for d, _ in got] == [2, 5, 7, 9, None] and got[0][1] == one and got[1][1] == other
 
 
 def test_trie_links_keep_all_connections():
@@ -144,15 +156,20 @@ def test_quotient_filters_merge_without_loss():
     prints = np.r_[prints, prints[:100], prints[:50]]
     import pyarrow as pa
 
-    build, merge = exact_dedup.filter_slices(8), exact_dedup._merged_repeats(8)
-    parts = [b for some in np.array_split(np.random.default_rng(2).permutation(prints), 7) for b in build(iter([pa.RecordBatch.from_arrays([pa.array(some)], ["fp"])]))]
+    prints &= (1 << (qf.INNER + 6)) - 1
+    prints[:40] &= (1 << qf.INNER) - 1  # a slice of many beside slices of few
+    some = np.r_[prints, np.full(300, prints[0])]
+    parts = [b for own in np.array_split(np.random.default_rng(2).permutation(some), 7) for b in qf._build(6)(iter([pa.RecordBatch.from_arrays([pa.array(own)], ["fp"])]))]
     table = pa.Table.from_batches(parts)
     got = {}
-    for q in set(table["quotient"].to_pylist()):
-        out = merge(table.filter(pa.compute.equal(table["quotient"], q)))
+    for q in set(table["slice"].to_pylist()):
+        out = qf._merged(table.filter(pa.compute.equal(table["slice"], q)))
         got |= dict(zip(out["fp"].to_pylist(), out["copies"].to_pylist(), strict=True))
-    values, counts = np.unique(prints, return_counts=True)
+    values, counts = np.unique(some, return_counts=True)
     assert got == {int(v): int(c) for v, c in zip(values, counts, strict=True) if c > 1}
+    low, n = np.unique(prints[:40], return_counts=True)
+    back = qf.unpacked(len(low), *qf.packed(low, n * 100))
+    assert (back[0] == low).all() and (back[1] == n * 100).all()
 
 
 @pytest.mark.parametrize("run", [lambda d: substring.substring_dedup(d), lambda d: simhash.near_duplicates(d), lambda d: exact_dedup.exact_dedup(d)])

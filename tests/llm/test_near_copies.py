@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from vigil.llm import jaccard
+from vigil.llm import simhash
 
 
 def texts(seed=3):
@@ -40,10 +40,10 @@ def test_near_copies_of_similarity_08_equal_brute_force(spark):
     rows = list(enumerate(texts()))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = components(rows)
-    got = jaccard.near_duplicates(df).collect()
+    got = simhash.near_duplicates(df, size=5, budget=24, similarity=0.8).collect()
     assert sorted((r.id, r.component_id) for r in got) == want
     assert sum(a != b for a, b in want) > 15
-    assert jaccard.near_duplicates(df.limit(0)).count() == 0
+    assert simhash.near_duplicates(df.limit(0), size=5, budget=24, similarity=0.8).count() == 0
 
 
 def test_the_stage_drops_copies_with_some_words_changed(spark):

@@ -45,6 +45,15 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
 
 
-def slices(n_rows: int, per_slice: int, least: int) -> int:
-    """How many partitions hold n_rows with about per_slice rows in each."""
-    return max(least, -(-n_rows // per_slice))
+def most_frequent(counted: DataFrame, n_col: str, at_most: int) -> DataFrame:
+    """The rows with the largest counts, `at_most` of them or fewer: all from a threshold on that a histogram of the counts
+    gives, so that no sorting gathers more on the driver than is asked for. Rows within one step of the histogram (a ninth
+    root of two) stay or go together."""
+    step = F.floor(F.log2(F.col(n_col)) * 9).cast("int")
+    seen, least = 0, None
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r.step):
+        seen += r.rows
+        if seen > at_most:
+            break
+        least = r.step
+    return counted.filter(step >= least if least is not None else F.lit(False))

@@ -7,6 +7,9 @@ subtree the trie is joined with itself: node pairs go down together, differing b
 they exceed the budget. Sorted fingerprints are the trie (a node is a range), and node pairs go down as numpy arrays, so
 a step handles many pairs. Each task reduces its links to a forest that keeps all connections, and the components are
 found by star contraction in Spark. Nothing is dropped or capped, and no pairs of copies are made.
+
+With a `similarity`, links are pairs within a wider budget whose shingle sets have that Jaccard similarity; `similar` names
+the subtrees then and compares what the trie leaves.
 """
 
 from __future__ import annotations
@@ -62,20 +65,21 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            some = batch.slice(at, 1000)
-            each = [shingle_hashes(t) for t in some.column(1).to_pylist()]
-            sizes = np.fromiter(map(len, each), np.int64, len(each))
-            flat = np.fromiter((h for hs in each for h in hs), np.uint64, int(sizes.sum()))
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(majority_bits(flat, sizes).view(np.int64))], ["id", "fp"])
+def fingerprints(texts: DataFrame, size: int = 3) -> DataFrame:
+    """texts (..., text) -> (..., fp): the SimHash of every whole text; null and empty texts give 0."""
+    kept = [c for c in texts.columns if c != "text"]
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                each = [shingle_hashes(t, size) for t in some.column("text").to_pylist()]
+                sizes = np.fromiter(map(len, each), np.int64, len(each))
+                flat = np.fromiter((h for hs in each for h in hs), np.uint64, int(sizes.sum()))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), pa.array(majority_bits(flat, sizes).view(np.int64))], [*kept, "fp"])
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the SimHash of every whole text; null and empty texts give 0."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(_fingerprints, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept)
+    return texts.select(*kept, "text").mapInArrow(rows, f"{schema}, fp long")
 
 
 def _front(v: np.ndarray, k: int, back: bool = False) -> np.ndarray:
@@ -106,9 +110,10 @@ def _pairs(lo_a, hi_a, lo_b, hi_b) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(lo_a, n) + inner // np.repeat(wide, n), np.repeat(lo_b, n) + inner % np.repeat(wide, n)
 
 
-def trie_links(v: np.ndarray, subtrees: np.ndarray, fixed: int = FIXED, budget: int = BUDGET, leaf: int = 32, at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of v (sorted and distinct within each run of `subtrees`) that connect all values of a subtree that
-    differ in at most `budget` bits. Subtrees share their first `fixed` bits."""
+def trie_links(v: np.ndarray, subtrees: np.ndarray, fixed: int = FIXED, budget: int = BUDGET, leaf: int = 32, at_once: int = 1 << 17, every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of v (sorted within each run of `subtrees`) that connect all values of a subtree that differ in at most
+    `budget` bits, or with `every` all such pairs. Subtrees share their first `fixed` bits. Without `every` the values of a
+    subtree are distinct."""
     cuts = np.flatnonzero(np.r_[True, subtrees[1:] != subtrees[:-1]]) if len(v) else np.zeros(0, int)
     ends = np.r_[cuts[1:], len(v)].astype(np.int64)
     many = ends - cuts > 1
@@ -120,12 +125,13 @@ def trie_links(v: np.ndarray, subtrees: np.ndarray, fixed: int = FIXED, budget:
             todo += [(depth, *(x[at : at + at_once] for x in (la, ha, lb, hb, err))) for at in range(0, len(la), at_once)]
             continue
         size = (ha - la) * (hb - lb)
-        near = err + (BITS - depth) <= budget  # all values below are within the budget: a star connects them
+        # All values below are within the budget: a star connects them. Where every pair is wanted, only equal values are so.
+        near = np.full(len(la), False) if every else err + (BITS - depth) <= budget
         if near.any():
             for a, b, c, d in ((la, la + 1, lb, hb), (la, ha, lb, lb + 1)):
                 i, j = _pairs(a[near], b[near], c[near], d[near])
                 yield i, j
-        small = ~near & (size <= leaf)
+        small = ~near & ((size <= leaf) | (depth == BITS))
         if small.any():
             i, j = _pairs(la[small], ha[small], lb[small], hb[small])
             hit = (i < j) & (np.bitwise_count(v[i] ^ v[j]) <= budget)
@@ -167,12 +173,12 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(budget: int):
     """Rows (subtree, v) sorted by both -> a forest of links (a, b) that connects what is linked within a subtree."""
 
     def joined(tree: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
         root, kept_i, kept_j, n = np.arange(len(v)), [], [], 0
-        for i, j in trie_links(v, tree):
+        for i, j in trie_links(v, tree, budget=budget):
             kept_i, kept_j, n = [*kept_i, i], [*kept_j, j], n + len(i)
             if n > 1 << 21:
                 root = _forest(len(v), np.concatenate([np.arange(len(v)), *kept_i]), np.concatenate([root, *kept_j]))
@@ -184,40 +190,75 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array(_front(x, k, back=True).view(np.int64)) for x in (v[own], v[root[own]])], ["a", "b"])
 
-    tree, v = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    for batch in batches:
-        tree = np.r_[tree, batch.column(0).to_numpy(zero_copy_only=False)]
-        v = np.r_[v, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
-        whole = int(np.searchsorted(tree, tree[-1])) if len(tree) else 0
-        if whole:
-            yield from joined(tree[:whole], v[:whole])
-            tree, v = tree[whole:], v[whole:]
-    yield from joined(tree, v)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, v = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            tree = np.r_[tree, batch.column(0).to_numpy(zero_copy_only=False)]
+            v = np.r_[v, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
+            whole = int(np.searchsorted(tree, tree[-1])) if len(tree) else 0
+            if whole:
+                yield from joined(tree[:whole], v[:whole])
+                tree, v = tree[whole:], v[whole:]
+        yield from joined(tree, v)
 
+    return rows
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all fingerprints of the one column of `distinct` that differ in at most 3 bits."""
+
+def fingerprint_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Links (a, b) that connect all fingerprints of the one column of `distinct` that differ in at most `budget` bits, 3 at
+    most."""
     # The order of v as a signed number is that of its bits within a subtree, whose first bit is shared.
     dealt = distinct.mapInArrow(_keyed, "subtree long, v long").repartition("subtree").sortWithinPartitions("subtree", "v")
-    return dealt.mapInArrow(_links, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) for each row of `docs`; component_id is the smallest id of the component.
-
-    Null and empty texts have fingerprint 0. A null id is never the smallest; a component of null ids alone has a null
-    component_id. Rows with equal ids each have their own row. An empty table gives an empty result.
-    """
-    prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    return dealt.mapInArrow(_links(budget), "a long, b long")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, budget: int, similarity: float | None) -> DataFrame:
+    """(id, t, h, fp, component_id) for each row: hashes of the text and of the whole row, a print that rows of one node
+    share, and the smallest id of the component."""
+    whole = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"), whole.alias("h"), F.col(f"`{text_col}`").alias("text"))
+    if similarity is None:
+        if budget > BUDGET:
+            raise ValueError(f"a budget over {BUDGET} bits needs a similarity")
+        prints = stored(fingerprints(rows, size), "fingerprints")
+        roots = connected_components(fingerprint_links(prints.select("fp").distinct(), budget))
+    else:
+        from . import similar
+
+        prints = stored(similar.described(rows, size), "described")
+        roots = similar.similar_links(rows.select("text", "t"), prints, size, similarity, budget)
+        prints = prints.drop("sample")
     ids = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(fingerprint_links(prints.select("fp").distinct()))
     placed = ids.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = stored(placed, "placed")
     firsts = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.join(firsts, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    return prints.join(placed.join(firsts, "root").select("fp", "root", "component_id"), "fp")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its component, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["_kept_id"]), "left_semi")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = BUDGET, similarity: float | None = None) -> DataFrame:
+    """(id, fp, component_id) for each row of `docs`; component_id is the smallest id of the component.
+
+    Links are pairs of fingerprints over `size`-word shingles that differ in at most `budget` bits, 3 at most; with a
+    `similarity`, pairs of shingle sets of that Jaccard similarity or more within `budget` bits, and fp is a print of the
+    set. Null and empty texts are equal and linked; so are equal texts, of any length. A null id is never the smallest; a
+    component of null ids alone has a null component_id. Rows with equal ids each have their own row. An empty table gives an
+    empty result; other columns may have any name.
+    """
+    return _placed(docs, id_col, text_col, size, budget, similarity).select("id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = BUDGET, similarity: float | None = None) -> DataFrame:
+    """One row of `docs` for each component, with all its columns: that of the smallest id, null ids last; of rows that share
+    it, one. Links and odd rows are as in `near_duplicates`; an empty table stays empty."""
+    placed = stored(_placed(docs, id_col, text_col, size, budget, similarity).select("id", "t", "h", "root"), "rows")
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "t", "h")
+    kept = placed.groupBy("root").agg(F.min(key).alias("first")).select("first.id", "first.t", "first.h")
+    # Rows that are equal in all columns can't be told apart by a join; there are few, so only these are made distinct.
+    times = placed.groupBy("id", "t", "h").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1")
+    on_ = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.t") == F.col(f"{b}.t")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
+    kept = kept.alias("k").join(times.alias("n"), on_("k", "n"), "left").select("k.id", "k.t", "k.h", F.col("n._times").isNotNull().alias("_again"))
+    whole = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"), whole.alias("h"))
+    out = rows.alias("d").join(kept.alias("k"), on_("d", "k")).select("d.row", "d.id", "d.t", "d.h", "k._again")
+    once, again = out.filter("not _again"), out.filter("_again").dropDuplicates(["id", "t", "h"])
+    return once.unionByName(again).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
