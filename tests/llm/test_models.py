@@ -55,6 +55,7 @@ def test_toxicity_without_labels_and_of_nothing(spark):
 
 def test_lm_base_scores_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(class_lm, "HEAD", 120)  # most words go by way of the join
+    monkeypatch.setattr(class_lm, "CORE", 50)
     docs = corpus(300)[0] + [(7000 + i, f"new{i} LA Te É é", "en", "s", 1, 0.0, "x") for i in range(30)]
     train = [d for d in docs if crc(d[0]) % 10]
     words = lambda t: (t or "").encode().lower().split()
@@ -95,20 +96,59 @@ def test_exchange_finds_planted_classes_and_never_lowers_the_likelihood():
     assert likelihood(own) >= likelihood(start)
 
 
-def test_class_model_sums_to_one_at_most():
-    rnd = np.random.default_rng(1)
-    n = class_lm.OWN + class_lm.ENDINGS + 1
-    words = {f"w{i}".encode(): int(x) for i, x in enumerate(sorted(rnd.integers(1, 50, 700), reverse=True))}
-    by = np.zeros((class_lm.ENDINGS, 2), np.int64)
-    for w, c in words.items():
-        by[class_lm.ending(w)] += 1, c
-    m = class_lm.Model(words, rnd.integers(0, 3, (n, n)), sum(words.values()), len(words), by, 40)
-    assert np.allclose((10**m.log_step).sum(1), 1, atol=1e-6)
-    find = class_lm._item_finder(m.own)
-    classes = m.item_class[find(list(words))]
-    mass = np.zeros(class_lm.CLASSES)
-    np.add.at(mass, classes, [(c + class_lm.ADD) / 10 ** m.log_room[k] for c, k in zip(words.values(), classes, strict=True)])
-    assert (mass < 1).all()
+def test_class_scores_equal_brute_force(spark, monkeypatch):
+    """The score from counts made anew: every word of the training texts has a class, and what it is joined from doesn't
+    matter."""
+    monkeypatch.setattr(class_lm, "HEAD", 120)
+    monkeypatch.setattr(class_lm, "CORE", 40)
+    docs = [(d, t) for d, t, *_ in corpus(300)[0]] + [(7000 + i, f"new{i} LA Te \u00c9 \u00e9") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    train = [t for d, t in docs if crc(d) % 10]
+    model, rest = class_lm.fit(spark.createDataFrame([(t,) for t in train], "text string"))
+    of = dict(zip(model.head.to_pylist(), model.classes.tolist(), strict=True)) | {r.word: r["class"] for r in rest.collect()}
+    core = set(model.head.to_pylist()[: model.n_core])
+    words = lambda t: [w.decode() for w in (t or "").encode().lower().split()]
+    counts = Counter(w for t in train for w in words(t))
+    assert set(of) == set(counts) and len(core) <= 40 < len(model.head) <= 120 and set(of.values()) <= set(range(class_lm.CLASSES - 1))
+    end = class_lm.CLASSES - 1
+    state = lambda w: class_lm.END if w is None else of[w] if w in core else class_lm.RARE
+    steps = np.zeros((class_lm.STATES, class_lm.CLASSES))
+    for t in train:
+        seq = [None, *words(t), None]
+        for a, b in zip(seq, seq[1:], strict=False):
+            steps[state(a), end if b is None else of[b]] += 1
+    share = (steps.sum(0) + 1) / (steps.sum() + class_lm.CLASSES)
+    p_class = (steps + 20 * share) / (steps.sum(1, keepdims=True) + 20)
+    assert np.allclose(p_class.sum(1), 1)
+    size, kinds = np.zeros(class_lm.CLASSES), np.zeros(class_lm.CLASSES)
+    for w, n in counts.items():
+        size[of[w]] += n
+        kinds[of[w]] += 1
+    size[end], kinds[end] = len(train), 1
+    room = size + 0.1 * (kinds + 1)
+    unseen = (p_class * 0.1 / room).sum(1)
+
+    def score(text):
+        total, before = 0.0, None
+        for w in [*words(text), None]:
+            c = end if w is None else of.get(w)
+            n = len(train) if w is None else counts[w]
+            total += math.log10(unseen[state(before)] if c is None else p_class[state(before), c] * (n + 0.1) / room[c])
+            before = w
+        return total
+
+    out = class_lm.lm_scores(df).collect()
+    assert sorted((str(r.id), round(r.score, 5)) for r in out) == sorted((str(d), round(score(t), 5)) for d, t in docs)
+
+
+def test_classes_lower_the_perplexity_of_held_out_texts(spark):
+    """Words of three kinds that follow each other in turn, most of them rare: the classes show it, counts alone don't."""
+    rnd = random.Random(2)
+    kinds = [[f"{k}{i}" for i in range(600)] for k in "abc"]
+    pick = lambda words: words[min(int(rnd.expovariate(1 / 80)), 599)]
+    docs = [(d, " ".join(pick(kinds[i % 3]) for i in range(rnd.randint(30, 90)))) for d in range(400)]
+    out = [r for r in class_lm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r.held_out]
+    assert len(out) > 20 and sum(r.score for r in out) > sum(r.base_score for r in out) + 0.3 * sum(r.n_tokens for r in out)
 
 
 PAGES = [

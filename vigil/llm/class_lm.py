@@ -1,58 +1,89 @@
-"""LM scoring with class-based bigrams, the classes found by exchange clustering.
+"""LM scoring with Brown class-based bigrams, the classes of words found by exchange clustering.
 
-Every word belongs to an item: the most frequent words are items of their own, all others share an item with the words
-of the same ending. The bigram counts of items are taken over the whole training text in Spark and are a matrix of fixed
-size; exchange clustering moves items between classes while the likelihood of the class bigrams grows. A text has
+The most frequent words, CORE of them at most, are clustered on the driver: their bigram counts are a matrix of fixed size,
+and exchange moves one word at a time to the class that raises the likelihood of the class bigrams most, until none moves.
+All other words of the training text, however many, are then exchanged once in Spark: the contexts of each word (class
+before, class after) are counted, and the word goes to the class under which they are likeliest. So every word has a class
+of its own, and what is gathered (counts, contexts, classes) grows with the input. A text has
 
-    log10 P = sum of log10 P(class | class before) + log10 P(word | class)
+    log10 P = sum of log10 P(class | state before) + log10 P(word | class)
 
-with both parts smoothed. The count of a word enters P(word | class). Counts of the `HEAD` most frequent words, a fixed
-number, are broadcast; all other tokens are joined with the vocabulary by an equi-join, so the vocabulary may be of any
-size and none of it is left out. None of those words can be hot: each has less than 1 / HEAD of the tokens.
+with both parts smoothed. The state is the class of the word before where that word is in the core, `rare` where it isn't,
+and `end` at the start. A word that wasn't seen in training may be of any class. Counts and classes of the HEAD most frequent
+words at most are broadcast; all other tokens are joined with the vocabulary by an equi-join, so none of it is left out. None
+of those words can be hot: each has less than 1 / HEAD of the tokens.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, stored
+from .common import crc_of_id, most_frequent, stored
 
-HEAD, OWN, ENDINGS, CLASSES = 50_000, 500, 250, 48
-#: Distinct words that a task counts or remembers before it passes them on or starts anew.
+HEAD, CORE, CLASSES = 50_000, 2000, 48
+#: States before a word: the classes of core words, a word outside the core, the start of a text.
+RARE, END, STATES = CLASSES, CLASSES + 1, CLASSES + 2
+#: Distinct words or contexts that a task counts before it passes them on.
 REMEMBER = 300_000
 ADD = 0.1
+_SPACES = "[\x09-\x0d\x20]+"
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words, A-Z in lower case; the end is not among them."""
-    return (text or "").encode().lower().split()
+def words_of_batch(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z in lower case, and where those of each text end."""
+    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), _SPACES)
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    full = pc.not_equal(flat, "")
+    kept = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))]
+    return flat.filter(full), kept[offsets[1:] - offsets[0]]
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word.decode()[-2:].encode()) % ENDINGS
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+class _Sums:
+    """Counts by key, added up within a task and passed on when there are too many keys."""
 
-    def out() -> pa.RecordBatch:
-        words, n = [w.decode() for w in counts], list(counts.values())
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], ["word", "n"])
+    def __init__(self, names: list[str]):
+        self.names, self.parts, self.rows = names, [], 0
+
+    def add(self, columns: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        table = pa.table(columns, names=self.names).group_by(self.names[:-1]).aggregate([("n", "sum")])
+        self.parts.append(pa.table([table[k] for k in self.names[:-1]] + [table["n_sum"]], names=self.names))
+        self.rows += table.num_rows
+        if self.rows > REMEMBER:
+            whole = self._whole()
+            if whole.num_rows > REMEMBER // 2:
+                yield from whole.to_batches()
+                self.parts, self.rows = [], 0
+            else:
+                self.parts, self.rows = [whole], whole.num_rows
+
+    def _whole(self) -> pa.Table:
+        table = pa.concat_tables(self.parts).group_by(self.names[:-1]).aggregate([("n", "sum")])
+        return pa.table([table[k] for k in self.names[:-1]] + [table["n_sum"].cast(pa.int64())], names=self.names)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield from self._whole().to_batches()
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(tokens(text))
-            if len(counts) > REMEMBER:
-                yield out()
-    yield out()
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = _Sums(["word", "n"])
+    for some in _slices(batches):
+        words, _ = words_of_batch(some.column(0))
+        found = words.value_counts()
+        yield from sums.add([found.field("values"), found.field("counts")])
+    yield from sums.rest()
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
@@ -60,30 +91,41 @@ def vocabulary(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def exchange(bigrams: np.ndarray, classes: int, end: int, sweeps: int = 10) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int, end: int, sweeps: int = 50) -> np.ndarray:
     """Classes of the items by exchange: each item in turn goes to the class that raises the likelihood of the class
-    bigrams most, until none moves. The item `end` keeps the last class to itself."""
+    bigrams most, until a sweep moves none or, as each move raises it, it has grown by less than a millionth. The item `end`
+    keeps the last class to itself."""
     n_items = len(bigrams)
     free = classes - 1
-    order = np.argsort(-bigrams.sum(1), kind="stable")
+    totals = bigrams.sum(1)
+    order = np.argsort(-totals, kind="stable")
     order = order[order != end]
     own = np.full(n_items, free)
     own[order] = np.arange(len(order)) % free
     onehot = np.eye(classes)[own]
-    right, left = bigrams @ onehot, bigrams.T @ onehot  # of each item: counts with the class after and before it
+    # Of each item: counts with the class after and before it, a block of rows at a time.
+    right, left = np.zeros((n_items, classes)), np.zeros((n_items, classes))
+    for at in range(0, n_items, 256):
+        block = bigrams[at : at + 256].astype(float)
+        right[at : at + 256] = block @ onehot
+        left += block.T @ onehot[at : at + 256]
     M = onehot.T @ right
     f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    likelihood = lambda: f(M).sum() - f(M.sum(1)).sum() - f(M.sum(0)).sum()
+    before = likelihood()
     for _ in range(sweeps):
         moved = 0
         for w in order:
-            r, l, self_, a = right[w].copy(), left[w].copy(), bigrams[w, w], own[w]
-            if not (r.sum() or l.sum()):
+            r, l, self_, a = right[w].copy(), left[w].copy(), float(bigrams[w, w]), own[w]
+            if not (r.any() or l.any()):
                 continue
             r[a], l[a] = r[a] - self_, l[a] - self_  # with the others of its class only
             M[a] -= r
             M[:, a] -= l
             M[a, a] -= self_
-            gain = (f(M + r) - f(M)).sum(1) + (f(M.T + l) - f(M.T)).sum(1)
+            # A word has few classes before and after it; the others' cells don't change.
+            after, prior = np.flatnonzero(r), np.flatnonzero(l)
+            gain = (f(M[:, after] + r[after]) - f(M[:, after])).sum(1) + (f(M[prior] + l[prior, None]) - f(M[prior])).sum(0)
             d = np.diag(M)
             gain += f(d + r + l + self_) - f(d + r) - f(d + l) + f(d)
             for total, new in ((M.sum(1), r.sum() + self_), (M.sum(0), l.sum() + self_)):
@@ -100,133 +142,209 @@ def exchange(bigrams: np.ndarray, classes: int, end: int, sweeps: int = 10) -> n
                 right[:, b] += bigrams[:, w]
                 left[:, a] -= bigrams[w]
                 left[:, b] += bigrams[w]
-        if not moved:
+        now = likelihood()
+        if not moved or now - before < 1e-6 * abs(before):
             break
+        before = now
     return own
 
 
-def _item_finder(own: dict[bytes, int]):
-    """word -> item, remembered."""
-    known: dict[bytes, int] = dict(own)
+class _Finder:
+    """The place of each word in a list of words, null where it isn't in it."""
+
+    def __init__(self, words: pa.Array):
+        self.words = words
+
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        """-1 for a word that isn't in the list. Each distinct word is looked up once."""
+        coded = words.dictionary_encode()
+        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        return place[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
+
+
+def _sequence(items: np.ndarray, ends: np.ndarray, end: int) -> np.ndarray:
+    """One sequence of all texts: the end item, then the items of each text and the end item again."""
+    return np.r_[end, np.insert(items, ends, end)]
 
-    def items(words: list[bytes]) -> np.ndarray:
-        if len(known) > REMEMBER:
-            known.clear()
-            known.update(own)
-        for w in set(words).difference(known):
-            known[w] = OWN + ending(w)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-    return items
+def _core_bigrams(shared):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core = shared.value
+        n, find = len(core) + 2, _Finder(core)  # rare words share one item, then the end
+        sums = _Sums(["pair", "n"])
+        for some in _slices(batches):
+            words, ends = words_of_batch(some.column(0))
+            items = find(words)
+            seq = _sequence(np.where(items < 0, n - 2, items), ends, n - 1)
+            pairs, counts = np.unique(seq[:-1] * n + seq[1:], return_counts=True)
+            yield from sums.add([pa.array(pairs), pa.array(counts)])
+        yield from sums.rest()
+
+    return rows
+
+
+def _contexts(shared):
+    """Words outside the core with the state before and the class after: (word, context, n). Context is state * STATES +
+    state after."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        core, classes = shared.value
+        find, state = _Finder(core), np.r_[classes, RARE].astype(np.int64)  # the place -1 is the last
+        sums = _Sums(["word", "context", "n"])
+        for some in _slices(batches):
+            words, ends = words_of_batch(some.column(0))
+            items = find(words)
+            seq = _sequence(state[items], ends, END)
+            at = np.flatnonzero(items < 0)
+            place = at + 1 + np.searchsorted(ends, at, side="right")  # behind the first end and those of the texts before
+            context = (seq[place - 1] * STATES + seq[place + 1]).astype(np.int32)
+            yield from sums.add([words.take(pa.array(at)), pa.array(context), pa.array(np.ones(len(at), np.int64))])
+        yield from sums.rest()
+
+    return rows
 
 
-def _bigrams(shared):
+def _assigned(shared):
+    """Rows (word, n, contexts: list of (context, n)) -> (word, n, class, before: list of (state, n)): the class under which
+    the contexts are likeliest."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = OWN + ENDINGS + 1
-        items, total = _item_finder(shared.value), np.zeros(n * n, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                texts = [tokens(t) for t in batch.column(0).slice(at, 500).to_pylist()]
-                flat = items([w for t in texts for w in t])
-                ends = np.cumsum([len(t) for t in texts])
-                seq = np.r_[n - 1, np.insert(flat, ends, n - 1)]
-                total += np.bincount(seq[:-1] * n + seq[1:], minlength=n * n)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["pair", "n"])
+        log_to, log_from, log_size = shared.value  # P(class | state before), P(state after | class), tokens of a class
+        for some in _slices(batches, 2000):
+            lists = some.column(2)
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            inner = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+            context, n = inner.field(0).to_numpy(zero_copy_only=False), inner.field(1).to_numpy(zero_copy_only=False)
+            score = n[:, None] * (log_to[context // STATES] + log_from[:, context % STATES].T)
+            sums = np.add.reduceat(score, offsets[:-1] - offsets[0]) if len(score) else np.zeros((0, CLASSES))
+            sums -= some.column(1).to_numpy()[:, None] * log_size
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sums[:, : CLASSES - 1].argmax(1).astype(np.int32)), lists], ["word", "n", "class", "contexts"])
 
     return rows
 
 
 class Model:
-    """All of fixed size: counts and classes of the head words, classes of items, transitions, and totals."""
-
-    def __init__(self, head: dict[bytes, int], bigrams: np.ndarray, n_words: int, n_kinds: int, by_ending: np.ndarray, n_docs: int):
-        end = OWN + ENDINGS
-        self.item_class = exchange(bigrams.astype(float), CLASSES, end)
-        self.head = head
-        self.own = {w: i for i, w in enumerate(list(head)[:OWN])}
-        self.n, self.kinds, self.n_docs = n_words + n_docs, n_kinds + (n_docs > 0), n_docs
-        kinds, sums = np.zeros(end + 1), np.zeros(end + 1)
-        kinds[OWN:end], sums[OWN:end] = by_ending.T
-        for w, i in self.own.items():
-            kinds[i], sums[i] = 1, head[w]
-            kinds[OWN + ending(w)] -= 1
-            sums[OWN + ending(w)] -= head[w]
-        kinds[end], sums[end] = n_docs > 0, n_docs
-        of = np.eye(CLASSES)[self.item_class]
-        self.log_room = np.log10(sums @ of + ADD * (kinds @ of + 1))  # P(word | class) = (count + ADD) / room
-        both = of.T @ bigrams @ of
-        before, after = both.sum(1), both.sum(0)
-        share = (after + 1) / (after.sum() + CLASSES)
-        self.log_step = np.log10((both + 20 * share) / (before + 20)[:, None])
+    """All of fixed size: head words with their counts and classes, transitions, and totals of the classes."""
+
+    def __init__(self, head: pa.Array, counts: np.ndarray, classes: np.ndarray, n_core: int, steps: np.ndarray, sizes: np.ndarray, kinds: np.ndarray, n_docs: int):
+        """steps: counts of (state, class), the class of the end last; sizes, kinds: tokens and distinct words by class."""
+        self.head, self.counts, self.classes, self.n_core, self.n_docs = head, counts, classes, n_core, n_docs
+        self.n, self.kinds = int(sizes.sum()), int(kinds.sum())
+        share = (steps.sum(0) + 1) / (steps.sum() + CLASSES)
+        self.log_step = np.log10((steps + 20 * share) / (steps.sum(1, keepdims=True) + 20))
+        self.log_room = np.log10(sizes + ADD * (kinds + 1))  # P(word | class) = (count + ADD) / room
         self.log_base_room = np.log10(self.n + ADD * (self.kinds + 1))
+        # An unseen word may be of any class, each of which keeps ADD for it.
+        self.log_unseen = np.log10((10.0**self.log_step * ADD / 10.0**self.log_room).sum(1))
 
 
-SCHEMA = "rid long, id {}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<string>"
+SCHEMA = "rid long, id {}, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<struct<word:string,state:int>>"
 
 
 def _scores(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        log_head = {w: float(np.log10(n + ADD)) for w, n in m.head.items()}
-        items, log_none, log_end = _item_finder(m.own), float(np.log10(ADD)), float(np.log10(m.n_docs + ADD))
-        end_class = CLASSES - 1
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                n_tokens, n_known, base, score, tails = [], [], [], [], []
-                for text in some.column(3).to_pylist():
-                    words = tokens(text)
-                    logs = [log_head.get(w) for w in words]
-                    tail = [w.decode() for w, x in zip(words, logs, strict=True) if x is None]
-                    total = sum(x for x in logs if x is not None) + log_end + log_none * len(tail)
-                    classes = np.r_[end_class, m.item_class[items(words)], end_class].astype(np.int64)
-                    n_tokens.append(len(words) + 1)
-                    n_known.append(len(words) - len(tail) + (m.n_docs > 0))
-                    base.append(total - (len(words) + 1) * m.log_base_room)
-                    score.append(total + float(m.log_step[classes[:-1], classes[1:]].sum() - m.log_room[classes[1:]].sum()))
-                    tails.append(tail)
-                yield pa.RecordBatch.from_arrays(
-                    [*some.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), pa.array(tails, pa.list_(pa.string()))],
-                    ["rid", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"],
-                )
+        find = _Finder(m.head)
+        log_count = np.r_[np.log10(m.counts + ADD), np.log10(m.n_docs + ADD), np.log10(ADD)]  # head words, the end, others
+        end, other = len(m.counts), len(m.counts) + 1
+        of_class = np.r_[m.classes, CLASSES - 1, 0].astype(np.int64)
+        state = np.r_[m.classes[: m.n_core], np.full(len(m.classes) - m.n_core, RARE), END, RARE].astype(np.int64)
+        for some in _slices(batches):
+            words, ends = words_of_batch(some.column(3))
+            items = find(words)
+            items[items < 0] = other
+            seq = _sequence(items, ends, end)
+            before, now = state[seq[:-1]], seq[1:]
+            tail = now == other
+            step = np.where(tail, m.log_unseen[before], m.log_step[before, of_class[now]] + log_count[now] - m.log_room[of_class[now]])
+            base = log_count[now] - m.log_base_room
+            starts = np.r_[0, ends[:-1]] + np.arange(len(ends))
+            n_tokens = np.diff(np.r_[0, ends]) + 1
+            n_tail = np.add.reduceat(tail.astype(np.int64), starts) if len(starts) else n_tokens
+            n_known = n_tokens - n_tail - (0 if m.n_docs else 1)
+            place = np.flatnonzero(tail)
+            held = pa.StructArray.from_arrays([words.filter(pa.array(items == other)), pa.array(before[place].astype(np.int32))], ["word", "state"])
+            tails = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_tail)].astype(np.int32)), held)
+            sums = [np.add.reduceat(x, starts) if len(starts) else np.zeros(0) for x in (base, step)]
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(n_tokens), pa.array(n_known), *map(pa.array, sums), tails], ["rid", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
 
     return rows
 
 
+def _log_rows(counts: np.ndarray, add: float = 0.5) -> np.ndarray:
+    return np.log((counts + add) / (counts + add).sum(1, keepdims=True))
+
+
 def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the one text column, and the vocabulary (word, n) of any size."""
+    """The model of the one text column, and the words outside its head: (word, n, class)."""
+    spark = texts.sparkSession
     words = stored(vocabulary(texts), "vocabulary")
-    head = {r.word.encode(): r.n for r in words.orderBy(F.desc("n"), "word").limit(HEAD).collect()}
-    code = F.crc32(F.right(F.col("word"), F.lit(2))) % ENDINGS
-    by_ending = np.zeros((ENDINGS, 2), np.int64)
-    for r in words.groupBy(code.alias("e")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).collect():
-        by_ending[r.e] = r.kinds, r.n
-    kinds, total = by_ending.sum(0)
-    shared = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(list(head)[:OWN])})
-    n = OWN + ENDINGS + 1
-    pairs = texts.mapInArrow(_bigrams(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    top = most_frequent(words, "n", HEAD).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    head, counts = top["word"].combine_chunks(), top["n"].to_numpy()
+    n_core = min(CORE, len(counts))
+    core = head.slice(0, n_core)
+    n = n_core + 2
+    pairs = texts.mapInArrow(_core_bigrams(spark.sparkContext.broadcast(core)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     bigrams = np.zeros(n * n, np.int64)
     bigrams[pairs["pair"].to_numpy()] = pairs["n"].to_numpy()
     bigrams = bigrams.reshape(n, n)
-    return Model(head, bigrams, int(total), int(kinds), by_ending, int(bigrams[:, -1].sum())), words
+    del pairs
+    n_docs = int(bigrams[:, n - 1].sum())
+    # The rare words' item is no word: it takes part in no class, but stays beside them as a state.
+    known = np.r_[np.arange(n_core), n - 1]
+    classes = exchange(bigrams[np.ix_(known, known)], CLASSES, n_core)[:n_core] if n_core else np.zeros(0, np.int64)
+    state = np.r_[classes, RARE, END].astype(np.int64)
+    both = np.zeros((STATES, STATES))
+    np.add.at(both, (np.repeat(state, n), np.tile(state, n)), bigrams.ravel())
+    # Other words: likelihoods of what stands before and after, from the core's classes.
+    sizes = np.bincount(classes, counts[:n_core], CLASSES) if n_core else np.zeros(CLASSES)
+    log_to = _log_rows(both[:, : CLASSES])
+    log_from = _log_rows(both[:CLASSES])
+    shared = spark.sparkContext.broadcast((log_to, log_from, np.log(sizes + 1)))
+    found = texts.mapInArrow(_contexts(spark.sparkContext.broadcast((core, classes))), "word string, context int, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    # A word has at most STATES * STATES contexts, however often it occurs.
+    found = found.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("context", "n")).alias("contexts"))
+    placed = stored(found.mapInArrow(_assigned(shared), "word string, n long, class int, contexts array<struct<context:int,n:long>>"), "classes")
+    totals = placed.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
+    steps = np.zeros((STATES, CLASSES))
+    steps[:, : CLASSES - 1] = both[:, : CLASSES - 1]
+    steps[:, CLASSES - 1] = both[:, END]
+    each = placed.select("class", F.explode("contexts").alias("c")).groupBy("class", F.floor(F.col("c.context") / STATES).cast("int").alias("state")).agg(F.sum("c.n").alias("n"))
+    for r in each.collect():
+        steps[r.state, r["class"]] += r.n
+    kinds = np.bincount(classes, minlength=CLASSES).astype(float)
+    for r in totals:
+        sizes[r["class"]] += r.n
+        kinds[r["class"]] += r.kinds
+    sizes[CLASSES - 1], kinds[CLASSES - 1] = n_docs, n_docs > 0
+    # The head beyond the core takes its classes from the table; what is left is joined.
+    table = placed.select("word", "n", "class")
+    rest = pa.table({"word": head.slice(n_core), "at": np.arange(n_core, len(counts))})
+    least = int(counts[-1]) if len(counts) else 0
+    more = dict(zip(*(x.to_pylist() for x in table.filter(F.col("n") >= least).select("word", "class").toArrow().columns), strict=True)) if len(rest) else {}
+    own = np.r_[classes, np.array([more[w] for w in rest["word"].to_pylist()], np.int64)]
+    return Model(head, counts, own, n_core, steps, sizes, kinds, n_docs), table.filter(F.col("n") < least) if len(counts) else table
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of `docs`.
 
     Rows whose crc32(id) mod 10 is 0 are held out, the others train. A null text is empty and has its end alone; a null
-    id counts as the empty string in crc32. Rows with equal ids are rows of their own. Without training rows all words
-    are unknown. An empty table gives an empty result; other columns may have any name.
+    id counts as the empty string in crc32. Very long texts are scored whole; equal texts have equal scores. Rows with equal
+    ids are rows of their own. Without training rows all words are unknown. An empty table gives an empty result; other
+    columns may have any name.
     """
     held_out = crc_of_id(F.col(f"`{id_col}`")) % 10 == 0
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("id"), held_out.alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     model, words = fit(rows.filter(~F.col("held_out")).select("text"))
     # Row numbers are fixed by being written once; head words are scored here, tail words are passed on.
     part = stored(rows.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), SCHEMA.format(rows.schema["id"].dataType.simpleString())), "scored")
-    tail = part.select("rid", F.explode("tail").alias("word")).join(words, "word")
-    more = tail.groupBy("rid").agg(F.count(F.lit(1)).alias("found"), F.sum(F.log10(F.col("n") + ADD) - F.log10(F.lit(ADD))).alias("gain"))
-    gain, found = F.coalesce("gain", F.lit(0.0)), F.coalesce("found", F.lit(0))
+    table = lambda x: F.array(*[F.lit(float(v)) for v in x])
+    step = F.get(table(model.log_step.ravel()), F.col("state") * CLASSES + F.col("class")) - F.get(table(model.log_room), F.col("class"))
+    gain = F.log10(F.col("n") + ADD)
+    tail = part.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.state").join(words, "word")
+    more = tail.groupBy("rid").agg(F.count(F.lit(1)).alias("found"), F.sum(gain - F.log10(F.lit(ADD))).alias("base_gain"), F.sum(gain + step - F.get(table(model.log_unseen), F.col("state"))).alias("gain"))
+    or_zero = lambda c: F.coalesce(c, F.lit(0.0))
     return part.join(more, "rid", "left").select(
-        "id", "held_out", "n_tokens", (F.col("n_known") + found).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base_score") + gain).alias("base_score"), (F.col("score") + gain).alias("score")
+        "id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base_score") + or_zero("base_gain")).alias("base_score"), (F.col("score") + or_zero("gain")).alias("score")
     )

@@ -8,7 +8,8 @@ one. The order decides the cost only. Within each subtree node pairs go down the
 pruned beyond the budget; what is left is compared exactly.
 
 A large group of near copies would make very many pairs, so the texts of a subtree are first compared with one text of it,
-the results joined to components, and again with another; only pairs that are in different components then go down the trie.
+the results joined to components, and again with
+another; only pairs that are in different components then go down the trie.
 Nothing is dropped or capped.
 """
 
@@ -27,8 +28,10 @@ from .common import most_frequent, stored
 from .components import connected_components
 from .simhash import majority_bits, shingle_hashes, trie_links
 
-#: One text in SAMPLE is counted for the order of shingles, in which at most COMMON frequent ones come last; rounds of stars.
-SAMPLE, COMMON, ROUNDS = 16, 100_000, 2
+#: One text in SAMPLE is counted for the order of shingles, in which at most COMMON frequent ones come last.
+SAMPLE, COMMON = 16, 100_000
+#: How many centres a large group has in the round of stars.
+HUBS = 8
 #: Bits of the filters for repeated shingles and for texts that share one.
 FILTER = 1 << 24
 EPS = 1e-9
@@ -124,9 +127,10 @@ def _alike(similarity: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                keep.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - EPS)
+            for one, two in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - EPS)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
     return rows
@@ -174,39 +178,42 @@ def similar_links(texts: DataFrame, known: DataFrame, size: int, similarity: flo
     shared = spark.sparkContext.broadcast((common["key"].to_numpy().view(np.uint64)[order], common["n"].to_numpy()[order]))
     entries = stored(texts.select("text").mapInArrow(_entries(size, similarity, shared), "key long, fp long, sim long, n int, place int"), "entries")
     # Most shingles stand in one text: a counting filter finds the others without a shuffle of the entries themselves.
-    bits = qf.slice_bits_for(entries.count())
-    short = qf.short_print(F.col("key"), bits)
-    shared_keys = spark.sparkContext.broadcast(bitmap(qf.repeated(entries.select(short.alias("fp")), bits).select("fp")))
+    named = qf.slice_bits_for(entries.count())
+    short = qf.short_print(F.col("key"), named)
+    shared_keys = spark.sparkContext.broadcast(bitmap(qf.repeated(entries.select(short.alias("fp")), named).select("fp")))
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - qf.INNER - bits)
+            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - qf.INNER - named)
             yield batch.filter(pa.array(in_bitmap(shared_keys.value, own.view(np.int64))))
 
     some = stored(entries.mapInArrow(repeated, entries.schema).dropDuplicates(["key", "fp"]), "some")
     first_of_smaller = F.col("n") - F.col("place") >= F.col("n") * (2 * similarity / (1 + similarity)) - EPS
     keys = some.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min(F.when(first_of_smaller, F.col("n"))).alias("least")).filter("lo <> hi and least is not null")
     members = stored(some.join(keys.select("key", "least"), "key").filter("n >= least").drop("least"), "members")
-    wanted = known.join(members.select("fp").distinct(), "fp", "left_semi").select("t")
-    sets = stored(texts.mapInArrow(_sets(size, spark.sparkContext.broadcast(bitmap(wanted))), "fp long, hashes binary").dropDuplicates(["fp"]), "sets")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        some_texts = spark.sparkContext.broadcast(bitmap(known.join(wanted, "fp", "left_semi").select("t")))
+        sets = stored(texts.mapInArrow(_sets(size, some_texts), "fp long, hashes binary").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
         one, two = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
         return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), "alike")
 
     roots = spark.createDataFrame([], "a long, root long")
-    for k in range(ROUNDS + 1):
+    # A round of stars, then the trie: first for the nearest pairs, which leave fewer components to the full budget.
+    for bits in (None, budget // 4, budget):
+        # The order of columns is that of `_trie_pairs`.
         rooted = members.join(roots, F.col("fp") == F.col("a"), "left").select("key", "sim", "fp", "n", "place", F.coalesce("root", "fp").alias("root"))
         rooted = stored(rooted, "rooted")
         row = F.struct("fp", "n", "place", "root", "sim")
-        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("fp", F.lit(k)), row.alias("row")))["row"].alias("o")).filter("lo <> hi")
-        if k < ROUNDS:
+        apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("fp", F.pmod("key", F.lit(HUBS))), row.alias("row")))["row"].alias("o")).filter("lo <> hi")
+        if bits is None:
             pairs = rooted.join(apart.select("key", "o"), "key").filter((F.col("root") != F.col("o.root")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("o.sim"))) <= budget))
             pairs = pairs.filter(_possible(F.col("n"), F.col("place"), F.col("o.n"), F.col("o.place"), similarity)).select(F.col("fp").alias("a"), F.col("o.fp").alias("b"))
         else:
             dealt = rooted.join(apart.select("key"), "key").repartition("key").sortWithinPartitions("key")
-            pairs = dealt.mapInArrow(_trie_pairs(similarity, budget), "a long, b long")
+            pairs = dealt.mapInArrow(_trie_pairs(similarity, bits), "a long, b long")
         found = alike(pairs)
         if not found.isEmpty():
             roots = connected_components(found.unionByName(roots.withColumnRenamed("root", "b")))
