@@ -2,9 +2,9 @@
 
 The most frequent words, CORE of them at most, are clustered on the driver: their bigram counts are a matrix of fixed size,
 and exchange moves one word at a time to the class that raises the likelihood of the class bigrams most, until none moves.
-All other words of the training text, however many, are then exchanged once in Spark: the contexts of each word (class
-before, class after) are counted, and the word goes to the class under which they are likeliest. So every word has a class
-of its own, and what is gathered (counts, contexts, classes) grows with the input. A text has
+All other words of the training text, however many, are then exchanged once in Spark: the contexts of each word (states
+before and after) are counted, and the word goes to the class under which they are likeliest. So every word has a class, and
+what is gathered (counts, contexts, classes) grows with the input. A text has
 
     log10 P = sum of log10 P(class | state before) + log10 P(word | class)
 
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, most_frequent, stored
 
-HEAD, CORE, CLASSES = 50_000, 2000, 48
+HEAD, CORE, CLASSES = 200_000, 2000, 48
 #: States before a word: the classes of core words, a word outside the core, the start of a text.
 RARE, END, STATES = CLASSES, CLASSES + 1, CLASSES + 2
 #: Distinct words or contexts that a task counts before it passes them on.
 REMEMBER = 300_000
 ADD = 0.1
+#: Head words whose contexts are one row of a task's output.
+SLICE = 2048
 _SPACES = "[\x09-\x0d\x20]+"
 
 
@@ -183,42 +185,85 @@ def _core_bigrams(shared):
     return rows
 
 
+CONTEXTS = "word string, context int, n long, slice int, ids binary, counts binary"
+
+
 def _contexts(shared):
-    """Words outside the core with the state before and the class after: (word, context, n). Context is state * STATES +
-    state after."""
+    """Counts of the states before and after words outside the core. For words outside the head, rows (word, context, n) with
+    context = state * STATES + state after; for the others, rows (slice, ids, counts) of SLICE words, dense."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core, classes = shared.value
-        find, state = _Finder(core), np.r_[classes, RARE].astype(np.int64)  # the place -1 is the last
+        head, classes = shared.value
+        n_core, width = len(classes), 2 * STATES
+        find, state = _Finder(head), np.r_[classes, np.full(len(head) - n_core, RARE), RARE].astype(np.int64)  # the place -1 is the last
+        dense = np.zeros((len(head) - n_core) * width, np.int32)
         sums = _Sums(["word", "context", "n"])
+
+        def wide(some: pa.RecordBatch) -> pa.RecordBatch:
+            none = [pa.nulls(some.num_rows, t) for t in (pa.int32(), pa.binary(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*(some.column(k) for k in ("word", "context", "n")), *none], ["word", "context", "n", "slice", "ids", "counts"])
+
         for some in _slices(batches):
             words, ends = words_of_batch(some.column(0))
             items = find(words)
             seq = _sequence(state[items], ends, END)
+            place = np.arange(len(items)) + 1 + np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+            before, after = seq[place - 1], seq[place + 1]
+            mid = items >= n_core
+            np.add.at(dense, (items[mid] - n_core) * width + before[mid], 1)
+            np.add.at(dense, (items[mid] - n_core) * width + STATES + after[mid], 1)
             at = np.flatnonzero(items < 0)
-            place = at + 1 + np.searchsorted(ends, at, side="right")  # behind the first end and those of the texts before
-            context = (seq[place - 1] * STATES + seq[place + 1]).astype(np.int32)
-            yield from sums.add([words.take(pa.array(at)), pa.array(context), pa.array(np.ones(len(at), np.int64))])
-        yield from sums.rest()
+            context = (before[at] * STATES + after[at]).astype(np.int32)
+            for out in sums.add([words.take(pa.array(at)), pa.array(context), pa.array(np.ones(len(at), np.int64))]):
+                yield wide(out)
+        for out in sums.rest():
+            yield wide(out)
+        dense = dense.reshape(-1, width)
+        for k in range(0, len(dense), SLICE):
+            ids = np.flatnonzero(dense[k : k + SLICE].any(1)) + k
+            if len(ids):
+                none = [pa.nulls(1, t) for t in (pa.string(), pa.int32(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array([k // SLICE], pa.int32()), pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([dense[ids].tobytes()], pa.binary())], ["word", "context", "n", "slice", "ids", "counts"])
+
+    return rows
+
+
+def _best(before: np.ndarray, after: np.ndarray, logs: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The class of each word from its counts of states before and after: that under which they are likeliest."""
+    log_to, log_from, log_size = logs  # P(class | state before), P(state after | class), tokens of a class
+    return (before @ log_to + after @ log_from.T - before.sum(1)[:, None] * log_size)[:, : CLASSES - 1].argmax(1)
+
+
+def _placed_slices(shared):
+    """The rows of one slice -> (ids, classes, steps): the classes of its words, and counts of (state before, class)."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        total = np.zeros((SLICE, 2 * STATES))
+        first = table["slice"][0].as_py() * SLICE
+        for ids, counts in zip(table["ids"].to_pylist(), table["counts"].to_pylist(), strict=True):
+            total[np.frombuffer(ids, np.int32) - first] += np.frombuffer(counts, np.int32).reshape(-1, 2 * STATES)
+        own = np.flatnonzero(total.any(1))
+        before, after = total[own, :STATES], total[own, STATES:]
+        classes = _best(before, after, shared.value)
+        steps = np.zeros((CLASSES, STATES))
+        np.add.at(steps, classes, before)
+        return pa.table({"ids": [(own + first).tobytes()], "classes": [classes.tobytes()], "steps": [steps.T.tobytes()]})
 
     return rows
 
 
-def _assigned(shared):
-    """Rows (word, n, contexts: list of (context, n)) -> (word, n, class, before: list of (state, n)): the class under which
-    the contexts are likeliest."""
+def _placed_words(shared):
+    """Rows (word, n, contexts: list of (context, n)) -> (word, n, class, contexts)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_to, log_from, log_size = shared.value  # P(class | state before), P(state after | class), tokens of a class
         for some in _slices(batches, 2000):
             lists = some.column(2)
             offsets = lists.offsets.to_numpy().astype(np.int64)
             inner = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
             context, n = inner.field(0).to_numpy(zero_copy_only=False), inner.field(1).to_numpy(zero_copy_only=False)
-            score = n[:, None] * (log_to[context // STATES] + log_from[:, context % STATES].T)
-            sums = np.add.reduceat(score, offsets[:-1] - offsets[0]) if len(score) else np.zeros((0, CLASSES))
-            sums -= some.column(1).to_numpy()[:, None] * log_size
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sums[:, : CLASSES - 1].argmax(1).astype(np.int32)), lists], ["word", "n", "class", "contexts"])
+            word = np.repeat(np.arange(len(lists)), np.diff(offsets))
+            before, after = (np.bincount(word * STATES + c, n, len(lists) * STATES).reshape(-1, STATES) for c in (context // STATES, context % STATES))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(_best(before, after, shared.value).astype(np.int32)), lists], ["word", "n", "class", "contexts"])
 
     return rows
 
@@ -298,32 +343,30 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     np.add.at(both, (np.repeat(state, n), np.tile(state, n)), bigrams.ravel())
     # Other words: likelihoods of what stands before and after, from the core's classes.
     sizes = np.bincount(classes, counts[:n_core], CLASSES) if n_core else np.zeros(CLASSES)
-    log_to = _log_rows(both[:, : CLASSES])
-    log_from = _log_rows(both[:CLASSES])
-    shared = spark.sparkContext.broadcast((log_to, log_from, np.log(sizes + 1)))
-    found = texts.mapInArrow(_contexts(spark.sparkContext.broadcast((core, classes))), "word string, context int, n long").groupBy("word", "context").agg(F.sum("n").alias("n"))
-    # A word has at most STATES * STATES contexts, however often it occurs.
-    found = found.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("context", "n")).alias("contexts"))
-    placed = stored(found.mapInArrow(_assigned(shared), "word string, n long, class int, contexts array<struct<context:int,n:long>>"), "classes")
-    totals = placed.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
-    steps = np.zeros((STATES, CLASSES))
+    kinds = np.bincount(classes, minlength=CLASSES).astype(float)
+    shared = spark.sparkContext.broadcast((_log_rows(both[:, :CLASSES]), _log_rows(both[:CLASSES]), np.log(sizes + 1)))
+    found = stored(texts.mapInArrow(_contexts(spark.sparkContext.broadcast((head, classes))), CONTEXTS), "contexts")
+    own, steps = np.r_[classes, np.zeros(len(counts) - n_core, np.int64)], np.zeros((STATES, CLASSES))
     steps[:, : CLASSES - 1] = both[:, : CLASSES - 1]
     steps[:, CLASSES - 1] = both[:, END]
+    for r in found.filter("slice is not null").select("slice", "ids", "counts").groupBy("slice").applyInArrow(_placed_slices(shared), "ids binary, classes binary, steps binary").collect():
+        ids, new = np.frombuffer(r.ids, np.int64) + n_core, np.frombuffer(r.classes, np.int64)
+        own[ids] = new
+        steps += np.frombuffer(r.steps).reshape(STATES, CLASSES)
+        np.add.at(sizes, new, counts[ids])
+        np.add.at(kinds, new, 1)
+    # A word has at most STATES * STATES contexts, however often it occurs.
+    tail = found.filter("word is not null").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    tail = tail.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("context", "n")).alias("contexts"))
+    placed = stored(tail.mapInArrow(_placed_words(shared), "word string, n long, class int, contexts array<struct<context:int,n:long>>"), "classes")
+    for r in placed.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
+        sizes[r["class"]] += r.n
+        kinds[r["class"]] += r.kinds
     each = placed.select("class", F.explode("contexts").alias("c")).groupBy("class", F.floor(F.col("c.context") / STATES).cast("int").alias("state")).agg(F.sum("c.n").alias("n"))
     for r in each.collect():
         steps[r.state, r["class"]] += r.n
-    kinds = np.bincount(classes, minlength=CLASSES).astype(float)
-    for r in totals:
-        sizes[r["class"]] += r.n
-        kinds[r["class"]] += r.kinds
     sizes[CLASSES - 1], kinds[CLASSES - 1] = n_docs, n_docs > 0
-    # The head beyond the core takes its classes from the table; what is left is joined.
-    table = placed.select("word", "n", "class")
-    rest = pa.table({"word": head.slice(n_core), "at": np.arange(n_core, len(counts))})
-    least = int(counts[-1]) if len(counts) else 0
-    more = dict(zip(*(x.to_pylist() for x in table.filter(F.col("n") >= least).select("word", "class").toArrow().columns), strict=True)) if len(rest) else {}
-    own = np.r_[classes, np.array([more[w] for w in rest["word"].to_pylist()], np.int64)]
-    return Model(head, counts, own, n_core, steps, sizes, kinds, n_docs), table.filter(F.col("n") < least) if len(counts) else table
+    return Model(head, counts, own, n_core, steps, sizes, kinds, n_docs), placed.select("word", "n", "class")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

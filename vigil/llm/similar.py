@@ -194,7 +194,7 @@ def similar_links(texts: DataFrame, known: DataFrame, size: int, similarity: flo
 
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
         some_texts = spark.sparkContext.broadcast(bitmap(known.join(wanted, "fp", "left_semi").select("t")))
         sets = stored(texts.mapInArrow(_sets(size, some_texts), "fp long, hashes binary").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
         one, two = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
