@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, most_frequent, stored
 
-HEAD, CORE, CLASSES = 200_000, 2000, 48
+HEAD, CORE, CLASSES = 100_000, 2000, 48
 #: States before a word: the classes of core words, a word outside the core, the start of a text.
 RARE, END, STATES = CLASSES, CLASSES + 1, CLASSES + 2
 #: Distinct words or contexts that a task counts before it passes them on.
 REMEMBER = 300_000
 ADD = 0.1
 #: Head words whose contexts are one row of a task's output.
-SLICE = 2048
+SLICE = 512
 _SPACES = "[\x09-\x0d\x20]+"
 
 
@@ -234,16 +234,27 @@ def _best(before: np.ndarray, after: np.ndarray, logs: tuple[np.ndarray, ...]) -
     return (before @ log_to + after @ log_from.T - before.sum(1)[:, None] * log_size)[:, : CLASSES - 1].argmax(1)
 
 
+def _sum_of(table: pa.Table, kind: type) -> tuple[int, np.ndarray, np.ndarray]:
+    """The first id, ids and counts of the rows of one slice, added up."""
+    total, first = np.zeros((SLICE, 2 * STATES), np.int64), table["slice"][0].as_py() * SLICE
+    for ids, counts in zip(table["ids"], table["counts"], strict=True):
+        total[np.frombuffer(ids.as_buffer(), np.int32) - first] += np.frombuffer(counts.as_buffer(), kind).reshape(-1, 2 * STATES)
+    own = np.flatnonzero(total.any(1))
+    return first, own, total[own]
+
+
+def _added_slices(table: pa.Table) -> pa.Table:
+    """Rows of one slice -> one row of the same form, with counts of 64 bits."""
+    first, own, total = _sum_of(table, np.int32)
+    return pa.table({"slice": table["slice"].slice(0, 1), "ids": [(own + first).astype(np.int32).tobytes()], "counts": [total.tobytes()]})
+
+
 def _placed_slices(shared):
     """The rows of one slice -> (ids, classes, steps): the classes of its words, and counts of (state before, class)."""
 
     def rows(table: pa.Table) -> pa.Table:
-        total = np.zeros((SLICE, 2 * STATES))
-        first = table["slice"][0].as_py() * SLICE
-        for ids, counts in zip(table["ids"].to_pylist(), table["counts"].to_pylist(), strict=True):
-            total[np.frombuffer(ids, np.int32) - first] += np.frombuffer(counts, np.int32).reshape(-1, 2 * STATES)
-        own = np.flatnonzero(total.any(1))
-        before, after = total[own, :STATES], total[own, STATES:]
+        first, own, total = _sum_of(table, np.int64)
+        before, after = total[:, :STATES].astype(float), total[:, STATES:].astype(float)
         classes = _best(before, after, shared.value)
         steps = np.zeros((CLASSES, STATES))
         np.add.at(steps, classes, before)
@@ -349,14 +360,18 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     own, steps = np.r_[classes, np.zeros(len(counts) - n_core, np.int64)], np.zeros((STATES, CLASSES))
     steps[:, : CLASSES - 1] = both[:, : CLASSES - 1]
     steps[:, CLASSES - 1] = both[:, END]
-    for r in found.filter("slice is not null").select("slice", "ids", "counts").groupBy("slice").applyInArrow(_placed_slices(shared), "ids binary, classes binary, steps binary").collect():
+    # Each task has a row for each slice; they are added up in two steps, so that no group holds a row of every task.
+    some = F.pmod(F.spark_partition_id(), F.lit(max(1, int(len(found.inputFiles()) ** 0.5)))).alias("some")
+    dense = found.filter("slice is not null").select("slice", "ids", "counts", some)
+    dense = dense.groupBy("slice", "some").applyInArrow(lambda table: _added_slices(table.drop_columns("some")), "slice int, ids binary, counts binary")
+    for r in dense.groupBy("slice").applyInArrow(_placed_slices(shared), "ids binary, classes binary, steps binary").collect():
         ids, new = np.frombuffer(r.ids, np.int64) + n_core, np.frombuffer(r.classes, np.int64)
         own[ids] = new
         steps += np.frombuffer(r.steps).reshape(STATES, CLASSES)
         np.add.at(sizes, new, counts[ids])
         np.add.at(kinds, new, 1)
     # A word has at most STATES * STATES contexts, however often it occurs.
-    tail = found.filter("word is not null").groupBy("word", "context").agg(F.sum("n").alias("n"))
+    tail = found.filter("word is not null").select("word", "context", "n").repartition("word").groupBy("word", "context").agg(F.sum("n").alias("n"))
     tail = tail.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("context", "n")).alias("contexts"))
     placed = stored(tail.mapInArrow(_placed_words(shared), "word string, n long, class int, contexts array<struct<context:int,n:long>>"), "classes")
     for r in placed.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
