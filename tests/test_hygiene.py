@@ -173,7 +173,7 @@ def test_age_leaves_a_finding_the_same(spark):
     stale = audit.findings(stale=spark.createDataFrame(rows, "subject string, days int, exact boolean"))
     got = {(r.days, r.exact): r.identity for r in audit.finding_identity(stale).collect()}
     assert got[200, True] == got[201, True] != got[201, False]
-    assert {r.line for r in audit.report_lines(stale, 180).collect()} == {"a is 200 days old (limit 180)", "a is 201 days old (limit 180)"}
+    assert {r.line for r in audit.report_lines(stale, 180).collect()} == {"a rotated 200 days ago (limit 180)", "a rotated 201 days ago (limit 180)", "a unchanged for 201 days or more (limit 180)"}
 
 
 def test_tags_and_head_licence(spark):
@@ -186,3 +186,43 @@ def test_tags_and_head_licence(spark):
 def test_dates(spark):
     got = spark.createDataFrame([(0,), (951782400,), (1790208000,), (-1,)], "t long").select(T.utc_date(F.col("t"))).collect()
     assert [r[0] for r in got] == ["1970-01-01", "2000-02-29", "2026-09-24", "1969-12-31"]
+
+
+def test_declared_copies_are_not_reused_and_all_places_are_listed(spark):
+    found = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x2"), ("b", "y"), ("b", "z"), ("c", "w")], "fp string, location string")
+    same = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x2"), (2, "y")], "group_id long, location string")
+    assert [(r.fp, r.n_locations, r.first_location) for r in audit.reused(found, same).collect()] == [("b", 3, "x2")]
+    assert sorted((r.fp, r.location) for r in audit.reused_places(found, same).collect()) == [("b", "x2"), ("b", "y"), ("b", "z")]
+    assert [tuple(r) for r in audit.declared(found, same).collect()] == [("a", 1)]
+
+
+def test_places_under_an_unseen_source_are_not_missing(spark):
+    found = spark.createDataFrame([("env:/a/x.env#K",)], "location string")
+    same = spark.createDataFrame([(1, "env:/a/x.env#K"), (1, "env:/b/y.env#K"), (1, "ini:/b/y.env#K"), (1, "file:/c")], "group_id long, location string")
+    unseen = spark.createDataFrame([(1, "env", "/b/*.env")], "ord int, kind string, pattern string")
+    assert sorted(r.location for r in audit.missing(found, same, unseen).collect()) == ["file:/c", "ini:/b/y.env#K"]
+
+
+def test_a_long_history_takes_few_steps(spark, monkeypatch):
+    n, seen = 10_000, []
+    monkeypatch.setattr(commits, "scratch", lambda s, name, real=commits.scratch: seen.append(name) or real(s, name))
+    edges = spark.range(1, n).select(F.col("id").alias("sha"), (F.col("id") - 1).alias("parent")).union(spark.createDataFrame([(5, 2), (0, None)], "sha long, parent long"))
+    edges = edges.select(F.col("sha").cast("string"), F.col("parent").cast("string"))
+    tips = spark.createDataFrame([("p", str(n - 1), "7000"), ("q", "6", None), ("z", "0000000", "3")], "push_id string, sha string, remote_sha string")
+    out = commits.outgoing_commits(edges, tips).groupBy("push_id").count().collect()
+    assert {r.push_id: r["count"] for r in out} == {"p": n - 1 - 7000, "q": 7} and len(seen) < 40
+
+
+@pytest.mark.parametrize(("url", "slug", "visibility"), [("../mirror", "../mirror", "private"), ("file:///srv/x", "file:///srv/x", "private"), ("https://user@github.com/A/b", "a/b", "public"), ("git@github.com:a/b.git/", "a/b", "public"), ("https://github.com/a/unknown", "a/unknown", None), ("https://git.example/a", "https://git.example/a", "public"), ("./pub", "./pub", "public")])
+def test_destinations(spark, url, slug, visibility):
+    vis = spark.createDataFrame([("a/b", "public")], "slug string, visibility string")
+    got = commits.classify_destination(spark.createDataFrame([(1, url)], "push_id int, url string"), vis, ("./pub",)).first()
+    assert (got.slug, got.visibility) == (slug, visibility)
+
+
+def test_control_characters_in_json_form(spark):
+    import json
+
+    values = ["plain secret", 'a"b\\c\n\t\r', "x\x00\x01\x1f\x0b y", "é/ok"]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(T.form_json(F.col("v"))).collect()]
+    assert got == [json.dumps(v, ensure_ascii=False)[1:-1].replace("\\b", "\\u0008").replace("\\f", "\\u000c") for v in values]

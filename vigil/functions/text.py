@@ -125,7 +125,12 @@ def form_json(s: Column) -> Column:
     out = F.regexp_replace(F.regexp_replace(s, r"\\", r"\\\\"), '"', r'\\"')
     for raw, esc in (("\n", "n"), ("\r", "r"), ("\t", "t")):
         out = F.replace(out, F.lit(raw), F.lit("\\" + esc))
-    return out
+    # Few texts have other control characters, so those that have none stop here.
+    rare = [chr(i) for i in range(32) if chr(i) not in "\n\r\t"]
+    coded = out
+    for c in rare:
+        coded = F.replace(coded, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return F.when(out.rlike(r"[\x00-\x1F]"), coded).otherwise(out)
 
 
 def form_percent(s: Column) -> Column:

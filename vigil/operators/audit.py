@@ -40,11 +40,23 @@ def credential_age(state: DataFrame, now) -> DataFrame:
     return state.withColumn("days", F.when(F.col("exact"), known).otherwise(F.greatest(known, F.coalesce(by_file, F.lit(0)))).cast("long"))
 
 
-def reused(found: DataFrame) -> DataFrame:
-    """(fp, n_locations, first_location) of fingerprints in more than one location. Only counts are gathered, so a
-    default password in very many locations is one row per map task."""
+def copies(found: DataFrame) -> DataFrame:
+    """(fp, n_locations) of fingerprints in more than one location. Only counts are gathered, so a default password in very
+    many locations is one row per map task."""
+    return found.select("fp", "location").distinct().groupBy("fp").agg(F.count(F.lit(1)).alias("n_locations")).filter("n_locations > 1")
+
+
+def reused(found: DataFrame, same: DataFrame | None = None) -> DataFrame:
+    """(fp, n_locations, first_location) of fingerprints in more than one location, but those that are declared: wholly
+    inside one `same` group (group_id, location). `reused_places` lists all locations."""
     each = found.select("fp", "location").distinct()
-    return each.groupBy("fp").agg(F.count(F.lit(1)).alias("n_locations"), F.min("location").alias("first_location")).filter("n_locations > 1")
+    out = each.groupBy("fp").agg(F.count(F.lit(1)).alias("n_locations"), F.min("location").alias("first_location")).filter("n_locations > 1")
+    return out if same is None else out.join(declared(found, same).select("fp"), "fp", "left_anti")
+
+
+def reused_places(found: DataFrame, same: DataFrame | None = None) -> DataFrame:
+    """(fp, location): a row for each place of a reused credential, so that none of any number is left out."""
+    return found.select("fp", "location").distinct().join(reused(found, same).select("fp"), "fp", "left_semi")
 
 
 def declared(found: DataFrame, same: DataFrame) -> DataFrame:
@@ -56,13 +68,26 @@ def declared(found: DataFrame, same: DataFrame) -> DataFrame:
 
 
 def drifted(found: DataFrame, same: DataFrame) -> DataFrame:
-    """`same` groups whose present copies differ: (group_id, n_copies, n_fps)."""
-    each = found.select("fp", "location").distinct().join(same, "location")
-    return each.groupBy("group_id").agg(F.count_distinct("location").alias("n_copies"), F.count_distinct("fp").alias("n_fps")).filter("n_fps > 1")
+    """`same` groups whose present copies have different labels: (group_id, label, location), a row for each copy. found has
+    label and location."""
+    each = same.select("group_id", "location").distinct().join(found.select("label", "location").distinct(), "location")
+    apart = each.groupBy("group_id").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("group_id")
+    return each.join(apart, "group_id").select("group_id", "label", "location")
 
 
-def missing(found: DataFrame, same: DataFrame) -> DataFrame:
-    return same.select("group_id", "location").distinct().join(found.select("location").distinct(), "location", "left_anti")
+def under_unseen(locations: DataFrame, unseen: DataFrame) -> DataFrame:
+    """The rows of `locations` (location, ...) that lie under a rule of `unseen` (ord, kind, pattern), which matched no file
+    and whose folder could not be looked at."""
+    placed = locations.select("location").distinct().select("location", T.location_kind(F.col("location")).alias("k"), T.location_path(F.col("location")).alias("path"))
+    named = match_sources(unseen, placed.select("path").distinct()).select("kind", "path").distinct()
+    inside = placed.join(named, (F.col("k") == F.col("kind")) & (placed["path"] == named["path"])).select("location")
+    return locations.join(inside, "location", "left_semi")
+
+
+def missing(found: DataFrame, same: DataFrame, unseen: DataFrame | None = None) -> DataFrame:
+    """(group_id, location): declared places without a credential, but those under a source that could not be looked at."""
+    gone = same.select("group_id", "location").distinct().join(found.select("location").distinct(), "location", "left_anti").select("group_id", "location")
+    return gone if unseen is None else gone.join(under_unseen(gone, unseen).select("location").distinct(), "location", "left_anti").select("group_id", "location")
 
 
 def rotations(found: DataFrame) -> DataFrame:
@@ -83,22 +108,38 @@ def match_sources(rules: DataFrame, files: DataFrame) -> DataFrame:
     return r.join(f, "folder").filter(fits).select("ord", "kind", "pattern", "path")
 
 
-def uncovered(rules: DataFrame, matched: DataFrame) -> DataFrame:
-    return rules.join(matched.select("ord").distinct(), "ord", "left_anti")
+def uncovered(rules: DataFrame, matched: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """Rules that match no file; with `folders` (path) of the folders that are listable and not empty, also `could_look`:
+    whether the rule's folder is one of them, so that files are gone rather than out of sight."""
+    out = rules.join(matched.select("ord").distinct(), "ord", "left_anti")
+    if folders is None:
+        return out
+    seen = folders.select(F.col("path").alias("folder")).distinct().withColumn("seen", F.lit(True))
+    return out.withColumn("folder", F.regexp_extract("pattern", r"^(.*)/[^/]*$", 1)).join(seen, "folder", "left").withColumn("could_look", F.coalesce("seen", F.lit(False))).drop("folder", "seen")
 
 
-def coverage(matched: DataFrame, found_paths: DataFrame) -> DataFrame:
-    """Per rule: files, files with a secret, secrets; a path counts for the first rule that names it."""
-    first = matched.groupBy("path").agg(F.min("ord").alias("ord"))
-    return first.join(found_paths, "path", "left").groupBy("ord").agg(F.count(F.lit(1)).alias("files"), F.count("n_secrets").alias("files_with"), F.coalesce(F.sum("n_secrets"), F.lit(0)).alias("secrets"))
+def coverage(matched: DataFrame, found: DataFrame) -> DataFrame:
+    """matched (ord, path), found (ord, path, location) -> per rule: files, secrets, and the names of its files without a
+    secret. A location counts for the first rule that reaches it; a file is empty for a rule only if nothing is in it."""
+    first = found.groupBy("location").agg(F.min("ord").alias("ord")).groupBy("ord").agg(F.count(F.lit(1)).alias("secrets"))
+    full = found.select("ord", "path").distinct().withColumn("full", F.lit(True))
+    files = matched.select("ord", "path").distinct().join(full, ["ord", "path"], "left")
+    each = files.groupBy("ord").agg(F.count(F.lit(1)).alias("files"), F.array_sort(F.collect_list(F.when(F.col("full").isNull(), F.regexp_extract("path", r"([^/]*)$", 1)))).alias("empty"))
+    return each.join(first, "ord", "left").select("ord", "files", F.coalesce("secrets", F.lit(0)).alias("secrets"), F.array_join("empty", ", ").alias("none_in"))
 
 
-def stale_accounts(shadow: DataFrame, today: int, limit: int) -> DataFrame:
-    """shadow (value) -> accounts with a password (a hash that starts with $) unchanged for `limit` days."""
+def read_shadow(shadow: DataFrame) -> DataFrame:
+    """shadow (value) -> (user, changed) of the accounts with a password: a hash that starts with $. The hash goes no further;
+    a date that is no number, or 0, is null."""
     part = F.split("value", ":", 4)
-    rows = shadow.select(part[0].alias("user"), part[1].alias("hash"), F.expr("try_cast(split(value, ':', 4)[2] as bigint)").alias("changed"))
-    days = F.lit(today) - F.col("changed")
-    return rows.filter(F.col("hash").startswith("$") & (F.col("changed") > 0) & (days >= limit)).select("user", days.cast("long").alias("days"))
+    changed = F.expr("try_cast(split(value, ':', 4)[2] as bigint)")
+    return shadow.filter((F.size(part) >= 3) & part[1].startswith("$")).select(part[0].alias("user"), F.when(changed > 0, changed).alias("changed"))
+
+
+def stale_accounts(shadow: DataFrame, today: int, limit: int) -> DataFrame:
+    """shadow (value) -> (user, days) of accounts whose password is unchanged for `limit` days."""
+    days = F.greatest(F.lit(today) - F.col("changed"), F.lit(0))
+    return read_shadow(shadow).filter(days >= limit).select("user", days.cast("long").alias("days"))
 
 
 def shared_labels(found: DataFrame) -> DataFrame:
@@ -124,35 +165,51 @@ FINDINGS = ("uncovered", "ambiguous", "missing", "drift", "reused", "stale", "ac
 
 
 def findings(**parts: DataFrame) -> DataFrame:
-    """Findings by kind, each (subject) and, where it has them, n, days and exact -> one table (rank, type, subject, n, days,
-    exact). Subjects are places or labels, never fingerprints."""
+    """Findings by kind, each (subject) and, where it has them, label, place, days and exact -> one table (rank, type,
+    subject, label, place, days, exact). A finding of several places has a row for each. Subjects are places or labels, never
+    fingerprints."""
     out = None
     for rank, kind in enumerate(FINDINGS):
         if kind not in parts:
             continue
         has = parts[kind].columns
         pick = lambda name, t: (F.col(name) if name in has else F.lit(None)).cast(t).alias(name)  # noqa: B023, E731
-        rows = parts[kind].select(F.lit(rank).alias("rank"), F.lit(kind).alias("type"), F.col("subject").cast("string").alias("subject"), pick("n", "long"), pick("days", "long"), pick("exact", "boolean"))
+        rows = parts[kind].select(F.lit(rank).alias("rank"), F.lit(kind).alias("type"), F.col("subject").cast("string").alias("subject"), pick("label", "string"), pick("place", "string"), pick("days", "long"), pick("exact", "boolean"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def finding_identity(rows: DataFrame) -> DataFrame:
-    """Adds `identity`: all of a finding but its age, so that a finding which only grows older is the same one."""
+    """Adds `identity`: all of a finding's row but its age, so that a finding which only grows older is the same one."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    return rows.withColumn("identity", F.sha2(F.concat_ws("\t", "type", "subject", part("n"), part("exact")), 256))
+    return rows.withColumn("identity", F.sha2(F.concat_ws("\t", "type", "subject", part("label"), part("place"), part("exact")), 256))
+
+
+def findings_changed(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Two tables with identities -> (identity, type, subject, change) of what is new or gone; no rows: nobody is told."""
+    a, b = before.select("identity", "type", "subject").distinct(), now.select("identity", "type", "subject").distinct()
+    return b.join(a, "identity", "left_anti").withColumn("change", F.lit("new")).unionByName(a.join(b, "identity", "left_anti").withColumn("change", F.lit("gone")))
+
+
+def audit_summary(found: DataFrame, report: DataFrame, same: DataFrame) -> DataFrame:
+    """One row: credentials, locations, and how many findings are reused, stale, of other kinds, and how many reuses are
+    declared. Accounts count as stale."""
+    one = found.agg(F.count_distinct("fp").alias("credentials"), F.count_distinct("location").alias("locations"))
+    each = report.select("type", "subject").distinct()
+    kinds = each.agg(F.count_if(F.col("type") == "reused").alias("reused"), F.count_if(F.col("type").isin("stale", "account")).alias("stale"), F.count_if(~F.col("type").isin("reused", "stale", "account")).alias("other"))
+    return one.crossJoin(kinds).crossJoin(declared(found, same).agg(F.count(F.lit(1)).alias("declared")))
 
 
 def report_lines(rows: DataFrame, limit: int) -> DataFrame:
-    """Adds `line`, one line of text per finding."""
-    s, n, days = F.col("subject"), F.col("n"), F.col("days")
+    """Adds `line`, one line of text per row."""
+    s, label, place, days = F.col("subject"), F.col("label"), F.col("place"), F.col("days")
     text = {
         "uncovered": F.format_string("no file matches %s", s),
         "ambiguous": F.format_string("several secrets under the name %s", s),
         "missing": F.format_string("no credential at the declared place %s", s),
-        "drift": F.format_string("copies of group %s differ: %d secrets", s, n),
-        "reused": F.format_string("%s is in %d places", s, n),
-        "stale": F.format_string("%s is %d days old (limit %d)", s, days, F.lit(limit)),
+        "drift": F.format_string("copies of group %s differ: %s at %s", s, label, place),
+        "reused": F.format_string("%s is in several places: %s", s, place),
+        "stale": F.when(F.col("exact"), F.format_string("%s rotated %d days ago (limit %d)", s, days, F.lit(limit))).otherwise(F.format_string("%s unchanged for %d days or more (limit %d)", s, days, F.lit(limit))),
         "account": F.format_string("account %s: password of %d days (limit %d)", s, days, F.lit(limit)),
     }
     line = F

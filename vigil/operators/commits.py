@@ -11,24 +11,30 @@ from ..sources.readers import scratch
 from . import known
 
 
-def classify_destination(pushes: DataFrame, visibility: DataFrame) -> DataFrame:
-    """pushes (push_id, url), visibility (slug, visibility) -> slug and visibility; local paths are private unless
-    declared, other hosts public, an unknown repository null."""
-    hosted = F.col("url").rlike("^(https?://|git@|ssh://git@)?github\\.com[:/]")
-    local = F.col("url").rlike("^(/|\\./|~)")
-    slug = F.lower(F.regexp_replace(F.regexp_replace("url", "^.*github\\.com[:/]", ""), "(\\.git)?/*$", ""))
+def classify_destination(pushes: DataFrame, visibility: DataFrame, declared_public: tuple[str, ...] = ()) -> DataFrame:
+    """pushes (push_id, url), visibility (slug, visibility) -> slug and visibility. Any url that holds github.com and then :
+    or / is looked up, and null where it isn't found; a path on this machine is private unless it is declared public; other
+    hosts are public."""
+    hosted, local = F.col("url").rlike(r"github\.com[:/]"), F.col("url").rlike(r"^(/|file://|\./|\.\./|~)")
+    slug = F.lower(F.regexp_replace(F.regexp_replace("url", r"^.*github\.com[:/]+", ""), r"(\.git)?/*$", ""))
     rows = pushes.select("push_id", "url", F.when(hosted, slug).otherwise(F.col("url")).alias("slug"), hosted.alias("hosted"), local.alias("local"))
     known = rows.join(visibility, "slug", "left")
-    return known.select("push_id", "slug", F.coalesce("visibility", F.when(F.col("local"), "private").when(~F.col("hosted"), "public")).alias("visibility"))
+    here = F.when(F.col("url").isin(*declared_public) if declared_public else F.lit(False), "public").otherwise("private")
+    return known.select("push_id", "slug", F.when(F.col("hosted"), F.col("visibility")).when(F.col("local"), here).otherwise("public").alias("visibility"))
 
 
 def public_not_allowed(placed: DataFrame, allow: DataFrame) -> DataFrame:
     return placed.filter("visibility = 'public'").join(allow.select(F.lower("repo").alias("slug")), "slug", "left_anti").select("push_id", "slug")
 
 
-def outgoing_commits(edges: DataFrame, tips: DataFrame, keep_every: int = 5) -> DataFrame:
+def outgoing_commits(edges: DataFrame, tips: DataFrame) -> DataFrame:
     """edges (sha, parent), tips (push_id, sha, remote_sha) -> (push_id, sha) reachable from the tip but not from the
-    remote tip. The frontier grows by one parent edge per step and lineage is cut in the shared folder."""
+    remote tip.
+
+    Steps double: after the k-th, `ahead` leads from a commit to those 2^k parents further on, and what is reached grows by
+    as much, so a history of any length takes as many steps as its length has bits. First-parent chains stay as wide as the
+    table; a lattice of merges has several ways to the same commit, which are one row each after `distinct`. Each step cuts
+    the lineage in the shared folder."""
     spark = edges.sparkSession
 
     def cut(df: DataFrame) -> DataFrame:
@@ -36,15 +42,15 @@ def outgoing_commits(edges: DataFrame, tips: DataFrame, keep_every: int = 5) ->
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    def reach(start: DataFrame) -> DataFrame:
-        seen = new = cut(start.filter("sha is not null").distinct())
-        while not new.isEmpty():
-            new = new.join(edges, "sha").select("push_id", F.col("parent").alias("sha")).filter("sha is not null").distinct()
-            new = cut(new.join(seen, ["push_id", "sha"], "left_anti"))
-            seen = seen.unionByName(new)
-        return seen
-
-    return reach(tips.select("push_id", "sha")).join(reach(tips.select("push_id", F.col("remote_sha").alias("sha"))), ["push_id", "sha"], "left_anti")
+    starts = tips.select("push_id", "sha", F.lit(True).alias("own")).unionByName(tips.select("push_id", F.col("remote_sha").alias("sha"), F.lit(False).alias("own")))
+    reached = cut(starts.filter("sha is not null and not sha rlike '^0+$'").distinct())
+    ahead = cut(edges.filter("parent is not null").select("sha", "parent").distinct())
+    while not ahead.isEmpty():
+        further = reached.join(ahead, "sha").select("push_id", F.col("parent").alias("sha"), "own")
+        reached = cut(reached.unionByName(further).distinct())
+        ahead = cut(ahead.alias("a").join(ahead.alias("b"), F.col("a.parent") == F.col("b.sha")).select("a.sha", F.col("b.parent").alias("parent")).distinct())
+    kept = reached.groupBy("push_id", "sha").agg(F.min("own").alias("own"))
+    return kept.filter("own").select("push_id", "sha")
 
 
 def added_lines(patches: DataFrame) -> DataFrame:
@@ -110,16 +116,26 @@ def rule_hits(lines: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return lines.withColumn("label", F.explode(hit))
 
 
-def denylist_hits(lines: DataFrame, rules: list[tuple[str, str]], allowed: set[str] = frozenset(), first: int = 50, shown: int = 5) -> DataFrame:
-    """Per label the number of matching lines and up to five distinct places among the first fifty."""
-    hits = rule_hits(lines, [r for r in rules if r[0] not in allowed])
-    totals = hits.groupBy("label").agg(F.count(F.lit(1)).alias("n_lines"))
-    # The first rows by order come from a bounded top-k per label, not from sorting all hits of a label.
-    place = F.struct("commit", "file", "line")
-    top = hits.groupBy("label", F.pmod(F.xxhash64("commit", "file", "line"), F.lit(64)).alias("salt")).agg(F.slice(F.sort_array(F.collect_list(place)), 1, first).alias("some"))
-    top = top.groupBy("label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("some"))), 1, first).alias("some"))
-    places = F.slice(F.array_sort(F.array_distinct(F.transform("some", lambda x: F.concat_ws(" ", x["commit"], x["file"])))), 1, shown)
-    return totals.join(top, "label").select("label", "n_lines", F.array_join(places, ";").alias("places"))
+def denylist_hits(lines: DataFrame, rules: list[tuple[str, str]], allowed: DataFrame | None = None, first: int = 50, shown: int = 5) -> DataFrame:
+    """lines (repo, commit, file, line, text) -> per repository and label the number of matching lines and up to five
+    distinct places among the first fifty. allowed (repo, label): labels that a repository may have.
+
+    The first fifty are taken by salted row numbers, which Spark limits before the shuffle, and then by label, so a label
+    with very many lines is never sorted or gathered as a whole."""
+    hits = rule_hits(lines, rules)
+    if allowed is not None:
+        hits = hits.join(allowed.select("repo", "label").distinct(), ["repo", "label"], "left_anti")
+    totals = hits.groupBy("repo", "label").agg(F.count(F.lit(1)).alias("n_lines"))
+    by = lambda *keys: F.row_number().over(W.partitionBy("repo", "label", *keys).orderBy("commit", "file", "line"))
+    top = hits.select("repo", "label", "commit", "file", "line", F.pmod(F.xxhash64("commit", "file", "line"), F.lit(64)).alias("salt"))
+    top = top.withColumn("nth", by("salt")).filter(F.col("nth") <= first).withColumn("nth", by()).filter(F.col("nth") <= first)
+    places = F.slice(F.array_sort(F.collect_set(F.concat_ws(" ", "commit", "file"))), 1, shown)
+    return totals.join(top.groupBy("repo", "label").agg(F.array_join(places, ";").alias("places")), ["repo", "label"])
+
+
+def pattern_secrets(lines: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """lines (commit, file, text) -> distinct (rule, file, commit) of the lines that a rule matches."""
+    return rule_hits(lines, rules).select(F.col("label").alias("rule"), "file", "commit").distinct()
 
 
 def attribute_hits(lines: DataFrame) -> DataFrame:

@@ -147,10 +147,13 @@ def count_known(spans: DataFrame) -> DataFrame:
     return spans.groupBy("path", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def search_totals(files: DataFrame, spans: DataFrame) -> DataFrame:
-    """One row: files searched, occurrences, files with hits, distinct labels."""
+def search_totals(files: DataFrame, spans: DataFrame, secrets: DataFrame) -> DataFrame:
+    """One row: files searched, occurrences, files with hits, labels found; credentials searched for, and how many were not,
+    as too short or weak (word-like). secrets (secret) are the distinct credentials."""
     hit = spans.agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("path").alias("files_with_hits"), F.count_distinct("label").alias("labels"))
-    return files.agg(F.count(F.lit(1)).alias("files")).crossJoin(hit)
+    kind = secrets.select(T.trimmed(F.col("secret")).alias("secret")).distinct().select(T.searchability(F.col("secret")).alias("kind"))
+    searched = kind.agg(*[F.count_if(F.col("kind") == k).alias(name) for k, name in (("searchable", "credentials"), ("too_short", "too_short"), ("weak", "weak"))])
+    return files.agg(F.count(F.lit(1)).alias("files")).crossJoin(hit).crossJoin(searched)
 
 
 def redact(files: DataFrame, spans: DataFrame) -> DataFrame:

@@ -27,9 +27,10 @@ def unused_verbs(log: DataFrame) -> DataFrame:
     return known.join(log.select("verb").distinct(), "verb", "left_anti")
 
 
-def vault_inventory(log: DataFrame) -> DataFrame:
-    """Names whose last put or rm is a put, with its time."""
-    last = log.filter(F.col("verb").isin("put", "rm")).groupBy("name").agg(F.max(F.struct("ts", "pid", "verb")).alias("last"))
+def vault_inventory(log: DataFrame, order: str = "line") -> DataFrame:
+    """Names whose last put or rm is a put, with its time. Events of one time follow each other in the order of the log's
+    lines, as the column `order` numbers them."""
+    last = log.filter(F.col("verb").isin("put", "rm")).groupBy("name").agg(F.max(F.struct("ts", order, "verb")).alias("last"))
     return last.filter("last.verb = 'put'").select("name", F.col("last.ts").alias("ts"))
 
 

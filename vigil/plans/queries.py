@@ -15,6 +15,7 @@ from .views import TEST_PEPPER, VIEWS, view, view_sql
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
+LABEL_PREFIX = b"label\0"
 _PAD = TEST_PEPPER.ljust(64, b"\0")
 _IPAD, _OPAD = bytes(b ^ 0x36 for b in _PAD).hex(), bytes(b ^ 0x5C for b in _PAD).hex()
 
@@ -28,7 +29,7 @@ def fp_sql(x: str) -> str:
 
 
 def label_sql(fp: str) -> str:
-    return f"'cred-' || substr({_mac(fp, bytes('label', 'ascii') + bytes(1))}, 1, 6)"
+    return f"'cred-' || substr({_mac(fp, LABEL_PREFIX)}, 1, 6)"
 
 
 def query(sql: str | None = None):
@@ -58,12 +59,25 @@ def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _observed(spark, sf_dir).groupBy("location").agg(F.max_by("fp", "ord").alias("fp"), F.max("at").alias("at"))
 
 
-REUSED = "reused AS (SELECT fp, count(*) AS n_locations, min(location) AS first_location FROM (SELECT DISTINCT fp, location FROM latest) GROUP BY fp HAVING count(*) > 1)"
+#: Places that hold one credential on purpose: those of every third user, and those of the ones after them.
+DECLARED = "pair AS (SELECT CAST(regexp_extract(location, '/u([0-9]+)/', 1) AS BIGINT) % 3 AS group_id, location FROM latest WHERE CAST(regexp_extract(location, '/u([0-9]+)/', 1) AS BIGINT) % 3 < 2)"
+REUSED = f"""{DECLARED}, u AS (SELECT DISTINCT fp, location FROM latest), many AS (SELECT fp, count(*) AS n_locations, min(location) AS first_location FROM u GROUP BY fp HAVING count(*) > 1),
+declared AS (SELECT fp, min(group_id) AS group_id FROM (SELECT u.fp, p.group_id, count(*) AS n FROM u JOIN pair p USING (location) GROUP BY ALL) i JOIN many m USING (fp) WHERE i.n = m.n_locations GROUP BY fp),
+reused AS (SELECT * FROM many WHERE fp NOT IN (SELECT fp FROM declared))"""
 
 
-@query(f"WITH {LATEST}, {REUSED} SELECT {label_sql('fp')} AS label, n_locations, first_location FROM reused")
+def _pairs(now: DataFrame) -> DataFrame:
+    user = F.regexp_extract("location", "/u([0-9]+)/", 1).cast("long")
+    return now.filter(user % 3 < 2).select((user % 3).alias("group_id"), "location")
+
+
+@query(f"WITH {LATEST}, {REUSED} SELECT {label_sql('r.fp')} AS label, n_locations, first_location, location FROM reused r JOIN u ON u.fp = r.fp")
 def reused_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.reused(_latest(spark, sf_dir)).select(_fp(spark).label(F.col("fp")).alias("label"), "n_locations", "first_location")
+    """Each reused credential that isn't declared, with all its places."""
+    now = _latest(spark, sf_dir)
+    same = _pairs(now)
+    rows = audit.reused(now, same).join(audit.reused_places(now, same), "fp")
+    return rows.select(_fp(spark).label(F.col("fp")).alias("label"), "n_locations", "first_location", "location")
 
 
 @query(f"WITH {OBS} SELECT DISTINCT fp, {label_sql('fp')} AS label FROM obs")
@@ -76,7 +90,7 @@ def one_name_one_secret(spark, sf_dir):
     return audit.one_name_one_secret(_observed(spark, sf_dir))
 
 
-CUT = 1704585600  # 2024-01-07
+CUT, LATE = 1704585600, 1706486400  # 2024-01-07, 2024-01-29
 SPLIT = OBS + f""", prior AS (SELECT location, arg_max(fp, ord) AS fp, min(ats) AS since, min(ats) % 2 = 0 AS exact FROM obs WHERE ats < {CUT} GROUP BY location),
 now AS (SELECT location, arg_max(fp, ord) AS fp, max(ats) AS ats FROM obs WHERE ats >= {CUT} GROUP BY location),
 state AS (SELECT n.location, n.fp, CASE WHEN p.fp = n.fp THEN p.since ELSE {CUT} END AS since, CASE WHEN p.fp IS NULL THEN false WHEN p.fp = n.fp THEN p.exact ELSE true END AS exact FROM now n LEFT JOIN prior p USING (location))"""
@@ -103,10 +117,10 @@ def prune_state(spark, sf_dir):
 AGED = SPLIT + ", aged AS (SELECT location, fp, exact, CASE WHEN exact THEN greatest(CAST(floor((1735689600 - since) / 86400.0) AS BIGINT), 0) ELSE greatest(CAST(floor((1735689600 - since) / 86400.0) AS BIGINT), CAST(floor((1735689600 - (since - 8640000)) / 86400.0) AS BIGINT), 0) END AS days FROM state)"
 
 
-@query(f"WITH {AGED} SELECT location, exact, days FROM aged WHERE days >= 360")
+@query(f"WITH {AGED} SELECT location, exact, days FROM aged WHERE days >= 400")
 def stale_credentials(spark, sf_dir):
     state = audit.observe(*_split(spark, sf_dir), F.lit(CUT).cast("long")).withColumn("mtime", F.col("since") - 8640000)
-    return audit.credential_age(state, F.lit(1735689600)).filter("days >= 360").select("location", "exact", "days")
+    return audit.credential_age(state, F.lit(1735689600)).filter("days >= 400").select("location", "exact", "days")
 
 
 SAME = LATEST + ", same AS (SELECT CAST(regexp_extract(location, '/u([0-9]+)/', 1) AS BIGINT) // 3 AS group_id, location FROM latest WHERE location LIKE '%#LOGIN_TOKEN' OR location LIKE '%#CLICK_TOKEN')"
@@ -118,59 +132,49 @@ def _same(spark, sf_dir):
     return now, now.filter(F.col("location").rlike("#(LOGIN|CLICK)_TOKEN$")).select(group.cast("long").alias("group_id"), "location")
 
 
-@query(f"WITH {SAME} SELECT group_id, count(DISTINCT location) AS n_copies, count(DISTINCT fp) AS n_fps FROM latest JOIN same USING (location) GROUP BY group_id HAVING count(DISTINCT fp) > 1")
-def drifted_copies(spark, sf_dir):
-    return audit.drifted(*_same(spark, sf_dir))
+DRIFT = f"c AS (SELECT group_id, location, {label_sql('fp')} AS label FROM latest JOIN same USING (location)), d AS (SELECT group_id FROM c GROUP BY group_id HAVING count(DISTINCT label) > 1), drift AS (SELECT group_id, label, location FROM c JOIN d USING (group_id))"
 
 
-@query(f"WITH {SAME}, u AS (SELECT DISTINCT fp, location FROM latest), n AS (SELECT fp, count(*) AS n FROM u GROUP BY fp HAVING count(*) > 1), i AS (SELECT fp, group_id, count(*) AS n FROM u JOIN (SELECT DISTINCT group_id // 400 AS group_id, location FROM same) USING (location) GROUP BY fp, group_id) SELECT fp, min(group_id) AS group_id FROM i JOIN n USING (fp, n) GROUP BY fp")
-def declared_copies(spark, sf_dir):
-    now, same = _same(spark, sf_dir)
-    return audit.declared(now, same.select(F.floor(F.col("group_id") / 400).cast("long").alias("group_id"), "location"))
+def _labelled(spark, now):
+    return now.select("location", _fp(spark).label(F.col("fp")).alias("label"))
 
 
-@query(f"WITH {SAME}, late AS (SELECT DISTINCT location FROM obs WHERE ats >= {CUT}) SELECT DISTINCT group_id, location FROM same WHERE location NOT IN (SELECT location FROM late)")
-def missing_copies(spark, sf_dir):
-    _, same = _same(spark, sf_dir)
-    return audit.missing(_split(spark, sf_dir)[1], same).select("group_id", "location")
+@query(f"WITH {SAME}, {DRIFT} SELECT group_id, label, location FROM drift")
+def drifted_copies(spark, sf_dir):
+    now, same = _same(spark, sf_dir)
+    return audit.drifted(_labelled(spark, now), same)
 
 
-@query(f"WITH {OBS}, l AS (SELECT location, ats, fp, lag(fp) OVER (PARTITION BY location ORDER BY ord) AS before FROM obs) SELECT location, count(*) AS n_rotations, max(ats) AS last_rotation FROM l WHERE before <> fp GROUP BY location")
-def rotation_history(spark, sf_dir):
-    rows = audit.rotations(_observed(spark, sf_dir).withColumn("ts", F.col("ord")))
-    return rows.groupBy("location").agg(F.count(F.lit(1)).alias("n_rotations"), F.max(F.unix_timestamp("ts.ts")).alias("last_rotation"))
+@query(f"WITH {LATEST}, {REUSED} SELECT {label_sql('fp')} AS label, group_id FROM declared")
+def declared_copies(spark, sf_dir):
+    now = _latest(spark, sf_dir)
+    return audit.declared(now, _pairs(now)).select(_fp(spark).label(F.col("fp")).alias("label"), "group_id")
 
 
-@query(f"WITH {LATEST}, {REUSED} SELECT (SELECT count(DISTINCT fp) FROM latest) AS credentials, (SELECT count(*) FROM latest) AS locations, (SELECT count(*) FROM reused) AS reused, (SELECT count(*) FROM (SELECT location FROM obs GROUP BY location HAVING count(DISTINCT fp) > 1)) AS ambiguous")
-def audit_summary(spark, sf_dir):
-    now = _latest(spark, sf_dir)
-    each = now.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    totals = each.agg(F.count(F.lit(1)).alias("credentials"), F.sum("n").alias("locations"), F.count_if(F.col("n") > 1).alias("reused"))
-    return totals.crossJoin(audit.one_name_one_secret(_observed(spark, sf_dir)).agg(F.count_if("ambiguous").alias("ambiguous")))
+#: What was seen late; places of users that end in 7 are under a source that couldn't be looked at.
+MISSING = f"late AS (SELECT DISTINCT location FROM obs WHERE ats >= {LATE}), missing AS (SELECT DISTINCT group_id, location FROM same WHERE location NOT IN (SELECT location FROM late) AND location NOT LIKE 'env:/srv/u%7/app.env#%')"
 
 
-FINDINGS = "SELECT 1 AS rank, 'ambiguous' AS type, location AS subject, 0 AS n FROM (SELECT location FROM obs GROUP BY location HAVING count(DISTINCT fp) > 1) UNION ALL SELECT 2, 'reused', fp, n_locations FROM reused"
+def _unseen(now: DataFrame) -> DataFrame:
+    """A rule for each folder that couldn't be looked at."""
+    folder = F.regexp_extract("location", "^env:(/srv/u[0-9]*7)/app", 1)
+    return now.select(folder.alias("folder")).filter("folder <> ''").distinct().select(F.xxhash64("folder").alias("ord"), F.lit("env").alias("kind"), F.concat("folder", F.lit("/*.env")).alias("pattern"))
 
 
-def _findings(spark, sf_dir, obs, now):
-    one = audit.one_name_one_secret(obs).filter("ambiguous").select(F.lit(1).alias("rank"), F.lit("ambiguous").alias("type"), F.col("location").alias("subject"), F.lit(0).cast("long").alias("n"))
-    two = audit.reused(now).select(F.lit(2).alias("rank"), F.lit("reused").alias("type"), F.col("fp").alias("subject"), F.col("n_locations").alias("n"))
-    return one.unionByName(two)
+def _late(spark, sf_dir):
+    return _observed(spark, sf_dir).filter(F.col("at") >= LATE)
 
 
-@query(f"WITH {LATEST}, {REUSED}, f AS ({FINDINGS}) SELECT rank, type, subject, CAST(n AS BIGINT) AS n, CASE WHEN type = 'reused' THEN 'one credential in ' || n || ' places' ELSE 'two secrets under one name: ' || subject END AS line FROM f")
-def findings(spark, sf_dir):
-    rows = _findings(spark, sf_dir, _observed(spark, sf_dir), _latest(spark, sf_dir))
-    return rows.withColumn("line", F.when(F.col("type") == "reused", F.concat(F.lit("one credential in "), F.col("n").cast("string"), F.lit(" places"))).otherwise(F.concat(F.lit("two secrets under one name: "), F.col("subject"))))
+@query(f"WITH {SAME}, {MISSING} SELECT group_id, location FROM missing")
+def missing_copies(spark, sf_dir):
+    now, same = _same(spark, sf_dir)
+    return audit.missing(_late(spark, sf_dir), same, _unseen(now))
 
 
-@query(f"""WITH {OBS}, early AS (SELECT location, arg_max(fp, ord) AS fp FROM obs WHERE ats < {CUT} GROUP BY location), latest AS (SELECT location, arg_max(fp, ord) AS fp FROM obs GROUP BY location),
-a AS (SELECT DISTINCT fp FROM early GROUP BY fp HAVING count(*) > 1), b AS (SELECT DISTINCT fp FROM latest GROUP BY fp HAVING count(*) > 1)
-SELECT fp, 'new' AS change FROM b WHERE fp NOT IN (SELECT fp FROM a) UNION ALL SELECT fp, 'gone' FROM a WHERE fp NOT IN (SELECT fp FROM b)""")
-def findings_changed(spark, sf_dir):
-    prior, _ = _split(spark, sf_dir)
-    a, b = audit.reused(prior).select("fp"), audit.reused(_latest(spark, sf_dir)).select("fp")
-    return b.exceptAll(a).withColumn("change", F.lit("new")).unionByName(a.exceptAll(b).withColumn("change", F.lit("gone")))
+@query(f"WITH {OBS}, l AS (SELECT location, ats, fp, lag(fp) OVER (PARTITION BY location ORDER BY ord) AS before FROM obs) SELECT location, count(*) AS n_rotations, max(ats) AS last_rotation FROM l WHERE before <> fp GROUP BY location")
+def rotation_history(spark, sf_dir):
+    rows = audit.rotations(_observed(spark, sf_dir).withColumn("ts", F.col("ord")))
+    return rows.groupBy("location").agg(F.count(F.lit(1)).alias("n_rotations"), F.max(F.unix_timestamp("ts.ts")).alias("last_rotation"))
 
 
 ENV = rf"""lines AS ({view_sql('env_lines')}), body AS (SELECT path, line, regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^export ', ''), '^\s+', '') AS b FROM lines WHERE NOT regexp_matches(text, '^\s*#')),
@@ -221,16 +225,28 @@ def match_sources(spark, sf_dir):
     return audit.match_sources(*_rules(spark, sf_dir))
 
 
-@query(f"WITH {MATCHED} SELECT ord, kind, pattern FROM rules WHERE ord NOT IN (SELECT ord FROM matched)")
+FOLDERS = "folders AS (SELECT '/srv/n' || n_nationkey AS folder FROM nation WHERE n_nationkey % 6 <> 5)"
+
+
+@query(f"WITH {MATCHED}, {FOLDERS} SELECT ord, kind, pattern, regexp_extract(pattern, '^(.*)/[^/]*$', 1) IN (SELECT folder FROM folders) AS could_look FROM rules WHERE ord NOT IN (SELECT ord FROM matched)")
 def uncovered_sources(spark, sf_dir):
     rules, files = _rules(spark, sf_dir)
-    return audit.uncovered(rules, audit.match_sources(rules, files)).select("ord", "kind", "pattern")
+    folders = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey % 6 <> 5").select(F.concat(F.lit("/srv/n"), F.col("n_nationkey").cast("string")).alias("path"))
+    return audit.uncovered(rules, audit.match_sources(rules, files), folders)
+
+
+#: Every second file, with and without a secret, and a rule that reaches all of them after the others.
+COVER = f"{ENV}, cr AS (SELECT n_nationkey AS ord, '/srv/n' || n_nationkey || '/app.env' AS path FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 100, path FROM (SELECT DISTINCT path FROM lines) UNION ALL SELECT 200, '/srv/n' || n_nationkey || '/none.env' FROM nation), cf AS (SELECT cr.ord, cr.path, location FROM cr JOIN env ON split_part(substr(location, 5), '#', 1) = cr.path)"
 
 
-@query(f"WITH {MATCHED}, n AS (SELECT split_part(substr(location, 5), '#', 1) AS path, count(*) AS n FROM env GROUP BY 1), f AS (SELECT path, min(ord) AS ord FROM matched GROUP BY path) SELECT ord, count(*) AS files, count(n) AS files_with, coalesce(CAST(sum(n) AS BIGINT), 0) AS secrets FROM f LEFT JOIN n USING (path) GROUP BY ord")
+@query(f"WITH {COVER}, f AS (SELECT location, min(ord) AS ord FROM cf GROUP BY location), fs AS (SELECT ord, count(*) AS secrets FROM f GROUP BY ord) SELECT ord, count(*) AS files, any_value(coalesce(secrets, 0)) AS secrets, coalesce(string_agg(CASE WHEN (ord, path) NOT IN (SELECT (ord, path) FROM cf) THEN regexp_extract(path, '([^/]*)$', 1) END, ', '), '') AS none_in FROM cr LEFT JOIN fs USING (ord) GROUP BY ord")
 def coverage(spark, sf_dir):
-    found = extract.extract_env(view(spark, sf_dir, "env_lines")).groupBy(T.location_path(F.col("location")).alias("path")).agg(F.count(F.lit(1)).alias("n_secrets"))
-    return audit.coverage(audit.match_sources(*_rules(spark, sf_dir)), found)
+    path = lambda name: F.concat(F.lit("/srv/n"), F.col("n_nationkey").cast("string"), F.lit(name))
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    every = view(spark, sf_dir, "env_lines").select(F.lit(100).alias("ord"), "path").distinct()
+    matched = nation.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("int").alias("ord"), path("/app.env").alias("path")).unionByName(every).unionByName(nation.select(F.lit(200).alias("ord"), path("/none.env").alias("path")))
+    found = extract.extract_env(view(spark, sf_dir, "env_lines")).select(T.location_path(F.col("location")).alias("path"), "location")
+    return audit.coverage(matched, matched.join(found, "path"))
 
 
 WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS s FROM documents)"
@@ -290,9 +306,15 @@ def count_known_pages(spark, sf_dir):
     return known.count_known(_spans(spark, sf_dir, "pages", "page_id", "html")[1])
 
 
-@query(f"WITH h AS ({_count_sql('documents', 'doc_id', 'text')}) SELECT (SELECT count(*) FROM documents) AS files, coalesce(CAST(sum(n) AS BIGINT), 0) AS occurrences, count(DISTINCT path) AS files_with_hits, count(DISTINCT label) AS labels FROM h")
+#: Credentials beside the tokens, most of which can't be searched for: numbers of customers, letters of states, words.
+_WORDS_SQL = "SELECT lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS secret FROM orders UNION SELECT o_orderstatus FROM orders UNION SELECT lower(c_mktsegment) FROM customer UNION SELECT c_name FROM customer"
+
+
+@query(f"WITH h AS ({_count_sql('documents', 'doc_id', 'text')}), x AS ({_WORDS_SQL}), k AS (SELECT DISTINCT secret, CASE WHEN strlen(secret) < 8 THEN 'short' WHEN strlen(secret) < 12 AND (regexp_matches(secret, '^[0-9]+$') OR regexp_matches(secret, '^[a-z]+$') AND length(regexp_replace(secret, '[^aeiouy]', '', 'g')) * 4 >= length(secret) AND NOT regexp_matches(secret, '[^aeiouy]{{4}}')) THEN 'weak' ELSE 'ok' END AS kind FROM x) SELECT (SELECT count(*) FROM documents) AS files, coalesce(CAST(sum(n) AS BIGINT), 0) AS occurrences, count(DISTINCT path) AS files_with_hits, count(DISTINCT label) AS labels, (SELECT count(*) FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '{TOKEN}', 1)) FROM documents)) + (SELECT count(*) FROM k WHERE kind = 'ok') AS credentials, (SELECT count(*) FROM k WHERE kind = 'short') AS too_short, (SELECT count(*) FROM k WHERE kind = 'weak') AS weak FROM h")
 def search_totals(spark, sf_dir):
-    return known.search_totals(*_spans(spark, sf_dir, "documents", "doc_id", "text"))
+    orders, customer = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    words = orders.select(F.explode(F.array(F.lpad(F.col("o_custkey").cast("string"), 9, "0"), "o_orderstatus")).alias("secret")).union(customer.select(F.explode(F.array(F.lower("c_mktsegment"), "c_name"))))
+    return known.search_totals(*_spans(spark, sf_dir, "documents", "doc_id", "text"), _tokens(spark, sf_dir).select("secret").union(words))
 
 
 @query(f"WITH h AS ({_count_sql('documents', 'doc_id', 'text')}), n AS (SELECT path, sum(n) AS n FROM h GROUP BY path) SELECT path, CAST(n AS BIGINT) AS n_redacted, CAST(strlen(d.text) - 40 * n + 22 * n AS BIGINT) AS n_bytes, CAST(0 AS BIGINT) AS n_left FROM n JOIN documents d ON d.doc_id = path")
@@ -354,30 +376,38 @@ def _document_lines(spark, sf_dir):
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
-@query(f"WITH {_LINES}, h AS (" + " UNION ALL ".join(f"SELECT '{n}' AS label, doc_id, line FROM l WHERE regexp_matches(text, '{p}')" for n, p in SHAPES) + ") SELECT label, count(*) AS n_lines, count(DISTINCT doc_id) AS n_documents, min(doc_id) AS first_document FROM h GROUP BY label")
+@query(f"WITH {_LINES}, h AS (" + " UNION ALL ".join(f"SELECT '{n}' AS rule, doc_id FROM l WHERE regexp_matches(text, '{p}')" for n, p in SHAPES) + ") SELECT DISTINCT rule, 'f' || doc_id % 3 AS file, CAST(doc_id AS VARCHAR) AS \"commit\" FROM h")
 def pattern_secrets(spark, sf_dir):
-    hits = commits.rule_hits(_document_lines(spark, sf_dir), list(SHAPES))
-    return hits.groupBy("label").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("doc_id").alias("n_documents"), F.min("doc_id").alias("first_document"))
+    return commits.pattern_secrets(_file_lines(spark, sf_dir), list(SHAPES))
 
 
-_DENY = " UNION ALL ".join(f"SELECT '{n}' AS label, CAST(doc_id AS STRING) AS c, 'f' || doc_id % 3 AS f, line FROM l WHERE regexp_matches(text, '{p}')" for n, p in SHAPES[:3])
+def _file_lines(spark, sf_dir):
+    rows = _document_lines(spark, sf_dir)
+    return rows.select(F.concat(F.lit("acme/r"), (F.col("doc_id") % 4).cast("string")).alias("repo"), F.col("doc_id").cast("string").alias("commit"), F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string")).alias("file"), "line", "text")
 
 
-@query(f"WITH {_LINES}, h AS ({_DENY}), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY c, f, line) AS n FROM h), p AS (SELECT label, list_sort(list(DISTINCT c || ' ' || f))[1:5] AS p FROM r WHERE n <= 50 GROUP BY label) SELECT label, count(*) AS n_lines, array_to_string(any_value(p.p), ';') AS places FROM h JOIN p USING (label) GROUP BY label")
+_DENY = " UNION ALL ".join(f"SELECT 'acme/r' || doc_id % 4 AS repo, '{n}' AS label, CAST(doc_id AS STRING) AS c, 'f' || doc_id % 3 AS f, line FROM l WHERE regexp_matches(text, '{p}')" for n, p in SHAPES)
+
+
+@query(f"WITH {_LINES}, a AS (SELECT 'acme/r' || n_nationkey AS repo, CASE WHEN n_nationkey % 2 = 0 THEN '{SHAPES[0][0]}' ELSE '{SHAPES[1][0]}' END AS label FROM nation), h0 AS ({_DENY}), h AS (SELECT * FROM h0 WHERE (repo, label) NOT IN (SELECT (repo, label) FROM a)), r AS (SELECT *, row_number() OVER (PARTITION BY repo, label ORDER BY c, f, line) AS n FROM h), p AS (SELECT repo, label, list_sort(list(DISTINCT c || ' ' || f))[1:5] AS p FROM r WHERE n <= 50 GROUP BY repo, label) SELECT repo, label, count(*) AS n_lines, array_to_string(any_value(p.p), ';') AS places FROM h JOIN p USING (repo, label) GROUP BY repo, label")
 def denylist_hits(spark, sf_dir):
-    lines = _document_lines(spark, sf_dir).select(F.col("doc_id").cast("string").alias("commit"), F.concat(F.lit("f"), (F.col("doc_id") % 3).cast("string")).alias("file"), "line", "text")
-    return commits.denylist_hits(lines, list(SHAPES), {"token", "number"})
+    allowed = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("acme/r"), F.col("n_nationkey").cast("string")).alias("repo"), F.when(F.col("n_nationkey") % 2 == 0, SHAPES[0][0]).otherwise(SHAPES[1][0]).alias("label"))
+    return commits.denylist_hits(_file_lines(spark, sf_dir), list(SHAPES), allowed)
 
 
-DEST = "push AS (SELECT o_orderkey AS push_id, CASE o_custkey % 5 WHEN 0 THEN 'https://github.com/Acme/r' || o_custkey % 40 || '.git' WHEN 1 THEN 'git@github.com:acme/r' || o_custkey % 40 WHEN 2 THEN '/srv/git/r' || o_custkey % 40 WHEN 3 THEN 'https://other.example/x' ELSE 'https://github.com/acme/new' || o_custkey % 40 END AS url FROM orders), vis AS (SELECT 'acme/r' || n_nationkey AS slug, CASE WHEN n_nationkey % 2 = 0 THEN 'public' ELSE 'private' END AS visibility FROM nation), slug AS (SELECT push_id, CASE WHEN url LIKE '%github.com%' THEN regexp_replace(lower(regexp_replace(url, '^.*github.com[:/]', '')), '\\.git$', '') ELSE url END AS slug, url LIKE '%github.com%' AS hosted FROM push), placed AS (SELECT push_id, slug, coalesce(visibility, CASE WHEN starts_with(slug, '/') THEN 'private' WHEN NOT hosted THEN 'public' END) AS visibility FROM slug LEFT JOIN vis USING (slug))"
+#: A url for each form that a destination takes; {r} is a number.
+URLS = ("https://github.com/Acme/r{r}.git", "git@github.com:acme/r{r}", "/srv/git/r{r}", "https://other.example/x{r}", "https://github.com/acme/new{r}", "https://user@github.com/acme/r{r}/", "ssh://git@github.com/acme/r{r}.git", "file:///srv/x{r}", "../mirror{r}", "./r{r}", "git@other.example:acme/r{r}")
+DEST = rf"""push AS (SELECT o_orderkey AS push_id, replace(({list(URLS)})[o_custkey % {len(URLS)} + 1], '{{r}}', CAST(o_custkey % 40 AS VARCHAR)) AS url FROM orders), vis AS (SELECT 'acme/r' || n_nationkey AS slug, CASE WHEN n_nationkey % 2 = 0 THEN 'public' ELSE 'private' END AS visibility FROM nation),
+slug AS (SELECT push_id, CASE WHEN url LIKE '%github.com%' THEN rtrim(regexp_replace(rtrim(lower(regexp_extract(url, 'github.com[:/](.*)', 1)), '/'), '\.git$', ''), '/') ELSE url END AS slug, url LIKE '%github.com%' AS hosted FROM push),
+placed AS (SELECT push_id, slug, CASE WHEN hosted THEN visibility WHEN regexp_matches(slug, '^(/|\.|file:)') AND slug <> '../mirror7' THEN 'private' ELSE 'public' END AS visibility FROM slug LEFT JOIN vis USING (slug))"""
 
 
 def _placed(spark, sf_dir):
-    o, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_custkey") % 5
-    r = (F.col("o_custkey") % 40).cast("string")
-    url = F.when(k == 0, F.concat(F.lit("https://github.com/Acme/r"), r, F.lit(".git"))).when(k == 1, F.concat(F.lit("git@github.com:acme/r"), r)).when(k == 2, F.concat(F.lit("/srv/git/r"), r)).when(k == 3, "https://other.example/x").otherwise(F.concat(F.lit("https://github.com/acme/new"), r))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    url = F.get(F.array(*map(F.lit, URLS)), (F.col("o_custkey") % len(URLS)).cast("int"))
+    url = F.replace(url, F.lit("{r}"), (F.col("o_custkey") % 40).cast("string"))
     vis = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("acme/r"), F.col("n_nationkey").cast("string")).alias("slug"), F.when(F.col("n_nationkey") % 2 == 0, "public").otherwise("private").alias("visibility"))
-    return commits.classify_destination(o.select(F.col("o_orderkey").alias("push_id"), url.alias("url")), vis)
+    return commits.classify_destination(o.select(F.col("o_orderkey").alias("push_id"), url.alias("url")), vis, ("../mirror7",))
 
 
 @query(f"WITH {DEST} SELECT push_id, slug, visibility FROM placed")
@@ -473,6 +503,11 @@ def _log(spark, sf_dir):
     return transcripts.parse_access_log(view(spark, sf_dir, "access_log")).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
+def _inventory(spark, sf_dir):
+    """The view has a line for each event, in the order of their ids, which are its pids."""
+    return transcripts.vault_inventory(_log(spark, sf_dir).withColumnRenamed("pid", "line"))
+
+
 @query(f"WITH {LOG} SELECT * FROM log")
 def parse_access_log(spark, sf_dir):
     return _log(spark, sf_dir)
@@ -493,7 +528,7 @@ INVENTORY = LOG + ", inv AS (SELECT name, arg_max(verb, row(ts, pid)) AS verb, m
 
 @query(f"WITH {INVENTORY} SELECT name, ts FROM inv")
 def vault_inventory(spark, sf_dir):
-    return transcripts.vault_inventory(_log(spark, sf_dir))
+    return _inventory(spark, sf_dir)
 
 
 HANDLES = rf"turns AS ({view_sql('handle_turns')}), h AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(text, '{transcripts.HANDLE}', 1)) AS name FROM turns)"
@@ -502,7 +537,7 @@ HANDLES = rf"turns AS ({view_sql('handle_turns')}), h AS (SELECT DISTINCT conv_i
 @query(f"WITH {INVENTORY}, {HANDLES} SELECT name, conv_id, turn FROM h WHERE name NOT IN (SELECT name FROM inv)")
 def unknown_handles(spark, sf_dir):
     handles = transcripts.secret_handles(view(spark, sf_dir, "handle_turns"))
-    return transcripts.unknown_handles(handles, transcripts.vault_inventory(_log(spark, sf_dir))).select("name", "conv_id", "turn")
+    return transcripts.unknown_handles(handles, _inventory(spark, sf_dir)).select("name", "conv_id", "turn")
 
 
 @query(f"WITH {LOG} SELECT name, regexp_matches(name, '^[A-Za-z0-9._-]+$') AND NOT contains(name, '..') AS valid, regexp_matches(name, '^[a-z0-9]+(-[a-z0-9]+)*$') AS kebab, count(*) AS n FROM log WHERE name IS NOT NULL GROUP BY name")
@@ -561,16 +596,17 @@ def search_gate(spark, sf_dir):
 
 
 LIMIT = 360
-REPORT = f"""{AGED}, {SAME.removeprefix(OBS + ', ')}, {REUSED}, {MATCHED}, sh AS ({view_sql('shadow')}), acc AS (SELECT p[1] AS u, 20000 - try_cast(p[3] AS BIGINT) AS days FROM (SELECT string_split(value, ':') AS p FROM sh) WHERE starts_with(p[2], '$') AND try_cast(p[3] AS BIGINT) > 0),
-f AS (SELECT 0 AS rank, 'uncovered' AS type, kind || ' ' || pattern AS subject, NULL::BIGINT AS n, NULL::BIGINT AS days, NULL::BOOLEAN AS exact FROM rules WHERE ord NOT IN (SELECT ord FROM matched)
-UNION ALL SELECT 1, 'ambiguous', location, NULL, NULL, NULL FROM obs GROUP BY location HAVING count(DISTINCT fp) > 1
-UNION ALL SELECT 2, 'missing', location, NULL, NULL, NULL FROM same WHERE location NOT IN (SELECT location FROM now)
-UNION ALL SELECT 3, 'drift', CAST(group_id AS VARCHAR), count(DISTINCT fp), NULL, NULL FROM latest JOIN same USING (location) GROUP BY group_id HAVING count(DISTINCT fp) > 1
-UNION ALL SELECT 4, 'reused', {label_sql('fp')}, n_locations, NULL, NULL FROM reused
-UNION ALL SELECT 5, 'stale', location, NULL, days, exact FROM aged WHERE days >= {LIMIT}
-UNION ALL SELECT 6, 'account', u, NULL, days, NULL FROM acc WHERE days >= {LIMIT})"""
+REPORT = f"""{AGED}, {SAME.removeprefix(OBS + ', ')}, {REUSED}, {DRIFT}, {MISSING}, {MATCHED}, sh AS ({view_sql('shadow')}), acc AS (SELECT p[1] AS u, 20000 - try_cast(p[3] AS BIGINT) AS days FROM (SELECT string_split(value, ':') AS p FROM sh) WHERE starts_with(p[2], '$') AND try_cast(p[3] AS BIGINT) > 0),
+f AS (SELECT 0 AS rank, 'uncovered' AS type, kind || ' ' || pattern AS subject, NULL AS label, NULL AS place, NULL::BIGINT AS days, NULL::BOOLEAN AS exact FROM rules WHERE ord NOT IN (SELECT ord FROM matched)
+UNION ALL SELECT 1, 'ambiguous', location, NULL, NULL, NULL, NULL FROM obs GROUP BY location HAVING count(DISTINCT fp) > 1
+UNION ALL SELECT 2, 'missing', location, NULL, NULL, NULL, NULL FROM missing
+UNION ALL SELECT 3, 'drift', CAST(group_id AS VARCHAR), label, location, NULL, NULL FROM drift
+UNION ALL SELECT 4, 'reused', {label_sql('r.fp')}, NULL, u.location, NULL, NULL FROM reused r JOIN u ON u.fp = r.fp
+UNION ALL SELECT 5, 'stale', location, NULL, NULL, days, exact FROM aged WHERE days >= {LIMIT}
+UNION ALL SELECT 6, 'account', u, NULL, NULL, days, NULL FROM acc WHERE days >= {LIMIT}),
+g AS (SELECT *, sha256(concat_ws(chr(9), type, subject, coalesce(label, '-'), coalesce(place, '-'), coalesce(CAST(exact AS VARCHAR), '-'))) AS identity FROM f)"""
 LINE = f"""CASE type WHEN 'uncovered' THEN 'no file matches ' || subject WHEN 'ambiguous' THEN 'several secrets under the name ' || subject WHEN 'missing' THEN 'no credential at the declared place ' || subject
-WHEN 'drift' THEN 'copies of group ' || subject || ' differ: ' || n || ' secrets' WHEN 'reused' THEN subject || ' is in ' || n || ' places' WHEN 'stale' THEN subject || ' is ' || days || ' days old (limit {LIMIT})'
+WHEN 'drift' THEN 'copies of group ' || subject || ' differ: ' || label || ' at ' || place WHEN 'reused' THEN subject || ' is in several places: ' || place WHEN 'stale' THEN subject || CASE WHEN exact THEN ' rotated ' || days || ' days ago' ELSE ' unchanged for ' || days || ' days or more' END || ' (limit {LIMIT})'
 ELSE 'account ' || subject || ': password of ' || days || ' days (limit {LIMIT})' END"""
 
 
@@ -581,20 +617,42 @@ def _report(spark, sf_dir):
     return audit.findings(
         uncovered=audit.uncovered(rules, audit.match_sources(rules, files)).select(F.concat_ws(" ", "kind", "pattern").alias("subject")),
         ambiguous=audit.one_name_one_secret(obs).filter("ambiguous").select(F.col("location").alias("subject")),
-        missing=audit.missing(seen, same).select(F.col("location").alias("subject")),
-        drift=audit.drifted(now, same).select(F.col("group_id").alias("subject"), F.col("n_fps").alias("n")),
-        reused=audit.reused(now).select(_fp(spark).label(F.col("fp")).alias("subject"), F.col("n_locations").alias("n")),
+        missing=audit.missing(_late(spark, sf_dir), same, _unseen(now)).select(F.col("location").alias("subject")),
+        drift=audit.drifted(_labelled(spark, now), same).select(F.col("group_id").alias("subject"), "label", F.col("location").alias("place")),
+        reused=audit.reused_places(now, _pairs(now)).select(_fp(spark).label(F.col("fp")).alias("subject"), F.col("location").alias("place")),
         stale=aged.filter(F.col("days") >= LIMIT).select(F.col("location").alias("subject"), "days", "exact"),
         account=audit.stale_accounts(view(spark, sf_dir, "shadow"), 20000, LIMIT).select(F.col("user").alias("subject"), "days"),
     )
 
 
-@query(f"WITH {REPORT} SELECT rank, type, subject, n, days, exact, sha256(concat_ws(chr(9), type, subject, coalesce(CAST(n AS VARCHAR), '-'), coalesce(CAST(exact AS VARCHAR), '-'))) AS identity, {LINE} AS line FROM f")
+@query(f"WITH {REPORT} SELECT rank, type, subject, label, place, days, exact, identity, {LINE} AS line FROM g")
 def audit_report(spark, sf_dir):
     """All kinds of findings in one table, with their identities and lines of text."""
     return audit.report_lines(audit.finding_identity(_report(spark, sf_dir)), LIMIT)
 
 
+@query(f"WITH {REPORT} SELECT type, subject, count(*) AS n_rows FROM g WHERE type IN ('ambiguous', 'reused') GROUP BY type, subject")
+def findings(spark, sf_dir):
+    """The findings about credentials, one row each."""
+    rows = _report(spark, sf_dir).filter(F.col("type").isin("ambiguous", "reused"))
+    return rows.groupBy("type", "subject").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(f"""WITH {REPORT}, a AS (SELECT DISTINCT identity, type, subject FROM g WHERE subject NOT LIKE '%/u1%' AND (days IS NULL OR days < {LIMIT} + 500)), b AS (SELECT DISTINCT identity, type, subject FROM g WHERE subject NOT LIKE '%/u2%')
+SELECT identity, type, subject, 'new' AS change FROM b WHERE identity NOT IN (SELECT identity FROM a) UNION ALL SELECT identity, type, subject, 'gone' FROM a WHERE identity NOT IN (SELECT identity FROM b)""")
+def findings_changed(spark, sf_dir):
+    """Between two reports of all kinds: one that doesn't know some users yet and is 10 days younger, one without others."""
+    now = audit.finding_identity(_report(spark, sf_dir))
+    before = now.filter(~F.col("subject").contains("/u1") & (F.col("days").isNull() | (F.col("days") < LIMIT + 500))).withColumn("days", F.col("days") - 10)
+    return audit.findings_changed(audit.finding_identity(before.drop("identity")), now.filter(~F.col("subject").contains("/u2")))
+
+
+@query(f"WITH {REPORT}, k AS (SELECT DISTINCT type, subject FROM g) SELECT (SELECT count(DISTINCT fp) FROM latest) AS credentials, (SELECT count(*) FROM latest) AS locations, count_if(type = 'reused')::BIGINT AS reused, count_if(type IN ('stale', 'account'))::BIGINT AS stale, count_if(type NOT IN ('reused', 'stale', 'account'))::BIGINT AS other, (SELECT count(*) FROM declared) AS declared FROM k")
+def audit_summary(spark, sf_dir):
+    now = _latest(spark, sf_dir)
+    return audit.audit_summary(now, _report(spark, sf_dir), _pairs(now))
+
+
 @query(f"WITH h AS ({_count_sql('documents', 'doc_id', 'text')}) SELECT DISTINCT 'raw:' || path AS path, label FROM h")
 def leaks(spark, sf_dir):
     """Raw texts and their redacted copies searched alike: only raw ones may show up."""
