@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +14,17 @@ from pyspark.sql import functions as F
 WS = r"[\x20\x09-\x0D]+"
 #: One word: a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of the filters that are broadcast.
+FILTER = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or a new temporary one where it is unset (tests)."""
+    """The folder that all executors share: `spark.checkpoint.dir`. Where it is unset, a local session (tests) takes a new
+    temporary one, and a cluster is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="vigil-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -57,3 +63,17 @@ def most_frequent(counted: DataFrame, n_col: str, at_most: int) -> DataFrame:
             break
         least = r.step
     return counted.filter(step >= least if least is not None else F.lit(False))
+
+
+def bitmap(values: DataFrame) -> np.ndarray:
+    """A bit for each remainder modulo FILTER that occurs in the one long column: a filter of a fixed size."""
+    at = F.pmod(F.col(values.columns[0]), F.lit(FILTER))
+    words = values.groupBy(F.floor(at / 32).cast("int").alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))).alias("bits")).toArrow()
+    bits = np.zeros(FILTER // 32, np.int64)
+    bits[words["k"].to_numpy()] = words["bits"].to_numpy()
+    return bits & 0xFFFFFFFF
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values % FILTER
+    return (bits[at >> 5] >> (at & 31) & 1).astype(bool)

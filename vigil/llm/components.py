@@ -28,9 +28,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of one orderable type -> (a, root) for every node that isn't the least of its component."""
     state = stored(edges.filter("a <> b").select("a", "b").distinct(), "edges")
-    while True:
+    while not state.isEmpty():
         state = stored(_small_star(_large_star(state)), "edges")
         # Done when the edges are stars: each node has one edge, and what it leads to has none.
         nested = state.join(state.select(F.col("a").alias("b")), "b", "left_semi")
         if nested.isEmpty() and state.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
             return state.select("a", F.col("b").alias("root"))
+    return state.select("a", F.col("b").alias("root"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import quotient_filter as qf
-from .common import most_frequent, stored
+from .common import bitmap, in_bitmap, most_frequent, stored
 from .components import connected_components
 from .simhash import majority_bits, shingle_hashes, trie_links
 
@@ -32,8 +32,6 @@ from .simhash import majority_bits, shingle_hashes, trie_links
 SAMPLE, COMMON = 16, 100_000
 #: How many centres a large group has in the round of stars.
 HUBS = 8
-#: Bits of the filters for repeated shingles and for texts that share one.
-FILTER = 1 << 24
 EPS = 1e-9
 
 
@@ -96,20 +94,6 @@ def _entries(size: int, similarity: float, shared):
     return rows
 
 
-def bitmap(values: DataFrame) -> np.ndarray:
-    """A bit for each remainder modulo FILTER that occurs in the one long column: a filter of a fixed size."""
-    at = F.pmod(F.col(values.columns[0]), F.lit(FILTER))
-    words = values.groupBy(F.floor(at / 32).cast("int").alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int"))).alias("bits")).toArrow()
-    bits = np.zeros(FILTER // 32, np.int64)
-    bits[words["k"].to_numpy()] = words["bits"].to_numpy()
-    return bits & 0xFFFFFFFF
-
-
-def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values % FILTER
-    return (bits[at >> 5] >> (at & 31) & 1).astype(bool)
-
-
 def _sets(size: int, shared):
     """(text, t) -> the sets of the texts whose t is in the filter."""
 
@@ -198,14 +182,13 @@ def similar_links(texts: DataFrame, known: DataFrame, size: int, similarity: flo
         some_texts = spark.sparkContext.broadcast(bitmap(known.join(wanted, "fp", "left_semi").select("t")))
         sets = stored(texts.mapInArrow(_sets(size, some_texts), "fp long, hashes binary").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
         one, two = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
-        return stored(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long"), "alike")
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
 
     roots = spark.createDataFrame([], "a long, root long")
     # A round of stars, then the trie: first for the nearest pairs, which leave fewer components to the full budget.
     for bits in (None, budget // 4, budget):
         # The order of columns is that of `_trie_pairs`.
         rooted = members.join(roots, F.col("fp") == F.col("a"), "left").select("key", "sim", "fp", "n", "place", F.coalesce("root", "fp").alias("root"))
-        rooted = stored(rooted, "rooted")
         row = F.struct("fp", "n", "place", "root", "sim")
         apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("fp", F.pmod("key", F.lit(HUBS))), row.alias("row")))["row"].alias("o")).filter("lo <> hi")
         if bits is None:
@@ -214,7 +197,5 @@ def similar_links(texts: DataFrame, known: DataFrame, size: int, similarity: flo
         else:
             dealt = rooted.join(apart.select("key"), "key").repartition("key").sortWithinPartitions("key")
             pairs = dealt.mapInArrow(_trie_pairs(similarity, bits), "a long, b long")
-        found = alike(pairs)
-        if not found.isEmpty():
-            roots = connected_components(found.unionByName(roots.withColumnRenamed("root", "b")))
+        roots = connected_components(alike(pairs).unionByName(roots.withColumnRenamed("root", "b")))
     return roots

@@ -1,13 +1,14 @@
-"""Substring dedup by winnowed runs of word windows.
+"""Substring dedup by level-wise doubling of word windows.
 
-Windows of half the length serve as anchors. Of these only the winnowed ones are taken: a full window holds
-`half + 1` half windows and its anchor is the one with the least hash (the last of equals), which depends on the words of
-the window alone, so equal windows always have equal anchors and none is missed. Neighbouring windows with one anchor
-form a run, one row of the shuffle instead of one row per word. The windows of full length are hashed for all documents
-up front, as a run's key holds them: anchors alone would have to be grouped before, and the texts read a second time. So
-there is one level, and the test whether a half window starts in two documents prunes the grouped runs only. Of these
-a run that is equal as a whole to a run of a smaller document is settled at once, and only the first document of each kind
-of run still has its single windows compared.
+Level 1 looks at windows of half the length. Of these only the winnowed ones are taken: a full window holds `half + 1` half
+windows and its anchor is the one with the least hash (the last of equals), which depends on the words of the window alone,
+so equal windows always have equal anchors and none is missed. Neighbouring windows with one anchor form a run, one row of
+the shuffle instead of one row per word. Anchors that start in two documents survive.
+
+Level 2 extends the survivors alone to twice the length: only texts that hold a surviving anchor are read again, and only
+windows around such anchors are hashed. A run that is equal as a whole to a run of a smaller document is settled at once, and
+only the first document of each kind of run still has its single windows compared. There the windows have the wanted
+length and no candidate is left to extend.
 
 Runs and windows are grouped by hash with minimum and maximum of the ids, pre-aggregated before the shuffle, and joined
 back with plain equi-joins, which Spark splits where a passage stands in very many documents. Keys are pairs of 64-bit
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, words_of
+from .common import bitmap, in_bitmap, stored, words_of
 
 WINDOW = 50
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -60,21 +61,21 @@ def last_least(h: np.ndarray, wide: int) -> np.ndarray:
 
 
 def runs_of(flat: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """(anchor hash, run hash, first window, number of windows) of all runs; ends: for each word, its document's end."""
+    """(anchor hash, words from the run's start to its anchor, first window, number of windows) of all runs; ends: for each
+    word, its document's end."""
     half = window // 2
+    none = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     if len(flat) < window:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return none
     h_half = grown(flat, 1, half)
-    h_full = grown(h_half, half, window)
-    anchor = last_least(h_half, window - half + 1)[: len(h_full)]
-    valid = np.arange(len(h_full)) + window <= ends[: len(h_full)]
+    n_full = len(flat) - window + 1
+    anchor = last_least(h_half, window - half + 1)[:n_full]
+    valid = np.arange(n_full) + window <= ends[:n_full]
     starts = valid & np.r_[True, (anchor[1:] != anchor[:-1]) | ~valid[:-1]]
     first = np.flatnonzero(starts)
     if not len(first):
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
-    n = np.add.reduceat(valid.astype(np.int64), first)
-    shape = ((anchor[first] - first) * (window + 1) + n).astype(np.uint64)
-    return h_half[anchor[first]], mixed(mixed(h_full[first], h_full[first + n - 1]), shape), first, n
+        return none
+    return h_half[anchor[first]], anchor[first] - first, first, np.add.reduceat(valid.astype(np.int64), first)
 
 
 def _flat(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,17 +84,49 @@ def _flat(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64), offsets - offsets[0]
 
 
-def _runs(window: int):
+def _anchors(window: int):
+    """(id, t, hashes) -> a row for each run."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 flat, offsets = _flat(some, 2)
-                anchor, run, first, n = runs_of(flat, np.repeat(offsets[1:], np.diff(offsets)), window)
+                anchor, ahead, first, n = runs_of(flat, np.repeat(offsets[1:], np.diff(offsets)), window)
                 doc = np.searchsorted(offsets, first, side="right") - 1
+                small = lambda x: pa.array(x.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), some.column(0).take(pa.array(doc)), some.column(1).take(pa.array(doc)), small(first - offsets[doc]), small(n), small(ahead)],
+                    ["anchor", "id", "t", "start", "n", "ahead"],
+                )
+
+    return rows
+
+
+def _around(some: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
+    """(id, t, hashes, runs) -> anchor, start, n, ahead of all runs, the row of each, its offset in the words of all rows, and
+    the hashes of all full windows."""
+    flat, offsets = _flat(some, 2)
+    runs = some.column(3)
+    inner = runs.offsets.to_numpy().astype(np.int64)
+    fields = runs.values.slice(inner[0], inner[-1] - inner[0])
+    doc = np.repeat(np.arange(len(runs)), np.diff(inner))
+    h_full = grown(grown(flat, 1, window // 2), window // 2, window)
+    return *(fields.field(k).to_numpy(zero_copy_only=False) for k in range(4)), doc, offsets[doc], h_full
+
+
+def _extended(window: int):
+    """The runs of surviving anchors with a hash of their full windows: the first, the last and how they lie."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                anchor, start, n, ahead, doc, offset, h_full = _around(some, window)
+                shape = (ahead.astype(np.int64) * (window + 1) + n).astype(np.uint64)
+                run = mixed(mixed(h_full[offset + start], h_full[offset + start + n - 1]), shape)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(run.view(np.int64)), some.column(0).take(pa.array(doc)), some.column(1).take(pa.array(doc)), pa.array((first - offsets[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    ["anchor", "run", "id", "t", "start", "n"],
+                    [pa.array(anchor), pa.array(run.view(np.int64)), some.column(0).take(pa.array(doc)), some.column(1).take(pa.array(doc)), pa.array(start), pa.array(n), pa.array(ahead)], ["anchor", "run", "id", "t", "start", "n", "ahead"]
                 )
 
     return rows
@@ -104,19 +137,12 @@ def _windows(window: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                flat, offsets = _flat(some, 2)
-                runs = some.column(3)
-                inner = runs.offsets.to_numpy().astype(np.int64)
-                fields = runs.values.slice(inner[0], inner[-1] - inner[0])
-                anchor, start, n = (fields.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                doc = np.repeat(np.arange(len(runs)), np.diff(inner))
-                h_full = grown(flat, 1, window // 2)
-                h_full = grown(h_full, window // 2, window)
+                anchor, start, n, _, doc, offset, h_full = _around(some, window)
                 each = np.repeat(np.arange(len(n)), n)
                 s = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
                 owner = doc[each]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[each]), pa.array(h_full[s + offsets[owner]].view(np.int64)), some.column(0).take(pa.array(owner)), some.column(1).take(pa.array(owner)), pa.array(s.astype(np.int32))],
+                    [pa.array(anchor[each]), pa.array(h_full[s + offset[each]].view(np.int64)), some.column(0).take(pa.array(owner)), some.column(1).take(pa.array(owner)), pa.array(s.astype(np.int32))],
                     ["anchor", "win", "id", "t", "start"],
                 )
 
@@ -151,35 +177,52 @@ def _hashes(text: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs (id, t, text) -> (id, t, spans): the word spans of windows that also start in a document of smaller id."""
+    """docs (id, t, text) -> (id, t, spans): the word spans of windows that also start in a document of smaller id. Rows with
+    equal id and t are equal."""
     if window < 2 or window % 2:
         raise ValueError("window must be even")
     rows = docs.filter(F.col("id").isNotNull())
     kind = rows.schema["id"].dataType.simpleString()
-    runs = stored(rows.select("id", "t", _hashes(F.col("text")).alias("h")).mapInArrow(_runs(window), f"anchor long, run long, id {kind}, t int, start int, n int"), "runs")
-    kinds = runs.groupBy("anchor", "run").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    anchors = kinds.groupBy("anchor").agg(F.min("first").alias("least"), F.max("last").alias("most"), F.count(F.lit(1)).alias("kinds")).filter("least < most")
-    alive = stored(kinds.join(anchors.select("anchor", "kinds"), "anchor").filter("first < last or kinds > 1"), "alive")
-    found = stored(runs.join(alive.select("anchor", "run", "first", "kinds"), ["anchor", "run"]), "found")
+    run = F.struct("anchor", "start", "n", "ahead")
+
+    def with_runs(runs: DataFrame) -> DataFrame:
+        """The texts that have such runs. Sets, so that rows which are equal don't add up."""
+        each = stored(runs.groupBy("id", "t").agg(F.collect_set(run).alias("runs")), "places")
+        wanted = rows.sparkSession.sparkContext.broadcast(bitmap(each.select("t")))
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_bitmap(wanted.value, batch.column(1).to_numpy(zero_copy_only=False))))
+
+        # Texts that the filter rules out aren't shuffled.
+        texts = rows.select("id", "t", "text").mapInArrow(some, f"id {kind}, t long, text string")
+        return texts.join(each, ["id", "t"]).select("id", "t", _hashes(F.col("text")).alias("h"), "runs")
+
+    level = stored(rows.select("id", "t", _hashes(F.col("text")).alias("h")).mapInArrow(_anchors(window), f"anchor long, id {kind}, t long, start int, n int, ahead int"), "anchors")
+    alive = level.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("anchor")
+    runs = with_runs(level.join(stored(alive, "alive"), "anchor")).mapInArrow(_extended(window), f"anchor long, run long, id {kind}, t long, start int, n int, ahead int")
+    runs = stored(runs, "runs")
+    kinds = stored(runs.groupBy("anchor", "run").agg(F.min("id").alias("first"), F.max("id").alias("last")), "kinds")
+    many = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = kinds.join(many, "anchor").filter("first < last or kinds > 1")
+    found = stored(runs.join(kinds.select("anchor", "run", "first", "kinds"), ["anchor", "run"]), "found")
     whole = found.filter(F.col("id") > F.col("first")).select("id", "t", "start", (F.col("n") + window - 1).alias("n"))
     leads = found.filter((F.col("id") == F.col("first")) & (F.col("kinds") > 1))
-    leads = leads.groupBy("id", "t").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
-    texts = rows.join(leads, ["id", "t"]).select("id", "t", _hashes(F.col("text")).alias("h"), "runs")
-    single = stored(texts.mapInArrow(_windows(window), f"anchor long, win long, id {kind}, t int, start int"), "windows")
+    single = stored(with_runs(leads).mapInArrow(_windows(window), f"anchor long, win long, id {kind}, t long, start int"), "windows")
     firsts = single.groupBy("anchor", "win").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     late = single.join(firsts.select("anchor", "win", "first"), ["anchor", "win"]).filter(F.col("id") > F.col("first"))
     spans = whole.unionByName(late.select("id", "t", "start", F.lit(window).alias("n")))
-    return spans.groupBy("id", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return spans.groupBy("id", "t").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, n_words, n_removed, kept) for each row of `docs`: kept is the text left, its words joined by one space.
 
     Null and empty texts have no words. A row with a null id loses nothing and makes no other row lose words. Rows with
-    equal ids don't count as smaller than each other. Texts shorter than the window stay whole. An empty table gives an
-    empty result; other columns may have any name.
+    equal ids don't count as smaller than each other. Texts shorter than the window stay whole; very long ones are read whole.
+    An empty table gives an empty result; other columns may have any name.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.hash(F.col(f"`{text_col}`")).alias("t"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"))
     spans = repeated_spans(rows, window)
     out = rows.join(spans, ["id", "t"], "left").select("id", "text", "spans")
     return out.mapInArrow(_without, f"id {rows.schema['id'].dataType.simpleString()}, n_words long, n_removed long, kept string")
