@@ -16,8 +16,13 @@ STATE = "location string, fp string, since long, exact boolean"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below `spark.checkpoint.dir`, which all executors share; a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    """A new folder below `spark.checkpoint.dir`, which all executors share. Where that is unset, a local session takes a
+    temporary folder, and a cluster, whose executors wouldn't share one, is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
@@ -27,9 +32,9 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "value")).select((F.col("at") + 1).alias("line"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
 
 
-def source_rules(spark: SparkSession, path: str, default_days: int = 180) -> tuple[DataFrame, DataFrame, int]:
-    """A rule file -> (rules: ord, kind, pattern), (same: group_id, location), stale days. A bad line is an error that
-    names its number; blank lines and # comments are skipped."""
+def source_rules(spark: SparkSession, path: str, default_days: int = 180) -> tuple[DataFrame, DataFrame, int, str | None]:
+    """A rule file -> (rules: ord, kind, pattern), (same: group_id, location), stale days, path of the accounts' file or
+    None. A bad line is an error that names its number; blank lines and # comments are skipped."""
     lines = _numbered(spark, path).filter("value <> '' and not value like '#%'").withColumn("part", F.split("value", r"\s+")).withColumn("n", F.size("part"))
     kind = F.col("part")[0]
     good = F.when(kind.isin(*KINDS), F.col("n") == 2).when(kind == "stale-days", (F.col("n") == 2) & F.col("part")[1].rlike("^[0-9]{1,9}$")).when(kind == "same", F.col("n") >= 3).when(kind == "shadow", F.col("n") == 2).otherwise(F.lit(False))
@@ -39,7 +44,8 @@ def source_rules(spark: SparkSession, path: str, default_days: int = 180) -> tup
     rules = lines.filter(kind.isin(*KINDS)).select(F.col("line").alias("ord"), kind.alias("kind"), F.col("part")[1].alias("pattern"))
     same = lines.filter(kind == "same").select(F.col("line").alias("group_id"), F.explode(F.slice("part", 2, 1 << 20)).alias("location"))
     days = lines.filter(kind == "stale-days").agg(F.max_by(F.col("part")[1].cast("int"), "line")).first()[0]
-    return rules, same, default_days if days is None else days
+    shadow = lines.filter(kind == "shadow").agg(F.max_by(F.col("part")[1], "line")).first()[0]
+    return rules, same, default_days if days is None else days, shadow
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
