@@ -135,21 +135,66 @@ def test_secret_base_spans_equal_the_patterns(spark):
         assert [(s.start, secrets.KINDS.index(s.kind), s.end) for s in got[i] if s.kind in secrets.BASE_KINDS] == sorted(want)
 
 
+def node(tag, *inner):
+    data = b"".join(inner)
+    n = len(data)
+    wide = (n.bit_length() + 7) // 8
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 | wide]) + n.to_bytes(wide, "big")) + data
+
+
+def number(n):
+    return node(2, bytes(range(1, n + 1)))
+
+
+def strings(*fields):
+    return b"".join(len(f).to_bytes(4, "big") + f for f in fields)
+
+
+VERSION, ALGORITHM, CURVE = node(2, b"\0"), node(0x30, node(6, b"*\x86H\x86\xf7\r\x01\x01\x01"), node(5)), node(0xA0, node(6, b"*\x86H\xce=\x03\x01\x07"))
+PRIVATE = {
+    "rsa": node(0x30, VERSION, *[number(40)] * 8),
+    "dsa": node(0x30, VERSION, *[number(24)] * 5),
+    "ec": node(0x30, node(2, b"\1"), node(4, bytes(32)), CURVE),
+    "pkcs8": node(0x30, VERSION, ALGORITHM, node(4, node(0x30, VERSION, *[number(40)] * 8))),
+    "encrypted": node(0x30, node(0x30, node(6, b"*\x86H\x86\xf7\r\x01\x05\r"), node(0x30, number(20))), node(4, bytes(64))),
+    "ssh-ed25519": strings(b"ssh-ed25519", bytes(32), bytes(64)),
+    "ssh-rsa": strings(b"ssh-rsa", *[bytes(40)] * 6, b"me@here"),
+    "container": b"openssh-key-v1\0" + strings(b"none", b"none", b"") + b"\0\0\0\1" + strings(strings(b"ssh-ed25519", bytes(32)), bytes(60)),
+}
+PUBLIC = {
+    "rsa": node(0x30, number(120), number(3)),
+    "spki": node(0x30, ALGORITHM, node(3, b"\0", node(0x30, number(120), number(3)))),
+    "certificate": node(0x30, node(0x30, node(0xA0, node(2, b"\2")), number(8), ALGORITHM, node(0x30, node(0x31, node(0x30, node(6, b"U\x04\x03"), node(12, b"name")))), node(0x30, ALGORITHM, node(3, bytes(60)))), ALGORITHM, node(3, bytes(65))),
+    "signature": node(0x30, number(32), number(32)),
+    "ssh-ed25519": strings(b"ssh-ed25519", bytes(32)),
+    "ssh-rsa": strings(b"ssh-rsa", bytes(3), bytes(129)),
+    "ecdsa": strings(b"ecdsa-sha2-nistp256", b"nistp256", bytes(65)),
+}
+
+
 def test_structure_confirms_or_rejects():
     head, body = b64url(json.dumps({"alg": "HS256", "typ": "JWT"}).encode()), b64url(b'{"sub":"1"}')
-    kinds = lambda t: {secrets.KINDS[k] for _, k, _ in secrets.confirmed_spans(t)}
+    spans = secrets.confirmed_spans
+    kinds = lambda t: {secrets.KINDS[k] for _, k, _ in spans(t)}
     assert kinds(f"x {head}.{body}.c2ln y") == {"jwt"}
     assert kinds(f"x {b64url(b'{}' * 9)}.{body}.c2ln y") == set()
-    integer = lambda n: b"\x02" + bytes([n]) + bytes(range(1, n + 1))
-    inner = integer(1) + integer(32) + integer(8)
-    der = b"\x30" + bytes([len(inner)]) + inner
-    assert kinds(base64.b64encode(der).decode()) == {"der"} == kinds(der.hex() if len(der) >= 32 else "")
-    assert kinds(base64.b64encode(der[:-1]).decode()) == set()
-    pem = "-----BEGIN EC " + "PRIVATE KEY-----\n" + base64.b64encode(der).decode() + "\n-----END EC PRIVATE KEY-----"
-    assert kinds(pem) == {"pem"}
-    blob = b"\0\0\0\x0bssh-ed25519\0\0\0\x20" + bytes(32)
-    assert kinds(base64.b64encode(blob).decode()) == {"keyblob"}
-    assert kinds(base64.b64encode(blob + b"x").decode()) == set()
+    broken = b64url(b'\n {"alg": "none"}')
+    assert spans(f"jwt_{head}.{body}.c2ln") == [(4, 3, 4 + len(head) + len(body) + 6)] and kinds(f"{broken}.{body}.c2ln") == {"jwt"}
+    assert kinds(f"myservice.longtoken.{head}.{body}.c2ln") == {"jwt"}
+    for name, data in PRIVATE.items():
+        kind = "keyblob" if name.startswith("ssh") or name == "container" else "der"
+        text = base64.b64encode(data).decode()
+        lines = "\n".join(text[k : k + 64] for k in range(0, len(text), 64))
+        assert kinds(text) == {kind} == kinds(data.hex()) == kinds(f"key: {text} end"), name
+        assert spans(lines) == [(0, secrets.KINDS.index(kind), len(lines))], name
+        assert kinds(f"-----BEGIN X PRIVATE KEY-----\n{lines}\n-----END X PRIVATE KEY-----") == {"pem"}, name
+        assert kinds(f"-----BEGIN X PRIVATE KEY-----\\n{text}\\n-----END X PRIVATE KEY-----") == {"pem"}, name
+        assert kinds(base64.b64encode(data[:-1]).decode()) == set(), name
+    for name, data in PUBLIC.items():
+        text = base64.b64encode(data).decode()
+        assert kinds(text) == set() == kinds(data.hex()) == kinds(f"-----BEGIN PUBLIC KEY-----\n{text}\n-----END PUBLIC KEY-----"), name
+    secret = base64.b64encode(bytes(range(200))).decode()
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n{secret}\n-----END RSA PRIVATE KEY-----") == {"pem"}
     assert kinds("thererhationenungsch" * 5 + " a.b.c") == set()
 
 

@@ -1,8 +1,13 @@
 """Secret scans: base patterns, and candidates confirmed by their structure.
 
 Base kinds are found by pattern alone. A base64 or hex candidate is reported only if it decodes to something with the
-structure of a key or token: a signed token whose header is JSON with an algorithm, DER whose nested lengths add up and
-that holds the integers or octets of a key, or a key blob of length-prefixed strings. Row by row, without a shuffle.
+structure of a secret: a signed token whose header is JSON with an algorithm, DER whose nested lengths add up and whose
+fields are those of a private key, or a private-key container of length-prefixed strings. Public keys, certificates and
+signatures have other fields and are none. Row by row, without a shuffle.
+
+What counts as a candidate: 40 or more base64 characters in one run, also when lines of a block break it; 64 or more hex
+digits; armour of any length with or without header lines, where an encrypted key is told by them. DER nested more than 16
+deep is none.
 """
 
 from __future__ import annotations
@@ -25,11 +30,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:KEY|CERTIFICATE)[A-Z0-9 ]*)-----([A-Za-z0-9+/=\s\\nr]*?)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Three parts joined by dots; each part of a longer chain is tried as the first.
+_JWT = re.compile(r"(?<![A-Za-z0-9-])(?=([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY[A-Z0-9 ]*)-----(.*?)-----END \1-----", re.S)
+#: Header lines of old armour, up to the empty line, with line breaks as such or as written in a string.
+_HEADERS = re.compile(r"(?:(?:\s|\\r|\\n)*[A-Za-z-]+: [^\n\\]*(?:\\r|\\n|\s)+)+")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{40,})*(?:\r?\n[A-Za-z0-9+/_-]{1,})?={0,2}")
 _LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-_BLOB_TYPES = (b"ssh-", b"ecdsa-", b"sk-ssh-", b"sk-ecdsa-")
 
 
 def decoded_base64(text: str) -> bytes | None:
@@ -41,8 +48,11 @@ def decoded_base64(text: str) -> bytes | None:
         return None
 
 
-def der_tags(data: bytes, depth: int = 0) -> list[tuple[int, int]] | None:
-    """(depth, tag) of all DER elements if the nested lengths fill `data` exactly, else None."""
+Node = tuple[int, bytes, "list[Node]"]
+
+
+def der(data: bytes, depth: int = 0) -> list[Node] | None:
+    """The DER elements (tag, content, elements inside) if the nested lengths fill `data` exactly, else None."""
     out, at = [], 0
     while at < len(data):
         if at + 2 > len(data):
@@ -57,38 +67,71 @@ def der_tags(data: bytes, depth: int = 0) -> list[tuple[int, int]] | None:
                 return None
         if at + length > len(data):
             return None
-        out.append((depth, tag))
-        if tag & 0x20:
-            inner = der_tags(data[at : at + length], depth + 1) if depth < 16 else None
-            if inner is None:
-                return None
-            out += inner
+        content = data[at : at + length]
+        inner = (der(content, depth + 1) if depth < 16 else None) if tag & 0x20 else []
+        if inner is None:
+            return None
+        out.append((tag, content, inner))
         at += length
     return out
 
 
-def is_key_der(data: bytes) -> bool:
-    """One SEQUENCE of at least 30 bytes, nested lengths right, with integers, octets or bits of a key inside."""
-    if len(data) < 30 or data[0] != 0x30:
-        return False
-    tags = der_tags(data)
-    return tags is not None and [d for d, _ in tags].count(0) == 1 and sum(d >= 1 and t in (0x02, 0x03, 0x04) for d, t in tags) >= 2
+_INTEGER, _OCTETS, _OID, _SEQUENCE = 0x02, 0x04, 0x06, 0x30
 
 
-def is_key_blob(data: bytes) -> bool:
-    """A key of length-prefixed strings: a private-key container, or a type name and then fields that fill the rest."""
-    if data.startswith(b"openssh-key-v1\0"):
-        data = data[15:]
-        n = int.from_bytes(data[:4], "big")
-        return 4 <= n + 4 <= len(data) and data[4 : 4 + n].isascii()
+def is_key_der(data: bytes) -> bool:
+    """One SEQUENCE with the fields of a private key: a small version number and then the nine numbers of RSA or six of DSA,
+    the octets of an elliptic curve, or an algorithm with octets (PKCS #8); or an encrypted one, an algorithm with parameters
+    and octets. A public key has bits instead of octets and no version, a signature two numbers."""
+    if len(data) < 30 or data[0] != _SEQUENCE:
+        return False
+    top = der(data)
+    if top is None or len(top) != 1:
+        return False
+    fields = top[0][2]
+    tags = [t for t, _, _ in fields]
+    versioned = bool(fields) and tags[0] == _INTEGER and len(fields[0][1]) == 1 and fields[0][1][0] <= 2
+    if versioned and all(t == _INTEGER for t in tags) and len(tags) in (6, 9):
+        return True
+    if versioned and len(tags) >= 2 and tags[1] == _OCTETS and len(fields[1][1]) >= 16:
+        return True
+    algorithm = lambda node: node[0] == _SEQUENCE and bool(node[2]) and node[2][0][0] == _OID
+    if versioned and len(tags) >= 3 and algorithm(fields[1]) and tags[2] == _OCTETS:
+        return True
+    return tags == [_SEQUENCE, _OCTETS] and algorithm(fields[0]) and len(fields[0][2]) == 2 and len(fields[1][1]) >= 16
+
+
+def _strings(data: bytes) -> list[bytes] | None:
     at, fields = 0, []
     while at < len(data):
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 > len(data) or at + 4 + n > len(data):
-            return False
+            return None
         fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return len(fields) >= 2 and fields[0].startswith(_BLOB_TYPES)
+    return fields
+
+
+#: How many length-prefixed fields a private key has behind its type; the public one has fewer.
+_PRIVATE_FIELDS = {b"ssh-rsa": 6, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
+
+
+def is_key_blob(data: bytes) -> bool:
+    """A private key of length-prefixed strings: a container, or a type name and as many fields as a private key of the type
+    has. A public key has fewer and is none."""
+    if data.startswith(b"openssh-key-v1\0"):
+        # Cipher, key derivation and its options, the number of keys, then each public key and all private ones.
+        at = 15
+        for _ in range(3):
+            at += 4 + int.from_bytes(data[at : at + 4], "big")
+        inside = _strings(data[at + 4 :]) if at + 4 < len(data) else None
+        return inside is not None and len(inside) == int.from_bytes(data[at : at + 4], "big") + 1 > 1
+    fields = _strings(data)
+    if not fields or fields[0] not in _PRIVATE_FIELDS:
+        return False
+    public = {b"ssh-rsa": 2, b"ssh-dss": 4, b"ssh-ed25519": 1}.get(fields[0], 2)
+    # A comment may follow.
+    return len(fields) - 1 in (_PRIVATE_FIELDS[fields[0]], _PRIVATE_FIELDS[fields[0]] + 1) and len(fields) - 1 > public
 
 
 def is_token_header(segment: str) -> bool:
@@ -111,28 +154,49 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
 
 
+def _armoured(kind: str, body: str) -> bool:
+    """Whether armour holds a private key: by its structure, or, where header lines say that it is encrypted, by them."""
+    plain = _HEADERS.sub("", body, count=1) if ": " in body else body
+    data = decoded_base64(re.sub(r"\\[nr]|\s", "", plain))
+    if not data:
+        return False
+    return is_key_der(data) or is_key_blob(data) or ("ENCRYPTED" in body and "PRIVATE" in kind and len(data) >= 32)
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """The spans that the structure confirms: signed tokens, armoured keys, DER and key blobs in base64 or hex."""
-    out = []
-    if "eyJ" in text or "ey" in text and "." in text:
+    out, stop = [], 0
+    if text.count(".") >= 2:
         for m in _JWT.finditer(text):
-            if is_token_header(m[1]) and (m[2] and decoded_base64(m[2]) is not None):
-                out.append((m.start(), 3, m.end()))
+            if m.start() < stop:
+                continue
+            first, at = m[1], m.start()
+            # A prefix that ends in _ or - may stand before the header.
+            for cut in [0, *(k.end() for k in re.finditer("[_-]", first))]:
+                if len(first) - cut >= 8 and is_token_header(first[cut:]) and decoded_base64(m[2]) is not None:
+                    stop = m.end(3)
+                    out.append((at + cut, 3, stop))
+                    break
     armoured = []
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            data = decoded_base64(re.sub(r"\\[nr]|\s", "", m[2]))
-            if data and (is_key_der(data) or is_key_blob(data)):
-                armoured.append((m.start(), 4, m.end()))
+        armoured = [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if _armoured(m[1], m[2])]
     for m in _BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, _, b in armoured) and (data := decoded_base64(m[0])):
-            out += [(m.start(), 5 + k, m.end()) for k, test in enumerate((is_key_der, is_key_blob)) if test(data)]
+        if any(a <= m.start() < b for a, _, b in armoured):
+            continue
+        # The block as a whole, or else its lines one by one.
+        found = _kinds(m.start(), m.end(), decoded_base64(re.sub(r"\s", "", m[0])))
+        if not found and "\n" in m[0]:
+            found = [x for k in re.finditer(r"[A-Za-z0-9+/_-]{40,}={0,2}", m[0]) for x in _kinds(m.start() + k.start(), m.start() + k.end(), decoded_base64(k[0]))]
+        out += found
     for m in _LONG_HEX.finditer(text):
-        data = bytes.fromhex(m[0])
-        out += [(m.start(), 5 + k, m.end()) for k, test in enumerate((is_key_der, is_key_blob)) if test(data)]
+        out += _kinds(m.start(), m.end(), bytes.fromhex(m[0]))
     return out + armoured
 
 
+def _kinds(start: int, end: int, data: bytes | None) -> list[tuple[int, int, int]]:
+    return [(start, 5 + k, end) for k, test in enumerate((is_key_der, is_key_blob)) if data and test(data)]
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     for batch in batches:
@@ -146,8 +210,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans) for each row of `docs`: array<struct<kind, start, end>> by start, then kind; offsets are code points.
 
-    A null text is empty; no secret gives an empty array. Spans of different kinds may overlap. The text of a secret is
-    never returned. An empty table gives an empty result; other columns may have any name.
+    A null text is empty; no secret gives an empty array. Spans of different kinds may overlap. Very long texts are scanned
+    whole; rows with equal ids or texts are rows of their own. The text of a secret is never returned. An empty table gives
+    an empty result; other columns may have any name.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     return rows.mapInArrow(_scan, f"id {rows.schema['id'].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>")
