@@ -159,7 +159,7 @@ def test_quotient_filters_merge_without_loss():
     prints &= (1 << (qf.INNER + 6)) - 1
     prints[:40] &= (1 << qf.INNER) - 1  # a slice of many beside slices of few
     some = np.r_[prints, np.full(300, prints[0])]
-    parts = [b for own in np.array_split(np.random.default_rng(2).permutation(some), 7) for b in qf._build(6)(iter([pa.RecordBatch.from_arrays([pa.array(own)], ["fp"])]))]
+    parts = [b for own in np.array_split(np.random.default_rng(2).permutation(some), 7) for b in qf._build()(iter([pa.RecordBatch.from_arrays([pa.array(own)], ["fp"])]))]
     table = pa.Table.from_batches(parts)
     got = {}
     for q in set(table["slice"].to_pylist()):

@@ -25,13 +25,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _unfinished(edges: DataFrame) -> DataFrame:
+    """Nodes that show that the edges aren't stars yet: with two edges, or with one that leads to a node with one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).filter("out > 1 or out = 1 and in = 1")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of one orderable type -> (a, root) for every node that isn't the least of its component."""
-    state = stored(edges.filter("a <> b").select("a", "b").distinct(), "edges")
-    while not state.isEmpty():
+    state = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    while not _unfinished(state).isEmpty():
         state = stored(_small_star(_large_star(state)), "edges")
-        # Done when the edges are stars: each node has one edge, and what it leads to has none.
-        nested = state.join(state.select(F.col("a").alias("b")), "b", "left_semi")
-        if nested.isEmpty() and state.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-            return state.select("a", F.col("b").alias("root"))
     return state.select("a", F.col("b").alias("root"))

@@ -38,7 +38,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     short = qf.short_print(F.xxhash64(normalised(text)), bits)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), rest.alias("rest"), short.alias("fp"))
     # Stored, so that its size is known: below its own threshold Spark broadcasts it and no text is shuffled here.
-    repeats = stored(qf.repeated(docs.select(short.alias("fp")), bits).select("fp"), "repeats")
+    repeats = stored(qf.repeated(docs.select(short.alias("fp"))).select("fp"), "repeats")
     alone = rows.join(repeats, "fp", "left_anti").withColumns({"norm": normalised(F.col("text")), "keep_id": F.col("id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     # The rows of repeated fingerprints are stored once, with numbers that tell rows that are equal in all columns apart.
     again = rows.join(repeats, "fp").withColumns({"norm": normalised(F.col("text")), "tie": F.xxhash64("text", F.to_json("rest")), "rid": F.monotonically_increasing_id()})

@@ -10,7 +10,7 @@ name merge as sorted sequences whose equal members add their counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,11 +84,15 @@ def unpacked(n: int, occupied: bytes, ends: bytes, counted: bytes, remainders: b
     return (quotient << r) | np.frombuffer(remainders, np.uint16 if r <= 16 else np.uint32).astype(np.int64), counts
 
 
-def _build(slice_bits: int):
+def _longs(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).to_numpy(zero_copy_only=False)
+
+
+def _build(values: Callable[[pa.RecordBatch], np.ndarray] = _longs):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, counts, more, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
         for batch in batches:
-            more.append(batch.column(0).to_numpy(zero_copy_only=False))
+            more.append(values(batch))
             size += len(more[-1])
             if size > GATHER:
                 prints, counts = added(np.concatenate([prints, *more]), np.concatenate([counts, np.ones(size, np.int64)]))
@@ -125,9 +129,10 @@ def short_print(full: Column, slice_bits: int) -> Column:
     return F.shiftrightunsigned(full, 64 - INNER - slice_bits)
 
 
-def repeated(prints: DataFrame, slice_bits: int) -> DataFrame:
-    """(fp, copies) of the fingerprints, made by `short_print`, that occur more than once in the one column of `prints`.
+def repeated(prints: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray] = _longs) -> DataFrame:
+    """(fp, copies) of the fingerprints, made by `short_print`, that occur more than once in the one column of `prints`, or in
+    what `values` takes from its batches.
 
     Each task's filter is a few bytes for each distinct fingerprint, whatever its count; a slice holds a bounded share of
     the distinct fingerprints from each task, so no fingerprint makes a group large."""
-    return prints.mapInArrow(_build(slice_bits), SCHEMA).groupBy("slice").applyInArrow(_merged, "fp long, copies long")
+    return prints.mapInArrow(_build(values), SCHEMA).groupBy("slice").applyInArrow(_merged, "fp long, copies long")

@@ -70,7 +70,9 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - EPS)) + 1 if n else 0
 
 
-def _entries(size: int, similarity: float, shared):
+def _prefixes(size: int, similarity: float, shared):
+    """Texts -> (fp, sim, n, keys): the first shingles of the set in the order for all texts, as packed integers."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for batch in batches:
@@ -78,18 +80,36 @@ def _entries(size: int, similarity: float, shared):
                 sets = [s for t in batch.column(0).slice(at, 500).to_pylist() if (s := shingle_set(t, size)).size]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 sims = majority_bits(np.concatenate([np.zeros(0, np.uint64), *sets]), sizes)
-                firsts = []
+                keys = []
                 for own in sets:
                     p = prefix_length(len(own), similarity)
                     if len(common):
                         k = np.minimum(np.searchsorted(common, own), len(common) - 1)
                         own = own[np.lexsort((own, np.where(common[k] == own, counts[k], 0)))]
-                    firsts.append(own[:p])
-                each = np.array([len(f) for f in firsts], np.int64)
-                flat = lambda x, kind: pa.array(np.repeat(np.asarray(x), each).astype(kind))
-                keys = pa.array(np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64))
-                places = pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in each)]))
-                yield pa.RecordBatch.from_arrays([keys, flat([_print(s) for s in sets], np.int64), flat(sims.view(np.int64), np.int64), flat(sizes, np.int32), places], ["key", "fp", "sim", "n", "place"])
+                    keys.append(own[:p].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in sets], pa.int64()), pa.array(sims.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(keys, pa.binary())], ["fp", "sim", "n", "keys"])
+
+    return rows
+
+
+def _keys_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64)
+
+
+def _entries(shared, shift: np.uint64):
+    """(fp, sim, n, keys) -> (key, fp, sim, n, place) of the keys whose first bits are in the filter."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                each = np.array([len(k) // 8 for k in some.column(3).to_pylist()], np.int64)
+                keys = _keys_of(some.column(3))
+                row = np.repeat(np.arange(len(each)), each)
+                place = np.arange(len(keys)) - np.repeat(np.cumsum(each) - each, each)
+                hit = in_bitmap(shared.value, (keys >> shift).view(np.int64))
+                own = pa.array(row[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), *(some.column(k).take(own) for k in range(3)), pa.array(place[hit].astype(np.int32))], ["key", "fp", "sim", "n", "place"])
 
     return rows
 
@@ -160,18 +180,13 @@ def similar_links(texts: DataFrame, known: DataFrame, size: int, similarity: flo
     common = most_frequent(counted, "n", COMMON).select("key", "n").toArrow()
     order = np.argsort(common["key"].to_numpy().view(np.uint64))
     shared = spark.sparkContext.broadcast((common["key"].to_numpy().view(np.uint64)[order], common["n"].to_numpy()[order]))
-    entries = stored(texts.select("text").mapInArrow(_entries(size, similarity, shared), "key long, fp long, sim long, n int, place int"), "entries")
+    prefixes = stored(texts.select("text").mapInArrow(_prefixes(size, similarity, shared), "fp long, sim long, n int, keys binary"), "prefixes")
     # Most shingles stand in one text: a counting filter finds the others without a shuffle of the entries themselves.
-    named = qf.slice_bits_for(entries.count())
-    short = qf.short_print(F.col("key"), named)
-    shared_keys = spark.sparkContext.broadcast(bitmap(qf.repeated(entries.select(short.alias("fp")), named).select("fp")))
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - qf.INNER - named)
-            yield batch.filter(pa.array(in_bitmap(shared_keys.value, own.view(np.int64))))
-
-    some = stored(entries.mapInArrow(repeated, entries.schema).dropDuplicates(["key", "fp"]), "some")
+    total = prefixes.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    shift = np.uint64(64 - qf.INNER - qf.slice_bits_for(total // 8))
+    again = qf.repeated(prefixes.select("keys"), lambda batch: (_keys_of(batch.column(0)) >> shift).view(np.int64))
+    shared_keys = spark.sparkContext.broadcast(bitmap(again.select("fp")))
+    some = stored(prefixes.mapInArrow(_entries(shared_keys, shift), "key long, fp long, sim long, n int, place int").dropDuplicates(["key", "fp"]), "some")
     first_of_smaller = F.col("n") - F.col("place") >= F.col("n") * (2 * similarity / (1 + similarity)) - EPS
     keys = some.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min(F.when(first_of_smaller, F.col("n"))).alias("least")).filter("lo <> hi and least is not null")
     members = stored(some.join(keys.select("key", "least"), "key").filter("n >= least").drop("least"), "members")
