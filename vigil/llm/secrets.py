@@ -31,8 +31,8 @@ _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Three parts joined by dots; each part of a longer chain is tried as the first.
-_JWT = re.compile(r"(?<![A-Za-z0-9-])(?=([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY[A-Z0-9 ]*)-----(.*?)-----END \1-----", re.S)
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY[A-Z0-9 ]*)-----((?:(?!-----).)*)-----END \1-----", re.S)
 #: Header lines of old armour, up to the empty line, with line breaks as such or as written in a string.
 _HEADERS = re.compile(r"(?:(?:\s|\\r|\\n)*[A-Za-z-]+: [^\n\\]*(?:\\r|\\n|\s)+)+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{40,})*(?:\r?\n[A-Za-z0-9+/_-]{1,})?={0,2}")
@@ -136,6 +136,8 @@ def is_key_blob(data: bytes) -> bool:
 
 def is_token_header(segment: str) -> bool:
     """The first part of a signed token: JSON with a string `alg`."""
+    if (decoded_base64(segment[:4]) or b"x")[0] not in b"{ \t\r\n":
+        return False
     try:
         header = json.loads(decoded_base64(segment) or b"")
     except (ValueError, RecursionError):
