@@ -70,6 +70,17 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM n WINDOW w AS (PARTITION BY norm)
 """
 
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS nth FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][((nth - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most FROM s),
+r AS (SELECT *, most / weight AS ratio FROM w),
+l AS (SELECT *, row_number() OVER o AS place, greatest(sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r WINDOW o AS (ORDER BY ratio, encode(source) NULLS LAST)),
+t AS (SELECT source, source_size, coalesce(least(most, (SELECT level FROM l WHERE level <= ratio ORDER BY place LIMIT 1) * weight), most) AS target FROM l),
+c AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -82,4 +93,4 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_html_extract": op10_html_extract,
 }
-ORACLE_SQL = {"op8_exact_dedup": OP8_SQL}
+ORACLE_SQL = {"op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL}
