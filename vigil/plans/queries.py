@@ -708,9 +708,11 @@ def utc_date(spark, sf_dir):
 
 
 def _stream(spark, sf_dir, table):
-    """The given table as a stream of its files."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    """The given table, a single file or a folder of files, as a stream of its files."""
+    rows = spark.read.parquet(path := f"{sf_dir}/{table}.parquet")
+    if any(f.endswith(f"/{table}.parquet") for f in rows.inputFiles()):
+        return spark.readStream.schema(rows.schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(rows.schema).parquet(path)
 
 
 @query(f"""WITH {OBS}, l AS (SELECT location, fp, ats, lag(fp) OVER (PARTITION BY location ORDER BY ats, fp) AS before FROM obs),
