@@ -64,6 +64,29 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+word AS (SELECT doc_id, r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+win AS (SELECT doc_id, r, unnest(list_transform(range(1, len(w) - 48), lambda i: sha256(array_to_string(w[i:i + 49], ' ')))) AS k, unnest(range(1, len(w) - 48)) AS p FROM d),
+late AS (SELECT r, p FROM (SELECT r, p, doc_id > min(doc_id) OVER (PARTITION BY k) AS late FROM win) WHERE late),
+gone AS (SELECT word.r, word.p, word.word, max(late.p) OVER (PARTITION BY word.r ORDER BY word.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM word LEFT JOIN late ON word.r = late.r AND word.p = late.p),
+kept AS (SELECT r, count_if(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT r, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS k, unnest(range(1, len(w) - 6)) AS p FROM d),
+again AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, sum(step)::BIGINT AS n_repeat_words FROM (SELECT r, least(8, coalesce(lead(p) OVER (PARTITION BY r ORDER BY p) - p, 8)) AS step FROM again) GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+ len(list_filter(w, lambda x: x IN ({", ".join(f"'{v}'" for x in quality.STOP_WORDS for v in (x, x.capitalize(), x.upper()))}))) AS stops, len(l) AS n_lines,
+ len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) AS bullets, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09]*$'))) AS ellipses FROM d LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT base_failed AND word_chars BETWEEN 1.5 * n_words AND 16 * n_words AND n_symbols <= 0.25 * word_chars AND stops >= 0.02 * n_words AND n_dup_lines <= 0.5 * n_lines AND bullets <= 0.9 * n_lines AND ellipses <= 0.5 * n_lines AS kept FROM b
+"""
+
 OP8_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
@@ -93,4 +116,4 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_html_extract": op10_html_extract,
 }
-ORACLE_SQL = {"op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL}
