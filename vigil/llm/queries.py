@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, exact_dedup, html, mixing, quality, secrets, simhash, substring, toxicity
+from . import bpe, class_lm, exact_dedup, html, interactions, mixing, quality, secrets, simhash, substring, toxicity
 from .common import documents
 
 
@@ -64,6 +64,11 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every step of the 120 orders of five filters, per source; see `interactions.audit` for odd rows."""
+    return interactions.audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 word AS (SELECT doc_id, r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
@@ -104,6 +109,23 @@ c AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN t
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
 
+#: Written from the definition of each count: every document walks through every order.
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+f AS (SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'), first IS NOT NULL AND (doc_id IS NULL OR doc_id > first)] AS fails FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS x),
+o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT g.*, o, step, fails[o[step]] AS fails_it, list_bool_or(list_transform(o[1:step - 1], lambda i: fails[i])) AS gone, o[step] AS own FROM g, o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, array_to_string(list_transform(o, lambda i: chr(64 + i::INT)), '') AS filter_order, step::INT AS step, own,
+ coalesce(sum(n) FILTER (NOT coalesce(gone, false) AND NOT fails_it), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT coalesce(gone, false) AND fails_it), 0)::BIGINT AS removed,
+ coalesce(sum(n) FILTER (coalesce(gone, false) AND fails_it), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails_it AND len(list_filter(fails, lambda b: b)) = 1), 0)::BIGINT AS unique_fails,
+ coalesce(sum(good) FILTER (NOT coalesce(gone, false) AND fails_it), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT coalesce(gone, false) AND fails_it), 0)::BIGINT AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -115,5 +137,6 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_html_extract": op10_html_extract,
+    "op13_filter_interactions": op13_filter_interactions,
 }
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "op13_filter_interactions": OP13_SQL}
