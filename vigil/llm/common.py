@@ -30,11 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back; this cuts the lineage and survives lost executors."""
-    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+def stored(df: DataFrame, name: str, session: SparkSession | None = None) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and read it back, in `session` if it is given; this cuts the lineage and
+    survives lost executors."""
+    session = session or df.sparkSession
+    path = os.path.join(shared_dir(session), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return session.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int) -> SparkSession:
+    """A session like `spark` that hands at most so many rows to Python at a time, for rows that are large themselves."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max(1, rows)))
+    return session
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

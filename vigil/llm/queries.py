@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, exact_dedup, html, interactions, mixing, quality, secrets, simhash, substring, toxicity
+from . import bpe, class_lm, exact_dedup, hard_negatives, html, interactions, mixing, quality, secrets, simhash, substring, toxicity
 from .common import documents
 
 
@@ -64,6 +64,14 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, with a seventh of the labels moved on by one; see
+    `hard_negatives.hard_negatives` for odd rows."""
+    rows = documents(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(moved, F.col("vec_id") % 50 == 0)
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every step of the 120 orders of five filters, per source; see `interactions.audit` for odd rows."""
     return interactions.audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
@@ -109,6 +117,16 @@ c AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN t
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
 """
 
+OP11_SQL = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, b.r AS other, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.r <> b.r WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, id NULLS LAST, other) AS nth FROM s WHERE same QUALIFY nth <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.nth ORDER BY s.score DESC, s.id NULLS LAST, s.other) AS rank
+ FROM p JOIN s ON p.r = s.r AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n
+"""
+
 #: Written from the definition of each count: every document walks through every order.
 OP13_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
@@ -137,6 +155,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_html_extract": op10_html_extract,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_filter_interactions": op13_filter_interactions,
 }
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "op13_filter_interactions": OP13_SQL}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_filter_interactions": OP13_SQL}
