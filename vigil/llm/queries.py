@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, class_lm, exact_dedup, hard_negatives, html, interactions, mixing, quality, secrets, simhash, substring, toxicity
+from . import bpe, class_lm, exact_dedup, hard_negatives, html, interactions, licence_rules, licences, mixing, quality, secrets, simhash, substring, toxicity
 from .common import documents
 
 
@@ -72,6 +72,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(moved, F.col("vec_id") % 50 == 0)
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and labels of every document; see `licences.licences` for odd rows."""
+    out = licences.licences(documents(spark, sf_dir))
+    starts = F.transform("base", lambda x: x["start"].cast("long"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every step of the 120 orders of five filters, per source; see `interactions.audit` for odd rows."""
     return interactions.audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
@@ -127,6 +134,24 @@ n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS p
 SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n
 """
 
+_RULE_ROWS = ", ".join(f"({r.ord}, '{h}', '{r.need}', '{r.label}', {r.level}, {r.score}, '^(?:{r.pattern})(?: |$)', {r.base})" for r in licence_rules.compiled() for h in ([r.head] if r.head else licence_rules.GRANT_HEADS))
+#: The same rules, as a table that is joined with the words; base phrases are looked for by their words alone.
+OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+rules(ord, head, need, label, level, score, pattern, base) AS (VALUES {_RULE_ROWS}),
+p AS (SELECT r, w, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+a AS (SELECT r, i, word, array_to_string(w[i + 1:i + {licence_rules.SPAN}], ' ') AS ahead FROM p WHERE word IN (SELECT head FROM rules)),
+m AS (SELECT a.r, a.i AS start, rules.*, rtrim(regexp_extract(ahead, pattern)) AS m FROM a JOIN rules ON word = head WHERE contains(ahead, need) AND regexp_matches(ahead, pattern)),
+h AS (SELECT DISTINCT r, start, start + 1 + len(m) - len(replace(m, ' ', '')) AS stop, ord, label, level, score FROM m),
+k AS (SELECT r, label, score FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.r = h.r AND o.start <= h.start AND o.stop >= h.stop AND o.level >= h.level AND (o.stop - o.start > h.stop - h.start OR o.level > h.level OR o.ord < h.ord))),
+b AS (SELECT r, i, CASE WHEN w[i + 1:i + 2] = ['cc', 'by'] THEN 'cc-by' WHEN w[i + 1:i + 3] = ['general', 'public', 'license'] THEN 'gpl' WHEN w[i + 1:i + 3] = ['all', 'rights', 'reserved'] THEN 'reserved' END AS label FROM p),
+bs AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM b WHERE label IS NOT NULL GROUP BY r),
+ls AS (SELECT r, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT r, label FROM k UNION SELECT r, label FROM b WHERE label IS NOT NULL) GROUP BY r),
+sc AS (SELECT r, max(score)::DOUBLE AS score FROM k GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN bs USING (r) LEFT JOIN ls USING (r) LEFT JOIN sc USING (r)
+"""
+
 #: Written from the definition of each count: every document walks through every order.
 OP13_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
@@ -156,6 +181,7 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_html_extract": op10_html_extract,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_license_scan": op12_license_scan,
     "op13_filter_interactions": op13_filter_interactions,
 }
-ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_filter_interactions": OP13_SQL}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op9_mix_sources": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_license_scan": OP12_SQL, "op13_filter_interactions": OP13_SQL}
