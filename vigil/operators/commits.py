@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 from ..sources.readers import scratch
 from . import known
+from .scan import running
 
 
 def classify_destination(pushes: DataFrame, visibility: DataFrame, declared_public: tuple[str, ...] = ()) -> DataFrame:
@@ -53,16 +54,21 @@ def outgoing_commits(edges: DataFrame, tips: DataFrame) -> DataFrame:
     return kept.filter("own").select("push_id", "sha")
 
 
-def added_lines(patches: DataFrame) -> DataFrame:
-    """patches (commit, patch) -> (commit, file, text) of added lines and message lines, in patch order."""
+def added_lines(patches: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """patches (commit, patch), tags (sha, message) as `outgoing_tags` gives them -> (commit, file, line, text) of added lines
+    and of the lines of messages, in patch order. The file that a line belongs to is a blocked scan, so a huge patch is spread
+    over tasks."""
     rows = patches.select("commit", F.posexplode(F.split("patch", "\r?\n")).alias("line", "t"))
-    w = W.partitionBy("commit").orderBy("line")
-    diff = F.coalesce(F.max(F.col("t").startswith("diff --git ").cast("int")).over(w), F.lit(0)) == 1
-    file = F.last(F.when(F.col("t").startswith("+++ "), F.regexp_replace(F.expr("substring(t, 5)"), "^b/", "")), ignorenulls=True).over(w)
-    rows = rows.withColumns({"diff": diff, "file": file})
-    message = rows.filter("not diff").select("commit", F.lit("(commit message)").alias("file"), "line", F.col("t").alias("text"))
-    added = rows.filter(F.col("diff") & F.col("t").startswith("+") & ~F.col("t").startswith("+++ ")).select("commit", "file", "line", F.expr("substring(t, 2)").alias("text"))
-    return message.unionByName(added)
+    diff = F.when(F.col("t").startswith("diff --git "), 1)
+    file = F.when(F.col("t").startswith("+++ "), F.regexp_replace(F.expr("substring(t, 5)"), "^b/", ""))
+    rows = running(rows, ["commit"], "line", ["line"], diff=("max", diff), file=("last", file))
+    message = rows.filter("diff is null").select("commit", F.lit("(commit message)").alias("file"), "line", F.col("t").alias("text"))
+    added = rows.filter(F.col("diff").isNotNull() & F.col("t").startswith("+") & ~F.col("t").startswith("+++ ")).select("commit", "file", "line", F.expr("substring(t, 2)").alias("text"))
+    lines = message.unionByName(added)
+    if tags is None:
+        return lines
+    said = tags.select(F.col("sha").alias("commit"), F.lit("(tag message)").alias("file"), F.posexplode(F.split("message", "\r?\n")).alias("line", "text"))
+    return lines.unionByName(said.select(F.col("commit").cast(rows.schema["commit"].dataType), "file", "line", "text"))
 
 
 def scannable_commits(changes: DataFrame) -> DataFrame:
@@ -139,10 +145,11 @@ def pattern_secrets(lines: DataFrame, rules: list[tuple[str, str]]) -> DataFrame
 
 
 def attribute_hits(lines: DataFrame) -> DataFrame:
-    """lines (doc, line, text, hit) -> hits with the nearest `commit|tag <sha>` header above (as-of)."""
-    w = W.partitionBy("doc").orderBy("line")
+    """lines (doc, line, text, hit) -> hits with the nearest `commit|tag <sha>` header above (as-of), by a blocked scan."""
     head = F.when(F.col("text").rlike("^(commit|tag) [0-9a-f]+"), F.regexp_extract("text", "^(?:commit|tag) ([0-9a-f]+)", 1))
-    return lines.withColumn("sha", F.last(head, ignorenulls=True).over(w)).filter("hit").select("doc", "line", "sha")
+    # The text ends here: what is scanned is a header or nothing.
+    rows = lines.select("doc", "line", "hit", head.alias("head")).filter("hit or head is not null")
+    return running(rows, ["doc"], "line", ["line"], sha=("last", F.col("head"))).filter("hit").select("doc", "line", "sha")
 
 
 def push_verdict(pushes: DataFrame, problems: DataFrame, evidence: DataFrame) -> DataFrame:

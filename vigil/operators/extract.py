@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as T
+from .scan import running
 
 
 def extract_env(lines: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def extract_ini(lines: DataFrame) -> DataFrame:
     t = T.trimmed(F.col("text"))
     rows = lines.withColumn("t", t).filter(~F.col("t").rlike("^[;#]"))
     section = F.when(F.col("t").rlike(r"^\[.*\]$"), F.regexp_extract("t", r"^\[(.*)\]$", 1))
-    rows = rows.withColumn("section", F.last(section, ignorenulls=True).over(W.partitionBy("path").orderBy("line")))
+    rows = running(rows, ["path"], "line", ["line"], section=("last", section))
     key, value = F.lower(F.regexp_extract("t", r"^([^=\[]*?)\s*=>?\s*(.*)$", 1)), F.regexp_extract("t", r"^([^=\[]*?)\s*=>?\s*(.*)$", 2)
     found = rows.select("path", "line", F.coalesce("section", F.lit("")).alias("section"), key.alias("key"), T.strip_quotes(value).alias("secret"))
     found = found.filter(F.col("key").isin("password", "secret") & T.is_real_value(F.col("secret")))
@@ -35,10 +35,9 @@ def extract_ini(lines: DataFrame) -> DataFrame:
 def extract_wg(lines: DataFrame) -> DataFrame:
     """Interface and peer sections: PrivateKey and PresharedKey; a peer is named by the first entry of its last
     AllowedIPs line, or by its number."""
-    by_line = W.partitionBy("path").orderBy("line")
     head = F.col("t").rlike(r"^\[.*\]$")
     rows = lines.withColumn("t", T.trimmed(F.col("text"))).filter(~F.col("t").rlike("^[;#]"))
-    rows = rows.withColumn("sec", F.sum(head.cast("int")).over(by_line)).withColumn("peer_no", F.sum((F.lower("t") == "[peer]").cast("int")).over(by_line))
+    rows = running(rows, ["path"], "line", ["line"], sec=("sum", head.cast("int")), peer_no=("sum", (F.lower("t") == "[peer]").cast("int")))
     key, value = T.trimmed(F.substring_index("t", "=", 1)), T.trimmed(F.regexp_replace("t", "^[^=]*=", ""))
     rows = rows.withColumns({"key": F.when(F.contains("t", F.lit("=")), key), "value": value})
     section = rows.groupBy("path", "sec").agg(F.max((F.lower("t") == "[peer]").cast("int")).alias("is_peer"), F.max("peer_no").alias("peer_no"), F.max_by(F.when(F.col("key") == "AllowedIPs", F.col("value")), F.when(F.col("key") == "AllowedIPs", F.col("line"))).alias("allowed"))

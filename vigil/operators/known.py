@@ -11,10 +11,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..sources.readers import scratch
+from .scan import running
 
 MIN_LINE = 20
 #: Needles that one broadcast may hold; a larger dictionary is searched in several passes.
@@ -133,14 +133,14 @@ def find_known(files: DataFrame, needles: DataFrame, part: int = PART) -> DataFr
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:
-    """Hits that overlap become one span with the first label; spans that only touch stay apart."""
-    w = W.partitionBy("path").orderBy("start", "len", "label")
-    end = F.col("start") + F.col("len")
-    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    rows = hits.withColumn("fresh", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
-    rows = rows.withColumn("span", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    merged = rows.groupBy("path", "span").agg(F.min("start").alias("start"), F.max(end).alias("stop"), F.min_by("label", F.struct("start", "len", "label")).alias("label"))
-    return merged.select("path", "start", (F.col("stop") - F.col("start")).alias("len"), "label")
+    """Hits that overlap become one span with the first label; spans that only touch stay apart. How far the hits before one
+    reach is a blocked scan, so a document with very many hits is spread over tasks; so is the start of its span."""
+    order, end = ["start", "len", "label"], F.col("start") + F.col("len")
+    rows = running(hits, ["path"], "start", order, before=True, reach=("max", end))
+    fresh = F.when(F.col("reach").isNull() | (F.col("start") >= F.col("reach")), F.col("start"))
+    rows = running(rows.select("path", *order, fresh.alias("fresh")), ["path"], "start", order, span=("max", F.col("fresh")))
+    merged = rows.groupBy("path", "span").agg(F.max(end).alias("stop"), F.min_by("label", F.struct(*order)).alias("label"))
+    return merged.select("path", F.col("span").alias("start"), (F.col("stop") - F.col("span")).alias("len"), "label")
 
 
 def count_known(spans: DataFrame) -> DataFrame:
