@@ -203,16 +203,6 @@ def test_places_under_an_unseen_source_are_not_missing(spark):
     assert sorted(r.location for r in audit.missing(found, same, unseen).collect()) == ["file:/c", "ini:/b/y.env#K"]
 
 
-def test_a_long_history_takes_few_steps(spark, monkeypatch):
-    n, seen = 10_000, []
-    monkeypatch.setattr(commits, "scratch", lambda s, name, real=commits.scratch: seen.append(name) or real(s, name))
-    edges = spark.range(1, n).select(F.col("id").alias("sha"), (F.col("id") - 1).alias("parent")).union(spark.createDataFrame([(5, 2), (0, None)], "sha long, parent long"))
-    edges = edges.select(F.col("sha").cast("string"), F.col("parent").cast("string"))
-    tips = spark.createDataFrame([("p", str(n - 1), "7000"), ("q", "6", None), ("z", "0000000", "3")], "push_id string, sha string, remote_sha string")
-    out = commits.outgoing_commits(edges, tips).groupBy("push_id").count().collect()
-    assert {r.push_id: r["count"] for r in out} == {"p": n - 1 - 7000, "q": 7} and len(seen) < 40
-
-
 @pytest.mark.parametrize(("url", "slug", "visibility"), [("../mirror", "../mirror", "private"), ("file:///srv/x", "file:///srv/x", "private"), ("https://user@github.com/A/b", "a/b", "public"), ("git@github.com:a/b.git/", "a/b", "public"), ("https://github.com/a/unknown", "a/unknown", None), ("https://git.example/a", "https://git.example/a", "public"), ("./pub", "./pub", "public")])
 def test_destinations(spark, url, slug, visibility):
     vis = spark.createDataFrame([("a/b", "public")], "slug string, visibility string")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
-from ..sources.readers import scratch
-from . import known
+from . import history, known
 from .scan import running
 
 
@@ -28,30 +27,10 @@ def public_not_allowed(placed: DataFrame, allow: DataFrame) -> DataFrame:
     return placed.filter("visibility = 'public'").join(allow.select(F.lower("repo").alias("slug")), "slug", "left_anti").select("push_id", "slug")
 
 
-def outgoing_commits(edges: DataFrame, tips: DataFrame) -> DataFrame:
-    """edges (sha, parent), tips (push_id, sha, remote_sha) -> (push_id, sha) reachable from the tip but not from the
-    remote tip.
-
-    Steps double: after the k-th, `ahead` leads from a commit to those 2^k parents further on, and what is reached grows by
-    as much, so a history of any length takes as many steps as its length has bits. First-parent chains stay as wide as the
-    table; a lattice of merges has several ways to the same commit, which are one row each after `distinct`. Each step cuts
-    the lineage in the shared folder."""
-    spark = edges.sparkSession
-
-    def cut(df: DataFrame) -> DataFrame:
-        path = scratch(spark, "reach")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    starts = tips.select("push_id", "sha", F.lit(True).alias("own")).unionByName(tips.select("push_id", F.col("remote_sha").alias("sha"), F.lit(False).alias("own")))
-    reached = cut(starts.filter("sha is not null and not sha rlike '^0+$'").distinct())
-    ahead = cut(edges.filter("parent is not null").select("sha", "parent").distinct())
-    while not ahead.isEmpty():
-        further = reached.join(ahead, "sha").select("push_id", F.col("parent").alias("sha"), "own")
-        reached = cut(reached.unionByName(further).distinct())
-        ahead = cut(ahead.alias("a").join(ahead.alias("b"), F.col("a.parent") == F.col("b.sha")).select("a.sha", F.col("b.parent").alias("parent")).distinct())
-    kept = reached.groupBy("push_id", "sha").agg(F.min("own").alias("own"))
-    return kept.filter("own").select("push_id", "sha")
+def outgoing_commits(edges: DataFrame | history.CommitIndex, tips: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """edges (sha, parent), or an index of them; tips (push_id, sha, remote_sha), refs (remote, sha) with a column remote in
+    tips -> (push_id, sha) of the commits that leave with a push; see `history.outgoing`."""
+    return history.outgoing(edges, tips, refs)
 
 
 def added_lines(patches: DataFrame, tags: DataFrame | None = None) -> DataFrame:

@@ -449,6 +449,33 @@ def outgoing_commits(spark, sf_dir):
     return commits.outgoing_commits(e.select("sha", "parent"), tips)
 
 
+#: Eight customers' branches are one repository: every third order also merges what came before it there. Remotes have refs at
+#: two fifths and at half of it. A customer with an even number has its own ref on the remote, half way; others push a new branch.
+BRANCHES = """o AS (SELECT o_orderkey AS sha, o_custkey, o_custkey // 8 AS remote, row_number() OVER c AS n, count(*) OVER (PARTITION BY o_custkey) AS total, row_number() OVER r AS m, count(*) OVER (PARTITION BY o_custkey // 8) AS every,
+lag(o_orderkey) OVER c AS up, CASE WHEN o_orderkey % 3 = 0 THEN lag(o_orderkey) OVER r END AS merged FROM orders WINDOW c AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), r AS (PARTITION BY o_custkey // 8 ORDER BY o_orderdate, o_orderkey)),
+edge AS (SELECT sha, up AS parent FROM o WHERE up IS NOT NULL UNION SELECT sha, merged FROM o WHERE merged IS NOT NULL),
+tip AS (SELECT o_custkey AS push_id, any_value(remote) AS remote, arg_max(sha, n) AS sha, max(CASE WHEN o_custkey % 2 = 0 AND n = total // 2 THEN sha END) AS remote_sha FROM o GROUP BY o_custkey),
+ref AS (SELECT remote, sha FROM o WHERE m IN (every * 2 // 5, every // 2)),
+walk (push_id, own, sha) AS (SELECT * FROM (SELECT push_id, true, sha FROM tip UNION ALL SELECT push_id, false, remote_sha FROM tip WHERE remote_sha IS NOT NULL UNION ALL SELECT push_id, false, ref.sha FROM tip JOIN ref USING (remote) WHERE remote_sha IS NULL)
+UNION SELECT push_id, own, parent FROM walk JOIN edge USING (sha))"""
+
+
+@query(f"WITH RECURSIVE {BRANCHES} SELECT push_id, sha FROM walk GROUP BY push_id, sha HAVING bool_and(own)")
+def outgoing_new_branches(spark, sf_dir):
+    """Pushes over a history with merges: what no ref of the remote reaches."""
+    from pyspark.sql import Window as W
+
+    group = F.expr("o_custkey div 8").alias("remote")
+    c, r = (W.partitionBy(k).orderBy("o_orderdate", "o_orderkey") for k in ("o_custkey", "remote"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", group)
+    o = o.select(F.col("o_orderkey").alias("sha"), "o_custkey", "remote", F.row_number().over(c).alias("n"), F.count(F.lit(1)).over(W.partitionBy("o_custkey")).alias("total"), F.row_number().over(r).alias("m"), F.count(F.lit(1)).over(W.partitionBy("remote")).alias("every"), F.lag("o_orderkey").over(c).alias("up"), F.lag("o_orderkey").over(r).alias("before"))
+    merged = o.filter("sha % 3 = 0").select("sha", F.col("before").alias("parent"), F.lit(1).alias("nth"))
+    edges = o.select("sha", F.col("up").alias("parent"), F.lit(0).alias("nth")).unionByName(merged)
+    tips = o.groupBy(F.col("o_custkey").alias("push_id"), "remote").agg(F.max_by("sha", "n").alias("sha"), F.max(F.when((F.col("o_custkey") % 2 == 0) & (F.col("n") == F.expr("total div 2")), F.col("sha"))).alias("remote_sha"))
+    refs = o.filter("m = every * 2 div 5 or m = every div 2").select("remote", "sha")
+    return commits.outgoing_commits(edges, tips, refs)
+
+
 COMMANDS = f"cmd AS ({view_sql('commands')})"
 VERDICTS = f"""{COMMANDS}, v AS (SELECT cmd_id, CASE WHEN command LIKE 'git push --no-verify%' THEN 'no-verify on push' WHEN command LIKE '%config --global core.hooksPath%' THEN 'hooks path' WHEN command LIKE '%> ~/.gitconfig' THEN 'config file write'
 WHEN command LIKE 'GIT_CONFIG_NOSYSTEM=%' THEN 'config environment' WHEN command LIKE '%--public' THEN 'public repository' WHEN command = 'gh release create v1' THEN 'unnamed release' WHEN command LIKE '%acme/other' THEN 'release' WHEN command LIKE '%npm publish' THEN 'npm publish'
