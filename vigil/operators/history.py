@@ -109,39 +109,47 @@ class CommitIndex:
         """above (push, set, sha), below (set, sha) -> (push, sha): what a push's commits reach and its set's don't.
 
         Sets are spread first, down to the lowest level that the pushes' open parts of chains begin at; then pushes take one
-        step over the crossings of their open parts. Parts only end, and never begin, further down, so both come to rest."""
-        own = _stored(self.places(above).groupBy("push", "set", "chain").agg(F.max("pos").alias("pos")), "own")
-        cut = _stored(self._top(self.places(below).select("set", "chain", "pos", "level")), "cut")
+        step over the crossings of what is newly open. Parts only end, and never begin, further down, so both come to rest."""
+        own = self._top(self.places(above).select("push", "set", "chain", "pos", "level"), ["push", "set", "chain"], "own")
+        cut = self._top(self.places(below).select("set", "chain", "pos", "level"), ["set", "chain"], "cut")
         while True:
+            bounds = self._open(own, cut).groupBy("set").agg(F.min("bottom").alias("bound"))
+            bounds = _stored(bounds.filter("bound is not null"), "bounds")
+            grown = cut  # the bounds may lie lower than before, so all of a set is spread again
             while True:
-                open_ = _stored(self._open(own, cut), "open")
-                grown = self._spread(cut, open_.groupBy("set").agg(F.min("level").alias("bound")))
-                grown = _stored(self._top(cut.unionByName(grown)), "cut")
-                same = grown.join(cut.select("set", "chain", F.col("pos").alias("old")), ["set", "chain"], "left").filter("old is null or old < pos").isEmpty()
-                cut = grown
-                if same:
+                more = self._spread(grown, bounds)
+                cut = self._top(cut, ["set", "chain"], "cut", more)
+                grown = cut.filter("fresh")
+                if grown.isEmpty():
                     break
-            more = self._crossed(open_)
-            grown = _stored(own.unionByName(more).groupBy("push", "set", "chain").agg(F.max("pos").alias("pos")), "own")
-            same = grown.join(own.select("push", "chain", F.col("pos").alias("old")), ["push", "chain"], "left").filter("old is null or old < pos").isEmpty()
-            own = grown
-            if same:
+            open_ = _stored(self._open(own, cut), "open")
+            own = self._top(own, ["push", "set", "chain"], "own", self._crossed(open_.filter("fresh")))
+            if own.filter("fresh").isEmpty():
                 break
         # Commits of an open part, and those that the graph doesn't hold.
         every = open_.select("push", "chain", F.explode(F.sequence("low", "pos")).alias("pos"))
-        alone = open_.join(self.commits.select("chain").distinct(), "chain", "left_anti").select("push", F.col("chain").alias("sha"))
+        alone = open_.filter("bottom is null").select("push", F.col("chain").alias("sha"))
         return every.join(self.commits.select("sha", "chain", "pos"), ["chain", "pos"]).select("push", "sha").unionByName(alone)
 
     @staticmethod
-    def _top(cut: DataFrame) -> DataFrame:
-        return cut.groupBy("set", "chain").agg(F.max(F.struct("pos", "level")).alias("at")).select("set", "chain", "at.pos", "at.level")
+    def _top(rows: DataFrame, keys: list[str], name: str, more: DataFrame | None = None) -> DataFrame:
+        """By key the highest place and its level; `fresh` where `more` has raised it, or for all rows if there is no `more`, and
+        `old` the place before."""
+        columns = [*keys, "pos", "level"]
+        both = rows.select(*columns, F.lit(None).cast("long").alias("old"))
+        if more is not None:
+            both = rows.select(*columns, F.col("pos").alias("old")).unionByName(more.select(*columns, F.lit(None).cast("long").alias("old")))
+        at = both.groupBy(*keys).agg(F.max(F.struct("pos", "level")).alias("at"), F.max("old").alias("old"))
+        return _stored(at.select(*keys, "at.pos", "at.level", "old", F.coalesce(F.col("at.pos") > F.col("old"), F.lit(True)).alias("fresh")), name)
 
     def _open(self, own: DataFrame, cut: DataFrame) -> DataFrame:
-        """(push, set, chain, low, pos, level): the parts of chains that pushes reach and their sets don't, as far as is known,
-        and the level of the lowest commit of each, null where the graph doesn't hold it."""
+        """(push, set, chain, low, pos, new, fresh, bottom): the parts of chains that pushes reach and their sets don't, as far as
+        is known; where what is new in a fresh one begins; and the level of the lowest commit, null where the graph doesn't
+        hold it."""
         rows = own.join(cut.select("set", "chain", F.col("pos").alias("had")), ["set", "chain"], "left")
-        rows = rows.select("push", "set", "chain", (F.coalesce("had", F.lit(-1)) + 1).alias("low"), "pos").filter("low <= pos")
-        lowest = self.commits.select("chain", F.col("pos").alias("low"), "level")
+        rows = rows.withColumn("low", F.coalesce("had", F.lit(-1)) + 1).filter("low <= pos")
+        rows = rows.select("push", "set", "chain", "low", "pos", F.greatest("low", F.coalesce("old", F.lit(-1)) + 1).alias("new"), "fresh")
+        lowest = self.commits.select("chain", F.col("pos").alias("low"), F.col("level").alias("bottom"))
         return rows.join(lowest, ["chain", "low"], "left")
 
     def _spread(self, cut: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -150,13 +158,13 @@ class CommitIndex:
         floor = lambda c: F.floor(F.col(c) / STEP)
         rows = rows.select("set", "chain", F.col("pos").alias("top"), "bound", F.explode(F.sequence(floor("bound"), floor("level"))).alias("deep"))
         hit = rows.join(self.crossings, ["chain", "deep"]).filter("pos <= top and to_level >= bound")
-        return hit.groupBy("set", F.col("to_chain").alias("chain")).agg(F.max(F.struct("to_pos", "to_level")).alias("at")).select("set", "chain", F.col("at.to_pos").alias("pos"), F.col("at.to_level").alias("level"))
+        return hit.select("set", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), F.col("to_level").alias("level"))
 
     def _crossed(self, open_: DataFrame) -> DataFrame:
         floor = lambda c: F.floor(F.col(c) / STEP)
-        rows = open_.select("push", "set", "chain", "low", F.col("pos").alias("top"), F.explode(F.sequence(floor("low"), floor("pos"))).alias("near"))
-        hit = rows.join(self.crossings, ["chain", "near"]).filter("pos between low and top")
-        return hit.groupBy("push", "set", F.col("to_chain").alias("chain")).agg(F.max("to_pos").alias("pos"))
+        rows = open_.select("push", "set", "chain", "new", F.col("pos").alias("top"), F.explode(F.sequence(floor("new"), floor("pos"))).alias("near"))
+        hit = rows.join(self.crossings, ["chain", "near"]).filter("pos between new and top")
+        return hit.select("push", "set", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), F.col("to_level").alias("level"))
 
 
 def outgoing(edges: DataFrame | CommitIndex, tips: DataFrame, refs: DataFrame | None = None) -> DataFrame:

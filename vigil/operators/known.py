@@ -1,6 +1,6 @@
 """Search for known credentials in every form they take when they leak, and redaction.
 
-The text is never shuffled for the search: the dictionary goes to the text, in parts of bounded size. Only hits move.
+The text is never shuffled for the search: a filter of the dictionary goes to the text, and only hits move.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.readers import scratch
+from . import needle_filter
 from .scan import running
 
 MIN_LINE = 20
-#: Needles that one broadcast may hold; a larger dictionary is searched in several passes.
-PART = 200_000
-HITS = "path {}, start long, len long, label string"
+#: Needles, and bytes of needles, that a broadcast may hold whole, for redaction in one pass.
+PART, PART_BYTES = 200_000, 32 << 20
 
 
 def dictionary(secrets: DataFrame) -> DataFrame:
@@ -61,18 +61,27 @@ def leaks(outputs: DataFrame, needles: DataFrame) -> DataFrame:
     return find_known(outputs, needles).select("path", "label").distinct()
 
 
-def redact_rows(rows: DataFrame, needles: DataFrame, part: int | None = None) -> DataFrame:
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    folder = scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def redact_rows(rows: DataFrame, needles: DataFrame) -> DataFrame:
     """rows (path, content) -> (path, content binary, n_redacted) of every row, with known credentials replaced. One pass
-    without a shuffle and without state while the dictionary fits one broadcast of `part` needles, PART by default; `rows`
-    may then be a stream. A larger one is searched in parts, for which a stream has to come batch by batch."""
-    part = part or PART
+    without a shuffle and without state while the dictionary fits one broadcast, PART needles of PART_BYTES together; `rows`
+    may then be a stream. A larger one is searched by its filter, for which a stream has to come batch by batch."""
     spark, kind = rows.sparkSession, rows.schema["path"].dataType.simpleString()
-    shared = [(bytes(r.needle), r.label) for r in needles.limit(part + 1).collect()]
-    if len(shared) > part:
-        if rows.isStreaming:
-            raise ValueError(f"more than {part} needles: redact the batches of the stream")
-        return _redact_in_parts(rows, needles, part)
-    shared = spark.sparkContext.broadcast(shared)
+    # The dictionary is read once, partition by partition, and no further than what may be shared.
+    few, size = [], 0
+    for r in needles.limit(PART + 1).toLocalIterator():
+        few.append((bytes(r.needle), r.label))
+        size += len(r.needle)
+        if len(few) > PART or size > PART_BYTES:
+            if rows.isStreaming:
+                raise ValueError(f"more than {PART} needles or {PART_BYTES} bytes: redact the batches of the stream")
+            return _redact_by_hits(rows, needles)
+    shared = spark.sparkContext.broadcast(few)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value)
@@ -92,50 +101,39 @@ def redact_rows(rows: DataFrame, needles: DataFrame, part: int | None = None) ->
     return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(cut, f"path {kind}, content binary, n_redacted long")
 
 
-def _redact_in_parts(rows: DataFrame, needles: DataFrame, part: int) -> DataFrame:
-    """As redact_rows, for a dictionary of any size. Rows are numbered, as paths may repeat, and written once."""
-    folder = scratch(rows.sparkSession, "numbered")
-    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "path", F.col("content").cast("binary").alias("content"))
-    numbered.write.mode("overwrite").parquet(folder)
-    numbered = rows.sparkSession.read.schema(numbered.schema).parquet(folder)
+def _redact_by_hits(rows: DataFrame, needles: DataFrame) -> DataFrame:
+    """As redact_rows, for a dictionary of any size. Rows are numbered, as paths may repeat, and written once; of them only
+    those with a hit meet their spans in a join."""
+    numbered = _stored(rows.select(F.monotonically_increasing_id().alias("rid"), "path", F.col("content").cast("binary").alias("content")), "numbered")
     files = numbered.select(F.col("rid").alias("path"), "content")
-    cut = redact(files, merge_hits(find_known(files, needles, part)))
-    cut = cut.select(F.col("path").alias("rid"), F.col("content").alias("redacted"), "n_redacted")
-    return numbered.join(cut, "rid", "left").select("path", F.coalesce("redacted", "content").alias("content"), F.coalesce("n_redacted", F.lit(0)).cast("long").alias("n_redacted"))
-
-
-def find_known(files: DataFrame, needles: DataFrame, part: int = PART) -> DataFrame:
-    """files (path, content) -> hits (path, start, len, label); offsets are bytes. A null content has none."""
-    kind = files.schema["path"].dataType.simpleString()
-    spark = files.sparkSession
-    rows = files.select("path", F.col("content").cast("binary").alias("content"))
-    n_parts = max(1, -(-needles.count() // part))
-    passes = []
-    for k in range(n_parts):
-        own = needles.filter(F.pmod(F.xxhash64("needle"), F.lit(n_parts)) == k) if n_parts > 1 else needles
-        shared = spark.sparkContext.broadcast([(bytes(r.needle), r.label) for r in own.collect()])
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value)
-            for batch in batches:
-                found = [(i, *hit) for i, data in enumerate(batch.column(1).to_pylist()) if data for hit in matcher.find(data)]
-                at, start, length, label = zip(*found, strict=True) if found else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(label, pa.string())], ["path", "start", "len", "label"])
-
-        passes.append(rows.mapInArrow(search, HITS.format(kind)))
-    if n_parts == 1:
-        return passes[0]
-    hits = passes[0]
-    for more in passes[1:]:
-        hits = hits.unionByName(more)
-    best = hits.groupBy("path", "start").agg(F.max(F.struct("len", "label")).alias("best"))
-    return best.select("path", "start", "best.len", "best.label")
+    spans = _stored(merge_hits(find_known(files, needles)), "spans")
+    cut = redact(files, spans).select(F.col("path").alias("rid"), F.col("content").alias("redacted"), "n_redacted")
+    whole = numbered.join(spans.select(F.col("path").alias("rid")).distinct(), "rid", "left_anti")
+    changed = cut.join(numbered.select("rid", "path"), "rid")
+    return whole.select("path", "content", F.lit(0).cast("long").alias("n_redacted")).unionByName(changed.select("path", F.col("redacted").alias("content"), "n_redacted"))
+
+
+def find_known(files: DataFrame, needles: DataFrame, most_bits: int = needle_filter.MOST_BITS) -> DataFrame:
+    """files (path, content) -> hits (path, start, len, label): at every place the longest needle that starts there; offsets
+    are bytes. A null content has none. A dictionary of any size is one scan of the files, see `needle_filter`.
+
+    Files may come in ranges, as `ranges.read_ranges` gives them: (path, offset, own, size, content). Hits are then at their
+    place in the whole file, and each is found once, in the range that its first byte belongs to."""
+    ranged = "offset" in files.columns
+    digests, shared = needle_filter.reduced(needles, _stored, most_bits)
+    content = F.col("content").cast("binary")
+    where = {c: F.col(c) for c in ("offset", "own", "size")} if ranged else {"offset": F.lit(0), "own": F.length(content), "size": F.length(content)}
+    rows = files.filter(F.length(content) >= needle_filter.PREFIX).select("path", content.alias("content"), *[v.cast("long").alias(c) for c, v in where.items()])
+    passed = rows.mapInArrow(needle_filter.passed(shared), f"path {files.schema['path'].dataType.simpleString()}, start long, len long, digest binary")
+    hits = passed.join(digests, "digest").groupBy("path", "start").agg(F.max(F.struct("len", "label")).alias("best"))
+    return hits.select("path", "start", "best.len", "best.label")
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:
     """Hits that overlap become one span with the first label; spans that only touch stay apart. How far the hits before one
     reach is a blocked scan, so a document with very many hits is spread over tasks; so is the start of its span."""
     order, end = ["start", "len", "label"], F.col("start") + F.col("len")
+    hits = _stored(hits.select("path", *order), "hits")  # a scan reads its rows twice
     rows = running(hits, ["path"], "start", order, before=True, reach=("max", end))
     fresh = F.when(F.col("reach").isNull() | (F.col("start") >= F.col("reach")), F.col("start"))
     rows = running(rows.select("path", *order, fresh.alias("fresh")), ["path"], "start", order, span=("max", F.col("fresh")))

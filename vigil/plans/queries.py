@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.fingerprint import Fingerprinter
 from ..operators import audit, commands, commits, extract, known, transcripts
-from ..sources import readers
+from ..sources import ranges, readers
 from ..streaming import state as streams
 from .views import TEST_PEPPER, VIEWS, view, view_sql
 
@@ -306,6 +306,29 @@ def count_known_pages(spark, sf_dir):
     return known.count_known(_spans(spark, sf_dir, "pages", "page_id", "html")[1])
 
 
+_ORDER_LINE = "'order ' || o_orderkey || ' of Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || ', ' || o_orderpriority"
+
+
+@query(f"WITH o AS (SELECT regexp_extract({_ORDER_LINE}, 'Customer#[0-9]*') AS c_name FROM orders) SELECT label, count(*) AS n FROM o JOIN (SELECT DISTINCT c_name, {label_sql(fp_sql('c_name'))} AS label FROM customer) USING (c_name) GROUP BY label")
+def known_customers(spark, sf_dir):
+    """A dictionary as long as a table, all of whose values begin alike: how often each name occurs in the lines of orders."""
+    p = _fp(spark)
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("secret")).distinct()
+    lines = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("path"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" of Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(", "), "o_orderpriority").alias("content"))
+    spans = known.merge_hits(known.find_known(lines, known.dictionary(names.withColumn("label", p.label(p.fp(F.col("secret")))))))
+    return spans.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH h AS ({_count_sql('documents', 'doc_id', 'text')}) SELECT label, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY label")
+def count_known_ranges(spark, sf_dir):
+    """The texts of all documents as a few long files, searched by byte ranges that are much smaller than they."""
+    folder = readers.scratch(spark, "texts")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.coalesce("text", F.lit("")).alias("text")).write.text(folder)
+    needles = known.dictionary(_tokens(spark, sf_dir))
+    files = ranges.read_ranges(spark, folder, needles.agg(F.max(F.octet_length("needle"))).first()[0] or 0, 1 << 20)
+    return known.merge_hits(known.find_known(files, needles)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 #: Credentials beside the tokens, most of which can't be searched for: numbers of customers, letters of states, words.
 _WORDS_SQL = "SELECT lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS secret FROM orders UNION SELECT o_orderstatus FROM orders UNION SELECT lower(c_mktsegment) FROM customer UNION SELECT c_name FROM customer"
 
@@ -321,8 +344,8 @@ def search_totals(spark, sf_dir):
 def redact_documents(spark, sf_dir):
     """The redacted copies, searched once more: nothing is left."""
     needles = known.dictionary(_tokens(spark, sf_dir))
-    files, spans = _spans(spark, sf_dir, "documents", "doc_id", "text")
-    out = known.redact(files, spans)
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    out = known.redact_rows(files, needles).filter("n_redacted > 0")
     left = known.find_known(out.select("path", "content"), needles).groupBy("path").agg(F.count(F.lit(1)).alias("n_left"))
     return out.join(left, "path", "left").select("path", "n_redacted", F.length("content").cast("long").alias("n_bytes"), F.coalesce("n_left", F.lit(0)).alias("n_left"))
 
