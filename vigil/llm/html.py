@@ -48,6 +48,13 @@ _SKIP_NAME = re.compile(
     re.I,
 )
 _SKIP_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
+#: Words that say nothing on their own in such a name: "comment-list" is boilerplate where "comment-guide" need not be.
+_NEUTRAL = frozenset(
+    "a area bar block bottom box button buttons col column container content group icon icons inner inline item items left link links list "
+    "main mobile panel posts right section slot small sticky the thread top unit wrap wrapper".split()
+)
+#: Elements that hold text of their own: outside the article, too, only a whole name speaks against them.
+_TEXT = frozenset("b blockquote code dd dt em figcaption h1 h2 h3 h4 h5 h6 i li p pre span strong td th".split())
 #: Elements that an opening tag ends if they are open, up to one of the second set.
 _ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 
@@ -63,8 +70,19 @@ def _is_boilerplate(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
         return False
     if attrs.get("role", "").lower() in _SKIP_ROLE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
+    if tag in ("body", "html") or tag in _MAIN:
+        return False
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return tag not in ("body", "html") and bool(_SKIP_NAME.search(names) or not in_main and _SKIP_OUTSIDE.search(names))
+    if in_main or tag in _TEXT:
+        return any(_names_boilerplate(x) for x in names.split())
+    return bool(_SKIP_NAME.search(names) or _SKIP_OUTSIDE.search(names))
+
+
+def _names_boilerplate(name: str) -> bool:
+    """Whether every part of a class name or id is a word for boilerplate or says nothing, and one is such a word."""
+    parts = [x for x in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if x and not x.isdigit()]
+    marks = [bool(_SKIP_NAME.fullmatch(x)) for x in parts]
+    return any(marks) and all(m or x.lower() in _NEUTRAL for m, x in zip(marks, parts, strict=True))
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
