@@ -100,7 +100,7 @@ def test_observe_and_prune(spark):
     now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "location string, fp string")
     got = {r.location: (r.since, r.exact) for r in audit.observe(old, now, F.lit(5000).cast("long")).collect()}
     assert got == {"a": (1000, False), "b": (5000, True), "c": (5000, False)}
-    unseen = spark.createDataFrame([("gone",)], "path string")
+    unseen = spark.createDataFrame([(1, "env", "gone")], "ord int, kind string, pattern string")
     assert audit.prune_state(old, now, unseen).count() == 3 and audit.prune_state(old, now, unseen.limit(0)).count() == 2
 
 

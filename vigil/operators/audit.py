@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -26,11 +26,12 @@ def observe(state: DataFrame, now: DataFrame, at) -> DataFrame:
     )
 
 
-def prune_state(state: DataFrame, present: DataFrame, unseen_paths: DataFrame) -> DataFrame:
-    """Keep a location that is present, or whose path lies under a source that could not be looked at."""
-    here = state.join(present.select("location"), "location", "left_semi")
-    away = state.join(present.select("location"), "location", "left_anti").withColumn("path", T.location_path(F.col("location")))
-    return here.unionByName(away.join(unseen_paths.select("path"), "path", "left_semi").drop("path"))
+def prune_state(state: DataFrame, present: DataFrame, unseen: DataFrame) -> DataFrame:
+    """Keep a location that is present, or that lies under a rule of `unseen` (ord, kind, pattern), which matched no file in a
+    folder that could not be looked at: of the rule's kind, in a file that its pattern names."""
+    here = state.join(present.select("location").distinct(), "location", "left_semi")
+    away = state.join(present.select("location"), "location", "left_anti")
+    return here.unionByName(under_unseen(away, unseen).select(*state.columns))
 
 
 def credential_age(state: DataFrame, now) -> DataFrame:
@@ -118,14 +119,28 @@ def uncovered(rules: DataFrame, matched: DataFrame, folders: DataFrame | None =
     return out.withColumn("folder", F.regexp_extract("pattern", r"^(.*)/[^/]*$", 1)).join(seen, "folder", "left").withColumn("could_look", F.coalesce("seen", F.lit(False))).drop("folder", "seen")
 
 
-def coverage(matched: DataFrame, found: DataFrame) -> DataFrame:
+def coverage(matched: DataFrame, found: DataFrame, accounts: tuple[int, DataFrame] | None = None) -> DataFrame:
     """matched (ord, path), found (ord, path, location) -> per rule: files, secrets, and the names of its files without a
-    secret. A location counts for the first rule that reaches it; a file is empty for a rule only if nothing is in it."""
+    secret. A location counts for the first rule that reaches it; a file is empty for a rule only if nothing is in it.
+    accounts: number and rows (value) of the accounts' file, one file whose secrets are the accounts with a password. Where it
+    can't be read, leave it out and report `unreadable`."""
     first = found.groupBy("location").agg(F.min("ord").alias("ord")).groupBy("ord").agg(F.count(F.lit(1)).alias("secrets"))
     full = found.select("ord", "path").distinct().withColumn("full", F.lit(True))
     files = matched.select("ord", "path").distinct().join(full, ["ord", "path"], "left")
     each = files.groupBy("ord").agg(F.count(F.lit(1)).alias("files"), F.array_sort(F.collect_list(F.when(F.col("full").isNull(), F.regexp_extract("path", r"([^/]*)$", 1)))).alias("empty"))
-    return each.join(first, "ord", "left").select("ord", "files", F.coalesce("secrets", F.lit(0)).alias("secrets"), F.array_join("empty", ", ").alias("none_in"))
+    rows = each.join(first, "ord", "left").select("ord", "files", F.coalesce("secrets", F.lit(0)).alias("secrets"), F.array_join("empty", ", ").alias("none_in"))
+    if accounts is None:
+        return rows
+    kind = rows.schema["ord"].dataType
+    return rows.unionByName(read_shadow(accounts[1]).agg(F.count(F.lit(1)).alias("secrets")).select(F.lit(accounts[0]).cast(kind).alias("ord"), F.lit(1).cast("long").alias("files"), "secrets", F.lit("").alias("none_in")))
+
+
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """(subject) of the finding that an accounts' file can't be read: a blind spot, not a clean bill. It joins the uncovered
+    sources."""
+    return spark.createDataFrame([(f"shadow {path}",)], "subject string")
+
+
 
 
 def read_shadow(shadow: DataFrame) -> DataFrame:
@@ -191,6 +206,37 @@ def findings_changed(before: DataFrame, now: DataFrame) -> DataFrame:
     return b.join(a, "identity", "left_anti").withColumn("change", F.lit("new")).unionByName(a.join(b, "identity", "left_anti").withColumn("change", F.lit("gone")))
 
 
+def digests(report: DataFrame) -> DataFrame:
+    """report (type, identity, ...) -> (type, n, one, two): per kind the number of distinct identities and two sums over their
+    hashes, which no order changes. Reports with equal rows here hold the same findings."""
+    part = lambda first: F.conv(F.substring("identity", first, 15), 16, 10).cast("decimal(20,0)")
+    each = report.select("type", "identity").distinct()
+    return each.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(part(1)).cast("decimal(38,0)").alias("one"), F.sum(part(16)).cast("decimal(38,0)").alias("two"))
+
+
+class Reports:
+    """Reports of scans in a folder, each beside its digests. A report is complete once its digests are there."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def keep(self, report: DataFrame, scan_id: str) -> None:
+        report.write.mode("overwrite").parquet(f"{self.folder}/report/{scan_id}")
+        whole = self.spark.read.schema(report.schema).parquet(f"{self.folder}/report/{scan_id}")
+        digests(whole).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/digests/{scan_id}")
+
+    def changed_kinds(self, before: str, now: str) -> list[str]:
+        """The kinds whose digests differ: a few rows of each scan are all that is read."""
+        rows = [{tuple(r) for r in self.spark.read.parquet(f"{self.folder}/digests/{scan}").select("type", "n", "one", "two").collect()} for scan in (before, now)]
+        return sorted({r[0] for r in rows[0] ^ rows[1]})
+
+    def changed(self, before: str, now: str) -> DataFrame:
+        """As `findings_changed`; only kinds whose digests differ are joined, and none if nothing has changed."""
+        kinds = self.changed_kinds(before, now)
+        a, b = (self.spark.read.parquet(f"{self.folder}/report/{scan}").filter(F.col("type").isin(kinds) if kinds else F.lit(False)) for scan in (before, now))
+        return findings_changed(a, b)
+
+
 def audit_summary(found: DataFrame, report: DataFrame, same: DataFrame) -> DataFrame:
     """One row: credentials, locations, and how many findings are reused, stale, of other kinds, and how many reuses are
     declared. Accounts count as stale."""

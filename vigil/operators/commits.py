@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from . import history, known
+from .rules import rule_hits
 from .scan import running
 
 
@@ -94,19 +95,15 @@ def known_in_commits(patches: DataFrame, needles: DataFrame) -> DataFrame:
     return hits.select(F.col("path").alias("commit"), "label").distinct()
 
 
-def rule_hits(lines: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """lines (..., text) x rules (label, regex) -> a row per line and rule that matches. Rules are a small fixed table,
-    so each is one predicate of a single pass; lines that match none leave no row."""
-    hit = F.array_compact(F.array(*[F.when(F.regexp_like("text", F.lit(p)), F.lit(label)) for label, p in rules]))
-    return lines.withColumn("label", F.explode(hit))
-
-
-def denylist_hits(lines: DataFrame, rules: list[tuple[str, str]], allowed: DataFrame | None = None, first: int = 50, shown: int = 5) -> DataFrame:
+def denylist_hits(lines: DataFrame, rules: list[tuple[str, str]], allowed: DataFrame | None = None, first: int = 50, shown: int = 5, public: DataFrame | None = None) -> DataFrame:
     """lines (repo, commit, file, line, text) -> per repository and label the number of matching lines and up to five
-    distinct places among the first fifty. allowed (repo, label): labels that a repository may have.
+    distinct places among the first fifty. allowed (repo, label): labels that a repository may have. public (repo): the
+    repositories whose lines are held against the list, all if it isn't given; `added_lines` has those of tags too.
 
     The first fifty are taken by salted row numbers, which Spark limits before the shuffle, and then by label, so a label
     with very many lines is never sorted or gathered as a whole."""
+    if public is not None:
+        lines = lines.join(public.select("repo").distinct(), "repo", "left_semi")
     hits = rule_hits(lines, rules)
     if allowed is not None:
         hits = hits.join(allowed.select("repo", "label").distinct(), ["repo", "label"], "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.fingerprint import Fingerprinter
 from ..operators import audit, commands, commits, extract, known, transcripts
-from ..sources import ranges, readers
+from ..sources import ranges, readers, redacted
 from ..streaming import state as streams
 from .views import TEST_PEPPER, VIEWS, view, view_sql
 
@@ -55,8 +55,19 @@ OBS = f"obs AS (SELECT location, {fp_sql('secret')} AS fp, CAST(floor(epoch(ts))
 LATEST = OBS + ", latest AS (SELECT location, arg_max(fp, ord) AS fp, max(ats) AS ats FROM obs GROUP BY location)"
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a stored table: fingerprints are made once, however many parts of a report read them."""
+    folder = readers.scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _last(obs: DataFrame) -> DataFrame:
+    return obs.groupBy("location").agg(F.max_by("fp", "ord").alias("fp"), F.max("at").alias("at"))
+
+
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _observed(spark, sf_dir).groupBy("location").agg(F.max_by("fp", "ord").alias("fp"), F.max("at").alias("at"))
+    return _kept(_last(_observed(spark, sf_dir)), "latest")
 
 
 #: Places that hold one credential on purpose: those of every third user, and those of the ones after them.
@@ -97,7 +108,10 @@ state AS (SELECT n.location, n.fp, CASE WHEN p.fp = n.fp THEN p.since ELSE {CUT}
 
 
 def _split(spark, sf_dir):
-    obs = _observed(spark, sf_dir)
+    return _split_of(_kept(_observed(spark, sf_dir), "observed"))
+
+
+def _split_of(obs):
     prior = obs.filter(F.col("at") < CUT).groupBy("location").agg(F.max_by("fp", "ord").alias("fp"), F.min("at").alias("since")).withColumn("exact", F.col("since") % 2 == 0)
     return prior, obs.filter(F.col("at") >= CUT).groupBy("location").agg(F.max_by("fp", "ord").alias("fp"), F.max("at").alias("at"))
 
@@ -109,9 +123,12 @@ def observe_state(spark, sf_dir):
 
 @query(f"WITH {SPLIT}, gone AS (SELECT p.* FROM prior p WHERE NOT EXISTS (SELECT 1 FROM now n WHERE n.location = p.location)) SELECT location, fp, since, exact FROM prior WHERE location IN (SELECT location FROM now) UNION ALL SELECT location, fp, since, exact FROM gone WHERE location LIKE 'env:/srv/u%7/app.env#%'")
 def prune_state(spark, sf_dir):
+    """Folders of users that end in 7 couldn't be looked at for env files, those that end in 3 for ini files, of which none is
+    tracked there."""
     prior, now = _split(spark, sf_dir)
-    unseen = prior.select(T.location_path(F.col("location")).alias("path")).filter(F.col("path").rlike("7/app\\.env$")).distinct()
-    return audit.prune_state(prior, now, unseen).select("location", "fp", "since", "exact")
+    other = prior.select(F.regexp_extract("location", "^env:(/srv/u[0-9]*3)/app", 1).alias("folder")).filter("folder <> ''").distinct()
+    other = other.select(F.xxhash64("folder").alias("ord"), F.lit("ini").alias("kind"), F.concat("folder", F.lit("/*.env")).alias("pattern"))
+    return audit.prune_state(prior, now, _unseen(prior).unionByName(other)).select("location", "fp", "since", "exact")
 
 
 AGED = SPLIT + ", aged AS (SELECT location, fp, exact, CASE WHEN exact THEN greatest(CAST(floor((1735689600 - since) / 86400.0) AS BIGINT), 0) ELSE greatest(CAST(floor((1735689600 - since) / 86400.0) AS BIGINT), CAST(floor((1735689600 - (since - 8640000)) / 86400.0) AS BIGINT), 0) END AS days FROM state)"
@@ -128,8 +145,12 @@ SAME = LATEST + ", same AS (SELECT CAST(regexp_extract(location, '/u([0-9]+)/',
 
 def _same(spark, sf_dir):
     now = _latest(spark, sf_dir)
+    return now, _groups(now)
+
+
+def _groups(now):
     group = F.floor(F.regexp_extract("location", "/u([0-9]+)/", 1).cast("long") / 3)
-    return now, now.filter(F.col("location").rlike("#(LOGIN|CLICK)_TOKEN$")).select(group.cast("long").alias("group_id"), "location")
+    return now.filter(F.col("location").rlike("#(LOGIN|CLICK)_TOKEN$")).select(group.cast("long").alias("group_id"), "location")
 
 
 DRIFT = f"c AS (SELECT group_id, location, {label_sql('fp')} AS label FROM latest JOIN same USING (location)), d AS (SELECT group_id FROM c GROUP BY group_id HAVING count(DISTINCT label) > 1), drift AS (SELECT group_id, label, location FROM c JOIN d USING (group_id))"
@@ -239,14 +260,14 @@ def uncovered_sources(spark, sf_dir):
 COVER = f"{ENV}, cr AS (SELECT n_nationkey AS ord, '/srv/n' || n_nationkey || '/app.env' AS path FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 100, path FROM (SELECT DISTINCT path FROM lines) UNION ALL SELECT 200, '/srv/n' || n_nationkey || '/none.env' FROM nation), cf AS (SELECT cr.ord, cr.path, location FROM cr JOIN env ON split_part(substr(location, 5), '#', 1) = cr.path)"
 
 
-@query(f"WITH {COVER}, f AS (SELECT location, min(ord) AS ord FROM cf GROUP BY location), fs AS (SELECT ord, count(*) AS secrets FROM f GROUP BY ord) SELECT ord, count(*) AS files, any_value(coalesce(secrets, 0)) AS secrets, coalesce(string_agg(CASE WHEN (ord, path) NOT IN (SELECT (ord, path) FROM cf) THEN regexp_extract(path, '([^/]*)$', 1) END, ', '), '') AS none_in FROM cr LEFT JOIN fs USING (ord) GROUP BY ord")
+@query(f"WITH {COVER}, f AS (SELECT location, min(ord) AS ord FROM cf GROUP BY location), fs AS (SELECT ord, count(*) AS secrets FROM f GROUP BY ord) SELECT ord, count(*) AS files, any_value(coalesce(secrets, 0)) AS secrets, coalesce(string_agg(CASE WHEN (ord, path) NOT IN (SELECT (ord, path) FROM cf) THEN regexp_extract(path, '([^/]*)$', 1) END, ', '), '') AS none_in FROM cr LEFT JOIN fs USING (ord) GROUP BY ord UNION ALL SELECT 1000, 1, (SELECT count(*) FROM ({view_sql('shadow')}) WHERE starts_with(split_part(value, ':', 2), '$')), ''")
 def coverage(spark, sf_dir):
     path = lambda name: F.concat(F.lit("/srv/n"), F.col("n_nationkey").cast("string"), F.lit(name))
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
     every = view(spark, sf_dir, "env_lines").select(F.lit(100).alias("ord"), "path").distinct()
     matched = nation.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("int").alias("ord"), path("/app.env").alias("path")).unionByName(every).unionByName(nation.select(F.lit(200).alias("ord"), path("/none.env").alias("path")))
     found = extract.extract_env(view(spark, sf_dir, "env_lines")).select(T.location_path(F.col("location")).alias("path"), "location")
-    return audit.coverage(matched, matched.join(found, "path"))
+    return audit.coverage(matched, matched.join(found, "path"), (1000, view(spark, sf_dir, "shadow")))
 
 
 WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS s FROM documents)"
@@ -350,6 +371,17 @@ def redact_documents(spark, sf_dir):
     return out.join(left, "path", "left").select("path", "n_redacted", F.length("content").cast("long").alias("n_bytes"), F.coalesce("n_left", F.lit(0)).alias("n_left"))
 
 
+@query(f"WITH h AS ({_count_sql('documents', 'doc_id', 'text')}), n AS (SELECT path, sum(n) AS n FROM h GROUP BY path) SELECT 'd' || doc_id % 7 || '/' || doc_id || '.txt' AS name, CAST(strlen(d.text) - 18 * n AS BIGINT) AS n_bytes FROM n JOIN documents d ON d.doc_id = path")
+def redacted_files(spark, sf_dir):
+    """The redacted copies as files of their own, read again: those without a credential aren't there."""
+    folder, needles = readers.scratch(spark, "copies"), known.dictionary(_tokens(spark, sf_dir))
+    path = F.concat(F.lit("/srv/d"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = spark.read.parquet(f"{sf_dir}/documents.parquet").select(path.alias("path"), F.col("text").alias("content"))
+    redacted.write_files(_kept(known.redact_rows(files, needles), "redacted"), folder, "/srv")
+    copies = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
+    return copies.select(F.regexp_extract("path", "(d[0-9]+/[^/]*)$", 1).alias("name"), F.length("content").cast("long").alias("n_bytes"))
+
+
 @query("""WITH h AS (SELECT l_suppkey AS path, CAST(l_partkey % 5000 AS BIGINT) AS start, CAST(l_quantity AS BIGINT) AS len, 'c' || l_linenumber AS label FROM lineitem),
 r AS (SELECT *, CASE WHEN start >= max(start + len) OVER w THEN 1 WHEN max(start + len) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM h WINDOW w AS (PARTITION BY path ORDER BY start, len, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY start, len, label ROWS UNBOUNDED PRECEDING) AS span FROM r)
@@ -412,10 +444,27 @@ def _file_lines(spark, sf_dir):
 _DENY = " UNION ALL ".join(f"SELECT 'acme/r' || doc_id % 4 AS repo, '{n}' AS label, CAST(doc_id AS STRING) AS c, 'f' || doc_id % 3 AS f, line FROM l WHERE regexp_matches(text, '{p}')" for n, p in SHAPES)
 
 
-@query(f"WITH {_LINES}, a AS (SELECT 'acme/r' || n_nationkey AS repo, CASE WHEN n_nationkey % 2 = 0 THEN '{SHAPES[0][0]}' ELSE '{SHAPES[1][0]}' END AS label FROM nation), h0 AS ({_DENY}), h AS (SELECT * FROM h0 WHERE (repo, label) NOT IN (SELECT (repo, label) FROM a)), r AS (SELECT *, row_number() OVER (PARTITION BY repo, label ORDER BY c, f, line) AS n FROM h), p AS (SELECT repo, label, list_sort(list(DISTINCT c || ' ' || f))[1:5] AS p FROM r WHERE n <= 50 GROUP BY repo, label) SELECT repo, label, count(*) AS n_lines, array_to_string(any_value(p.p), ';') AS places FROM h JOIN p USING (repo, label) GROUP BY repo, label")
+@query(f"WITH {_LINES}, a AS (SELECT 'acme/r' || n_nationkey AS repo, CASE WHEN n_nationkey % 2 = 0 THEN '{SHAPES[0][0]}' ELSE '{SHAPES[1][0]}' END AS label FROM nation), h0 AS ({_DENY}), pub AS (SELECT 'acme/r' || n_nationkey AS repo FROM nation WHERE n_nationkey % 4 <> 3), h AS (SELECT * FROM h0 WHERE repo IN (SELECT repo FROM pub) AND (repo, label) NOT IN (SELECT (repo, label) FROM a)), r AS (SELECT *, row_number() OVER (PARTITION BY repo, label ORDER BY c, f, line) AS n FROM h), p AS (SELECT repo, label, list_sort(list(DISTINCT c || ' ' || f))[1:5] AS p FROM r WHERE n <= 50 GROUP BY repo, label) SELECT repo, label, count(*) AS n_lines, array_to_string(any_value(p.p), ';') AS places FROM h JOIN p USING (repo, label) GROUP BY repo, label")
 def denylist_hits(spark, sf_dir):
     allowed = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("acme/r"), F.col("n_nationkey").cast("string")).alias("repo"), F.when(F.col("n_nationkey") % 2 == 0, SHAPES[0][0]).otherwise(SHAPES[1][0]).alias("label"))
-    return commits.denylist_hits(_file_lines(spark, sf_dir), list(SHAPES), allowed)
+    public = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey % 4 <> 3").select(F.concat(F.lit("acme/r"), F.col("n_nationkey").cast("string")).alias("repo"))
+    return commits.denylist_hits(_file_lines(spark, sf_dir), list(SHAPES), allowed, public=public)
+
+
+#: A rule for each customer of five nations.
+_NAMED = f"x AS (SELECT o_orderkey, regexp_extract({_ORDER_LINE}, 'Customer#([0-9]*)', 1) AS c FROM orders), h AS (SELECT 'acme/r' || o_orderkey % 4 AS repo, 'customer-' || c_custkey AS label, CAST(o_orderkey AS VARCHAR) AS c, 'f' || o_orderkey % 3 AS f FROM x JOIN customer ON x.c = lpad(CAST(c_custkey AS VARCHAR), 9, '0') WHERE c_nationkey < 5)"
+
+
+@query(f"WITH {_NAMED}, r AS (SELECT *, row_number() OVER (PARTITION BY repo, label ORDER BY c, f) AS n FROM h), p AS (SELECT repo, label, list_sort(list(DISTINCT c || ' ' || f))[1:5] AS p FROM r WHERE n <= 50 GROUP BY repo, label) SELECT repo, label, count(*) AS n_lines, array_to_string(any_value(p.p), ';') AS places FROM h JOIN p USING (repo, label) GROUP BY repo, label")
+def denylist_many_rules(spark, sf_dir):
+    """A denylist that grows with a table: of its rules only those whose literal part occurs in a line are tried."""
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_nationkey < 5").select("c_custkey").collect()
+    rules = [(f"customer-{r[0]}", rf"(?i)\bCUSTOMER#{r[0]:09d}(?:[^0-9]|$)") for r in names]
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key = lambda n: (F.col("o_orderkey") % n).cast("string")
+    text = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" of Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(", "), "o_orderpriority")
+    lines = o.select(F.concat(F.lit("acme/r"), key(4)).alias("repo"), F.col("o_orderkey").cast("string").alias("commit"), F.concat(F.lit("f"), key(3)).alias("file"), F.lit(0).alias("line"), text.alias("text"))
+    return commits.denylist_hits(lines, rules)
 
 
 #: A url for each form that a destination takes; {r} is a number.
@@ -661,30 +710,33 @@ ELSE 'account ' || subject || ': password of ' || days || ' days (limit {LIMIT})
 
 
 def _report(spark, sf_dir):
-    obs, (now, same), (rules, files) = _observed(spark, sf_dir), _same(spark, sf_dir), _rules(spark, sf_dir)
-    prior, seen = _split(spark, sf_dir)
+    """(report, latest): each stored, so that what asks for several things of a report makes it once."""
+    obs = _kept(_observed(spark, sf_dir), "observed")
+    now = _kept(_last(obs), "latest")
+    same, (rules, files), (prior, seen) = _groups(now), _rules(spark, sf_dir), _split_of(obs)
     aged = audit.credential_age(audit.observe(prior, seen, F.lit(CUT).cast("long")).withColumn("mtime", F.col("since") - 8640000), F.lit(1735689600))
-    return audit.findings(
+    report = audit.findings(
         uncovered=audit.uncovered(rules, audit.match_sources(rules, files)).select(F.concat_ws(" ", "kind", "pattern").alias("subject")),
         ambiguous=audit.one_name_one_secret(obs).filter("ambiguous").select(F.col("location").alias("subject")),
-        missing=audit.missing(_late(spark, sf_dir), same, _unseen(now)).select(F.col("location").alias("subject")),
+        missing=audit.missing(obs.filter(F.col("at") >= LATE), same, _unseen(now)).select(F.col("location").alias("subject")),
         drift=audit.drifted(_labelled(spark, now), same).select(F.col("group_id").alias("subject"), "label", F.col("location").alias("place")),
         reused=audit.reused_places(now, _pairs(now)).select(_fp(spark).label(F.col("fp")).alias("subject"), F.col("location").alias("place")),
         stale=aged.filter(F.col("days") >= LIMIT).select(F.col("location").alias("subject"), "days", "exact"),
         account=audit.stale_accounts(view(spark, sf_dir, "shadow"), 20000, LIMIT).select(F.col("user").alias("subject"), "days"),
     )
+    return _kept(audit.finding_identity(report), "report"), now
 
 
 @query(f"WITH {REPORT} SELECT rank, type, subject, label, place, days, exact, identity, {LINE} AS line FROM g")
 def audit_report(spark, sf_dir):
     """All kinds of findings in one table, with their identities and lines of text."""
-    return audit.report_lines(audit.finding_identity(_report(spark, sf_dir)), LIMIT)
+    return audit.report_lines(_report(spark, sf_dir)[0], LIMIT)
 
 
 @query(f"WITH {REPORT} SELECT type, subject, count(*) AS n_rows FROM g WHERE type IN ('ambiguous', 'reused') GROUP BY type, subject")
 def findings(spark, sf_dir):
     """The findings about credentials, one row each."""
-    rows = _report(spark, sf_dir).filter(F.col("type").isin("ambiguous", "reused"))
+    rows = _report(spark, sf_dir)[0].filter(F.col("type").isin("ambiguous", "reused"))
     return rows.groupBy("type", "subject").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -692,15 +744,18 @@ def findings(spark, sf_dir):
 SELECT identity, type, subject, 'new' AS change FROM b WHERE identity NOT IN (SELECT identity FROM a) UNION ALL SELECT identity, type, subject, 'gone' FROM a WHERE identity NOT IN (SELECT identity FROM b)""")
 def findings_changed(spark, sf_dir):
     """Between two reports of all kinds: one that doesn't know some users yet and is 10 days younger, one without others."""
-    now = audit.finding_identity(_report(spark, sf_dir))
+    now = _report(spark, sf_dir)[0]
     before = now.filter(~F.col("subject").contains("/u1") & (F.col("days").isNull() | (F.col("days") < LIMIT + 500))).withColumn("days", F.col("days") - 10)
-    return audit.findings_changed(audit.finding_identity(before.drop("identity")), now.filter(~F.col("subject").contains("/u2")))
+    reports = audit.Reports(spark, readers.scratch(spark, "reports"))
+    reports.keep(audit.finding_identity(before.drop("identity")), "1")
+    reports.keep(now.filter(~F.col("subject").contains("/u2")), "2")
+    return reports.changed("1", "2")
 
 
 @query(f"WITH {REPORT}, k AS (SELECT DISTINCT type, subject FROM g) SELECT (SELECT count(DISTINCT fp) FROM latest) AS credentials, (SELECT count(*) FROM latest) AS locations, count_if(type = 'reused')::BIGINT AS reused, count_if(type IN ('stale', 'account'))::BIGINT AS stale, count_if(type NOT IN ('reused', 'stale', 'account'))::BIGINT AS other, (SELECT count(*) FROM declared) AS declared FROM k")
 def audit_summary(spark, sf_dir):
-    now = _latest(spark, sf_dir)
-    return audit.audit_summary(now, _report(spark, sf_dir), _pairs(now))
+    report, now = _report(spark, sf_dir)
+    return audit.audit_summary(now, report, _pairs(now))
 
 
 @query(f"WITH h AS ({_count_sql('documents', 'doc_id', 'text')}) SELECT DISTINCT 'raw:' || path AS path, label FROM h")
