@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fingerprint import Fingerprinter
-from ..operators import audit, commands, commits, extract, known, transcripts
+from ..operators import audit, commands, commits, extract, known, repeats, transcripts
 from ..sources import ranges, readers, redacted
+from ..sources.snapshots import Snapshots
 from ..streaming import state as streams
 from .views import TEST_PEPPER, VIEWS, view, view_sql
 
@@ -116,19 +117,34 @@ def _split_of(obs):
     return prior, obs.filter(F.col("at") >= CUT).groupBy("location").agg(F.max_by("fp", "ord").alias("fp"), F.max("at").alias("at"))
 
 
+#: What a scan sees where files of some users are gone; those of users that end in 7 are out of sight.
+AWAY = "/u[0-9]*[137]/"
+
+
 @query(f"WITH {SPLIT} SELECT * FROM state")
 def observe_state(spark, sf_dir):
     return audit.observe(*_split(spark, sf_dir), F.lit(CUT).cast("long"))
 
 
-@query(f"WITH {SPLIT}, gone AS (SELECT p.* FROM prior p WHERE NOT EXISTS (SELECT 1 FROM now n WHERE n.location = p.location)) SELECT location, fp, since, exact FROM prior WHERE location IN (SELECT location FROM now) UNION ALL SELECT location, fp, since, exact FROM gone WHERE location LIKE 'env:/srv/u%7/app.env#%'")
+@query(f"WITH {SPLIT} SELECT * FROM state WHERE NOT regexp_matches(location, '{AWAY}') UNION ALL SELECT location, fp, since, exact FROM prior WHERE location LIKE 'env:/srv/u%7/app.env#%'")
+def observe_snapshots(spark, sf_dir):
+    """Two scans over stored snapshots, and one between them that broke off before its mark."""
+    prior, now = _split(spark, sf_dir)
+    store = Snapshots(spark, readers.scratch(spark, "state"), 8)
+    store.save(prior, "1")
+    store.save(prior.withColumn("fp", F.lit("0" * 64)), "2", complete=False)
+    store.save(store.observe(now.filter(~F.col("location").rlike(AWAY)), F.lit(CUT).cast("long"), _unseen(prior)), "3")
+    return store.latest()
+
+
+@query(f"WITH {SPLIT}, here AS (SELECT * FROM now WHERE NOT regexp_matches(location, '{AWAY}')), gone AS (SELECT p.* FROM prior p WHERE NOT EXISTS (SELECT 1 FROM here n WHERE n.location = p.location)) SELECT location, fp, since, exact FROM prior WHERE location IN (SELECT location FROM here) UNION ALL SELECT location, fp, since, exact FROM gone WHERE location LIKE 'env:/srv/u%7/app.env#%'")
 def prune_state(spark, sf_dir):
     """Folders of users that end in 7 couldn't be looked at for env files, those that end in 3 for ini files, of which none is
     tracked there."""
     prior, now = _split(spark, sf_dir)
     other = prior.select(F.regexp_extract("location", "^env:(/srv/u[0-9]*3)/app", 1).alias("folder")).filter("folder <> ''").distinct()
     other = other.select(F.xxhash64("folder").alias("ord"), F.lit("ini").alias("kind"), F.concat("folder", F.lit("/*.env")).alias("pattern"))
-    return audit.prune_state(prior, now, _unseen(prior).unionByName(other)).select("location", "fp", "since", "exact")
+    return audit.prune_state(prior, now.filter(~F.col("location").rlike(AWAY)), _unseen(prior).unionByName(other)).select("location", "fp", "since", "exact")
 
 
 AGED = SPLIT + ", aged AS (SELECT location, fp, exact, CASE WHEN exact THEN greatest(CAST(floor((1735689600 - since) / 86400.0) AS BIGINT), 0) ELSE greatest(CAST(floor((1735689600 - since) / 86400.0) AS BIGINT), CAST(floor((1735689600 - (since - 8640000)) / 86400.0) AS BIGINT), 0) END AS days FROM state)"
@@ -801,6 +817,17 @@ def config_write_guard(spark, sf_dir):
     return commands.guarded_edits(calls).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
 
 
+PARTS = f"t AS ({view_sql('part_turns')}), k AS (SELECT DISTINCT conv_id, turn, 'sk-' || sha256(CAST(conv_id % 500 AS VARCHAR)) AS secret, 'conv-' || conv_id % 500 AS label FROM t WHERE role = 'user' AND contains(text, 'sk-'))"
+
+
+@query(f"WITH {PARTS}, p AS (SELECT conv_id, secret, label, min(turn) AS pasted_turn FROM k GROUP BY ALL) SELECT t.conv_id, label, pasted_turn, turn AS echoed_turn FROM t JOIN p USING (conv_id) WHERE role = 'assistant' AND turn > pasted_turn AND contains(text, substr(secret, 21, 24))")
+def echoed_parts(spark, sf_dir):
+    """Turns that give away a part of a secret that was pasted before, in the middle or at the end of a word."""
+    turns = view(spark, sf_dir, "part_turns")
+    pasted = turns.filter("role = 'user'").select("conv_id", "turn", F.concat(F.lit("conv-"), (F.col("conv_id") % 500).cast("string")).alias("label"), F.nullif(F.regexp_extract("text", "(sk-[0-9a-f]{64})", 1), F.lit("")).alias("secret"))
+    return repeats.echoed_parts(turns, pasted.filter("secret is not null")).drop("n_shared")
+
+
 @query(f"WITH {HANDLES} SELECT conv_id, turn, name FROM h")
 def secret_handles(spark, sf_dir):
     return transcripts.secret_handles(view(spark, sf_dir, "handle_turns"))

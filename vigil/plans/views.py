@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TEST_PEPPER = bytes(range(32))
@@ -27,6 +29,9 @@ VIEWS = {
         FROM (SELECT *, concat(CAST(CAST(ts AS DATE) AS STRING), 'T00:00:00Z') AS strftime_ FROM {0})"""),
     "handle_turns": ("conversations", """SELECT conv_id, turn, role, concat(text, CASE WHEN turn % 2 = 0 THEN concat(' use $', '{{SECRET:name-', conv_id % 90, '}} now') ELSE '' END,
         CASE WHEN conv_id % 3 = 0 THEN concat(' pw-', conv_id % 40, '-longvalue') ELSE '' END) AS text FROM {0}"""),
+    # Some users paste a key; some turns give back its middle, some only a bit that is too short to tell.
+    "part_turns": ("conversations", """SELECT conv_id, turn, role, concat(text, CASE WHEN role = 'user' AND conv_id % 3 <> 0 THEN concat(' it is sk-', sha256_(CAST(conv_id % 500 AS STRING)), ' ok') WHEN role = 'assistant' AND turn % 4 = 1
+        THEN concat(' you said x', substr(concat('sk-', sha256_(CAST(conv_id % 500 AS STRING))), 21, CASE WHEN conv_id % 2 = 0 THEN 24 ELSE 10 END)) ELSE '' END) AS text FROM {0}"""),
     "changes": ("lineitem", """SELECT substr(sha256_(CAST(l_orderkey AS STRING)), 1, 8) AS commit, concat('src/', CASE l_partkey % 12 WHEN 0 THEN '.env' WHEN 1 THEN '.env.example'
         WHEN 2 THEN 'id_rsa' WHEN 3 THEN 'certs/site.pem' WHEN 4 THEN 'LICENSE' WHEN 5 THEN 'LICENSE.md' WHEN 6 THEN 'data.sqlite3' ELSE concat('m', l_partkey % 50, '.py') END) AS path,
         CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'M' ELSE 'D' END AS status, l_linenumber % 5 = 0 AS is_binary, l_linenumber % 3 AS n_hunks,
@@ -58,7 +63,7 @@ VIEWS = {
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, sql = VIEWS[name]
-    sql = sql.replace("sha256_(CAST(l_orderkey AS STRING))", "sha2(CAST(l_orderkey AS STRING), 256)")
+    sql = re.sub(r"sha256_\((CAST\([^()]* AS STRING\))\)", r"sha2(\1, 256)", sql)
     return spark.sql(sql.format(f"parquet.`{sf_dir}/{table}.parquet`"))
 
 
