@@ -198,6 +198,33 @@ def test_structure_confirms_or_rejects():
     assert kinds("thererhationenungsch" * 5 + " a.b.c") == set()
 
 
+def test_layouts_of_keys():
+    spans = secrets.confirmed_spans
+    kinds = lambda t: {secrets.KINDS[k] for _, k, _ in spans(t)}
+    for name, data in PRIVATE.items():
+        kind = {"keyblob" if name.startswith("ssh") or name == "container" else "der"}
+        text = base64.b64encode(data).decode()
+        wrapped = lambda n, sep="\n": sep.join(text[k : k + n] for k in range(0, len(text), n))  # noqa: B023, E731
+        assert kinds(wrapped(64) + "\nThanks") == kind, name
+        assert kinds("x" * 50 + "\n" + wrapped(64)) == kind, name
+        assert kinds("    " + wrapped(64, "\n    ")) == kind, name
+        assert kinds('"' + wrapped(64, "\\n") + '\\n"') == kind, name
+        assert kinds(wrapped(32)) == kind == kinds("key_" + text), name
+        assert kinds("a" + data.hex()) == kind, name
+    for data in PUBLIC.values():
+        text = base64.b64encode(data).decode()
+        assert kinds("key_" + text + "\nThanks") == set() == kinds("a" + data.hex())
+
+
+@pytest.mark.parametrize("unit", ["-eyJ", "_eyJhbGciOiJ9", "MIIE" + "A" * 60 + "\n", "AAAAB3NzaC1yc2EA" + "A" * 48 + "\n", "-----BEGIN X KEY-----\n", "."])
+def test_work_grows_with_the_text(unit):
+    import time
+
+    began = time.process_time()
+    secrets.confirmed_spans("." + unit * (300_000 // len(unit)) + ".abc.def")
+    assert time.process_time() - began < 3
+
+
 @pytest.mark.parametrize("run", [lambda d: quality.quality(d), lambda d: secrets.secret_spans(d), lambda d: bpe.encode(d, PATH, public_tokenizers.PATTERN)])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0

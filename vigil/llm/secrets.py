@@ -5,15 +5,17 @@ structure of a secret: a signed token whose header is JSON with an algorithm, DE
 fields are those of a private key, or a private-key container of length-prefixed strings. Public keys, certificates and
 signatures have other fields and are none. Row by row, without a shuffle.
 
-What counts as a candidate: 40 or more base64 characters in one run, also when lines of a block break it; 64 or more hex
-digits; armour of any length with or without header lines, where an encrypted key is told by them. DER nested more than 16
-deep is none.
+What counts as a candidate: 40 or more base64 characters in lines of 20 or more, the last one of any length, broken as such,
+with an indent, or as breaks are written in strings; a key may begin at each line and behind each _ or -. 64 or more hex digits,
+of which one may stand before the key; armour of any length with or without header lines, where an encrypted key is told by
+them. DER nested more than 16 deep, and keys of over 64 KB, are none. The work grows with the text.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 from collections.abc import Iterator
@@ -35,8 +37,18 @@ _JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,}
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY[A-Z0-9 ]*)-----((?:(?!-----).)*)-----END \1-----", re.S)
 #: Header lines of old armour, up to the empty line, with line breaks as such or as written in a string.
 _HEADERS = re.compile(r"(?:(?:\s|\\r|\\n)*[A-Za-z-]+: [^\n\\]*(?:\\r|\\n|\s)+)+")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]{40,})*(?:\r?\n[A-Za-z0-9+/_-]{1,})?={0,2}")
-_LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
+#: Between lines of a block: a break with any indent, or one that is written in a string.
+_BREAK = r"(?:\r?\n[ \t]*|(?:\\r)?\\n)"
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{20,}}(?:{_BREAK}[A-Za-z0-9+/_-]{{20,}})*(?:{_BREAK}[A-Za-z0-9+/_-]+)?={{0,2}}")
+#: What base64 of a key begins with: a SEQUENCE, a length-prefixed type name, the name of a container.
+_KEY_START = re.compile(r"M[A-P]|AAAA[BCE]|b3BlbnNzaC1rZXkt")
+#: A token header begins like this once decoded.
+_JSON = json.JSONDecoder()
+_OBJECT = re.compile(rb"[ \t\r\n]*\{[ \t\r\n]*[\"}]")
+_LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
+#: Base64 characters, of a block without its breaks, and bytes of a key at most.
+LEAST_BLOCK, MOST_KEY = 40, 1 << 16
 
 
 def decoded_base64(text: str) -> bytes | None:
@@ -134,15 +146,56 @@ def is_key_blob(data: bytes) -> bool:
     return len(fields) - 1 in (_PRIVATE_FIELDS[fields[0]], _PRIVATE_FIELDS[fields[0]] + 1) and len(fields) - 1 > public
 
 
-def is_token_header(segment: str) -> bool:
-    """The first part of a signed token: JSON with a string `alg`."""
-    if (decoded_base64(segment[:4]) or b"x")[0] not in b"{ \t\r\n":
+def der_size(data: bytes) -> int:
+    """Bytes of the SEQUENCE at the start of `data`, by its own length; 0 if none of up to MOST_KEY bytes starts there."""
+    if len(data) < 6 or data[0] != _SEQUENCE:
+        return 0
+    n = data[1] & 0x7F
+    size = 2 + n if data[1] < 0x80 else 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 else 0
+    return size if size <= MOST_KEY else 0
+
+
+def is_token_header(header: bytes, at: int = 0, plain: str | None = None) -> bool:
+    """The first part of a signed token, decoded: from `at` on JSON with a string `alg`. plain: the bytes as characters."""
+    found = _OBJECT.match(header, at)
+    if not found:
+        return False
+    text = header.decode("latin-1") if plain is None else plain
+    try:  # what is wrong is mostly wrong within the first bytes; a longer part is read only if these don't tell
+        _, end = _JSON.raw_decode(text[at : at + 2048].lstrip())
+        if at + 2048 >= len(text):
+            return _is_header(header[at:])
+        return end >= 2000 and _is_header(header[at:])
+    except ValueError as e:
+        open_ = "Unterminated" in str(e) or getattr(e, "pos", 0) >= 2000
+        return open_ and at + 2048 < len(text) and _is_header(header[at:])
+    except RecursionError:
         return False
+
+
+def _is_header(data: bytes) -> bool:
     try:
-        header = json.loads(decoded_base64(segment) or b"")
+        whole = json.loads(data)
     except (ValueError, RecursionError):
         return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str)
+    return isinstance(whole, dict) and isinstance(whole.get("alg"), str)
+
+
+def _header_at(run: str) -> int:
+    """Where in a run of base64 a token header begins that ends with it: at its start or behind one of its _ and -; -1 if
+    nowhere. Places that are a multiple of four apart share one decoding."""
+    decoded: dict[int, tuple[int, bytes, str]] = {}
+    for cut in (0, *(k.end() for k in re.finditer("[_-]", run))):
+        rest = (len(run) - cut) % 4
+        if len(run) - cut < 8 or rest == 1:
+            continue
+        if rest not in decoded:
+            data = decoded_base64(run[cut:]) or b""
+            decoded[rest] = (cut, data, data.decode("latin-1"))
+        first, data, plain = decoded[rest]
+        if is_token_header(data, (cut - first) // 4 * 3, plain):
+            return cut
+    return -1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -172,31 +225,66 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
         for m in _JWT.finditer(text):
             if m.start() < stop:
                 continue
-            first, at = m[1], m.start()
-            # A prefix that ends in _ or - may stand before the header.
-            for cut in [0, *(k.end() for k in re.finditer("[_-]", first))]:
-                if len(first) - cut >= 8 and is_token_header(first[cut:]) and decoded_base64(m[2]) is not None:
-                    stop = m.end(3)
-                    out.append((at + cut, 3, stop))
-                    break
+            cut = _header_at(m[1])
+            if cut >= 0 and decoded_base64(m[2]) is not None:
+                stop = m.end(3)
+                out.append((m.start() + cut, 3, stop))
     armoured = []
     if "-----BEGIN" in text:
         armoured = [(m.start(), 4, m.end()) for m in _PEM.finditer(text) if _armoured(m[1], m[2])]
     for m in _BASE64.finditer(text):
-        if any(a <= m.start() < b for a, _, b in armoured):
-            continue
-        # The block as a whole, or else its lines one by one.
-        found = _kinds(m.start(), m.end(), decoded_base64(re.sub(r"\s", "", m[0])))
-        if not found and "\n" in m[0]:
-            found = [x for k in re.finditer(r"[A-Za-z0-9+/_-]{40,}={0,2}", m[0]) for x in _kinds(m.start() + k.start(), m.start() + k.end(), decoded_base64(k[0]))]
-        out += found
+        if m.end() - m.start() >= LEAST_BLOCK and not any(a <= m.start() < b for a, _, b in armoured):
+            out += _keys_in_block(m.start(), m[0])
     for m in _LONG_HEX.finditer(text):
-        out += _kinds(m.start(), m.end(), bytes.fromhex(m[0]))
+        for odd in (0, 1):
+            data = bytes.fromhex(m[0][odd : odd + (len(m[0]) - odd) // 2 * 2])
+            out += [(m.start() + odd, kind, m.start() + odd + 2 * size) for kind, size in _keys_at(data)]
     return out + armoured
 
 
-def _kinds(start: int, end: int, data: bytes | None) -> list[tuple[int, int, int]]:
-    return [(start, 5 + k, end) for k, test in enumerate((is_key_der, is_key_blob)) if data and test(data)]
+def _keys_at(data: bytes) -> list[tuple[int, int]]:
+    """(kind, bytes) of the private keys that begin with `data`: DER says itself how long it is, a blob takes all."""
+    size = der_size(data)
+    out = [(5, size)] if size and size <= len(data) and is_key_der(data[:size]) else []
+    return out + ([(6, len(data))] if len(data) <= MOST_KEY and is_key_blob(data) else [])
+
+
+def _keys_in_block(start: int, block: str) -> list[tuple[int, int, int]]:
+    """The keys in a block of lines. Ordinary lines before and after may look like lines of it, and a word with _ or - may
+    stand before it: a key is looked for from each line and each such place on, and a blob also without the last line."""
+    lines = [(m.start(), m[0]) for m in _LINE.finditer(re.sub(r"\\[nr]", "  ", block))]
+    text = "".join(x for _, x in lines)
+    if len(text) < LEAST_BLOCK:
+        return []
+    begins, n = [], 0
+    for at, x in lines:
+        begins.append((n, at))
+        n += len(x)
+    fresh = {i for i, _ in begins}
+    place = lambda i: (k := bisect.bisect_right(begins, (i, 1 << 60)) - 1, begins[k][1] + i - begins[k][0])[1]
+    stops, out, done = [len(text), begins[-1][0]] if len(lines) > 1 else [len(text)], [], 0
+    for m in _KEY_START.finditer(text):
+        i = m.start()
+        if i < done or i not in fresh and text[i - 1] not in "_-":
+            continue
+        head = decoded_base64(text[i : i + 8]) or b""
+        size = der_size(head)
+        n_chars = -(-size * 4 // 3)
+        if size and i + n_chars <= len(text):
+            data = decoded_base64(text[i : i + -(-n_chars // 4) * 4]) or decoded_base64(text[i : i + n_chars])
+            if data and is_key_der(data[:size]):
+                out.append((i, 5, i + n_chars))
+        elif not size:
+            for stop in stops:
+                data = decoded_base64(text[i:stop]) if 0 < stop - i <= MOST_KEY * 4 // 3 else None
+                if data and is_key_blob(data):
+                    out.append((i, 6, stop))
+                    break
+        if out and out[-1][0] == i:
+            done = out[-1][2]
+    # A key ends behind its last character and the padding that follows it.
+    spans = [(start + place(i), kind, start + place(stop - 1) + 1) for i, kind, stop in out]
+    return [(a, kind, b + len(re.match("={0,2}", block[b - start :])[0])) for a, kind, b in spans]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
