@@ -10,25 +10,32 @@ from .common import documents
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document less those of windows of 50 that start in a document of a smaller id; see
+    `substring.substring_dedup` for odd rows."""
     out = substring.substring_dedup(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see `simhash.near_duplicates` for odd rows."""
     out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document, learned from the labelled ones that are not held out; see `toxicity.toxicity` for
+    odd rows."""
     out = toxicity.toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
     return out.withColumnRenamed("id", "doc_id")
 
 
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and class-model log probabilities of every document; see `class_lm.lm_scores` for odd rows."""
     return class_lm.lm_scores(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in every document; see `secrets.secret_spans` for odd rows."""
     out = secrets.secret_spans(documents(spark, sf_dir))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
@@ -37,6 +44,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the bytes they decode to; see `bpe.encode` for odd rows."""
     import public_tokenizers
 
     out = bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -45,21 +53,25 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of every document; see `quality.quality` for odd rows."""
     out = quality.quality(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and verdict of every document; see `exact_dedup.exact_dedup` for odd rows."""
     out = exact_dedup.exact_dedup(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.sha2("norm", 256).alias("text_sha256"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document; see `mixing.planned` for odd rows."""
     out = mixing.planned(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; see `html.main_text` for odd rows."""
     out = html.main_text(documents(spark, sf_dir, "pages"))
     return out.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
