@@ -580,6 +580,28 @@ def command_verdict(spark, sf_dir):
     return _verdicts(spark, sf_dir)
 
 
+def _rule_rows(rules) -> str:
+    listed = lambda ps: "[" + ", ".join("'(?i)" + p.replace("'", "''") + "'" for p in ps) + "]::VARCHAR[]"
+    return ", ".join(f"({ord_}, '{reason}', {listed(every)}, {listed(none)})" for ord_, reason, every, none in rules)
+
+
+#: The rules as tables that are joined with the commands: every pattern of a rule has to match, and none of the others.
+COMPOSED = rf"""cmd AS ({view_sql('composed')}), d AS (SELECT DISTINCT command, translate(command, '"''\', '') AS bare FROM cmd),
+segment (ord, reason, every, without) AS (VALUES {_rule_rows(commands.SEGMENT_RULES)}), whole (ord, reason, every, without) AS (VALUES {_rule_rows(commands.COMMAND_RULES)}),
+s AS (SELECT command, unnest(range(len(p))) AS seg, trim(regexp_replace(unnest(p), ' +', ' ', 'g')) AS t FROM (SELECT command, string_split_regex(bare, '[;&|(){{}}\n]') AS p FROM d)),
+h AS (SELECT command, -1 AS seg, ord, reason FROM d JOIN whole ON len(list_filter(every, lambda p: NOT regexp_matches(regexp_replace(bare, ' +', ' ', 'g'), p))) = 0 AND len(list_filter(without, lambda p: regexp_matches(regexp_replace(bare, ' +', ' ', 'g'), p))) = 0
+UNION ALL SELECT command, seg, ord, reason FROM s JOIN segment ON len(list_filter(every, lambda p: NOT regexp_matches(t, p))) = 0 AND len(list_filter(without, lambda p: regexp_matches(t, p))) = 0
+UNION ALL SELECT command, seg, 28, 'release' FROM s WHERE regexp_matches(t, '(^| )release +(create|upload|edit)( |$)') AND regexp_extract(t, '(-R|--repo)[= ]+([^ ]+)', 2) <> '' AND lower(regexp_extract(t, '(-R|--repo)[= ]+([^ ]+)', 2)) <> 'acme/site'),
+f AS (SELECT command, arg_min(reason, row(seg, ord)) AS reason FROM h GROUP BY command)"""
+
+
+@query(f"WITH {COMPOSED} SELECT cmd_id, CASE WHEN reason IS NULL THEN 'allow' ELSE 'deny' END AS verdict, coalesce(reason, '') AS reason FROM cmd LEFT JOIN f USING (command)")
+def composed_verdict(spark, sf_dir):
+    """Commands put together from parts, each rule among them, judged by the rules as a table in SQL."""
+    allow = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey = 0").select(F.lit("ACME/site").alias("repo"))
+    return commands.command_verdict(view(spark, sf_dir, "composed"), allow)
+
+
 @query(f"WITH {VERDICTS} SELECT CASE WHEN cmd_id % 2 = 0 THEN 'allow' ELSE 'deny' END AS expected, CASE WHEN reason = '' THEN 'allow' ELSE 'deny' END AS verdict, count(*) AS n FROM v GROUP BY 1, 2")
 def replay_verdicts(spark, sf_dir):
     rows = _verdicts(spark, sf_dir)

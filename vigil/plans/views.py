@@ -45,6 +45,16 @@ VIEWS = {
         WHEN 3 THEN 'sed s/a/b/ in.txt > out.txt' WHEN 4 THEN 'dd if=/dev/zero of=disk.img' WHEN 5 THEN 'ls | tee -a log.txt copy.txt' WHEN 6 THEN 'echo x >> /etc/vigil/allow'
         WHEN 7 THEN 'sed -i "s/.git*//" notes' WHEN 8 THEN 'make 2>err.log' WHEN 9 THEN 'gh api -X PUT repos/a/b/contents/x -f m=1' WHEN 10 THEN 'gh api repos/a/b/contents/x'
         WHEN 11 THEN 'mv new ~/.gitconfig' WHEN 12 THEN 'git log --since=x --$OPT' ELSE concat('grep -r x* ', event_type) END AS command FROM {0}"""),
+    # A simple command for each rule, and some that only look like one, behind and before others.
+    "composed": ("events", """SELECT event_id AS cmd_id, event_type, concat(element_at(array('', 'cd /srv; ', 'time ', 'FOO=1 ', '(date) '), CAST(event_id % 5 AS INT) + 1), CASE user_id % 37 WHEN 0 THEN 'git push --no-verify origin b' WHEN 1 THEN 'git commit --no-verify -m x'
+        WHEN 2 THEN 'git fetch --no-veri' WHEN 3 THEN 'git config --global -e' WHEN 4 THEN 'git config --remove-section core' WHEN 5 THEN 'git config core.hooksPath /tmp' WHEN 6 THEN 'git config --get core.hooksPath'
+        WHEN 7 THEN 'git config --get --unset core.hooksPath' WHEN 8 THEN 'echo x > /etc/gitconfig' WHEN 9 THEN 'tee -a ~/.gitconfig' WHEN 10 THEN 'sed -i s/a/b/ .git/config' WHEN 11 THEN 'cp x /root/.gitconfig'
+        WHEN 12 THEN 'cp gitconfig /etc/' WHEN 13 THEN 'mv config repo/.git/' WHEN 14 THEN 'dd if=x of=.git/config' WHEN 15 THEN 'rm -f /etc/gitconfig' WHEN 16 THEN 'gh repo create x --public'
+        WHEN 17 THEN 'gh repo edit x --visibility public' WHEN 18 THEN 'gh gist create -p f' WHEN 19 THEN 'gh api -X PUT repos/a/b/contents/x' WHEN 20 THEN 'gh api -X PATCH repos/a/b -f private=false'
+        WHEN 21 THEN 'gh api -X POST user/repos -f name=x' WHEN 22 THEN 'gh api -X PATCH repos/a/b --input f.json' WHEN 23 THEN 'gh release create v1' WHEN 24 THEN 'gh release upload v1 f -R acme/other'
+        WHEN 25 THEN 'gh release create v1 --repo Acme/Site' WHEN 26 THEN 'cargo publish' WHEN 27 THEN 'npm publish' WHEN 28 THEN 'npm publish --dry-run' WHEN 29 THEN 'twine upload dist' WHEN 30 THEN 'GIT_CONFIG_NOSYSTEM=1 git push'
+        WHEN 31 THEN 'git -c core.hooksPath=/x push' WHEN 32 THEN 'GIT_CONFIG_KEY_0=core.hooksPath git push' WHEN 33 THEN 'git log --$OPT' WHEN 34 THEN 'gh repo edit x --visibility private' WHEN 35 THEN '"git"  push --no-"verify"'
+        ELSE concat('ls ', event_type) END, element_at(array('', ' && echo ok', ' | cat; gh release create v2'), CAST(event_id % 3 AS INT) + 1)) AS command FROM {0}"""),
     "wg_lines": ("customer", """SELECT concat('/etc/wg/n', c_nationkey, '.conf') AS path, c_custkey AS line, CASE c_custkey % 7
         WHEN 0 THEN '[Peer]' WHEN 1 THEN concat('PresharedKey = ', c_name, '=') WHEN 2 THEN concat('AllowedIPs = 10.0.', c_custkey % 250, '.2/32, ::1') WHEN 3 THEN concat('AllowedIPs=10.1.', c_custkey % 250, '.0/24')
         WHEN 4 THEN '[Interface]' WHEN 5 THEN concat('PrivateKey=', c_mktsegment, c_custkey, '==') ELSE concat('# PresharedKey = ', c_name) END AS text FROM {0}"""),
@@ -69,4 +79,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view_sql(name: str) -> str:
     table, sql = VIEWS[name]
-    return sql.replace("sha256_(", "sha256(").format(table)
+    return sql.replace("sha256_(", "sha256(").replace("element_at(array(", "list_extract(list_value(").format(table)
