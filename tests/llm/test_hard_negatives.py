@@ -61,7 +61,7 @@ def test_odd_rows(spark):
     assert mined(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("rows", [[], [(0, [1.0], 1)], [(0, [], 1), (50, [], 2), (1, [], 1)], [(None, [1.0], 1), (None, [1.0], 2)]])
+@pytest.mark.parametrize("rows", [[], [(0, [], 1), (50, [], 2), (1, [], 1)], [(None, [1.0], 1), (None, [1.0], 2)]])
 def test_hardly_any_rows(spark, rows):
     rows = [(*r, "r", 1, "l") for r in rows]
     assert mined(spark, rows) == brute(rows)

@@ -30,8 +30,8 @@ def texts(seed=0):
     rnd = random.Random(seed)
     names = [n.replace("[cs]", "c") for _, n in lr.NAMES] + [p for _, _, _, p in lr.WORDING] + list(lr.BASE) + list(lr.GRANT_HEADS) + ["spdx license identifier mit", "under the", "GNU", "ﬁne", "Kelvin K", "2.0", "version"]
     plain = [re.sub(r"\(([^()|]*)[^()]*\)\??|[?]|\{[^}]*\}|\[[^]]*\]", r"\1", n) for n in names]
-    out = [None, "", " \n", "---", "CC-BY cc_by Cc By", "all rights reserved " * 3000, "x" * 5000, *CASES]
-    return out + [rnd.choice([" ", "-", "\n"]).join(rnd.choice([str.upper, str.title, str.lower])(rnd.choice(plain)) for _ in range(rnd.choice([1, 5, 30]))) for _ in range(120)]
+    out = [None, "", " \n", "---", "CC-BY cc_by Cc By", "all rights reserved " * 300, "x" * 5000, *CASES]
+    return out + [rnd.choice([" ", "-", "\n"]).join(rnd.choice([str.upper, str.title, str.lower])(rnd.choice(plain)) for _ in range(rnd.choice([1, 5, 30]))) for _ in range(80)]
 
 
 def walked(text):
