@@ -27,16 +27,17 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _literal(rules: list[Rule]) -> Column:
-    fields = lambda r: [F.lit(v).alias(k) for k, v in (("ord", r.ord), ("need", r.need), ("label", r.label), ("level", r.level), ("score", r.score), ("base", r.base), ("pattern", f"^(?:{r.pattern})(?: |$)"))]
-    return F.array(*[F.struct(*fields(r)) for r in rules])
+def _literal(rules: list[Rule]) -> str:
+    """The rules as SQL: one text is much sooner a literal than thousands of columns."""
+    row = lambda r: f"named_struct('ord', {r.ord}, 'need', '{r.need}', 'label', '{r.label}', 'level', {r.level}, 'score', {r.score}D, 'base', {str(r.base).lower()}, 'pattern', r'^(?:{r.pattern})(?: |$)')"
+    return f"array({', '.join(map(row, rules))})"
 
 
 def _found(words: Column, rules: list[Rule]) -> Column:
     """Every interval of words that a rule matches, containers before what they hold."""
     heads = sorted({r.head for r in rules if r.head})
-    notices = _literal([r for r in rules if not r.head]) if any(not r.head for r in rules) else None
-    by_head = F.create_map(*[x for h in heads for x in (F.lit(h), _literal([r for r in rules if r.head == h]))])
+    notices = F.expr(_literal([r for r in rules if not r.head])) if any(not r.head for r in rules) else None
+    by_head = F.expr(f"map({', '.join(f"'{h}', {_literal([r for r in rules if r.head == h])}" for h in heads)})")
     places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).isin(*heads, *GRANT_HEADS))
 
     def tried(i: Column, ahead: Column) -> Column:
