@@ -10,6 +10,7 @@ from ..functions.fingerprint import Fingerprinter
 from ..operators import audit, commands, commits, extract, known, repeats, transcripts
 from ..sources import ranges, readers, redacted
 from ..sources.snapshots import Snapshots
+from ..streaming import pruned
 from ..streaming import state as streams
 from .views import TEST_PEPPER, VIEWS, view, view_sql
 
@@ -879,6 +880,36 @@ def observe_stream(spark, sf_dir):
     return streams.latest_per_location(streams.run_available(streams.observe_stream(scans), readers.scratch(spark, "observe"), "update"))
 
 
+#: Ends of three scans; from the second on some users are gone, those of 3 until the third, those of 7 are out of sight.
+ENDS = (1704931200, 1705795200, 4102444800)
+_SCAN = f"CASE WHEN ats <= {ENDS[0]} THEN 1 WHEN ats <= {ENDS[1]} THEN 2 ELSE 3 END"
+_GONE = "scan = 2 AND regexp_matches(location, '/u[0-9]*[1379]/') OR scan = 3 AND regexp_matches(location, '/u[0-9]*[179]/')"
+
+
+@query(f"""WITH {OBS}, o AS (SELECT * FROM (SELECT location, fp, ats, {_SCAN} AS scan FROM obs) WHERE NOT ({_GONE})), hidden AS (SELECT unnest(range(7, 100, 10)) AS u),
+seen AS (SELECT DISTINCT location, scan FROM o UNION SELECT DISTINCT location, unnest([2, 3]) FROM o WHERE location IN (SELECT 'env:/srv/u' || u || '/app.env#' || e FROM hidden, (SELECT DISTINCT split_part(location, '#', 2) AS e FROM o))),
+run AS (SELECT s.location, max(s.scan) AS last, CASE WHEN bool_or(s.scan = 2) OR NOT bool_or(s.scan = 3) THEN min(s.scan) ELSE 3 END AS first FROM seen s GROUP BY s.location),
+alive AS (SELECT o.*, lag(fp) OVER (PARTITION BY location ORDER BY ats, fp) AS before FROM o JOIN run USING (location) WHERE last = 3 AND scan >= first),
+m AS (SELECT location, max(ats) AS since, count(before) > 0 AS exact FROM alive WHERE before IS NULL OR before <> fp GROUP BY location)
+SELECT location, arg_max(alive.fp, row(ats, alive.fp)) AS fp, any_value(m.since) AS since, any_value(m.exact) AS exact FROM alive JOIN m USING (location) GROUP BY location""")
+def prune_stream(spark, sf_dir):
+    """Three scans, each processed as it arrives; what one of them no longer sees is given up, but under the ten rules whose
+    folders were out of sight. The rows are the kept state, read from the checkpoint."""
+    obs = _kept(_observed(spark, sf_dir).drop("ord"), "scans")
+    began = (0, ENDS[0] + 1, ENDS[1] + 1)
+    away = ("^$", "/u[0-9]*[1379]/", "/u[0-9]*[179]/")
+    folder = readers.scratch(spark, "pruned")
+    rules = [("env", f"/srv/u{u}/*.env") for u in range(7, 100, 10)] + [("ini", f"/srv/u{u}/*.env") for u in range(9, 100, 10)]
+    for first, last, gone in zip(began, ENDS, away, strict=True):
+        scan = obs.filter(F.col("at").between(first, last) & ~F.col("location").rlike(gone)).select("location", "fp", "at", F.lit(None).cast("long").alias("began"), F.lit(None).cast("array<struct<kind:string,pattern:string>>").alias("unseen"))
+        scan.write.mode("append").parquet(f"{folder}/in")
+        spark.createDataFrame([(None, None, last, first, rules)], pruned.SCANS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        arrived = spark.readStream.schema(pruned.SCANS).parquet(f"{folder}/in")
+        with pruned.rocksdb(spark):
+            streams.run_available(pruned.pruned_stream(arrived, 16), f"{folder}/run", "update")
+    return pruned.kept(spark, f"{folder}/run/checkpoint")
+
+
 @query(f"WITH h AS ({_count_sql('documents', 'doc_id', 'text')}), n AS (SELECT path, sum(n) AS n FROM h GROUP BY path) SELECT doc_id AS path, CAST(coalesce(n, 0) AS BIGINT) AS n_redacted, CAST(strlen(text) - 18 * coalesce(n, 0) AS BIGINT) AS n_bytes FROM documents LEFT JOIN n ON path = doc_id")
 def redact_appended(spark, sf_dir):
     """Documents as they arrive, redacted on the way."""
