@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.fingerprint import Fingerprinter
 from ..operators import audit, commands, commits, extract, known, repeats, transcripts
-from ..sources import ranges, readers, redacted
+from ..sources import listing, ranges, readers, redacted
 from ..sources.snapshots import Snapshots
 from ..streaming import pruned
 from ..streaming import state as streams
@@ -273,6 +273,29 @@ def uncovered_sources(spark, sf_dir):
     return audit.uncovered(rules, audit.match_sources(rules, files), folders)
 
 
+TREE_RULES = "CASE n_nationkey % 4 WHEN 0 THEN concat('/n', n_nationkey, '/*.env') WHEN 1 THEN concat('/n', n_nationkey, '/c1*.env') WHEN 2 THEN concat('/n', n_nationkey, '/none*.env') ELSE concat('/x', n_nationkey, '/*.env') END"
+
+
+@query(f"""WITH rules AS (SELECT CAST(n_nationkey AS BIGINT) AS ord, {TREE_RULES} AS pattern FROM nation UNION ALL SELECT 100 + n_nationkey, concat('/n', n_nationkey, '/c*5.env') FROM nation WHERE n_nationkey % 4 = 0),
+files AS (SELECT concat('/n', c_nationkey, '/c', c_custkey, '.env') AS path, strlen(c_name) AS size FROM customer), folders AS (SELECT DISTINCT regexp_extract(path, '^(.*)/', 1) AS folder FROM files),
+m AS (SELECT ord, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM rules JOIN files ON path LIKE replace(pattern, '*', '%') GROUP BY ord)
+SELECT ord, pattern, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes, regexp_extract(pattern, '^(.*)/', 1) IN (SELECT folder FROM folders) AS could_look FROM rules LEFT JOIN m USING (ord)""")
+def listed_sources(spark, sf_dir):
+    """A file for each customer in the folder of the nation, and what each rule finds of them by listing the folders that rules
+    name; those of every fourth nation are named by none."""
+    root, customer = readers.scratch(spark, "tree"), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    files = customer.select(F.expr("concat('/n', c_nationkey, '/c', c_custkey, '.env')").alias("path"), F.col("c_name").cast("binary").alias("content"), F.lit(1).alias("n_redacted"))
+    redacted.write_files(files, root)
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    rules = nation.select(F.col("n_nationkey").cast("long").alias("ord"), F.lit("env").alias("kind"), F.expr(TREE_RULES).alias("pattern"))
+    rules = rules.unionByName(nation.filter("n_nationkey % 4 = 0").selectExpr("cast(100 + n_nationkey as bigint) AS ord", "'env' AS kind", "concat('/n', n_nationkey, '/c*5.env') AS pattern"))
+    matched, folders = listing.listed(rules, root)
+    found = matched.groupBy("ord").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    looked = folders.select(F.col("path").alias("folder"), F.lit(True).alias("looked"))
+    each = rules.withColumn("folder", F.regexp_extract("pattern", "^(.*)/", 1)).join(found, "ord", "left").join(looked, "folder", "left")
+    return each.select("ord", "pattern", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("looked", F.lit(False)).alias("could_look"))
+
+
 #: Every second file, with and without a secret, and a rule that reaches all of them after the others.
 COVER = f"{ENV}, cr AS (SELECT n_nationkey AS ord, '/srv/n' || n_nationkey || '/app.env' AS path FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 100, path FROM (SELECT DISTINCT path FROM lines) UNION ALL SELECT 200, '/srv/n' || n_nationkey || '/none.env' FROM nation), cf AS (SELECT cr.ord, cr.path, location FROM cr JOIN env ON split_part(substr(location, 5), '#', 1) = cr.path)"
 
