@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import audit, commits, known, rules
+from vigil.plans import queries
 from vigil.sources import redacted
 
 
@@ -41,6 +42,15 @@ def test_only_public_repositories_are_held_against_the_list(spark):
     assert [tuple(r) for r in commits.denylist_hits(lines, [("w", "word")], public=public).collect()] == [("a", "w", 2, "c1 f;t1 (tag message)")]
 
 
+def test_the_lines_of_every_repository_are_held_against_the_list(spark, tmp_path):
+    docs = [(i, "call +1 (555) 555-0100\nnothing\nmail a.b@mail1.example") for i in range(8)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i,) for i in range(25)], "n_nationkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    # An even repository may hold phones, an odd one addresses.
+    want = {(f"acme/r{r}", ("phone", "email")[r % 2 == 0], 2, f"{r} f{r % 3};{r + 4} f{(r + 4) % 3}") for r in range(4)}
+    assert set(map(tuple, queries.denylist_hits(spark, str(tmp_path)).collect())) == want
+
+
 def test_pruning_goes_by_kind_and_pattern(spark):
     state = spark.createDataFrame([(x, "1", 5, True) for x in ("env:/a/x.env#K", "ini:/a/x.env#[s]", "env:/a/x.txt#K", "env:/b/y.env#K", "env:/c/z#K")], "location string, fp string, since long, exact boolean")
     now = spark.createDataFrame([("env:/c/z#K",), ("env:/c/z#K",)], "location string")

@@ -484,11 +484,11 @@ def _file_lines(spark, sf_dir):
 _DENY = " UNION ALL ".join(f"SELECT 'acme/r' || doc_id % 4 AS repo, '{n}' AS label, CAST(doc_id AS STRING) AS c, 'f' || doc_id % 3 AS f, line FROM l WHERE regexp_matches(text, '{p}')" for n, p in SHAPES)
 
 
-@query(f"WITH {_LINES}, a AS (SELECT 'acme/r' || n_nationkey AS repo, CASE WHEN n_nationkey % 2 = 0 THEN '{SHAPES[0][0]}' ELSE '{SHAPES[1][0]}' END AS label FROM nation), h0 AS ({_DENY}), pub AS (SELECT 'acme/r' || n_nationkey AS repo FROM nation WHERE n_nationkey % 4 <> 3), h AS (SELECT * FROM h0 WHERE repo IN (SELECT repo FROM pub) AND (repo, label) NOT IN (SELECT (repo, label) FROM a)), r AS (SELECT *, row_number() OVER (PARTITION BY repo, label ORDER BY c, f, line) AS n FROM h), p AS (SELECT repo, label, list_sort(list(DISTINCT c || ' ' || f))[1:5] AS p FROM r WHERE n <= 50 GROUP BY repo, label) SELECT repo, label, count(*) AS n_lines, array_to_string(any_value(p.p), ';') AS places FROM h JOIN p USING (repo, label) GROUP BY repo, label")
+@query(f"WITH {_LINES}, a AS (SELECT 'acme/r' || n_nationkey AS repo, CASE WHEN n_nationkey % 2 = 0 THEN '{SHAPES[0][0]}' ELSE '{SHAPES[1][0]}' END AS label FROM nation), h0 AS ({_DENY}), h AS (SELECT * FROM h0 WHERE (repo, label) NOT IN (SELECT (repo, label) FROM a)), r AS (SELECT *, row_number() OVER (PARTITION BY repo, label ORDER BY c, f, line) AS n FROM h), p AS (SELECT repo, label, list_sort(list(DISTINCT c || ' ' || f))[1:5] AS p FROM r WHERE n <= 50 GROUP BY repo, label) SELECT repo, label, count(*) AS n_lines, array_to_string(any_value(p.p), ';') AS places FROM h JOIN p USING (repo, label) GROUP BY repo, label")
 def denylist_hits(spark, sf_dir):
+    """The lines of every repository are held against the list; only labels allowed in a repository are left out of it."""
     allowed = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("acme/r"), F.col("n_nationkey").cast("string")).alias("repo"), F.when(F.col("n_nationkey") % 2 == 0, SHAPES[0][0]).otherwise(SHAPES[1][0]).alias("label"))
-    public = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey % 4 <> 3").select(F.concat(F.lit("acme/r"), F.col("n_nationkey").cast("string")).alias("repo"))
-    return commits.denylist_hits(_file_lines(spark, sf_dir), list(SHAPES), allowed, public=public)
+    return commits.denylist_hits(_file_lines(spark, sf_dir), list(SHAPES), allowed)
 
 
 #: A rule for each customer of five nations.
