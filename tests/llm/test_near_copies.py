@@ -54,3 +54,17 @@ def test_the_stage_drops_copies_with_some_words_changed(spark):
         other[k] = "changed"
     df = spark.createDataFrame([(2, " ".join(words)), (1, " ".join(other)), (3, "no copy of it")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [1, 3]
+
+
+def test_no_join_of_the_stage_passes_a_table_through_the_driver(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def plans():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        runs = store.executionsList()
+        return {(r := runs.apply(i)).executionId(): r.physicalPlanDescription() for i in range(runs.size())}
+
+    before = set(plans())
+    simhash.deduplicated(spark.createDataFrame(list(enumerate(texts()[:60])), "doc_id long, text string"), size=5, budget=24, similarity=0.8).collect()
+    own = [p for k, p in plans().items() if k not in before]
+    assert any("SortMergeJoin" in p for p in own) and not any("BroadcastExchange" in p for p in own)

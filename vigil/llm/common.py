@@ -39,6 +39,12 @@ def stored(df: DataFrame, name: str, session: SparkSession | None = None) -> Dat
     return session.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` for an equi-join whose sides grow with the corpus: it is sorted and merged, never broadcast, so nothing of it
+    passes through the driver, which would keep a thread and a hash table for each small one."""
+    return df.hint("merge")
+
+
 def small_batches(spark: SparkSession, rows: int) -> SparkSession:
     """A session like `spark` that hands at most so many rows to Python at a time, for rows that are large themselves."""
     session = spark.newSession()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import shuffled, stored
 from .components import connected_components
 
 BITS, BUDGET, FIXED = 64, 3, 28
@@ -229,10 +229,10 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, size: int, budget: int,
         roots = similar.similar_links(rows.select("text", "t"), prints, size, similarity, budget)
         prints = prints.drop("sample")
     ids = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    placed = ids.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = ids.join(shuffled(roots.withColumnRenamed("a", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = stored(placed, "placed")
     firsts = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(placed.join(firsts, "root").select("fp", "root", "component_id"), "fp")
+    return prints.join(shuffled(placed.join(shuffled(firsts), "root").select("fp", "root", "component_id")), "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, budget: int = BUDGET, similarity: float | None = None) -> DataFrame:
@@ -256,9 +256,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Rows that are equal in all columns can't be told apart by a join; there are few, so only these are made distinct.
     times = placed.groupBy("id", "t", "h").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1")
     on_ = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.t") == F.col(f"{b}.t")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
-    kept = kept.alias("k").join(times.alias("n"), on_("k", "n"), "left").select("k.id", "k.t", "k.h", F.col("n._times").isNotNull().alias("_again"))
+    kept = kept.alias("k").join(shuffled(times.alias("n")), on_("k", "n"), "left").select("k.id", "k.t", "k.h", F.col("n._times").isNotNull().alias("_again"))
     whole = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"), whole.alias("h"))
-    out = rows.alias("d").join(kept.alias("k"), on_("d", "k")).select("d.row", "d.id", "d.t", "d.h", "k._again")
+    out = rows.alias("d").join(shuffled(kept.alias("k")), on_("d", "k")).select("d.row", "d.id", "d.t", "d.h", "k._again")
     once, again = out.filter("not _again"), out.filter("_again").dropDuplicates(["id", "t", "h"])
     return once.unionByName(again).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import quotient_filter as qf
-from .common import bitmap, in_bitmap, most_frequent, stored
+from .common import bitmap, in_bitmap, most_frequent, shuffled, stored
 from .components import connected_components
 from .simhash import majority_bits, shingle_hashes, trie_links
 
@@ -189,28 +189,28 @@ def similar_links(texts: DataFrame, known: DataFrame, size: int, similarity: flo
     some = stored(prefixes.mapInArrow(_entries(shared_keys, shift), "key long, fp long, sim long, n int, place int").dropDuplicates(["key", "fp"]), "some")
     first_of_smaller = F.col("n") - F.col("place") >= F.col("n") * (2 * similarity / (1 + similarity)) - EPS
     keys = some.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min(F.when(first_of_smaller, F.col("n"))).alias("least")).filter("lo <> hi and least is not null")
-    members = stored(some.join(keys.select("key", "least"), "key").filter("n >= least").drop("least"), "members")
+    members = stored(some.join(shuffled(keys.select("key", "least")), "key").filter("n >= least").drop("least"), "members")
 
     def alike(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        some_texts = spark.sparkContext.broadcast(bitmap(known.join(wanted, "fp", "left_semi").select("t")))
-        sets = stored(texts.mapInArrow(_sets(size, some_texts), "fp long, hashes binary").join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+        some_texts = spark.sparkContext.broadcast(bitmap(known.join(shuffled(wanted), "fp", "left_semi").select("t")))
+        sets = stored(texts.mapInArrow(_sets(size, some_texts), "fp long, hashes binary").join(shuffled(wanted), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
         one, two = sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
+        return pairs.join(shuffled(one), "a").join(shuffled(two), "b").select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a long, b long")
 
     roots = spark.createDataFrame([], "a long, root long")
     # A round of stars, then the trie: first for the nearest pairs, which leave fewer components to the full budget.
     for bits in (None, budget // 4, budget):
         # The order of columns is that of `_trie_pairs`.
-        rooted = members.join(roots, F.col("fp") == F.col("a"), "left").select("key", "sim", "fp", "n", "place", F.coalesce("root", "fp").alias("root"))
+        rooted = members.join(shuffled(roots), F.col("fp") == F.col("a"), "left").select("key", "sim", "fp", "n", "place", F.coalesce("root", "fp").alias("root"))
         row = F.struct("fp", "n", "place", "root", "sim")
         apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("fp", F.pmod("key", F.lit(HUBS))), row.alias("row")))["row"].alias("o")).filter("lo <> hi")
         if bits is None:
-            pairs = rooted.join(apart.select("key", "o"), "key").filter((F.col("root") != F.col("o.root")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("o.sim"))) <= budget))
+            pairs = rooted.join(shuffled(apart.select("key", "o")), "key").filter((F.col("root") != F.col("o.root")) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("o.sim"))) <= budget))
             pairs = pairs.filter(_possible(F.col("n"), F.col("place"), F.col("o.n"), F.col("o.place"), similarity)).select(F.col("fp").alias("a"), F.col("o.fp").alias("b"))
         else:
-            dealt = rooted.join(apart.select("key"), "key").repartition("key").sortWithinPartitions("key")
+            dealt = rooted.join(shuffled(apart.select("key")), "key").repartition("key").sortWithinPartitions("key")
             pairs = dealt.mapInArrow(_trie_pairs(similarity, bits), "a long, b long")
         roots = connected_components(alike(pairs).unionByName(roots.withColumnRenamed("root", "b")))
     return roots
