@@ -82,3 +82,22 @@ def test_the_tree_leaves_out_only_what_holds_no_answer():
     for i in range(len(q)):
         assert set(leaf[inside[i]].tolist()) <= set(np.flatnonzero(alive[i]).tolist())
     assert tree.leaves > 60 and alive.mean() < 0.5
+
+
+def test_rows_and_groups_stay_small(spark, monkeypatch):
+    """No stored row holds many vectors, a query is sent once to a part of several leaves, and a hot leaf is several parts."""
+    tables, real, width = [], hn.stored, 8
+    monkeypatch.setattr(hn, "LEAF", 40)
+    monkeypatch.setattr(hn, "PART", 150, raising=False)
+    monkeypatch.setattr(hn, "SLOT", 8, raising=False)
+    monkeypatch.setattr(hn, "stored", lambda df, *a: (tables.append(real(df, *a)), tables[-1])[1])
+    v = clusters(900, width, 4, 0.2)
+    rows = [(i, [float(x) for x in v[0 if i % 3 == 0 else i]], i * 7 % 5, "r", 1, "l") for i in range(900)]
+    assert mined(spark, rows) == brute(rows)
+    for t in tables:
+        if own := [F.max(F.octet_length(c)) for c, kind in t.dtypes if kind == "binary"]:
+            assert max(t.agg(*own).first()) <= 8 * width
+    index = hn.Index(real(hn.vectors(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, "vec_id", "embedding", "label"), "vectors"))
+    _, parts = index.shared.value
+    assert index.rows.groupBy("part").count().agg(F.max("count")).first()[0] < 300
+    assert max(parts.pieces) > 1 and max(map(len, parts.leaves)) > 1 and sorted({x for p in parts.leaves for x in p}) == list(range(index.tree.leaves))
