@@ -1,5 +1,6 @@
 """Outgoing commits by the commit index against a plain walk, and how much it touches."""
 
+import os
 import random
 
 from vigil.operators import commits, history
@@ -77,3 +78,26 @@ def test_a_long_history_is_not_walked(spark, monkeypatch):
 def test_no_commits(spark):
     edges, tips = spark.createDataFrame([], "sha string, parent string"), spark.createDataFrame([("p", "a", None), ("q", None, "a")], "push_id string, sha string, remote_sha string")
     assert [tuple(r) for r in commits.outgoing_commits(edges, tips).collect()] == [("p", "a")]
+
+
+def test_tables_go_when_nothing_reads_them(spark, monkeypatch, tmp_path):
+    """While an answer is made few tables are there at a time, and then those that it is read from; the session stays as it was."""
+    edges, tips, refs = given(2, 60)
+    kept, real, before = [], history._stored, spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    monkeypatch.setattr(history, "scratch", lambda session, name: str(tmp_path / f"{name}-{len(kept)}"))
+    monkeypatch.setattr(history, "_stored", lambda df, name: (real(df, name), kept.append(len(os.listdir(tmp_path))))[0])
+    tables = spark.createDataFrame(edges, "sha string, parent string"), spark.createDataFrame(tips, "push_id string, sha string, remote_sha string, remote string"), spark.createDataFrame(refs, "remote string, sha string")
+    out = commits.outgoing_commits(*tables)
+    assert len(kept) > 15 and max(kept) <= 9
+    assert sorted(x.split("-")[0] for x in os.listdir(tmp_path)) == ["commits", "open"]
+    assert {tuple(r) for r in out.collect()} == walked(edges, tips, refs)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == before
+
+
+def test_zero_is_an_id_where_ids_are_numbers(spark):
+    edges = spark.createDataFrame([(0, None), (1, 0), (2, 1), (3, 1)], "sha long, parent long")
+    tips = spark.createDataFrame([("p", 0, None, "r"), ("q", 2, 0, "r"), ("s", 3, None, "t")], "push_id string, sha long, remote_sha long, remote string")
+    refs = spark.createDataFrame([("r", 2), ("t", 0)], "remote string, sha long")
+    assert sorted(map(tuple, commits.outgoing_commits(edges, tips, refs).collect())) == [("q", 1), ("q", 2), ("s", 1), ("s", 3)]
+    tips = spark.createDataFrame([("p", 0, None, "u")], tips.schema)
+    assert sorted(map(tuple, commits.outgoing_commits(edges, tips, refs).collect())) == [("p", 0)]

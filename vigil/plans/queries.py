@@ -578,11 +578,13 @@ def outgoing_new_branches(spark, sf_dir):
     from pyspark.sql import Window as W
 
     group = F.expr("o_custkey div 8").alias("remote")
-    c, r = (W.partitionBy(k).orderBy("o_orderdate", "o_orderkey") for k in ("o_custkey", "remote"))
+    # A customer has one remote, so all windows and groups are dealt by it, in one shuffle.
+    c, r = (W.partitionBy(*k).orderBy("o_orderdate", "o_orderkey") for k in (("remote", "o_custkey"), ("remote",)))
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", group)
-    o = o.select(F.col("o_orderkey").alias("sha"), "o_custkey", "remote", F.row_number().over(c).alias("n"), F.count(F.lit(1)).over(W.partitionBy("o_custkey")).alias("total"), F.row_number().over(r).alias("m"), F.count(F.lit(1)).over(W.partitionBy("remote")).alias("every"), F.lag("o_orderkey").over(c).alias("up"), F.lag("o_orderkey").over(r).alias("before"))
-    merged = o.filter("sha % 3 = 0").select("sha", F.col("before").alias("parent"), F.lit(1).alias("nth"))
-    edges = o.select("sha", F.col("up").alias("parent"), F.lit(0).alias("nth")).unionByName(merged)
+    o = o.withColumns({"m": F.row_number().over(r), "before": F.lag("o_orderkey").over(r), "every": F.count(F.lit(1)).over(W.partitionBy("remote"))})
+    o = o.select(F.col("o_orderkey").alias("sha"), "o_custkey", "remote", F.row_number().over(c).alias("n"), F.count(F.lit(1)).over(W.partitionBy("remote", "o_custkey")).alias("total"), "m", "every", F.lag("o_orderkey").over(c).alias("up"), "before")
+    merged = F.when(F.expr("sha % 3 = 0"), F.array(F.struct(F.col("before").alias("parent"), F.lit(1).alias("nth")))).otherwise(F.array())
+    edges = o.select("sha", F.inline(F.concat(F.array(F.struct(F.col("up").alias("parent"), F.lit(0).alias("nth"))), merged)))
     tips = o.groupBy(F.col("o_custkey").alias("push_id"), "remote").agg(F.max_by("sha", "n").alias("sha"), F.max(F.when((F.col("o_custkey") % 2 == 0) & (F.col("n") == F.expr("total div 2")), F.col("sha"))).alias("remote_sha"))
     refs = o.filter("m = every * 2 div 5 or m = every div 2").select("remote", "sha")
     return commits.outgoing_commits(edges, tips, refs)
